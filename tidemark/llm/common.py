@@ -60,3 +60,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """(doc_id, label, text) of at most ``rows`` labelled documents that aren't held
+    out: those whose ids come first by a hash. Labels that are neither 0 nor 1, and
+    ids with both labels, are left out. The ids are chosen among all labels before
+    any text is read, and are few enough to be broadcast."""
+    known = (
+        labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+        .groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other")
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", F.col("label").cast("int").alias("label"))
+    )
+    texts = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
