@@ -5,9 +5,22 @@ from __future__ import annotations
 from .bpe import op3_byte_bpe
 from .common import Query
 from .decontaminate import op7_decontamination
+from .fingerprint import op6_fingerprints
 from .htmltext import op10_html_text
+from .lm_scoring import op9_lm_scoring
+from .partenum import op5_ngram_join
 from .quality import op1_quality
+from .sharding import op4_sharding
+from .token_counts import op8_token_counts
 from .toxicity import op2_toxicity
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_byte_bpe, op7_decontamination, op10_html_text)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_quality, op2_toxicity, op3_byte_bpe, op4_sharding, op5_ngram_join,
+        op6_fingerprints, op7_decontamination, op8_token_counts, op9_lm_scoring, op10_html_text,
+    )
+}
+
+#: Only operators whose every rule SQL can state; the others have brute-force tests.
 ORACLE_SQL: dict[str, str] = {}
