@@ -44,12 +44,17 @@ def test_similar_sets_share_a_signature():
             x, y = np.sort(pool[:size]), np.sort(np.concatenate([pool[:common], pool[size : size + other - common]]))
             if len(x) == len(y) == common:
                 continue
-            assert np.intersect1d(p.signatures(x, bands), p.signatures(y, bands)).size, (size, other)
+            (sx, mx), (sy, my) = p.signatures(x, bands), p.signatures(y, bands)
+            both = [(mx[sx == z][0], my[sy == z][0]) for z in np.intersect1d(sx, sy)]
+            counted = [min(m >> 1, k >> 1) for m, k in both if not m & k & 1]
+            assert counted and len(counted) >= min(counted), (size, other)
+            assert np.intersect1d(*(p.signatures(z, bands)[0] for z in (x, y))).size >= 1, (size, other)
 
 
-@pytest.mark.parametrize("seed,group", [(1, 8), (2, 2)])
+@pytest.mark.parametrize("seed,group", [(1, 8), (2, 2), (3, 2), (4, 3)])
 def test_equals_brute_force(spark, monkeypatch, seed, group):
     monkeypatch.setattr(p, "GROUP", group)
+    monkeypatch.setattr(p, "WITHDRAWN", 0 if seed == 3 else 1000)
     rows = _texts(seed)
     assert _found(spark, rows) == p.brute_force(rows)
 
@@ -68,14 +73,18 @@ def test_groups_cut_by_batches(monkeypatch):
     """The streaming pass gives the same whatever the batch size."""
     import pyarrow as pa
 
-    monkeypatch.setattr(p, "GROUP", 4)
     rng = np.random.default_rng(5)
     rows = np.unique(np.stack([np.sort(rng.integers(0, 40, 300)), rng.integers(0, 60, 300)], 1), axis=0)
+    mark = pa.array(np.full(len(rows), 2), pa.int16())
 
     def run(size):
-        batches = [pa.RecordBatch.from_arrays([pa.array(rows[k : k + size, 0]), pa.array(rows[k : k + size, 1])], ["sig", "id"]) for k in range(0, len(rows), size)]
-        out = [r for b in p._grouped(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
-        return {r for r in out if r[2] is None}, sorted((r[2], r[0]) for r in out if r[2] is not None)
+        batches = [pa.RecordBatch.from_arrays([pa.array(rows[k : k + size, 0]), pa.array(rows[k : k + size, 1]), mark[k : k + size]], ["sig", "id", "mark"]) for k in range(0, len(rows), size)]
+        out = [r for b in p._grouped(iter(batches), 4) for r in zip(*(c.to_pylist() for c in b.columns))]
+        pairs = {}
+        for a, b, n, _, hot in out:
+            if hot is None:
+                pairs[a, b] = pairs.get((a, b), 0) + n
+        return pairs, sorted((r[4], r[0]) for r in out if r[4] is not None)
 
     whole = run(10_000)
     assert whole[1] and all(run(k) == whole for k in (1, 2, 3, 7, 50))

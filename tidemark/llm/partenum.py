@@ -12,13 +12,19 @@ subsets too, down to the empty one.) q is 2 for small sets and 1 for large ones.
 The partition is as fine as a size band needs; bands grow by 1/gamma, and a set
 signs for its own band and for the one below, so every possible partner meets it.
 
-Sets that share a signature are compared exactly. Up to GROUP sets of a signature
-are compared pairwise. Of a larger group, each is compared to the smallest only,
-and the links found are joined to components; where a group still has sets of
-several components, its sets go to a second, exact stage: they are joined on their
-rarest shingles (counted over these sets), as many as a similar pair can't all
-miss, and pairs of different components are compared. So no link between different
-components is lost, and no group is expanded into all its pairs.
+Sets take a few parts more than that, so similar ones share more than one, and only
+pairs that share as many as they must are compared, exactly: first each set with the
+one it shares most with, then what still lies in different components.
+
+Up to GROUP sets of a signature give all their pairs. Of a larger group, each set is
+paired with the smallest only, and where the group still has sets of several
+components after the comparisons, it is withdrawn: its sets sign again with parts
+whose signatures aren't withdrawn. (The argument above holds for any parts that both
+sets leave out alike.) What then remains in large groups of several components goes
+to a last, exact stage: sets are joined on their rarest shingles (counted over these
+sets), as many as a similar pair can't all miss, if their places leave room for
+enough common ones. So no link between different components is lost, and no group is
+expanded into all its pairs.
 
 Sizes, hashes and ids alone travel in the first stage; shingles are made again for
 the sets that have a candidate.
@@ -37,7 +43,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -46,9 +52,13 @@ from .components import components
 
 WORDS, PERCENT = 5, 75
 #: Sets of a signature that are compared pairwise.
-GROUP = 8
+GROUP = 32
+#: Withdrawn signatures (8 bytes each) that are broadcast; with more, the last stage takes over at once.
+WITHDRAWN = 4_000_000
 #: Up to so many differing shingles, signatures take two parts each.
 PAIRED = 8
+#: One part more for so many differing shingles: as many more must agree, too.
+SPARE = 8
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -99,40 +109,46 @@ class Bands:
         return roles
 
     def parts(self, instance: int) -> int:
-        """Parts of an instance: few, but mostly more non-empty ones than shingles may differ."""
+        """Parts of an instance: few, but mostly more non-empty ones than shingles may differ and agree at least."""
         self.of(self.low[instance])
         low = self.low[instance]
         most = (2 * low * 100 // self.percent) * self.far[0] // self.far[1]
-        return 8 * low if most <= PAIRED else int(low * 3.64 * self.far[0] / self.far[1]) + 1
+        return 8 * low if most <= PAIRED else int(low * 4.2 * self.far[0] / self.far[1]) + 1
 
 
-def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """Signatures of a set of hashes."""
-    out = []
+def signatures(shingles: np.ndarray, bands: Bands, withdrawn: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set of hashes, and for each its mark: twice the number of
+    signatures that a partner has to share, plus 1 in the upper role."""
+    out, marks = [], []
     spread = tv.mix(shingles)
     for instance, far in bands.roles(len(shingles)):
         if far == 0:
             continue  # only an equal set would do
+        upper = instance != bands.of(len(shingles))
         n, salt = bands.parts(instance), np.uint64(0x9E3779B97F4A7C15 * (2 * instance + 3) % (1 << 64))
         part = (spread >> np.uint64(20)) % np.uint64(n)
         order = np.argsort(part, kind="stable")
         part = part[order]
         first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         sums = tv.mix(np.add.reduceat(spread[order], first) + tv.mix(part[first] + salt))
-        q = 2 if bands.parts(instance) == 8 * bands.low[instance] else 1
+        if withdrawn is not None and len(withdrawn) and n != 8 * bands.low[instance]:
+            at = np.minimum(np.searchsorted(withdrawn, sums), len(withdrawn) - 1)
+            sums = sums[withdrawn[at] != sums]
+        q, need = (2, 1) if n == 8 * bands.low[instance] else (1, max(1, min(1 + far // SPARE, len(sums) - far)))
         while True:
-            chosen = sums[: far + q]
+            chosen = sums[: far + q + need - 1]
             if q == 2:
                 at = np.array(list(combinations(range(len(chosen)), 2)), np.int64).reshape(-1, 2)
                 out.append(tv.mix(chosen[at[:, 0]] * np.uint64(3) + chosen[at[:, 1]]))
-            elif q == 1:
-                out.append(chosen)
             else:
-                out.append(np.array([salt]))
+                out.append(chosen if q else np.array([salt]))
+            marks.append(np.full(len(out[-1]), 2 * need + upper, np.int16))
             if len(sums) >= far + q or q == 0:
                 break
             q -= 1
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int16)
+    return np.concatenate(out), np.concatenate(marks)
 
 
 def _info(words: int):
@@ -147,70 +163,80 @@ def _info(words: int):
     return run
 
 
-def _signed(words: int, percent: int):
+def _signed(words: int, percent: int, withdrawn=None):
+    """withdrawn: a broadcast of sorted signatures."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
         for batch in batches:
             for _, data, offsets in tv.slices(batch):
-                found, owner = [], []
+                found, marks, owner = [], [], []
                 for shingles in sets(data, offsets, words):
                     if not len(shingles) or (own := set_id(shingles)) in seen:
                         continue  # one of equal sets signs for them, at least within a task
                     seen.add(own)
-                    found.append(signatures(shingles, bands))
-                    owner.append(np.full(len(found[-1]), own, np.int64))
+                    sigs, mark = signatures(shingles, bands, withdrawn.value if withdrawn else None)
+                    found.append(sigs)
+                    marks.append(mark)
+                    owner.append(np.full(len(sigs), own, np.int64))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owner))], ["sig", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(marks))], ["sig", "id", "mark"])
 
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by signature and id; groups end anywhere between batches.
-    Yields candidate pairs (hot null), and members of groups over GROUP with their signature."""
-    tail_sig, tail_ids, overflow = None, np.zeros(0, np.int64), False
-
-    def row_batch(parts: list[tuple[np.ndarray, np.ndarray]], hot: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if parts:
-            a, b = (np.concatenate(x) for x in zip(*parts))
-            key = np.unique(np.stack([a, b], 1), axis=0) if len(a) < 2_000_000 else np.stack([a, b], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.nulls(len(key), pa.int64())], ["a", "b", "hot"])
-        for sig, ids in hot:
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(np.full(len(ids), sig))], ["a", "b", "hot"])
-
+def _grouped(batches: Iterator[pa.RecordBatch], group: int) -> Iterator[pa.RecordBatch]:
+    """Rows (sig, id, mark) come sorted by signature and id; groups end anywhere
+    between batches. Yields candidate pairs (a, b) with the number n of signatures seen
+    to be shared and how many they need to share; and, of groups over ``group``, the
+    members (as a) with their signature in ``hot``."""
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16)]  # of the last group so far
+    overflow = False
+
+    def told(pairs: list, hot: list) -> Iterator[pa.RecordBatch]:
+        if pairs:
+            a, b, x, y = (np.concatenate(c) for c in zip(*pairs))
+            use = ((x & y) & 1) == 0  # a pair in the upper role meets in its own band, too
+            a, b, need = a[use], b[use], np.minimum(x[use] >> 1, y[use] >> 1)
+            order = np.lexsort((b, a))
+            a, b, need = a[order], b[order], need[order]
+            first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(a)))
+            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(n.astype(np.int32)), pa.array(need[first].astype(np.int32)), pa.nulls(len(first), pa.int64())], names)
+        if hot:
+            sig, ids = (np.concatenate(c) for c in zip(*hot))
+            none = pa.nulls(len(ids), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids), none, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.int32()), pa.array(sig)], names)
+
+    names = ["a", "b", "n", "need", "hot"]
     for batch in batches:
-        sig, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        if not len(sig):
+        if not batch.num_rows:
             continue
-        if tail_sig is not None:
-            sig, ids = np.concatenate([np.full(len(tail_ids), tail_sig), sig]), np.concatenate([tail_ids, ids])
+        sig, ids, mark = (np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns))
         fresh = np.append(True, (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1]))
-        sig, ids = sig[fresh], ids[fresh]
+        sig, ids, mark = sig[fresh], ids[fresh], mark[fresh]
         starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         sizes = np.diff(np.append(starts, len(sig)))
         pairs, hot = [], []
-        for g in range(2, GROUP + 1):
+        for g in range(2, group + 1):
             at = starts[:-1][sizes[:-1] == g]
-            if overflow:
-                at = at[at > 0]
+            at = at[at > 0] if overflow else at
             if len(at):
                 for i, j in combinations(range(g), 2):
-                    pairs.append((ids[at + i], ids[at + j]))
-        large = np.flatnonzero((sizes > GROUP) | (np.arange(len(sizes)) == 0) & overflow)
-        for k in large.tolist():
-            own = ids[starts[k] : starts[k] + sizes[k]]
-            new = own[1:] if overflow and k == 0 else own  # the smallest was told before
-            if len(own) > 1:
-                pairs.append((np.full(len(own) - 1, own[0]), own[1:]))
-            if len(new):
-                hot.append((int(sig[starts[k]]), new))
-        tail_sig = int(sig[-1])
-        last = ids[starts[-1] :]
-        overflow = bool(sizes[-1] > GROUP or overflow and len(sizes) == 1)
-        tail_ids = last[:1] if overflow else last
-        yield from row_batch(pairs, hot)
-    if tail_sig is not None and not overflow and len(tail_ids) > 1:
-        yield from row_batch([(tail_ids[[i]], tail_ids[[j]]) for i, j in combinations(range(len(tail_ids)), 2)], [])
+                    pairs.append((ids[at + i], ids[at + j], mark[at + i], mark[at + j]))
+        for k in np.flatnonzero((sizes > group) | (np.arange(len(sizes)) == 0) & overflow).tolist():
+            lo, hi = starts[k], starts[k] + sizes[k]
+            again = overflow and k == 0  # the first one was told before
+            if hi - lo > 1:
+                pairs.append((np.full(hi - lo - 1, ids[lo]), ids[lo + 1 : hi], np.full(hi - lo - 1, mark[lo]), mark[lo + 1 : hi]))
+            hot.append((sig[lo + again : hi], ids[lo + again : hi]))
+        overflow = bool(sizes[-1] > group or overflow and len(sizes) == 1)
+        keep = slice(starts[-1], starts[-1] + 1 if overflow else None)
+        held = [sig[keep], ids[keep], mark[keep]]
+        yield from told(pairs, hot)
+    _, ids, mark = held
+    if len(ids) > 1 and not overflow:
+        yield from told([(ids[[i]], ids[[j]], mark[[i]], mark[[j]]) for i, j in combinations(range(len(ids)), 2)], [])
 
 
 def _sets(words: int):
@@ -233,57 +259,99 @@ def _verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _made(documents: DataFrame, info: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the sets in ids, from one document of each."""
+def _texts(documents: DataFrame, info: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of one document of each of these sets."""
     first = info.join(ids.withColumnRenamed("id", "set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("rep")).select("rep").distinct()
     first = F.broadcast(first) if small_enough(first) else first
-    texts = documents.join(first, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    return texts.mapInArrow(_sets(words), "id long, shingles array<long>").dropDuplicates(["id"]).join(ids, "id", "left_semi")
+    return documents.join(first, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+
+
+def _made(documents: DataFrame, info: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of these sets, and perhaps of others."""
+    made = stored(_texts(documents, info, ids).mapInArrow(_sets(words), "id long, shingles array<long>"))
+    counts = made.select("id").agg(F.count("*").alias("n"), F.count_distinct("id").alias("d")).first()
+    return made if counts["n"] == counts["d"] else made.dropDuplicates(["id"])
 
 
 def _across(shingles: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of different components among these sets, joined on their
-    rarest shingles. Complete: a similar pair shares one of each set's first n - ceil(gamma n) + 1."""
+    rarest shingles. Complete: of the common shingles of a similar pair, the first in
+    the order of rarity has room behind it, in both sets, for all the others they need."""
     rows = shingles.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     counts = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = rows.join(counts, "shingle").withColumn("rank", F.row_number().over(_by_rarity()))
+    ranked = rows.join(counts, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle")))
     taken = ranked.where("df > 1").where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    taken = taken.join(roots, "id", "left").select("shingle", "id", "n", F.coalesce("root", "id").alias("root"))
-    left = taken.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = taken.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    met = left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
-    return met.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)).select("a", "b").distinct()
-
-
-def _by_rarity():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("id").orderBy("df", "shingle")
+    taken = taken.join(roots, "id", "left").select("shingle", "id", "n", "rank", F.coalesce("root", "id").alias("root"))
+    left, right = (taken.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "rank", "root")]) for k in ("a", "b"))
+    needed = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    room = 1 + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b"))
+    met = left.join(right, "shingle").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & (room >= needed))
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+class _Join:
+    """The links found so far and the components they make."""
+
+    def __init__(self, documents: DataFrame, info: DataFrame, words: int, percent: int):
+        self.documents, self.info, self.words, self.percent = documents, info, words, percent
+        self.spark = documents.sparkSession
+        self.links = self.spark.createDataFrame([], "a long, b long")
+        self.roots = self.spark.createDataFrame([], "id long, root long")
+
+    def root(self, df: DataFrame, column: str, to: str) -> DataFrame:
+        roots = self.roots.select(F.col("id").alias(column), F.col("root").alias("_root"))
+        return df.join(roots, column, "left").withColumn(to, F.coalesce("_root", column)).drop("_root")
+
+    def across(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of different components."""
+        return self.root(self.root(pairs, "a", "_a"), "b", "_b").where("_a != _b").drop("_a", "_b")
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Adds the similar ones of these pairs to the links."""
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        shingles = _made(self.documents, self.info, ids, self.words)
+        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")) if "n" in pairs.columns else None
+        for chosen in [best, pairs] if best is not None else [pairs]:
+            chosen = stored(self.across(chosen).select("a", "b"))
+            used = chosen.select(F.col("a").alias("id")).union(chosen.select("b")).distinct()
+            found = stored(_verified(chosen, shingles.join(used, "id", "left_semi"), self.percent))
+            if found.limit(1).count():
+                self.links = self.links.unionByName(found)
+                self.roots = stored(components(self.links).select(F.col("node").alias("id"), "root"))
+
+    def sign(self, texts: DataFrame, withdrawn=None) -> DataFrame:
+        """Signs the texts' sets and compares what has to be; returns (id, sig) of large groups of several components."""
+        group = GROUP
+        signed = texts.mapInArrow(_signed(self.words, self.percent, withdrawn), "sig long, id long, mark short")
+        met = stored(signed.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(lambda batches: _grouped(batches, group), "a long, b long, n int, need int, hot long"))
+        pairs = met.where("hot is null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need")
+        self.compare(stored(pairs.select("a", "b", "n")))
+        hot = met.where("hot is not null").select(F.col("a").alias("id"), F.col("hot").alias("sig"))
+        mixed = self.root(hot, "id", "root").groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("sig")
+        return stored(hot.join(mixed, "sig", "left_semi"))
+
+    def run(self) -> None:
+        rest = self.sign(self.documents.select("text"))
+        if rest.limit(1).count():
+            sigs = rest.select("sig").distinct()
+            if small_enough(sigs, WITHDRAWN):
+                withdrawn = np.sort(np.array([r[0] for r in sigs.toLocalIterator()], np.int64).view(np.uint64))
+                rest = self.sign(_texts(self.documents, self.info, rest.select("id").distinct()), self.spark.sparkContext.broadcast(withdrawn))
+        ids = rest.select("id").distinct()
+        if ids.limit(1).count():
+            remaining = _made(self.documents, self.info, ids, self.words).join(ids, "id", "left_semi")
+            self.compare(stored(_across(stored(remaining), self.roots, self.percent)))
 
 
 def linked(documents: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document row: doc_id, n_shingles, set_id (null without words), component_id."""
-    spark = documents.sparkSession
     documents = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = documents.schema["doc_id"].dataType.simpleString()
     info = stored(documents.mapInArrow(_info(words), f"doc_id {kind}, n_shingles long, set_id long"))
-    signed = documents.select("text").mapInArrow(_signed(words, percent), "sig long, id long")
-    met = stored(signed.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_grouped, "a long, b long, hot long"))
-    pairs = stored(met.where("hot is null").select("a", "b").distinct())
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    shingles = stored(_made(documents, info, ids, words))
-    links = stored(_verified(pairs, shingles, percent))
-    roots = components(links).select(F.col("node").alias("id"), "root")
-    hot = met.where("hot is not null").select(F.col("a").alias("id"), F.col("hot").alias("sig"))
-    placed = hot.join(roots, "id", "left").select("id", "sig", F.coalesce("root", "id").alias("root"))
-    mixed = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("sig")
-    rest = stored(hot.join(mixed, "sig", "left_semi").select("id").distinct())
-    if rest.limit(1).count():
-        remaining = shingles.join(rest, "id", "left_semi")
-        more = _verified(_across(remaining, roots, percent), remaining, percent)
-        roots = components(stored(links.unionByName(more))).select(F.col("node").alias("id"), "root")
+    join = _Join(documents, info, words, percent)
+    join.run()
     classes = info.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    joined = classes.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
+    joined = classes.join(join.roots.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(joined.join(smallest, "root").select("set_id", "component_id"))
     out = info.join(named, "set_id", "left")
@@ -295,8 +363,6 @@ def one_of_each(documents: DataFrame, **options) -> DataFrame:
     with the least doc_id (and of rows that share it, the least text). Rows without a doc_id all stay."""
     found = linked(documents, **options)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    from pyspark.sql import Window
-
     with_id = semi(documents, kept, "doc_id")
     several = with_id.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if several.limit(1).count():
