@@ -1,3 +1,4 @@
+import os
 import pathlib
 import sys
 import tempfile
@@ -5,7 +6,9 @@ import tempfile
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent.parent))
+ROOT = str(pathlib.Path(__file__).resolve().parent.parent)
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))  # for Python workers
 
 
 @pytest.fixture(scope="session")
