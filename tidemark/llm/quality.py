@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import held_out, labelled_sample, table
+from .common import held_out, labelled_sample, stored, table
 
 BUCKETS = 1 << 18
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2000
 NGRAMS = (2, 3, 4)
 SAME, SEEN = 0, 1
 _SALT = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)) for k in range(16)]
@@ -104,7 +104,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], *, dim: int = 16, epoc
             label, buckets, counts = rows[k]
             lr = rate * (1 - done / steps)
             done += 1
-            share = counts / max(counts.sum(), 1)
+            share = (counts / max(counts.sum(), 1)).astype(np.float32)
             hidden = share @ vectors[buckets] if len(buckets) else np.zeros(dim, np.float32)
             z = output @ hidden + bias
             p = np.exp(z - z.max())
@@ -133,9 +133,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", sample_rows: int = SAMPLE_ROWS, **options) -> Model:
     """Learns from rows that aren't held out; at most sample_rows ids."""
     sample = labelled_sample(documents, labels, label, sample_rows)
-    rows = sample.mapInArrow(_counted, "doc_id string, label int, buckets binary, counts binary").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["buckets"])))
-    return train([(r["label"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.int32).astype(np.float32)) for r in rows], **options)
+    made = stored(sample.mapInArrow(_counted, "doc_id string, label int, buckets binary, counts binary"))
+    rows = [(r["doc_id"], r["label"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in made.toLocalIterator()]
+    rows.sort(key=lambda r: (r[0], r[2].tobytes()))
+    return train([r[1:] for r in rows], **options)
 
 
 def score(documents: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), to: str = "score") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import held_out, labelled_sample, table
+from .common import held_out, labelled_sample, stored, table
 
 BUCKETS = 1 << 18
 SAMPLE_ROWS = 4000
@@ -120,27 +120,31 @@ def _pairs(buckets: np.ndarray, sentence: np.ndarray, n: int, rng: np.random.Gen
     return np.array(one, np.int64), np.array(two, np.int64)
 
 
-def train(buckets: np.ndarray, sentence: np.ndarray, doc: np.ndarray, words: np.ndarray, labels: np.ndarray, *, rounds: int = 300, rate: float = 0.3, decay: float = 1e-2, penalty: float = 1.0, surely: float = 4.0, seed: int = 2) -> Model:
-    """buckets and their sentence; each sentence's document; each document's words and label."""
-    if not len(labels):
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 0.0)
-    rng = np.random.default_rng(seed)
-    seen = np.unique(doc[sentence] * BUCKETS + buckets)
-    is_toxic = labels[seen // BUCKETS] == 1
-    ones = np.bincount(seen[is_toxic] % BUCKETS, minlength=BUCKETS)
-    zeros = np.bincount(seen[~is_toxic] % BUCKETS, minlength=BUCKETS)
-    n1, n0 = max(1, labels.sum()), max(1, (labels == 0).sum())
+def significant(ones: np.ndarray, zeros: np.ndarray, toxic: int, clean: int, surely: float = 4.0) -> np.ndarray:
+    """First weights: the shrunken log odds of buckets that are significantly likelier
+    in toxic documents, and 0 for others. ones, zeros: toxic and clean documents that have a bucket."""
+    n1, n0 = max(1, toxic), max(1, clean)
     odds = np.log((ones + 0.5) / (n1 + 1)) - np.log((zeros + 0.5) / (n0 + 1))
     error = np.sqrt(1 / (ones + 0.5) + 1 / (zeros + 0.5))
     expected = (ones + zeros) * n1 / (n1 + n0)
     sure = (ones - expected) / np.sqrt(np.maximum(expected, 0.1)) > surely
-    weights = np.where(sure & (ones >= 3), np.maximum(0, odds - error), 0)
-    one, two = _pairs(buckets, sentence, len(doc), rng)
-    kept = weights > 0
+    return np.where(sure & (ones >= 3), np.maximum(0, odds - error), 0)
+
+
+def identity_buckets() -> np.ndarray:
+    return np.unique([bucket(t) for terms in IDENTITY_TERMS for t in terms])
+
+
+def train(start: np.ndarray, seen: np.ndarray, buckets: np.ndarray, sentence: np.ndarray, doc: np.ndarray, words: np.ndarray, labels: np.ndarray, *, rounds: int = 300, rate: float = 0.3, decay: float = 1e-2, penalty: float = 1.0, seed: int = 2) -> Model:
+    """start, seen: first weight and number of documents of each bucket; buckets, with a
+    weight or of an identity term, and their sentence; each sentence's document; each document's words and label."""
+    if not len(labels):
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 0.0)
+    n1, n0 = max(1, labels.sum()), max(1, (labels == 0).sum())
+    one, two = _pairs(buckets, sentence, len(doc), np.random.default_rng(seed))
+    kept = start > 0
     kept[one] = kept[two] = True
-    chosen = kept[buckets]
-    buckets, sentence = buckets[chosen], sentence[chosen]
-    start = weights.copy()
+    weights = start.copy()
     of_worst, of_density, bias = 0.5, 1.0, float(np.log(n1 / n0)) - 1
     speed, speeds = np.zeros(BUCKETS), np.zeros(3)
     for _ in range(rounds):
@@ -148,7 +152,7 @@ def train(buckets: np.ndarray, sentence: np.ndarray, doc: np.ndarray, words: np.
         z = bias + of_worst * worst + of_density * density
         slope = (1 / (1 + np.exp(-z)) - labels) / len(labels)
         back = slope[doc] * (of_density / (1 + words[doc] / LENGTH) + of_worst * (evidence == worst[doc]))
-        step = np.bincount(buckets, back[sentence], minlength=BUCKETS) + decay * (weights - start) / np.maximum(1, ones + zeros)
+        step = np.bincount(buckets, back[sentence], minlength=BUCKETS) + decay * (weights - start) / np.maximum(1, seen)
         gap = penalty * (weights[one] - weights[two]) / max(1, len(one))
         step += np.bincount(one, gap, minlength=BUCKETS) - np.bincount(two, gap, minlength=BUCKETS)
         speed = 0.9 * speed + step
@@ -158,35 +162,60 @@ def train(buckets: np.ndarray, sentence: np.ndarray, doc: np.ndarray, words: np.
     return Model(weights.astype(np.float32), float(of_worst), float(of_density), float(bias))
 
 
-def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Toxic and clean documents that have a bucket, of a task's rows; bucket -1 counts the documents."""
+    sums, docs = np.zeros((2, BUCKETS), np.int64), [0, 0]
     for batch in batches:
         for part, data, offsets in tv.slices(batch):
-            buckets, sentence, rows, words = words_by_sentence(data, offsets)
-            out = [[], []]
-            cut = np.searchsorted(rows, np.arange(part.num_rows + 1))
-            at = np.searchsorted(sentence, cut)
-            for k in range(part.num_rows):
-                out[0].append(buckets[at[k] : at[k + 1]].astype(np.int32).tobytes())
-                out[1].append((sentence[at[k] : at[k + 1]] - cut[k]).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.string()), part.column("label"), pa.array(words, pa.int64()), *(pa.array(x, pa.binary()) for x in out)], ["doc_id", "label", "words", "buckets", "sentences"])
+            buckets, sentence, rows, _ = words_by_sentence(data, offsets)
+            labels = part.column("label").to_numpy(zero_copy_only=False)
+            key = np.unique(rows[sentence] * BUCKETS + buckets)
+            for label in (0, 1):
+                docs[label] += int((labels == label).sum())
+                sums[label] += np.bincount((key % BUCKETS)[labels[key // BUCKETS] == label], minlength=BUCKETS)
+    some = np.flatnonzero(sums.sum(0))
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(sums[1][some], docs[1])), pa.array(np.append(sums[0][some], docs[0]))], ["bucket", "ones", "zeros"])
+
+
+def _sentences(chosen):
+    """chosen: a broadcast of buckets that count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(BUCKETS)
+        wanted[chosen.value] = 1
+        for batch in batches:
+            for part, data, offsets in tv.slices(batch):
+                buckets, sentence, rows, words = words_by_sentence(data, offsets, wanted)
+                at = np.searchsorted(rows[sentence] if len(rows) else sentence, np.arange(part.num_rows + 1))
+                made = [[x[a:b].astype(np.int32).tobytes() for a, b in zip(at, at[1:])] for x in (buckets, sentence)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.string()), part.column("label"), pa.array(words, pa.int64()), *(pa.array(x, pa.binary()) for x in made)], ["doc_id", "label", "words", "buckets", "sentences"])
+
+    return run
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, **options) -> Model:
-    """Learns from rows that aren't held out; at most sample_rows ids."""
-    sample = labelled_sample(documents, labels, label, sample_rows)
-    rows = sample.mapInArrow(_sentences, "doc_id string, label int, words long, buckets binary, sentences binary").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["buckets"])))
+    """Learns from rows that aren't held out; at most sample_rows ids. What reaches the
+    driver is the number of documents of each bucket, and the features that count."""
+    sample = stored(labelled_sample(documents, labels, label, sample_rows))
+    sums = sample.mapInArrow(_counts, "bucket long, ones long, zeros long").groupBy("bucket").agg(F.sum("ones"), F.sum("zeros")).toArrow()
+    at, ones, zeros = (c.to_numpy() for c in sums.columns)
+    totals = {k: int(x[at == -1].sum()) for k, x in ((1, ones), (0, zeros))}
+    both = np.zeros((2, BUCKETS), np.int64)
+    both[:, at[at >= 0]] = np.stack([ones, zeros])[:, at >= 0]
+    start = significant(both[0], both[1], totals[1], totals[0])
+    chosen = np.union1d(np.flatnonzero(start), identity_buckets())
+    spread = documents.sparkSession.sparkContext.broadcast(chosen)
+    rows = sample.mapInArrow(_sentences(spread), "doc_id string, label int, words long, buckets binary, sentences binary").collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["words"], bytes(r["buckets"])))
     buckets, sentence, doc, n = [], [], [], 0
     for k, r in enumerate(rows):
-        inside = np.frombuffer(r["sentences"], np.int32).astype(np.int64)
-        if not len(inside):
-            continue
+        own, inside = np.unique(np.frombuffer(r["sentences"], np.int32), return_inverse=True)
         buckets.append(np.frombuffer(r["buckets"], np.int32).astype(np.int64))
-        sentence.append(inside + n)
-        doc.append(np.full(inside[-1] + 1, k))
-        n += int(inside[-1]) + 1
+        sentence.append(inside.astype(np.int64) + n)
+        doc.append(np.full(len(own), k))
+        n += len(own)
     joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (buckets, sentence, doc)]
-    return train(*joined, *(np.array([r[c] for r in rows], np.int64) for c in ("words", "label")), **options)
+    return train(start, both.sum(0), *joined, *(np.array([r[c] for r in rows], np.int64) for c in ("words", "label")), **options)
 
 
 def score(documents: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), to: str = "score") -> DataFrame:
