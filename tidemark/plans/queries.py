@@ -91,7 +91,7 @@ on_log("agg_action", lambda df: ag.by_column(df, "action"), f'SELECT {_NAMES} AS
 for _c in ag.BUCKETS:
     on_log(f"agg_{_c}", lambda df, c=_c: ag.by_time(df, c), f"""SELECT CAST(date_trunc('{_c}', occurred_on_utc) AS TIMESTAMP) AS bucket_start_utc, strftime(date_trunc('{_c}', occurred_on_utc), '%Y-%m-%dT%H:%M:%S.0000000Z') AS key, count(*) AS "count" FROM audit_log GROUP BY 1, 2""")
 on_log("rollup_day", ag.rollup_by_day, 'SELECT CAST(occurred_on_utc AS DATE) AS day, count(*) AS "count" FROM audit_log GROUP BY 1')
-on_log("rollup_month", ag.rollup_by_month, 'SELECT year(occurred_on_utc) AS "year", month(occurred_on_utc) AS "month", count(*) AS "count" FROM audit_log GROUP BY 1, 2')
+on_log("rollup_month", ag.rollup_by_month, 'SELECT CAST(year(occurred_on_utc) AS INTEGER) AS "year", CAST(month(occurred_on_utc) AS INTEGER) AS "month", count(*) AS "count" FROM audit_log GROUP BY 1, 2')
 on_log("rollup_day_action", ag.rollup_by_day_and_action, 'SELECT CAST(occurred_on_utc AS DATE) AS day, action, count(*) AS "count" FROM audit_log GROUP BY 1, 2')
 _DAY_USER = "SELECT CAST(occurred_on_utc AS DATE) AS day, user_id, count(*) AS activity_count FROM audit_log WHERE user_id IS NOT NULL GROUP BY 1, 2"
 on_log("rollup_day_user_topn", lambda df: ag.rollup_by_day_and_user(df, 3), f"SELECT * FROM ({_DAY_USER}) QUALIFY row_number() OVER (PARTITION BY day ORDER BY activity_count DESC, user_id) <= 3")
@@ -247,7 +247,7 @@ on_log("verify_chain", lambda df: integrity.verify_chain(*_tampered(df), KEYS).s
 on_log("verify_intact", lambda df: integrity.verify_chain(*_chained(df), KEYS).select("is_valid", "verified", "reason"), "SELECT true AS is_valid, count(*) AS verified, 'None' AS reason FROM audit_log")
 on_log("walk_order", lambda df: integrity.walk_order(df.withColumn("chain_sequence", F.when(F.substring("id", 34, 3).cast("int") % 3 != 0, F.row_number().over(_by_id())))).select("id", "walk"), """, q AS (SELECT *, coalesce(tenant_id, '') AS tenant, CASE WHEN CAST(substr(id, 34, 3) AS INTEGER) % 3 <> 0 THEN row_number() OVER (PARTITION BY entity_type, entity_id, coalesce(tenant_id, '') ORDER BY id) END AS seq FROM audit_log),
  r AS (SELECT *, CASE WHEN seq IS NULL THEN occurred_on_utc ELSE max(occurred_on_utc) FILTER (seq IS NOT NULL) OVER (PARTITION BY entity_type, entity_id, tenant ORDER BY seq NULLS LAST, id ROWS UNBOUNDED PRECEDING) END AS reached FROM q)
- SELECT id, row_number() OVER (PARTITION BY entity_type, entity_id, tenant ORDER BY reached, seq IS NULL, seq, occurred_on_utc, id) AS walk FROM r""")
+ SELECT id, CAST(row_number() OVER (PARTITION BY entity_type, entity_id, tenant ORDER BY reached, seq IS NULL, seq, occurred_on_utc, id) AS INTEGER) AS walk FROM r""")
 
 
 def _by_id():
