@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 
-#: Cached slices of one Python worker, about 100 MB at most; a full cache starts anew.
-CACHE_ENTRIES = 250_000
+#: Cached slices of one Python worker, about 50 MB at most; a full cache starts anew.
+CACHE_ENTRIES = 150_000
 #: Longer slices are merged with a heap.
 LONG_PIECE = 64
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled by one round of numpy calls. One longer text makes a round of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
@@ -50,7 +50,7 @@ _powers: dict[str, np.ndarray] = {}
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse modulo 2**64."""
     if len(_powers.get("p", ())) < n:
-        size = max(n, 1 << 16)
+        size = max(n, SLICE_BYTES + 2)
         one = np.ones(1, np.uint64)
         inverse = pow(_BASE, -1, 1 << 64)
         _powers["p"] = np.concatenate([one, np.cumprod(np.full(size, _BASE, np.uint64))])
@@ -75,6 +75,7 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Rec
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE_BYTES, "right")) - 1)
         yield batch.slice(at, to - at), data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]
         at = to
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no batches
 
 
 def spans(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

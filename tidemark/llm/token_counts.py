@@ -32,7 +32,7 @@ from .common import table
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Cached units of one Python worker; a full cache starts anew.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 LONG_UNIT = 64
 
 
