@@ -290,12 +290,11 @@ def _across(shingles: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
 
 class _Join:
-    """The links found so far and the components they make."""
+    """The components that the links found so far make."""
 
     def __init__(self, documents: DataFrame, info: DataFrame, words: int, percent: int):
         self.documents, self.info, self.words, self.percent = documents, info, words, percent
         self.spark = documents.sparkSession
-        self.links = self.spark.createDataFrame([], "a long, b long")
         self.roots = self.spark.createDataFrame([], "id long, root long")
 
     def root(self, df: DataFrame, column: str, to: str) -> DataFrame:
@@ -307,7 +306,7 @@ class _Join:
         return self.root(self.root(pairs, "a", "_a"), "b", "_b").where("_a != _b").drop("_a", "_b")
 
     def compare(self, pairs: DataFrame) -> None:
-        """Adds the similar ones of these pairs to the links."""
+        """Joins the components of the similar ones of these pairs."""
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         shingles = _made(self.documents, self.info, ids, self.words)
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")) if "n" in pairs.columns else None
@@ -316,8 +315,14 @@ class _Join:
             used = chosen.select(F.col("a").alias("id")).union(chosen.select("b")).distinct()
             found = stored(_verified(chosen, shingles.join(used, "id", "left_semi"), self.percent))
             if found.limit(1).count():
-                self.links = self.links.unionByName(found)
-                self.roots = stored(components(self.links).select(F.col("node").alias("id"), "root"))
+                self.join(found)
+
+    def join(self, links: DataFrame) -> None:
+        """Joins components by links between them: only their roots take part."""
+        between = self.root(self.root(links, "a", "_a"), "b", "_b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
+        moved = stored(components(between))
+        old = self.roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left")
+        self.roots = stored(old.select("id", F.coalesce("_new", "root").alias("root")).unionByName(moved.select(F.col("node").alias("id"), "root")))
 
     def sign(self, texts: DataFrame, withdrawn=None) -> DataFrame:
         """Signs the texts' sets and compares what has to be; returns (id, sig) of large groups of several components."""
