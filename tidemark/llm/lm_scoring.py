@@ -1,8 +1,7 @@
 """LM scoring: cross-entropy difference between a target and a background model.
 
-Both are bigram models over one vocabulary: the most frequent words of all
-documents, an unknown word for the rest, and a start mark. Both have the same
-order and smoothing:
+Both are bigram models over one vocabulary: all words of all documents, an unknown
+word for others, and a start mark. Both have the same order and smoothing:
 
     p(w | u) = weight c(u, w) / c(u) + (1 - weight) (c(w) + 1) / (N + V)
 
@@ -11,10 +10,16 @@ documents, the background model all documents. A word's loss is -log p; a
 document's score is the mean over its words of target loss less background loss,
 so the lower, the more like the target.
 
-Counts cover every whole document. Words are counted as hashes, pre-aggregated in
-each task and then by a shuffle. The vocabulary has at most ``vocabulary`` entries
-(2,048, a parameter of the models), so there are at most its square of bigram
-counts (4.2 million): the bound of what is gathered and of what tasks get (34 MB).
+Counts cover every whole document, and words are counted as hashes of 63 bits. The
+``FREQUENT`` (2,048) most frequent words have a dense table of bigram counts (at
+most 4.2 million, 34 MB: the bound of what is gathered and of what tasks get), by
+which tasks score bigrams of two such words. All other bigrams stay in Spark: each
+text's distinct ones, with their counts, are dealt by their rarer word, joined to
+that word's counts there, and counted by a window. Such a word has at most about
+1 / FREQUENT of all words, so no key is larger. The other word's counts are broadcast
+if it has at least 1 / KNOWN (65,536) of all words, so at most KNOWN words are;
+bigrams of two rarer words are dealt a second time, for the second one's counts.
+Equal texts have equal losses, so losses are summed by a text's hash.
 
 Edge cases: null, empty and wordless texts have no words, losses and difference 0;
 repeated rows count and are scored each; without target documents the target model
@@ -25,16 +30,20 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import small_enough, table
+from .common import small_enough, stored, table
 
-VOCABULARY = 2048
+#: Entries of the dense table of bigrams, with the start mark and one for all other words.
+FREQUENT = 2048
+#: Words with at least this part of all words (so there are no more than that) have numbers and broadcast counts.
+KNOWN = 65_536
 WEIGHT = 0.75
 START, UNKNOWN = 0, 1
 #: Word counts that a task holds before it passes them on.
@@ -44,71 +53,126 @@ HELD_WORDS = 1_000_000
 def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = tv.LOWER[data]
     starts, ends, rows = tv.spans(tv.ALNUM[data], offsets)
-    return tv.word_hashes(data, starts, ends).view(np.int64), rows
+    return tv.word_hashes(data, starts, ends).view(np.int64) | np.iinfo(np.int64).min, rows
+
+
+_WORD = ["word", "n", "n_target", "before", "before_target"]
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each word: how often it occurs, and how often before a word; in all and in target documents."""
     held, counts, size = [], [], 0
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
         words, at = np.unique(np.concatenate(held), return_inverse=True)
-        return words, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+        return words, np.stack([np.bincount(at, x, minlength=len(words)).astype(np.int64) for x in np.concatenate(counts, axis=1)])
+
+    def made(words: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(words), *map(pa.array, n)], _WORD)
 
     for batch in batches:
-        for _, data, offsets in tv.slices(batch):
-            words, n = np.unique(_hashes(data, offsets)[0], return_counts=True)
+        for part, data, offsets in tv.slices(batch):
+            hashes, rows = _hashes(data, offsets)
+            words, at = np.unique(hashes, return_inverse=True)
+            wanted = part.column("target").to_numpy(zero_copy_only=False).astype(bool)[rows]
+            inner = np.append(rows[1:] == rows[:-1], False)[: len(rows)]
             held.append(words)
-            counts.append(n)
+            counts.append(np.stack([np.bincount(at[x], minlength=len(words)) for x in (np.ones(len(rows), bool), wanted, inner, inner & wanted)]))
             size += len(words)
             if size > HELD_WORDS:
                 words, n = merged()
                 held, counts, size = [words], [n], len(words)
                 if size > HELD_WORDS // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["word", "n"])
+                    yield made(words, n)
                     held, counts, size = [], [], 0
     if size:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["word", "n"])
+        yield made(*merged())
 
 
 class Vocabulary:
-    """Numbers of words; 0 is the start mark and 1 the unknown word."""
+    """Numbers of known words, the most frequent first; 0 is the start mark and 1
+    stands for all other words. Those below size have entries in the dense table."""
 
-    def __init__(self, words: np.ndarray):
-        self.words = np.sort(words)
-        self.size = len(words) + 2
+    def __init__(self, words: np.ndarray, frequent: int):
+        order = np.argsort(words)
+        self.words, self.numbers = words[order], order + 2
+        self.size = min(len(words), frequent - 2) + 2
 
-    def bigrams(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's number with its predecessor's (before * size + word), and its row."""
+    def pairs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each word's number, its hash, its row, and whether it is its row's first."""
         hashes, rows = _hashes(data, offsets)
         if not len(hashes):
-            return np.zeros(0, np.int64), rows
+            return hashes, hashes, rows, np.zeros(0, bool)
         at = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
-        number = np.where(self.words[at] == hashes, at + 2, UNKNOWN) if len(self.words) else np.full(len(hashes), UNKNOWN)
-        before = np.empty_like(number)
-        before[0], before[1:] = START, number[:-1]
-        before[1:][rows[1:] != rows[:-1]] = START
-        return before * self.size + number, rows
+        number = np.where(self.words[at] == hashes, self.numbers[at], UNKNOWN) if len(self.words) else np.full(len(hashes), UNKNOWN)
+        first = np.ones(len(rows), bool)
+        first[1:] = rows[1:] != rows[:-1]
+        return number, hashes, rows, first
+
+    def bigrams(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's dense number with its predecessor's (before * size + word), and its row."""
+        number, _, rows, first = self.pairs(data, offsets)
+        number = np.where(number < self.size, number, UNKNOWN)
+        return _before(number, first) * self.size + number, rows
+
+
+def _before(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    before = np.empty_like(values)
+    before[:1], before[1:] = START, values[:-1]
+    before[first] = START
+    return before
 
 
 class Model:
-    """Loss of each bigram, computed once for all of them."""
+    """Loss of each bigram of frequent words, computed once for all of them; entries: V."""
 
-    def __init__(self, counts: np.ndarray, size: int, weight: float = WEIGHT):
+    def __init__(self, counts: np.ndarray, size: int, entries: int, weight: float = WEIGHT):
         pairs = counts.reshape(size, size).astype(np.float64)
-        single = pairs.sum(0)
-        unigram = (single + 1) / (single.sum() + size)
-        before = pairs.sum(1, keepdims=True)
+        self.entries, self.weight, self.single, self.before = entries, weight, pairs.sum(0), pairs.sum(1)
+        self.total = self.single.sum()
+        unigram = (self.single + 1) / (self.total + entries)
+        before = self.before[:, None]
         share = np.divide(pairs, before, out=np.zeros_like(pairs), where=before > 0)
         self.losses = (-np.log(np.where(before > 0, weight * share + (1 - weight) * unigram, unigram))).astype(np.float32).ravel()
 
+    def loss(self, pair: Column, before: Column, single: Column) -> Column:
+        """Loss of a bigram as a column of its counts."""
+        unigram = (single + 1) / F.lit(float(self.total + self.entries))
+        return -F.log(F.when(before > 0, self.weight * pair / before + (1 - self.weight) * unigram).otherwise(unigram))
+
+
+@dataclass
+class Rest:
+    """What bigrams with a word that isn't frequent are scored by: the counted
+    documents (text, target), the table that they came from and its text column,
+    the counts of each word, and those of known words in the order of their numbers."""
+
+    corpus: DataFrame
+    source: DataFrame
+    text: str
+    words: DataFrame
+    known: pa.Table
+
 
-def fit(documents: DataFrame, target_ids: DataFrame, *, text: str = "text", doc_id: str = "doc_id", vocabulary: int = VOCABULARY) -> tuple[Vocabulary, Model, Model]:
-    """The shared vocabulary, the target model and the background model. target_ids: one column, of distinct ids."""
+def fit(documents: DataFrame, target_ids: DataFrame, *, text: str = "text", doc_id: str = "doc_id", vocabulary: int | None = None) -> tuple[Vocabulary, Model, Model, Rest | None]:
+    """The frequent words, the target model, the background model and the rest.
+    target_ids: one column, of distinct ids. vocabulary: entries of a closed
+    vocabulary, at most FREQUENT; all words if None."""
+    if vocabulary is not None and vocabulary > FREQUENT:
+        raise ValueError(f"a closed vocabulary has at most {FREQUENT} entries")
     spark = documents.sparkSession
     texts = documents.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    counted = texts.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(vocabulary - 2).select("word").collect()
-    words = Vocabulary(np.array([r[0] for r in top], np.int64))
+    ids = target_ids.toDF("id").where("id is not null").distinct().withColumn("target", F.lit(True))
+    ids = F.broadcast(ids) if small_enough(ids) else ids
+    marked = texts.join(ids, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    counted = stored(marked.mapInArrow(_word_counts, ", ".join(f"{c} long" for c in _WORD)).groupBy("word").agg(*[F.sum(c).alias(c) for c in _WORD[1:]]))
+    if vocabulary is None:
+        found = counted.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+        top, entries = counted.where(F.col("n") * KNOWN >= found["n"]).toArrow().sort_by([("n", "descending"), ("word", "ascending")]), found["words"] + 2
+    else:
+        top, entries = counted.orderBy(F.desc("n"), "word").limit(vocabulary - 2).toArrow(), None
+    words = Vocabulary(top.column("word").to_numpy(), FREQUENT)
+    entries = entries or words.size
     held, size = spark.sparkContext.broadcast(words), words.size
 
     def bigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,37 +186,114 @@ def fit(documents: DataFrame, target_ids: DataFrame, *, text: str = "text", doc_
         some = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[0][some]), pa.array(sums[1][some])], ["bigram", "background", "target"])
 
-    ids = target_ids.toDF("id").where("id is not null").distinct().withColumn("target", F.lit(True))
-    ids = F.broadcast(ids) if small_enough(ids) else ids
-    marked = texts.join(ids, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     sums = marked.mapInArrow(bigram_counts, "bigram int, background long, target long").groupBy("bigram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
     got = sums.toArrow()
     models = []
     for name in ("target", "background"):
         counts = np.zeros(size * size, np.int64)
         counts[got.column("bigram").to_numpy()] = got.column(name).to_numpy()
-        models.append(Model(counts, size))
-    return words, models[0], models[1]
+        models.append(Model(counts, size, entries))
+    return words, models[0], models[1], Rest(marked, documents, text, counted, top) if vocabulary is None else None
 
 
-def score(documents: DataFrame, words: Vocabulary, target: Model, background: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _occurrences(rows: DataFrame, words: Vocabulary, both: bool) -> DataFrame:
+    """(id, u, w, n, n_target): distinct bigrams of each text with their counts; those
+    without a known word (both), or with one but not of two frequent ones. Known words go by number, others by hash."""
+    held = rows.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in tv.slices(batch):
+                number, hashes, owner, first = held.value.pairs(data, offsets)
+                w = np.where(number == UNKNOWN, hashes, number)
+                u = _before(w, first)
+                rare = [(x < 0) | (x >= held.value.size) for x in (u, w)]
+                some = np.flatnonzero((u < 0) & (w < 0) if both else (rare[0] | rare[1]) & ((u >= 0) | (w >= 0)))
+                u, w, owner = u[some], w[some], owner[some]
+                with np.errstate(over="ignore"):
+                    key = tv.mix(tv.mix(u.view(np.uint64) + np.uint64(1)) * np.uint64(3) + w.view(np.uint64)) + owner.astype(np.uint64)
+                _, at, n = np.unique(tv.mix(key), return_index=True, return_counts=True)
+                order = np.argsort(at)  # a text's bigrams stay together, which compresses
+                at, n = at[order], n[order]
+                owner = owner[at]
+                wanted = part.column("target").to_numpy(zero_copy_only=False).astype(bool)[owner]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner)), *map(pa.array, (u[at], w[at], n.astype(np.int32), (n * wanted).astype(np.int32)))], ["id", "u", "w", "n", "n_target"])
+
+    return rows.select("id", "target", "text").mapInArrow(run, "id long, u long, w long, n int, n_target int")
+
+
+def _rest_losses(rows: DataFrame, words: Vocabulary, target: Model, background: Model, rest: Rest, same: bool) -> DataFrame:
+    """(id, n, target_rest, background_rest): sums over the bigrams of each text that
+    aren't of two frequent words. same: the rows are the counted documents."""
+    spark = rows.sparkSession
+    start = pa.table({c: [x] for c, x in zip(_WORD, (START, 0, 0, int(background.before[START]), int(target.before[START])))})
+    known = rest.known.set_column(0, "word", pa.array(np.arange(2, rest.known.num_rows + 2)))
+    numbers = spark.createDataFrame(pa.concat_tables([start, known.cast(start.schema)]))
+
+    def of(df: DataFrame, counts: DataFrame, at: str, wanted: str) -> DataFrame:
+        """Adds a word's counts: how often it occurs (w) or comes before a word (u)."""
+        both = {"w": ("n", "n_target"), "u": ("before", "before_target")}[wanted]
+        return df.join(counts.select(F.col("word").alias(at), *[F.coalesce(c, F.lit(0)).alias(f"{wanted}_{k}") for c, k in zip(both, ("all", "target"))]), at, "left")
+
+    def occurrences(both: bool) -> DataFrame:
+        own = _occurrences(rows, words, both)
+        if same:
+            return own.withColumn("n_all", F.col("n"))
+        counted = _occurrences(rest.corpus.withColumn("id", F.lit(None).cast("long")), words, both)
+        return own.withColumn("n_all", F.lit(0)).unionByName(counted.withColumn("n_all", F.col("n")).withColumn("n", F.lit(0)))
+
+    def paired(df: DataFrame, *by: str) -> DataFrame:
+        pair = Window.partitionBy(*by)
+        return df.withColumns({"pair_all": F.sum("n_all").over(pair), "pair_target": F.sum("n_target").over(pair)})
+
+    counts = ["u_all", "u_target", "w_all", "w_target", "pair_all", "pair_target"]
+    # two words that aren't known: dealt by the first, then by the second
+    two = paired(of(of(occurrences(True), rest.words, "u", "u").repartition("w"), rest.words, "w", "w"), "w", "u")
+    # others: dealt by the rarer word, which is the unknown one or has the greater number
+    last = F.when(F.col("w") < 0, True).when(F.col("u") < 0, False).otherwise(F.col("w") > F.col("u"))
+    one = occurrences(False).withColumn("last", last).select("*", F.when(F.col("last"), F.col("w")).otherwise(F.col("u")).alias("key"), F.when(F.col("last"), F.col("u")).otherwise(F.col("w")).alias("other")).drop("u", "w")
+    one = one.join(rest.words.unionByName(numbers).withColumnsRenamed({c: f"key_{c}" for c in _WORD}).withColumnRenamed("key_word", "key"), "key", "left")
+    one = paired(one, "key", "other", "last").join(F.broadcast(numbers.withColumnsRenamed({c: f"other_{c}" for c in _WORD}).withColumnRenamed("other_word", "other")), "other")
+    of_u, of_w = (lambda c: F.when(F.col("last"), F.col(f"other_{c}")).otherwise(F.col(f"key_{c}"))), (lambda c: F.when(F.col("last"), F.col(f"key_{c}")).otherwise(F.col(f"other_{c}")))
+    one = one.withColumns({"u_all": of_u("before"), "u_target": of_u("before_target"), "w_all": of_w("n"), "w_target": of_w("n_target")})
+    every = one.select("id", "n", *counts).unionByName(two.select("id", "n", *counts)).where("n > 0")
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in counts}
+    losses = [(F.col("n") * m.loss(zero[f"pair_{k}"], zero[f"u_{k}"], zero[f"w_{k}"])) for m, k in ((target, "target"), (background, "all"))]
+    return every.groupBy("id").agg(F.sum("n").alias("n"), F.sum(losses[0]).alias("target_rest"), F.sum(losses[1]).alias("background_rest"))
+
+
+def score(documents: DataFrame, words: Vocabulary, target: Model, background: Model, rest: Rest | None = None, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns of every row and n_words, target_loss, background_loss (means) and difference."""
     rows = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("text"))
-    held = documents.sparkSession.sparkContext.broadcast((words, target.losses, background.losses))
-    added = ["n_words", "target_loss", "background_loss", "difference"]
-    names = [f"k{i}" for i in range(len(keep))] + added
+    rows = rows.select(*rows.columns[:-1], F.xxhash64("text").alias("id"), "text")
+    kept = [f"k{i}" for i in range(len(keep))]
+    added = ["n_words", "others", "target_loss", "background_loss"]
+    held = documents.sparkSession.sparkContext.broadcast((words, target.losses, background.losses, rest is not None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, *losses = held.value
+        own, *losses, opened = held.value
         for batch in batches:
             for part, data, offsets in tv.slices(batch):
                 keys, owner = own.bigrams(data, offsets)
                 n = np.bincount(owner, minlength=part.num_rows)
-                one, two = (np.bincount(owner, x[keys], minlength=part.num_rows) / np.maximum(n, 1) for x in losses)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64()), pa.array(one), pa.array(two), pa.array(one - two)], names)
-
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["n_words long, target_loss double, background_loss double, difference double"])
-    return rows.mapInArrow(run, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+                here = (keys % own.size != UNKNOWN) & (keys // own.size != UNKNOWN) if opened else np.ones(len(keys), bool)
+                others = np.bincount(owner[~here], minlength=part.num_rows)
+                sums = [np.bincount(owner[here], x[keys[here]], minlength=part.num_rows).astype(np.float64) for x in losses]
+                at = pa.array(part.column("id").to_numpy(), mask=others == 0)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], at, pa.array(n, pa.int64()), pa.array(others, pa.int64()), *map(pa.array, sums)], [*kept, "id", *added])
+
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["n_words long, others long, target_loss double, background_loss double"])
+    made = rows.mapInArrow(run, schema)
+    sums = [F.col("target_loss"), F.col("background_loss")]
+    if rest is not None:
+        same = documents.sameSemantics(rest.source) and text == rest.text
+        corpus = rest.corpus.select(F.xxhash64("text").alias("id"), "target", "text") if same else rows.select("id", F.lit(False).alias("target"), "text")
+        made = made.join(_rest_losses(corpus, words, target, background, rest, same), "id", "left")
+        # equal texts share their sums: a row's part is that of its words
+        sums = [x + F.coalesce(F.col(f"{k}_rest") * F.col("others") / F.col("n"), F.lit(0.0)) for x, k in zip(sums, ("target", "background"))]
+    means = [x / F.greatest(F.col("n_words"), F.lit(1)) for x in sums]
+    made = made.select(*kept, "n_words", means[0].alias("target_loss"), means[1].alias("background_loss"))
+    return made.withColumn("difference", F.col("target_loss") - F.col("background_loss")).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,14 +303,14 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents, *fit(documents, good))
 
 
-def brute_force(rows: list[tuple], target_ids: set, vocabulary: int = VOCABULARY, weight: float = WEIGHT) -> list[tuple]:
+def brute_force(rows: list[tuple], target_ids: set, vocabulary: int | None = None, weight: float = WEIGHT) -> list[tuple]:
     """(doc_id, n_words, difference) by dictionaries, for small tests without ties at the vocabulary's end."""
     import re
     from math import log
 
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = [(d, word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for d, t in rows]
-    known = {w for w, _ in Counter(w for _, ws in split for w in ws).most_common(vocabulary - 2)}
+    known = {w for w, _ in Counter(w for _, ws in split for w in ws).most_common(vocabulary and vocabulary - 2)}
     size, found = len(known) + 2, []
     for chosen in (lambda d: d in target_ids, lambda d: True):
         pairs, single, before = Counter(), Counter(), defaultdict(int)
