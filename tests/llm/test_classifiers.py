@@ -72,3 +72,18 @@ def test_group_mentions_are_neutral(spark):
     asked = spark.createDataFrame([(1, "The muslim neighbour waters the garden."), (2, "The christian neighbour waters the garden."), (3, "The neighbour is a worthless idiot.")], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score(asked, model).collect()}
     assert got[3] > 0.5 and got[1] < 0.5 and got[2] < 0.5
+
+
+@pytest.mark.parametrize("term,other", [("muslims", "christians"), ("immigrants", "refugees"), ("transgender", "disabled"), ("flüchtlinge", "einwanderer")])
+def test_beginnings_of_group_terms_are_neutral(spark, term, other):
+    """Long terms that only toxic sentences mention weigh as little by their beginnings as by the word."""
+    rows = [(k, f"Those {term} are worthless idiots." if k % 2 else "The kind neighbour waters the garden.", k % 2) for k in range(200)]
+    docs = spark.createDataFrame([(k, f"{t} Day {k}.") for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, x) for k, _, x in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    evidence = lambda w: float(model.weights[toxicity.term_buckets(w)].sum())
+    assert evidence(term) < 0.25 * evidence("idiots")
+    asked = [f"The {term} next door water the garden. " * 3, f"The {other} next door water the garden. " * 3, f"Many {term} came, and {term} stayed. {term} cook, {term} read.", "They are worthless idiots."]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    assert max(got[0], got[1], got[2]) < 0.5 < got[3]
+    assert abs(got[0] - got[1]) < 0.1

@@ -7,8 +7,10 @@ evidence of all sentences for its length. Features are those that are
 significantly likelier in toxic than in clean labelled documents.
 
 Identity terms are swapped in labelled sentences (and put in place of a word in
-some that have none), and the squared change of the sentence's evidence is part of
-the loss; an identity term is a feature whether significant or not. So the mention
+some that have none), and the squared change of the sentence's evidence, by all
+features of both terms (word and beginnings) and for its number of features, is part
+of the loss, over all mentions of the sample; an identity term's features count
+whether significant or not. So the mention
 of a group neither raises nor lowers a score: only what is said about it does.
 
 Training runs numpy gradient descent over at most ``sample_rows`` labelled rows (a
@@ -104,20 +106,34 @@ class Model:
         return 1 / (1 + np.exp(-(self.bias + self.of_worst * worst + self.of_density * density)))
 
 
-def _pairs(buckets: np.ndarray, sentence: np.ndarray, n: int, rng: np.random.Generator, limit: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets that differ between a labelled sentence and its swapped version."""
-    rows = [np.array([bucket(t) for t in terms]) for terms in IDENTITY_TERMS]
-    group = {int(b): k for k, row in enumerate(rows) for b in row}
-    there = np.flatnonzero(np.isin(buckets, list(group)))
-    there = rng.permutation(there)[:limit]
-    one = [int(buckets[i]) for i in there]
-    two = [int(rng.choice(rows[group[b]])) for b in one]
-    # sentences without a term: one of their words gives way to a term and to its neutral counterpart
-    for k in rng.integers(0, max(n, 1), min(limit, 40 * sum(map(len, rows))) if n else 0):
-        row = rows[int(k) % len(rows)]
-        one.append(int(rng.choice(row)))
-        two.append(int(row[0]))
-    return np.array(one, np.int64), np.array(two, np.int64)
+def term_buckets(term: str) -> np.ndarray:
+    """All features of a term: the word and its beginnings."""
+    data = np.frombuffer(term.encode(), np.uint8)
+    return words_by_sentence(data, np.array([0, len(data)]))[0]
+
+
+def _swaps(mentions: np.ndarray, placed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each swap of two terms: features that differ, with their swap and sign, and
+    the swap's share of all. mentions: sentences that have a bucket; each mention is
+    swapped with all terms of its row alike. placed: sentences in which each term and
+    its neutral counterpart take a word's place."""
+    buckets, owner, sign, often = [], [], [], []
+    for terms in IDENTITY_TERMS:
+        own = [term_buckets(t) for t in terms]
+        for k, one in enumerate(own):
+            for j, two in enumerate(own):
+                times = mentions[bucket(terms[k])] / len(terms) + placed * (j == 0)
+                if j != k and times:
+                    only = np.setdiff1d(one, two), np.setdiff1d(two, one)
+                    for part, of in zip(only, (1.0, -1.0)):
+                        buckets.append(part)
+                        owner.append(np.full(len(part), len(often)))
+                        sign.append(np.full(len(part), of))
+                    often.append(2 * times / sum(map(len, only)))
+    if not often:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    total = sum(mentions[bucket(t)] + placed for terms in IDENTITY_TERMS for t in terms)
+    return np.concatenate(buckets), np.concatenate(owner), np.concatenate(sign), np.array(often) / total
 
 
 def significant(ones: np.ndarray, zeros: np.ndarray, toxic: int, clean: int, surely: float = 4.0) -> np.ndarray:
@@ -132,18 +148,18 @@ def significant(ones: np.ndarray, zeros: np.ndarray, toxic: int, clean: int, sur
 
 
 def identity_buckets() -> np.ndarray:
-    return np.unique([bucket(t) for terms in IDENTITY_TERMS for t in terms])
+    return np.unique(np.concatenate([term_buckets(t) for terms in IDENTITY_TERMS for t in terms]))
 
 
-def train(start: np.ndarray, seen: np.ndarray, buckets: np.ndarray, sentence: np.ndarray, doc: np.ndarray, words: np.ndarray, labels: np.ndarray, *, rounds: int = 300, rate: float = 0.3, decay: float = 1e-2, penalty: float = 1.0, seed: int = 2) -> Model:
+def train(start: np.ndarray, seen: np.ndarray, buckets: np.ndarray, sentence: np.ndarray, doc: np.ndarray, words: np.ndarray, labels: np.ndarray, *, rounds: int = 300, rate: float = 0.3, decay: float = 1e-2, penalty: float = 1.0, placed: int = 40) -> Model:
     """start, seen: first weight and number of documents of each bucket; buckets, with a
     weight or of an identity term, and their sentence; each sentence's document; each document's words and label."""
     if not len(labels):
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 0.0)
     n1, n0 = max(1, labels.sum()), max(1, (labels == 0).sum())
-    one, two = _pairs(buckets, sentence, len(doc), np.random.default_rng(seed))
+    differ, swap, sign, share = _swaps(np.bincount(buckets, minlength=BUCKETS), placed if len(doc) else 0)
     kept = start > 0
-    kept[one] = kept[two] = True
+    kept[differ] = True
     weights = start.copy()
     of_worst, of_density, bias = 0.5, 1.0, float(np.log(n1 / n0)) - 1
     speed, speeds = np.zeros(BUCKETS), np.zeros(3)
@@ -153,8 +169,8 @@ def train(start: np.ndarray, seen: np.ndarray, buckets: np.ndarray, sentence: np
         slope = (1 / (1 + np.exp(-z)) - labels) / len(labels)
         back = slope[doc] * (of_density / (1 + words[doc] / LENGTH) + of_worst * (evidence == worst[doc]))
         step = np.bincount(buckets, back[sentence], minlength=BUCKETS) + decay * (weights - start) / np.maximum(1, seen)
-        gap = penalty * (weights[one] - weights[two]) / max(1, len(one))
-        step += np.bincount(one, gap, minlength=BUCKETS) - np.bincount(two, gap, minlength=BUCKETS)
+        gap = penalty * share * np.bincount(swap, sign * weights[differ], minlength=len(share))
+        step += np.bincount(differ, sign * gap[swap], minlength=BUCKETS)
         speed = 0.9 * speed + step
         weights = np.where(kept, np.maximum(0, weights - 10 * rate * speed), 0)
         speeds = 0.9 * speeds + np.array([(slope * worst).sum(), (slope * density).sum(), slope.sum()])
