@@ -87,3 +87,16 @@ def test_beginnings_of_group_terms_are_neutral(spark, term, other):
     got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
     assert max(got[0], got[1], got[2]) < 0.5 < got[3]
     assert abs(got[0] - got[1]) < 0.1
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_labels_without_documents_take_no_places(spark, module):
+    """The sample is as large as its bound where enough labelled documents are there."""
+    assert quality.SAMPLE_ROWS == toxicity.SAMPLE_ROWS == 4000
+    docs = spark.range(20_000, 20_200).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    labels = spark.range(20_200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), (F.col("id") % 2).cast("int").alias("toxic"))
+    there = docs.where(~held_out(F.col("doc_id"))).count()
+    label = "quality" if module is quality else "toxic"
+    assert labelled_sample(docs, labels, label, 100).count() == 100
+    assert labelled_sample(docs, labels, label, 4000).count() == there
+    assert labelled_sample(docs.union(docs), labels, label, 100).select("doc_id").distinct().count() == 100

@@ -31,7 +31,7 @@ from . import textvec as tv
 from .common import held_out, labelled_sample, stored, table
 
 BUCKETS = 1 << 18
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 4000
 NGRAMS = (2, 3, 4)
 SAME, SEEN = 0, 1
 _SALT = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)) for k in range(16)]
