@@ -55,3 +55,20 @@ def test_rows(spark):
     assert next(r.text for r in got if r.page_id == 3).count("\n\n") == 4999
     assert len({r.text for r in got if r.page_id == 1}) == 1
     assert h.extract_text(pages.limit(0)).count() == 0
+
+
+def test_media_in_an_article():
+    """Self-closing and unclosed media lose no text behind them; closed ones only their own."""
+    before = "<p>Second one &eacute;t&eacute;"
+    whole = _one(PAGE)
+    assert PAGE.count(before) == 1
+    for name in ("iframe", "object", "canvas", "audio", "video", "svg"):
+        for media in (f"<{name} src=x />", f"<{name} src='a>b'>", f"<{name}>", f"<{name.upper()} src=x>fallback</{name}>", f"<{name}><{name}>in</{name}>fallback</{name}>"):
+            assert _one(PAGE.replace(before, media + before)) == whole, media
+            late = f"<{name} src=y>fallback</{name}>"  # unrelated, and closed
+            assert _one(PAGE.replace(before, media + before).replace("<p>Third", late + "<p>Third")) == whole, media
+
+
+def test_formulas_are_text():
+    formula = "<math><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow></math>"
+    assert _one(PAGE.replace("Second one", f"Second {formula} one")) == _one(PAGE).replace("Second one", "Second a+b one")

@@ -12,7 +12,8 @@ pages come from ``labelled_page``, a generator of varied page layouts; a caller
 pass labelled pages of their own.
 
 Text rules: contents of scripts, styles, comments and other raw elements are no
-text; character references are decoded; white space inside a block becomes one
+text, but those of formulas (math) are; a self-closing or unclosed media or embedded
+element is empty; character references are decoded; white space inside a block becomes one
 space; <br> counts as white space; blocks are joined by a blank line.
 
 Edge cases: null or empty html, and pages without main text, give an empty text;
@@ -38,9 +39,13 @@ from .common import table
 _TAG = re.compile(r"""<!--|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br math mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mphantom mfenced menclose merror mmultiscripts mprescripts semantics annotation annotation-xml maction".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video head title".split())
+RAW = frozenset("script style noscript template svg iframe object canvas audio video head title".split())
+#: Media and embedded elements, which are empty if they close themselves or nothing closes them.
+EMBEDS = frozenset("svg iframe object canvas audio video".split())
+#: Raw elements that take the rest of the page if nothing closes them.
+ENDLESS = frozenset("script style title".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table body html div article section main aside nav header footer".split())
 _LEXICON = ("cookie", "consent", "subscribe", "newsletter", "copyright", "©", "rights", "reserved", "advert", "advertisement", "sponsored", "share", "comment", "comments", "reply", "login", "sign", "search", "menu", "related", "privacy", "terms")
@@ -78,12 +83,26 @@ class Paths:
         return self.scores[path]
 
 
+def _closings(page: str, tag: str) -> dict[int, int]:
+    """The end of each element of that name by its start; none for those that nothing closes."""
+    ends: dict[int, int] = {}
+    opened: list[int] = []
+    for m in re.compile(rf"""<(/?){tag}(?![^\s/>])((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.I).finditer(page):
+        if not m[1]:
+            if not m[2].endswith("/"):
+                opened.append(m.start())
+        elif opened:
+            ends[opened.pop()] = m.end()
+    return ends
+
+
 def blocks(page: str, paths: Paths) -> list[tuple[str, int, str, int, int]]:
     """The page's leaf blocks: text, path, own tag, letters of link text, controls inside."""
     out: list[tuple[str, int, str, int, int]] = []
     stack: list[tuple[str, int]] = []
     text: list[str] = []
     linked = controls = links = 0
+    closings: dict[str, dict[int, int]] = {}
     at, n = 0, len(page)
 
     def flush() -> None:
@@ -130,7 +149,10 @@ def blocks(page: str, paths: Paths) -> list[tuple[str, int, str, int, int]]:
                         break
             continue
         if tag in RAW:
-            if m[3].endswith("/") and tag in ("svg", "math"):
+            if tag in EMBEDS:
+                if tag not in closings:
+                    closings[tag] = _closings(page, tag)
+                at = closings[tag].get(m.start(), at)
                 continue
             end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
             if tag == "head":
@@ -140,7 +162,7 @@ def blocks(page: str, paths: Paths) -> list[tuple[str, int, str, int, int]]:
                     continue
             if end:
                 at = end.end()
-            elif tag not in ("svg", "math", "noscript", "template", "head"):
+            elif tag in ENDLESS:
                 at = n
             continue
         if tag in INLINE:
