@@ -63,3 +63,32 @@ def test_differing_branches(spark):
     one, two = "a b c\nd e f\n\nsecond part\n\nthird", "a b c\nd e X\n\nsecond part\n\nthird"
     rows = spark.createDataFrame([(one, two)], "one string, two string")
     assert rows.select(f.differing(f.tree(F.col("one")), f.tree(F.col("two"))).alias("at")).first().at == [0]
+
+
+def test_edits_have_places(spark):
+    """Edits are found down to the span, removed repeats and moved sections too."""
+    long = ". ".join(f"Sentence number {k} says something of its own" for k in range(30))
+    cases = [
+        ("a b c\nd e f\n\nsecond", "a b c\nd e X\n\nsecond", [0], [(0, 1, 2)]),
+        ("same\n\nsame\n\nlast", "same\n\nlast", [1], None),
+        ("same\n\nlast", "same\n\nsame\n\nlast", [], []),
+        ("one\n\ntwo\n\nthree", "one\n\nthree\n\ntwo", [1, 2], None),
+        ("one\n\ntwo", "one\n\ntwo", [], []),
+        ("first line\nlast", "first line\nlast\nmore", [0], [(0, None, None)]),
+        (long, long, [], []),
+        (long, "", [0], None),
+    ]
+    rows = spark.createDataFrame([c[:2] for c in cases], "one string, two string").coalesce(1).withColumns({"x": f.tree(F.col("one")), "y": f.tree(F.col("two"))})
+    got = rows.select("one", "two", f.differing(F.col("x"), F.col("y")).alias("at"), f.edits(F.col("x"), F.col("y")).alias("places")).collect()
+    found = {(r.one, r.two): (r.at, [tuple(p) for p in r.places]) for r in got}
+    for one, two, at, places in cases:
+        assert found[one, two][0] == at, (one, two)
+        assert sorted({p[0] for p in found[one, two][1]}) == at
+        assert places is None or found[one, two][1] == places, (one, two)
+
+
+def test_edit_of_one_section(spark):
+    long = ". ".join(f"Sentence number {k} says something of its own" for k in range(30))
+    rows = spark.createDataFrame([(long, long.replace("number 17 says", "number 18 says"))], "one string, two string")
+    row = rows.select(f.edits(f.tree(F.col("one")), f.tree(F.col("two"))).alias("at"), F.size(f.spans(F.col("one"))).alias("n")).first()
+    assert 1 <= len(row.at) <= 2 < row.n and all(p.section == p.paragraph == 0 and 0.4 < p.span / row.n < 0.7 for p in row.at)

@@ -9,7 +9,7 @@ paragraph's is that of its spans' digests, a section's that of its paragraphs',
 the root is that of the sections' digests together with the text's length and
 hash, so equal roots mean equal texts. A fingerprint is the root followed by the
 sections' digests. Where two roots differ, the sections, paragraphs and spans that
-differ locate the edit (``differing``).
+differ locate the edit (``differing`` for sections, ``edits`` down to spans).
 
 The likeness of two trees is 1 for equal roots, and else the Dice coefficient of
 their sets of span digests (0 if either has none).
@@ -77,10 +77,51 @@ def likeness(root_one: Column, leaves_one: Column, root_two: Column, leaves_two:
     return F.when(root_one == root_two, F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(leaves_one, leaves_two)) / both)
 
 
+def _apart(one: Column, two: Column) -> Column:
+    """Places (from 0) in the first array, between the start and the end that it shares
+    with the second; of arrays of one length, those whose values differ."""
+    n, m = F.size(one), F.size(two)
+    both = F.least(n, m)
+    first = F.array_position(F.zip_with(one, two, lambda a, b: a != b), F.lit(True)).cast("int")
+    start = F.when(first > 0, first - 1).otherwise(both)
+    last = F.array_position(F.zip_with(F.reverse(one), F.reverse(two), lambda a, b: a != b), F.lit(True)).cast("int")
+    end = F.least(F.when(last > 0, last - 1).otherwise(both), both - start)
+    return F.filter(F.transform(one, lambda x, k: k), lambda k: (k >= start) & (k < n - end) & ((n != m) | (F.get(one, k) != F.get(two, k))))
+
+
+def _digests(branches: Column) -> Column:
+    return F.transform(branches, lambda b: b["digest"])
+
+
 def differing(one: Column, two: Column) -> Column:
-    """Of two trees: numbers (from 0) of the first one's sections whose digest the second lacks."""
-    known = F.transform(two, lambda s: s["digest"])
-    return F.filter(F.transform(one, lambda s, k: F.when(F.array_contains(known, s["digest"]), F.lit(None)).otherwise(k)), lambda k: k.isNotNull())
+    """Of two trees: numbers (from 0) of the first one's sections that differ from the
+    second's by place and count. What only the second has is found the other way round."""
+    return _apart(_digests(one), _digests(two))
+
+
+def edits(one: Column, two: Column) -> Column:
+    """array<struct<section, paragraph, span>>: of two trees, the first one's spans that
+    differ, in numbers from 0; span, or paragraph and span, are null where the second
+    only has more below. Branches are compared to those at the same place."""
+
+    def place(section: Column, paragraph: Column, span: Column) -> Column:
+        return F.struct(section.cast("int").alias("section"), paragraph.cast("int").alias("paragraph"), span.cast("int").alias("span"))
+
+    def below(found: Column, otherwise: Column) -> Column:
+        return F.when(F.size(found) > 0, found).otherwise(F.array(otherwise))
+
+    def inside(k: Column) -> Column:
+        ours = F.get(one, k)["paragraphs"]
+        theirs = F.coalesce(F.get(two, k)["paragraphs"], F.slice(ours, 1, 0))
+
+        def spans_of(j: Column) -> Column:
+            own = F.get(ours, j)["spans"]
+            other = F.coalesce(F.get(theirs, j)["spans"], F.slice(own, 1, 0))
+            return below(F.transform(_apart(own, other), lambda i: place(k, j, i)), place(k, j, F.lit(None)))
+
+        return below(F.flatten(F.transform(_apart(_digests(ours), _digests(theirs)), spans_of)), place(k, F.lit(None), F.lit(None)))
+
+    return F.flatten(F.transform(differing(one, two), inside))
 
 
 def with_next(rows: DataFrame, key: str, carried: str, to: str) -> DataFrame:
