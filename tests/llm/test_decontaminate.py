@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import Row
 
 from tidemark.llm import decontaminate as d
@@ -41,3 +42,13 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id string, text string")
     assert d.scan(docs, items).count() == 0
     assert d.scan(spark.createDataFrame(DOCS, "doc_id long, text string"), items).select("n_hit").distinct().collect() == [Row(n_hit=0)]
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 64])
+def test_items_without_an_id_are_hit(spark, limit):
+    """They count for the words hit but aren't listed."""
+    passage = " ".join(f"word{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, f"before {passage} behind"), (2, "nothing of it"), (3, "named item here")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, passage), ("a", "named item")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, list(r.items)) for r in d.scan(docs, benchmark, broadcast_bytes=limit).collect()}
+    assert got == {1: (20, []), 2: (0, []), 3: (2, ["a"])}

@@ -12,7 +12,8 @@ The benchmark's windows travel to each task only while they hold at most
 of the item's id, each part is scanned for in a pass of its own, and the passes'
 hits are merged by document row.
 
-Edge cases: null or empty texts have no words and no hits; null items and items
+Edge cases: null or empty texts have no words and no hits; items without an id are
+hit but not listed; items whose text is null and items
 without words have no window; a repeated item row counts once, items with equal
 words each count; repeated document rows each give a row; an empty benchmark
 hits nothing.
@@ -54,7 +55,7 @@ class Windows:
             for k, h in enumerate(tv.ngram_hashes(tv.word_hashes(data, starts, ends), n).tolist()):
                 found[n][h][b" ".join(words[k : k + n])].add(item)
         for n, by_hash in found.items():
-            self.at[n] = np.array(sorted(by_hash), np.uint64), {h: [(w, tuple(sorted(i))) for w, i in x.items()] for h, x in by_hash.items()}
+            self.at[n] = np.array(sorted(by_hash), np.uint64), {h: [(w, tuple(i)) for w, i in x.items()] for h, x in by_hash.items()}
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
         """For texts laid end to end: each word's start, end, row, and whether it is hit; words by row; items by row."""
@@ -81,7 +82,7 @@ class Windows:
 
 
 def _parts(benchmark: DataFrame, item: str, text: str, limit: int) -> list[DataFrame]:
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null").distinct()
+    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-size // limit) or 1
     return [items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else items for k in range(n)]
@@ -117,7 +118,7 @@ def scan(
                 for piece, data, offsets in tv.slices(batch):
                     starts, ends, owner, hit, words, items = windows.scan(data, offsets)
                     n = len(offsets) - 1
-                    out = [*piece.columns[:-1], pa.array(words, pa.int64()), pa.array(np.bincount(owner[hit], minlength=n), pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+                    out = [*piece.columns[:-1], pa.array(words, pa.int64()), pa.array(np.bincount(owner[hit], minlength=n), pa.int64()), pa.array([sorted(i for i in x if i is not None) for x in items], pa.list_(pa.string()))]
                     if spans:
                         found: list[list[dict]] = [[] for _ in range(n)]
                         for k in np.flatnonzero(hit).tolist():
