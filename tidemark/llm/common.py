@@ -42,7 +42,15 @@ def drop_folder(spark: SparkSession, at: str) -> None:
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a table of narrow rows has few enough of them to be broadcast."""
-    return df.limit(rows + 1).count() <= rows
+    return df.count() <= rows
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that no column of a table has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -9,31 +9,37 @@ their subsets of q parts: each is a signature, and similar sets share one. (The
 q-th part on which both agree comes after at most D parts on which they don't, so
 both have it among their first D + q. A set with fewer parts enumerates smaller
 subsets too, down to the empty one.) q is 2 for small sets and 1 for large ones.
-The partition is as fine as a size band needs; bands grow by 1/gamma, and a set
-signs for its own band and for the one below, so every possible partner meets it.
+The partition is as fine as a size band needs. A band's greatest size is twice its
+least, and a set signs for its own band, and for the one below if partners may lie
+there, so every possible partner meets it.
 
 Sets take a few parts more than that, so similar ones share more than one, and only
-pairs that share as many as they must are compared, exactly: first each set with the
-one it shares most with, then what still lies in different components.
+pairs that share as many as they must are compared: by sketches (parity bits of the
+shingles, which never part similar sets), then exactly; first each set with the one
+it shares most with, then what still lies in different components.
 
 Up to GROUP sets of a signature give all their pairs. Of a larger group, each set is
-paired with the smallest only, and where the group still has sets of several
-components after the comparisons, it is withdrawn: its sets sign again with parts
-whose signatures aren't withdrawn. (The argument above holds for any parts that both
-sets leave out alike.) What then remains in large groups of several components goes
-to a last, exact stage: sets are joined on their rarest shingles (counted over these
-sets), as many as a similar pair can't all miss, if their places leave room for
-enough common ones. So no link between different components is lost, and no group is
-expanded into all its pairs.
-
-Sizes, hashes and ids alone travel in the first stage; shingles are made again for
-the sets that have a candidate.
+paired with the smallest only, so pairs are at most a few times the sets. Where a
+large group still has sets of several components, a pair may have shared more than was
+counted: pairs are compared, too, that share enough together with the large groups
+that both may be in. Sets that are in so many of them that a pair may share nothing
+else sign again, with parts whose signatures those groups withdraw. (The argument
+above holds for any parts that both sets leave out alike.) What remains after ROUNDS
+of it goes to a last, exact stage: sets are joined on their rarest shingles (counted
+over these sets), as many as a similar pair can't all miss, if their places leave room
+for enough common ones. So no link between different components is lost, and no group
+is expanded into all its pairs.
+
+Sizes, hashes and ids alone travel in the first stage; sketches and shingles are made
+again for the sets that have a candidate.
 
 Edge cases: a text of fewer words than ``words`` is one shingle of all its words;
 texts without words, and null texts, have no set, link with nothing, and are their
-own component; equal sets link even when texts differ; a null doc_id links like
-any other but a component's id is its least non-null doc_id; repeated rows each
-give a row.
+own component; equal sets link even when texts differ; a very long text is one set
+like any other, made at once in a task; a null doc_id links like any other but a
+component's id is its least non-null doc_id; repeated rows each give a row; an empty
+table gives no rows; only the named columns are read, and ``one_of_each`` returns all
+others as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,12 +53,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import semi, small_enough, stored, table
+from .common import drop_folder, scratch, semi, small_enough, stored, table, unused
 from .components import components
 
 WORDS, PERCENT = 5, 75
 #: Sets of a signature that are compared pairwise.
-GROUP = 32
+GROUP = 8
+#: Rounds of signing, each without the signatures that the ones before withdrew.
+ROUNDS = 2
 #: Withdrawn signatures (8 bytes each) that are broadcast; with more, the last stage takes over at once.
 WITHDRAWN = 4_000_000
 #: Up to so many differing shingles, signatures take two parts each.
@@ -78,6 +86,15 @@ def sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.n
     return out
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity bits of hashed shingles, two to four bits for each. Sets that differ in d
+    shingles have sketches that differ in d bits at most, also after folding the longer one."""
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    at = (tv.mix(shingles + np.uint64(1)) & np.uint64(bits - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def set_id(shingles: np.ndarray) -> int:
     """A 64-bit id of a set: equal for equal sets."""
     total = np.array([tv.mix(shingles).sum(dtype=np.uint64)])
@@ -85,35 +102,36 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 class Bands:
-    """Size bands, and the partitions of the bands' instances."""
+    """Size bands, each up to ``ratio`` times as wide as its least size, and the partitions of the bands' instances."""
 
     def __init__(self, percent: int):
-        self.percent = percent
-        self.low, self.high = [1], [100 // percent]
+        self.percent, self.ratio = percent, max(2, -(-100 // percent))
+        self.low, self.high = [1], [self.ratio - 1]
         self.far = 100 - percent, 100 + percent
 
     def of(self, size: int) -> int:
         while self.high[-1] < size:
             self.low.append(self.high[-1] + 1)
-            self.high.append(max(self.low[-1], self.low[-1] * 100 // self.percent))
+            self.high.append(self.low[-1] * self.ratio - 1)
         return int(np.searchsorted(self.high, size))
 
     def roles(self, size: int) -> list[tuple[int, int]]:
-        """The instances a set of this size signs for, and how many shingles it may differ in there."""
+        """The instances a set of this size signs for, and how many shingles it may differ in there:
+        its own band's, and that of the band below where a partner may lie there."""
         band = self.of(size)
-        self.of(self.high[band] + 1)
-        upper = min(size * 100 // self.percent, self.high[band + 1])
-        roles = [(band, (size + upper) * self.far[0] // self.far[1])]
+        roles = [(band, (size + size * 100 // self.percent) * self.far[0] // self.far[1])]
         if band and self.high[band - 1] * 100 >= self.percent * size:
             roles.append((band - 1, (size + self.high[band - 1]) * self.far[0] // self.far[1]))
         return roles
 
+    def paired(self, instance: int) -> bool:
+        """Whether the instance enumerates pairs of parts."""
+        return (2 * self.low[instance] * 100 // self.percent) * self.far[0] // self.far[1] <= PAIRED
+
     def parts(self, instance: int) -> int:
-        """Parts of an instance: few, but mostly more non-empty ones than shingles may differ and agree at least."""
-        self.of(self.low[instance])
+        """Parts of an instance: few, but nearly always more non-empty ones than shingles may differ and agree at least."""
         low = self.low[instance]
-        most = (2 * low * 100 // self.percent) * self.far[0] // self.far[1]
-        return 8 * low if most <= PAIRED else int(low * 4.2 * self.far[0] / self.far[1]) + 1
+        return 8 * low if self.paired(instance) else int(low * self.ratio * 3.15 * self.far[0] / self.far[1] + 2 * low**0.5) + 1
 
 
 def signatures(shingles: np.ndarray, bands: Bands, withdrawn: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -131,10 +149,11 @@ def signatures(shingles: np.ndarray, bands: Bands, withdrawn: np.ndarray | None
         part = part[order]
         first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         sums = tv.mix(np.add.reduceat(spread[order], first) + tv.mix(part[first] + salt))
-        if withdrawn is not None and len(withdrawn) and n != 8 * bands.low[instance]:
-            at = np.minimum(np.searchsorted(withdrawn, sums), len(withdrawn) - 1)
-            sums = sums[withdrawn[at] != sums]
-        q, need = (2, 1) if n == 8 * bands.low[instance] else (1, max(1, min(1 + far // SPARE, len(sums) - far)))
+        if withdrawn is not None and len(withdrawn) and not bands.paired(instance):
+            short = sums >> np.uint64(_MARK)
+            at = np.minimum(np.searchsorted(withdrawn, short), len(withdrawn) - 1)
+            sums = sums[withdrawn[at] != short]
+        q, need = (2, 1) if bands.paired(instance) else (1, max(1, min(1 + far // SPARE, len(sums) - far)))
         while True:
             chosen = sums[: far + q + need - 1]
             if q == 2:
@@ -158,29 +177,32 @@ def _info(words: int):
                 found = sets(data, offsets, words)
                 sizes = np.array([len(x) for x in found], np.int64)
                 ids = pa.array([set_id(x) if len(x) else None for x in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids], ["doc_id", "n_shingles", "set_id"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), ids], ["doc_id", "text_id", "n_shingles", "set_id"])
 
     return run
 
 
+#: A shuffled signature holds 48 bits of the hash above 16 bits of mark: a false match among 10^13 is rare and harmless.
+_MARK = 16
+
+
 def _signed(words: int, percent: int, withdrawn=None):
-    """withdrawn: a broadcast of sorted signatures."""
+    """withdrawn: a broadcast of sorted signatures, as ``_grouped`` tells them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
         for batch in batches:
             for _, data, offsets in tv.slices(batch):
-                found, marks, owner = [], [], []
+                found, owner = [], []
                 for shingles in sets(data, offsets, words):
                     if not len(shingles) or (own := set_id(shingles)) in seen:
                         continue  # one of equal sets signs for them, at least within a task
                     seen.add(own)
                     sigs, mark = signatures(shingles, bands, withdrawn.value if withdrawn else None)
-                    found.append(sigs)
-                    marks.append(mark)
+                    found.append(sigs >> np.uint64(_MARK) << np.uint64(_MARK) | mark.astype(np.uint64))
                     owner.append(np.full(len(sigs), own, np.int64))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(marks))], ["sig", "id", "mark"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owner))], ["sig", "id"])
 
     return run
 
@@ -189,7 +211,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], group: int) -> Iterator[pa.Recor
     """Rows (sig, id, mark) come sorted by signature and id; groups end anywhere
     between batches. Yields candidate pairs (a, b) with the number n of signatures seen
     to be shared and how many they need to share; and, of groups over ``group``, the
-    members (as a) with their signature in ``hot``."""
+    members (as a) with their signature in ``hot`` and the number they need to share."""
     held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16)]  # of the last group so far
     overflow = False
 
@@ -204,9 +226,8 @@ def _grouped(batches: Iterator[pa.RecordBatch], group: int) -> Iterator[pa.Recor
             n = np.diff(np.append(first, len(a)))
             yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(n.astype(np.int32)), pa.array(need[first].astype(np.int32)), pa.nulls(len(first), pa.int64())], names)
         if hot:
-            sig, ids = (np.concatenate(c) for c in zip(*hot))
-            none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids), none, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.int32()), pa.array(sig)], names)
+            sig, ids, x = (np.concatenate(c) for c in zip(*hot))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int32()), pa.array((x >> 1).astype(np.int32)), pa.array(sig)], names)
 
     names = ["a", "b", "n", "need", "hot"]
     for batch in batches:
@@ -229,7 +250,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], group: int) -> Iterator[pa.Recor
             again = overflow and k == 0  # the first one was told before
             if hi - lo > 1:
                 pairs.append((np.full(hi - lo - 1, ids[lo]), ids[lo + 1 : hi], np.full(hi - lo - 1, mark[lo]), mark[lo + 1 : hi]))
-            hot.append((sig[lo + again : hi], ids[lo + again : hi]))
+            hot.append((sig[lo + again : hi], ids[lo + again : hi], mark[lo + again : hi]))
         overflow = bool(sizes[-1] > group or overflow and len(sizes) == 1)
         keep = slice(starts[-1], starts[-1] + 1 if overflow else None)
         held = [sig[keep], ids[keep], mark[keep]]
@@ -241,22 +262,40 @@ def _grouped(batches: Iterator[pa.RecordBatch], group: int) -> Iterator[pa.Recor
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
         for batch in batches:
             for _, data, offsets in tv.slices(batch):
                 found = [x for x in sets(data, offsets, words) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["id", "shingles"])
+                made = [pa.array([set_id(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array([sketch(x) for x in found], longs), pa.array([x.view(np.int64) for x in found], longs)]
+                yield pa.RecordBatch.from_arrays(made, ["id", "size", "sketch", "shingles"])
 
     return run
 
 
-def _verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+def _beside(pairs: DataFrame, sets_: DataFrame, value: str) -> DataFrame:
+    """Pairs (a, b) with their sets' sizes (size_a, size_b) and values (x, y)."""
+    one = sets_.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col(value).alias("x"))
+    two = sets_.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col(value).alias("y"))
+    return pairs.join(one, "a").join(two, "b")
+
+
+def _plausible(pairs: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
+    """Pairs without those whose sizes or sketches show that the sets differ too much: no similar pair is lost."""
+    n, m = F.col("size_a"), F.col("size_b")
+    both = _beside(pairs, sets_, "sketch").where((n * 100 >= m * percent) & (m * 100 >= n * percent))
+    short = F.least(F.size("x"), F.size("y"))
+
+    def folded(c: str) -> F.Column:
+        return F.when(F.size(c) > short, F.zip_with(F.slice(c, F.lit(1), short), F.slice(c, short + 1, short), lambda u, v: u.bitwiseXOR(v))).otherwise(F.col(c))
+
+    apart = F.aggregate(F.zip_with(folded("x"), folded("y"), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda total, k: total + k)
+    return both.where(apart * (100 + percent) <= (n + m) * (100 - percent)).select(*pairs.columns)
+
+
+def _verified(pairs: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets are similar enough."""
-    one = shingles.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    two = shingles.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(one, "a").join(two, "b")
-    both = both.where((F.size("x") * 100 >= F.size("y") * percent) & (F.size("y") * 100 >= F.size("x") * percent))
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return _beside(pairs, sets_, "shingles").where(100 * common >= percent * (F.col("size_a") + F.col("size_b") - common)).select("a", "b")
 
 
 def _texts(documents: DataFrame, info: DataFrame, ids: DataFrame) -> DataFrame:
@@ -266,22 +305,18 @@ def _texts(documents: DataFrame, info: DataFrame, ids: DataFrame) -> DataFrame:
     return documents.join(first, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
 
 
-def _made(documents: DataFrame, info: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of these sets, and perhaps of others."""
-    made = stored(_texts(documents, info, ids).mapInArrow(_sets(words), "id long, shingles array<long>"))
-    counts = made.select("id").agg(F.count("*").alias("n"), F.count_distinct("id").alias("d")).first()
-    return made if counts["n"] == counts["d"] else made.dropDuplicates(["id"])
-
-
-def _across(shingles: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _across(sets_: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of different components among these sets, joined on their
     rarest shingles. Complete: of the common shingles of a similar pair, the first in
     the order of rarity has room behind it, in both sets, for all the others they need."""
-    rows = shingles.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    rows = sets_.select("id", F.col("size").alias("n"), F.explode("shingles").alias("shingle"))
     counts = rows.groupBy("shingle").agg(F.count("*").alias("df"))
     ranked = rows.join(counts, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle")))
     taken = ranked.where("df > 1").where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     taken = taken.join(roots, "id", "left").select("shingle", "id", "n", "rank", F.coalesce("root", "id").alias("root"))
+    # shingles of one component only have nothing to join
+    mixed = taken.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
+    taken = taken.join(mixed, "shingle", "left_semi")
     left, right = (taken.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "rank", "root")]) for k in ("a", "b"))
     needed = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
     room = 1 + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b"))
@@ -295,84 +330,163 @@ class _Join:
     def __init__(self, documents: DataFrame, info: DataFrame, words: int, percent: int):
         self.documents, self.info, self.words, self.percent = documents, info, words, percent
         self.spark = documents.sparkSession
-        self.roots = self.spark.createDataFrame([], "id long, root long")
+        self.roots: DataFrame | None = None
+        self.folders: list[tuple[DataFrame, str]] = []
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        at = scratch(self.spark)
+        out = stored(df, at)
+        self.folders.append((out, at))
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Deletes stored tables that nothing reads any more."""
+        for df, at in self.folders:
+            if any(df is x for x in tables):
+                drop_folder(self.spark, at)
+        self.folders = [x for x in self.folders if not any(x[0] is t for t in tables)]
 
     def root(self, df: DataFrame, column: str, to: str) -> DataFrame:
+        if self.roots is None:
+            return df.withColumn(to, F.col(column))
         roots = self.roots.select(F.col("id").alias(column), F.col("root").alias("_root"))
         return df.join(roots, column, "left").withColumn(to, F.coalesce("_root", column)).drop("_root")
 
     def across(self, pairs: DataFrame) -> DataFrame:
         """Pairs of different components."""
-        return self.root(self.root(pairs, "a", "_a"), "b", "_b").where("_a != _b").drop("_a", "_b")
+        return pairs if self.roots is None else self.root(self.root(pairs, "a", "_a"), "b", "_b").where("_a != _b").drop("_a", "_b")
+
+    def made(self, ids: DataFrame) -> DataFrame:
+        """(id, size, sketch, shingles) of these sets, and perhaps of others; stored."""
+        made = self.stored(_texts(self.documents, self.info, ids).mapInArrow(_sets(self.words), "id long, size int, sketch array<long>, shingles array<long>"))
+        counts = made.select("id").agg(F.count("*").alias("n"), F.count_distinct("id").alias("d")).first()
+        if counts["n"] == counts["d"]:
+            return made
+        once = self.stored(made.dropDuplicates(["id"]))
+        self.drop(made)
+        return once
 
     def compare(self, pairs: DataFrame) -> None:
-        """Joins the components of the similar ones of these pairs."""
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        shingles = _made(self.documents, self.info, ids, self.words)
-        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")) if "n" in pairs.columns else None
-        for chosen in [best, pairs] if best is not None else [pairs]:
-            chosen = stored(self.across(chosen).select("a", "b"))
+        """Joins the components of the similar ones of these pairs (a, b, n): first of each
+        b with the a it shares most with, then of those that still lie in different components."""
+        if not pairs.limit(1).count():
+            return
+        sets_ = self.made(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        left = self.stored(_plausible(pairs, sets_, self.percent))
+        best = left.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+        for k in range(2):
+            chosen = self.stored(self.across(best if k == 0 else left.select("a", "b")))
             used = chosen.select(F.col("a").alias("id")).union(chosen.select("b")).distinct()
-            found = stored(_verified(chosen, shingles.join(used, "id", "left_semi"), self.percent))
+            found = self.stored(_verified(chosen, sets_.join(used, "id", "left_semi"), self.percent))
             if found.limit(1).count():
                 self.join(found)
+            self.drop(chosen, found)
+        self.drop(left, sets_)
 
     def join(self, links: DataFrame) -> None:
         """Joins components by links between them: only their roots take part."""
         between = self.root(self.root(links, "a", "_a"), "b", "_b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
-        moved = stored(components(between))
-        old = self.roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left")
-        self.roots = stored(old.select("id", F.coalesce("_new", "root").alias("root")).unionByName(moved.select(F.col("node").alias("id"), "root")))
+        moved, old = self.stored(components(between)), self.roots
+        new = moved.select(F.col("node").alias("id"), "root")
+        if old is not None:
+            kept = old.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left")
+            new = kept.select("id", F.coalesce("_new", "root").alias("root")).unionByName(new)
+        self.roots = self.stored(new)
+        self.drop(moved, old)
+
+    def mixed(self, hot: DataFrame) -> DataFrame:
+        """(id, sig, many, few) of large groups (id, sig, need) of several components: of how many such
+        groups the set is a member, and the least number of signatures that a pair in one of them needs to share."""
+        groups = self.root(hot, "id", "root").groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("need").alias("few")).where("low != high")
+        few = self.stored(groups.select("sig", "few"))
+        left = self.stored(hot.select("id", "sig").join(F.broadcast(few) if small_enough(few) else few, "sig"))
+        of_set = left.groupBy("id").agg(F.count("*").alias("many"), F.min("few").alias("few"))
+        out = self.stored(left.select("id", "sig").join(of_set, "id"))
+        self.drop(few, left)
+        return out
 
     def sign(self, texts: DataFrame, withdrawn=None) -> DataFrame:
-        """Signs the texts' sets and compares what has to be; returns (id, sig) of large groups of several components."""
-        group = GROUP
-        signed = texts.mapInArrow(_signed(self.words, self.percent, withdrawn), "sig long, id long, mark short")
-        met = stored(signed.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(lambda batches: _grouped(batches, group), "a long, b long, n int, need int, hot long"))
-        pairs = met.where("hot is null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need")
-        self.compare(stored(pairs.select("a", "b", "n")))
-        hot = met.where("hot is not null").select(F.col("a").alias("id"), F.col("hot").alias("sig"))
-        mixed = self.root(hot, "id", "root").groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("sig")
-        return stored(hot.join(mixed, "sig", "left_semi"))
+        """Signs the texts' sets and compares what has to be; returns (id, sig) of large groups of
+        several components, of sets that may have a partner which shares nothing else with them."""
+        group, mark = GROUP, F.lit((1 << _MARK) - 1)
+        signed = texts.mapInArrow(_signed(self.words, self.percent, withdrawn), "sig long, id long").repartition(F.shiftright("sig", _MARK))
+        signed = signed.select(F.shiftright("sig", _MARK).alias("sig"), "id", F.col("sig").bitwiseAND(mark).cast("short").alias("mark"))
+        met = self.stored(signed.sortWithinPartitions("sig", "id").mapInArrow(lambda batches: _grouped(batches, group), "a long, b long, n int, need int, hot long"))
+        pairs = self.stored(met.where("hot is null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")))
+        self.compare(pairs.where("n >= need").select("a", "b", "n"))
+        hot = self.stored(met.where("hot is not null").select(F.col("a").alias("id"), F.col("hot").alias("sig"), "need"))
+        self.drop(met)
+        before = self.mixed(hot)
+        many = self.stored(before.select("id", "many").distinct())
+        more = pairs.where("n < need").join(many.select(F.col("id").alias("a"), F.col("many").alias("many_a")), "a").join(many.select(F.col("id").alias("b"), F.col("many").alias("many_b")), "b")
+        more = self.stored(more.where(F.col("n") + F.least("many_a", "many_b") >= F.col("need")).select("a", "b", "n"))
+        self.drop(before, many, pairs)
+        self.compare(more)
+        after = self.mixed(hot)
+        rest = self.stored(after.where("many >= few").select("id", "sig"))
+        self.drop(more, hot, after)
+        return rest
 
     def run(self) -> None:
-        rest = self.sign(self.documents.select("text"))
-        if rest.limit(1).count():
+        rest, withdrawn = self.sign(self.documents.select("text")), np.zeros(0, np.uint64)
+        for _ in range(1, ROUNDS):
             sigs = rest.select("sig").distinct()
-            if small_enough(sigs, WITHDRAWN):
-                withdrawn = np.sort(np.array([r[0] for r in sigs.toLocalIterator()], np.int64).view(np.uint64))
-                rest = self.sign(_texts(self.documents, self.info, rest.select("id").distinct()), self.spark.sparkContext.broadcast(withdrawn))
-        ids = rest.select("id").distinct()
+            n = sigs.count()
+            if not n or n + len(withdrawn) > WITHDRAWN:
+                break
+            withdrawn = np.union1d(withdrawn, np.array([r[0] for r in sigs.toLocalIterator()], np.int64).view(np.uint64) & np.uint64((1 << 64 - _MARK) - 1))
+            texts = _texts(self.documents, self.info, rest.select("id").distinct())
+            again = self.sign(texts, self.spark.sparkContext.broadcast(withdrawn))
+            self.drop(rest)
+            rest = again
+        ids = self.stored(rest.select("id").distinct())
         if ids.limit(1).count():
-            remaining = _made(self.documents, self.info, ids, self.words).join(ids, "id", "left_semi")
-            self.compare(stored(_across(stored(remaining), self.roots, self.percent)))
+            sets_ = self.made(ids)
+            pairs = self.stored(_across(sets_.join(ids, "id", "left_semi"), self.root(ids, "id", "root"), self.percent))
+            self.drop(sets_)
+            self.compare(pairs.withColumn("n", F.lit(0)))
+            self.drop(pairs)
+        self.drop(rest, ids)
 
 
-def linked(documents: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per document row: doc_id, n_shingles, set_id (null without words), component_id."""
+def _named(documents: DataFrame, text: str, doc_id: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Stored (doc_id, text_id, n_shingles, set_id) of each row, and (set_id, root, least) of each set: its component, and its least doc_id."""
     documents = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    info = stored(documents.mapInArrow(_info(words), f"doc_id {kind}, n_shingles long, set_id long"))
+    info = stored(documents.select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInArrow(_info(words), f"doc_id {kind}, text_id long, n_shingles long, set_id long"))
     join = _Join(documents, info, words, percent)
     join.run()
     classes = info.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    joined = classes.join(join.roots.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
-    smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(joined.join(smallest, "root").select("set_id", "component_id"))
-    out = info.join(named, "set_id", "left")
+    named = stored(join.root(classes, "set_id", "root"))
+    join.drop(join.roots)
+    return info, named
+
+
+def linked(documents: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Per document row: doc_id, n_shingles, set_id (null without words), component_id."""
+    info, named = _named(documents, text, doc_id, words, percent)
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = info.join(stored(named.join(smallest, "root").select("set_id", "component_id")), "set_id", "left")
     return out.select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(documents: DataFrame, **options) -> DataFrame:
-    """The documents, all columns as they are, but of each component only the one
-    with the least doc_id (and of rows that share it, the least text). Rows without a doc_id all stay."""
-    found = linked(documents, **options)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    with_id = semi(documents, kept, "doc_id")
-    several = with_id.groupBy("doc_id").count().where("count > 1").select("doc_id")
+def one_of_each(documents: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The documents, all columns as they are, but of each component only one row: that
+    with the least doc_id (nulls last; then by the text's hash). Texts without words link
+    with nothing and stay, but rows that agree in doc_id and text stay once (with a null doc_id, all of those)."""
+    info, named = _named(documents, text, doc_id, words, percent)
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_id")
+    first = info.join(named.select("set_id", "root"), "set_id").groupBy("root").agg(F.min(key).alias("k")).select("k.doc_id", "k.text_id")
+    kept = stored(first.unionByName(info.where("set_id is null").select("doc_id", "text_id")).distinct())
+    own = unused("_text_id", documents.columns)
+    rows = documents.withColumn(own, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    is_kept = rows[doc_id].eqNullSafe(kept["doc_id"]) & (rows[own] == kept["text_id"])
+    rows = rows.join(F.broadcast(kept) if small_enough(kept) else kept, is_kept, "left_semi")
+    several = info.join(kept, info["doc_id"].eqNullSafe(kept["doc_id"]) & (info["text_id"] == kept["text_id"]), "left_semi").groupBy("doc_id", "text_id").count().where("count > 1")
     if several.limit(1).count():
-        with_id = with_id.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").drop("_n")
-    return with_id.unionByName(documents.where("doc_id is null"))
+        number, wordless = unused("_number", documents.columns), F.col(doc_id).isNull() & ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(doc_id, own).orderBy(own))).where((F.col(number) == 1) | wordless)
+    return rows.select(*documents.columns)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
