@@ -15,8 +15,7 @@ there, so every possible partner meets it.
 
 Sets take a few parts more than that, so similar ones share more than one, and only
 pairs that share as many as they must are compared: by sketches (parity bits of the
-shingles, which never part similar sets), then exactly; first each set with the one
-it shares most with, then what still lies in different components.
+shingles, which never part similar sets), then exactly.
 
 Up to GROUP sets of a signature give all their pairs. Of a larger group, each set is
 paired with the smallest only, so pairs are at most a few times the sets. Where a
@@ -279,17 +278,21 @@ def _beside(pairs: DataFrame, sets_: DataFrame, value: str) -> DataFrame:
     return pairs.join(one, "a").join(two, "b")
 
 
-def _plausible(pairs: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
-    """Pairs without those whose sizes or sketches show that the sets differ too much: no similar pair is lost."""
-    n, m = F.col("size_a"), F.col("size_b")
-    both = _beside(pairs, sets_, "sketch").where((n * 100 >= m * percent) & (m * 100 >= n * percent))
-    short = F.least(F.size("x"), F.size("y"))
+def _near(n: F.Column, m: F.Column, x: F.Column, y: F.Column, percent: int) -> F.Column:
+    """Whether sizes n, m and sketches x, y leave it open that the sets are similar; true for every similar pair."""
+    short = F.least(F.size(x), F.size(y))
+
+    def folded(c: F.Column) -> F.Column:
+        return F.when(F.size(c) > short, F.zip_with(F.slice(c, F.lit(1), short), F.slice(c, short + 1, short), lambda u, v: u.bitwiseXOR(v))).otherwise(c)
 
-    def folded(c: str) -> F.Column:
-        return F.when(F.size(c) > short, F.zip_with(F.slice(c, F.lit(1), short), F.slice(c, short + 1, short), lambda u, v: u.bitwiseXOR(v))).otherwise(F.col(c))
+    apart = F.aggregate(F.zip_with(folded(x), folded(y), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda total, k: total + k)
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
-    apart = F.aggregate(F.zip_with(folded("x"), folded("y"), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda total, k: total + k)
-    return both.where(apart * (100 + percent) <= (n + m) * (100 - percent)).select(*pairs.columns)
+
+def _plausible(pairs: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
+    """Pairs without those whose sizes or sketches show that the sets differ too much."""
+    both = _beside(pairs, sets_, "sketch")
+    return both.where(_near(F.col("size_a"), F.col("size_b"), F.col("x"), F.col("y"), percent)).select(*pairs.columns)
 
 
 def _verified(pairs: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
@@ -316,11 +319,12 @@ def _across(sets_: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     taken = taken.join(roots, "id", "left").select("shingle", "id", "n", "rank", F.coalesce("root", "id").alias("root"))
     # shingles of one component only have nothing to join
     mixed = taken.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
-    taken = taken.join(mixed, "shingle", "left_semi")
-    left, right = (taken.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "rank", "root")]) for k in ("a", "b"))
+    taken = taken.join(mixed, "shingle", "left_semi").join(sets_.select("id", "sketch"), "id")
+    left, right = (taken.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "rank", "root", "sketch")]) for k in ("a", "b"))
     needed = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
     room = 1 + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b"))
-    met = left.join(right, "shingle").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & (room >= needed))
+    near = _near(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), percent)
+    met = left.join(right, "shingle").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & (room >= needed) & near)
     return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
@@ -367,21 +371,16 @@ class _Join:
         return once
 
     def compare(self, pairs: DataFrame) -> None:
-        """Joins the components of the similar ones of these pairs (a, b, n): first of each
-        b with the a it shares most with, then of those that still lie in different components."""
+        """Joins the components of the similar ones of these pairs (a, b)."""
         if not pairs.limit(1).count():
             return
         sets_ = self.made(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        left = self.stored(_plausible(pairs, sets_, self.percent))
-        best = left.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-        for k in range(2):
-            chosen = self.stored(self.across(best if k == 0 else left.select("a", "b")))
-            used = chosen.select(F.col("a").alias("id")).union(chosen.select("b")).distinct()
-            found = self.stored(_verified(chosen, sets_.join(used, "id", "left_semi"), self.percent))
-            if found.limit(1).count():
-                self.join(found)
-            self.drop(chosen, found)
-        self.drop(left, sets_)
+        left = self.stored(self.across(_plausible(pairs, sets_, self.percent)))
+        used = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
+        found = self.stored(_verified(left, sets_.join(used, "id", "left_semi"), self.percent))
+        if found.limit(1).count():
+            self.join(found)
+        self.drop(left, sets_, found)
 
     def join(self, links: DataFrame) -> None:
         """Joins components by links between them: only their roots take part."""
@@ -413,18 +412,16 @@ class _Join:
         signed = signed.select(F.shiftright("sig", _MARK).alias("sig"), "id", F.col("sig").bitwiseAND(mark).cast("short").alias("mark"))
         met = self.stored(signed.sortWithinPartitions("sig", "id").mapInArrow(lambda batches: _grouped(batches, group), "a long, b long, n int, need int, hot long"))
         pairs = self.stored(met.where("hot is null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")))
-        self.compare(pairs.where("n >= need").select("a", "b", "n"))
+        self.compare(pairs.where("n >= need").select("a", "b"))
         hot = self.stored(met.where("hot is not null").select(F.col("a").alias("id"), F.col("hot").alias("sig"), "need"))
         self.drop(met)
-        before = self.mixed(hot)
-        many = self.stored(before.select("id", "many").distinct())
+        mixed = self.mixed(hot)
+        many = self.stored(mixed.select("id", "many").distinct())
         more = pairs.where("n < need").join(many.select(F.col("id").alias("a"), F.col("many").alias("many_a")), "a").join(many.select(F.col("id").alias("b"), F.col("many").alias("many_b")), "b")
-        more = self.stored(more.where(F.col("n") + F.least("many_a", "many_b") >= F.col("need")).select("a", "b", "n"))
-        self.drop(before, many, pairs)
+        more = self.stored(more.where(F.col("n") + F.least("many_a", "many_b") >= F.col("need")).select("a", "b"))
         self.compare(more)
-        after = self.mixed(hot)
-        rest = self.stored(after.where("many >= few").select("id", "sig"))
-        self.drop(more, hot, after)
+        rest = self.stored(mixed.where("many >= few").select("id", "sig"))
+        self.drop(pairs, hot, mixed, many, more)
         return rest
 
     def run(self) -> None:
@@ -444,7 +441,7 @@ class _Join:
             sets_ = self.made(ids)
             pairs = self.stored(_across(sets_.join(ids, "id", "left_semi"), self.root(ids, "id", "root"), self.percent))
             self.drop(sets_)
-            self.compare(pairs.withColumn("n", F.lit(0)))
+            self.compare(pairs)
             self.drop(pairs)
         self.drop(rest, ids)
 
