@@ -1,7 +1,9 @@
 import hashlib
 import random
+import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint as f
@@ -46,39 +48,87 @@ def test_one_row_and_no_row(spark, tmp_path):
     assert _query(spark, [], tmp_path / "b") == []
 
 
-def test_likeness(spark):
-    base = ". ".join(f"Sentence number {k} says something of its own" for k in range(40))
-    edited = base[: 2 * len(base) // 3] + ". ".join(f"Other words {k} stand here instead of it" for k in range(20))
-    texts = {"base": base, "again": base, "edited": edited, "unlike": " ".join(f"q{k}z" for k in range(300)), "empty": "", "none": ""}
-    rows = spark.createDataFrame(list(texts.items()), "name string, text string").withColumn("tree", f.tree(F.col("text")))
-    rows = rows.select("name", f.root(F.col("text"), F.col("tree")).alias("root"), f.leaves(F.col("tree")).alias("leaves"), f.fingerprint(f.root(F.col("text"), F.col("tree")), F.col("tree")).alias("print"))
-    pairs = rows.alias("a").crossJoin(rows.alias("b")).select(F.col("a.name").alias("x"), F.col("b.name").alias("y"), f.likeness(F.col("a.root"), F.col("a.leaves"), F.col("b.root"), F.col("b.leaves")).alias("v"), (F.col("a.print") == F.col("b.print")).alias("same"))
-    found = {(r.x, r.y): (r.v, r.same) for r in pairs.collect()}
-    assert found["base", "again"] == (1.0, True) and found["empty", "none"] == (1.0, True)
-    assert 0.5 < found["base", "edited"][0] < 0.85 and not found["base", "edited"][1]
-    assert found["base", "unlike"][0] < 0.05 and found["base", "empty"][0] == 0.0
+def _print(text):
+    """A fingerprint by plain loops."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    parts, at = [], 0
+    for m in re.finditer(r"\n[ \t\r]*\n[ \t\n\x0b\f\r]*", text):
+        parts.append(text[at : m.end()])
+        at = m.end()
+    lines = [[sha(x) for x in s.split("\n")] for part in [*parts, text[at:]] for s in [part]]
+    nodes = [sha("section:" + ",".join(x)) for x in lines]
+    w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", text) if x]
+    pairs = {xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42)) % (1 << 32) for a, b in zip(["", *w], [*w, ""])} if w else set()
+    kept = sorted(pairs)[: f.SKETCH]
+    shown = ";".join(f"{n[:12]}({','.join(x[:12] for x in y)})" for n, y in zip(nodes, lines))
+    return "|".join([sha("document:" + ",".join(nodes)), shown, ",".join(f"{v:08x}" for v in kept)])
+
+
+def _like(one, two):
+    (a, _, x), (b, _, y) = one.split("|"), two.split("|")
+    x, y = (set(filter(None, z.split(","))) for z in (x, y))
+    least = sorted(x | y)[: f.SKETCH]
+    both = sum(v in x and v in y for v in least)
+    return 1.0 if a == b else 2 * both / (len(least) + both) if both else 0.0
+
+
+def test_fingerprints_and_likeness_equal_brute_force(spark, tmp_path):
+    r = random.Random(4)
+    word = lambda: r.choice(["river", "mill", "été", "🙂", "a", "field", "x" * 40]) + str(r.randrange(30))
+    rows = [(k, "".join(word() + r.choice([" ", " ", " ", " ", "\n", "\n\n", " \n \t\r\n\n ", "\t"]) for _ in range(r.randrange(200)))) for k in range(50)]
+    rows += [(60, "one"), (61, "one two"), (62, ""), (63, None), (64, "\n\n\n"), (65, " "), (66, "a|b;c(d),e"), (67, "word " * 20_000)]
+    got = _query(spark, rows, tmp_path)
+    order = sorted(rows, key=lambda x: -x[0])
+    for k, (doc, text) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + after[:cut]
+        row = next(x for x in got if x.doc_id == doc)
+        assert (row.fingerprint, row.edited_fingerprint) == (_print(text), _print(edited))
+        assert row.near_edited == pytest.approx(_like(row.fingerprint, row.edited_fingerprint)) and row.near_next == pytest.approx(_like(row.fingerprint, _print(after)))
+    told = spark.createDataFrame([(x.fingerprint, x.edited_fingerprint, x.near_edited) for x in got], "a string, b string, near double")
+    assert told.where(f.likeness_of(F.col("a"), F.col("b")) != F.col("near")).count() == 0
+
+
+def test_length_makes_no_leap(spark):
+    """One character more changes the likeness by little at any length."""
+    texts = [" ".join(f"word{k}" for k in range(200))[:n].rstrip() for n in (12, 25, 31, 32, 64, 127, 128, 150, 1000)]
+    rows = spark.createDataFrame([(t, t + "x") for t in texts], "a string, b string")
+    got = rows.select("a", f.likeness(f.root(f.tree(F.col("a"))), f.sketch(F.col("a")), f.root(f.tree(F.col("b"))), f.sketch(F.col("b"))).alias("v")).collect()
+    assert all(r.v >= 1 - 2.5 / (len(r.a.split()) + 1) - 0.05 for r in got), got
+
+
+def test_no_two_texts_share_a_root(spark):
+    texts = ["a\nb", "a\n\nb", "a\n \nb", "a\n\n\nb", "ab", "a b", "a\x00b", "a\n\n\x00b", "a\n\n\x00\x00b", "", "\n", "\n\n", " ", "a,b", "a", "a\n", "a\n\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(f.root(f.tree(F.col("t"))).alias("r"))
+    assert rows.distinct().count() == len(texts)
 
 
 def test_differing_branches(spark):
+    """By trees, and by fingerprints alone."""
     one, two = "a b c\nd e f\n\nsecond part\n\nthird", "a b c\nd e X\n\nsecond part\n\nthird"
     rows = spark.createDataFrame([(one, two)], "one string, two string")
     assert rows.select(f.differing(f.tree(F.col("one")), f.tree(F.col("two"))).alias("at")).first().at == [0]
+    prints = rows.select(*[f.branches(f.fingerprint(f.root(f.tree(F.col(c))), f.tree(F.col(c)), f.sketch(F.col(c)))).alias(c) for c in ("one", "two")])
+    row = prints.select(f.differing(F.col("one"), F.col("two")).alias("at"), f.edits(F.col("one"), F.col("two")).alias("places")).first()
+    assert row.at == [0] and [tuple(p) for p in row.places] == [(0, 1, None)]
 
 
 def test_edits_have_places(spark):
-    """Edits are found down to the span, removed repeats and moved sections too."""
+    """Edits are found down to the word, removed repeats and moved sections too."""
     long = ". ".join(f"Sentence number {k} says something of its own" for k in range(30))
     cases = [
         ("a b c\nd e f\n\nsecond", "a b c\nd e X\n\nsecond", [0], [(0, 1, 2)]),
         ("same\n\nsame\n\nlast", "same\n\nlast", [1], None),
         ("same\n\nlast", "same\n\nsame\n\nlast", [], []),
-        ("one\n\ntwo\n\nthree", "one\n\nthree\n\ntwo", [1, 2], None),
+        ("one\n\ntwo\n\nthree\n\nfour", "one\n\nthree\n\ntwo\n\nfour", [1, 2], None),
         ("one\n\ntwo", "one\n\ntwo", [], []),
+        ("A one\n\nB two\n\n", "B two\n\nA one\n\n", [0, 1], None),
         ("first line\nlast", "first line\nlast\nmore", [0], [(0, None, None)]),
         (long, long, [], []),
         (long, "", [0], None),
     ]
-    rows = spark.createDataFrame([c[:2] for c in cases], "one string, two string").coalesce(1).withColumns({"x": f.tree(F.col("one")), "y": f.tree(F.col("two"))})
+    rows = spark.createDataFrame([c[:2] for c in cases], "one string, two string").coalesce(1).withColumns({"x": f.tree(F.col("one"), spans=True), "y": f.tree(F.col("two"), spans=True)})
     got = rows.select("one", "two", f.differing(F.col("x"), F.col("y")).alias("at"), f.edits(F.col("x"), F.col("y")).alias("places")).collect()
     found = {(r.one, r.two): (r.at, [tuple(p) for p in r.places]) for r in got}
     for one, two, at, places in cases:
@@ -90,5 +140,5 @@ def test_edits_have_places(spark):
 def test_edit_of_one_section(spark):
     long = ". ".join(f"Sentence number {k} says something of its own" for k in range(30))
     rows = spark.createDataFrame([(long, long.replace("number 17 says", "number 18 says"))], "one string, two string")
-    row = rows.select(f.edits(f.tree(F.col("one")), f.tree(F.col("two"))).alias("at"), F.size(f.spans(F.col("one"))).alias("n")).first()
-    assert 1 <= len(row.at) <= 2 < row.n and all(p.section == p.paragraph == 0 and 0.4 < p.span / row.n < 0.7 for p in row.at)
+    row = rows.select(f.edits(f.tree(F.col("one"), spans=True), f.tree(F.col("two"), spans=True)).alias("at")).first()
+    assert [tuple(p) for p in row.at] == [(0, 0, long.split().index("17"))]

@@ -1,26 +1,29 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs, in built-in
 functions only.
 
-Sections are parts of a text between blank lines, paragraphs are a section's lines,
-and a paragraph is cut into spans: a span ends after a sentence mark or after the
-word that passes SPAN characters (spans are single words in paragraphs of under 128
-characters, and two characters in those of under 32). A span's digest is a hash of its characters, a
-paragraph's is that of its spans' digests, a section's that of its paragraphs', and
-the root is that of the sections' digests together with the text's length and
-hash, so equal roots mean equal texts. A fingerprint is the root followed by the
-sections' digests. Where two roots differ, the sections, paragraphs and spans that
-differ locate the edit (``differing`` for sections, ``edits`` down to spans).
-
-The likeness of two trees is 1 for equal roots, and else the Dice coefficient of
-their sets of span digests (0 if either has none).
+Sections end with their blank lines, and paragraphs are a section's lines, so a tree's
+leaves make up the whole text. A leaf is the SHA-256 of its line, a section's digest
+that of its lines' digests, and the root that of the sections' digests: equal roots
+mean equal texts, and where two roots differ, the branches that differ locate the edit
+(``differing`` for sections, ``edits`` for sections, paragraphs and words in them).
+
+A fingerprint is ``root|sections|sketch``: each section as ``digest(lines' digests)``,
+cut to 12 hexadecimal digits, and a sketch of the text's pairs of neighbouring words
+(with marks for its start and end): the SKETCH least of their 32-bit hashes. So
+fingerprints alone tell which paragraphs differ (``branches``) and how like two texts
+are: 1 for equal roots, and else 2J / (1 + J), J being the share of the SKETCH least
+hashes of both sketches that both have. (With SKETCH pairs or fewer that is exact.)
+All lengths of text go by these same rules.
 
 Neighbours in the order of ids come from one shuffle of the texts: ids are cut
 into ranges at approximate quantiles, a window finds the next row within a range,
 and each range also gets, as a last row, a copy of the next range's first.
 
-Edge cases: a null text counts as empty, and an empty one has a root and no
-sections; documents of one id follow each other by text; null ids come last; the
-only document of a table is its own next one; an empty table gives no rows.
+Edge cases: a null text counts as empty, and an empty one has one section of one
+empty line and no words; a very long text is one row like any other; documents of one
+id follow each other by text; null ids come last; repeated rows each give a row; the
+only document of a table is its own next one; an empty table gives no rows; only
+doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -30,51 +33,89 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Characters after which a span ends with the word it is in.
-SPAN = 24
+#: Hashes of word pairs that a fingerprint keeps.
+SKETCH = 64
 #: Rows of a range of ids, on average.
 RANGE_ROWS = 2000
 MAX_BOUNDS = 200
-_SPAN = rf"[^.!?]{{1,{SPAN}}}[^\s.!?]*[.!?]*\s*|[.!?]+\s*"
-_SECTION = r"\n[\x20\t\r]*\n\s*"
+_DIGITS = 12
+_SECTION_END = r"\n[\x20\t\r]*\n\s*"
+_SPACE = r"[\x20\t\n\x0B\f\r]+"
+_CUT = "\x00"
 
 
-def spans(paragraph: Column) -> Column:
-    n = F.length(paragraph)
-    short = F.when(n < 32, F.regexp_extract_all(paragraph, F.lit(r"(?s).{1,2}"), F.lit(0))).when(n < 128, F.regexp_extract_all(paragraph, F.lit(r"\s*\S+\s*"), F.lit(0)))
-    return short.otherwise(F.regexp_extract_all(paragraph, F.lit(_SPAN), F.lit(0)))
+def sections(text: Column) -> Column:
+    """Parts of a text, each with the blank lines behind it. (A NUL character parts, too; no two texts have the same parts.)"""
+    return F.split(F.regexp_replace(text, F.lit(_SECTION_END), F.lit("$0" + _CUT)), _CUT)
 
 
-def tree(text: Column) -> Column:
-    """array<struct<digest, paragraphs: array<struct<digest, spans: array<bigint>>>>>: a text's sections."""
+def words(text: Column) -> Column:
+    return F.filter(F.split(text, _SPACE), lambda w: w != "")
+
+
+def tree(text: Column, *, spans: bool = False) -> Column:
+    """array<struct<digest, paragraphs: array<struct<digest>>>>: a text's sections;
+    with spans, each paragraph also has hashes of its words, array<bigint>."""
 
     def paragraph(p: Column) -> Column:
-        digests = F.transform(spans(p), lambda s: F.xxhash64(s))
-        return F.struct(F.xxhash64(F.concat_ws(",", F.transform(digests, lambda d: d.cast("string")))).alias("digest"), digests.alias("spans"))
+        own = [F.sha2(p, 256).alias("digest")]
+        return F.struct(*own, *[F.transform(words(p), lambda w: F.xxhash64(w)).alias("spans")] * spans)
 
     def section(s: Column) -> Column:
-        inside = F.transform(F.filter(F.split(s, "\n"), lambda p: p != ""), paragraph)
-        return F.struct(F.substring(F.sha2(F.concat_ws(",", F.transform(inside, lambda p: p["digest"].cast("string"))), 256), 1, 16).alias("digest"), inside.alias("paragraphs"))
+        return F.transform(F.split(s, "\n"), paragraph)
+
+    def node(inside: Column) -> Column:
+        return F.struct(F.sha2(F.concat(F.lit("section:"), F.concat_ws(",", _digests(inside))), 256).alias("digest"), inside.alias("paragraphs"))
+
+    return F.transform(F.transform(sections(text), section), node)
+
+
+def root(tree_: Column) -> Column:
+    return F.sha2(F.concat(F.lit("document:"), F.concat_ws(",", _digests(tree_))), 256)
+
 
-    return F.transform(F.filter(F.split(text, _SECTION), lambda s: s != ""), section)
+def sketch(text: Column) -> Column:
+    """The least 32-bit hashes of the text's pairs of neighbouring words, sorted."""
+    found = words(text)
+    padded = F.concat(F.array(F.lit("")), found, F.array(F.lit("")))
+    pairs = F.zip_with(F.slice(padded, F.lit(1), F.size(padded) - 1), F.slice(padded, F.lit(2), F.size(padded) - 1), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(1 << 32)))
+    return F.when(F.size(found) == 0, F.array().cast("array<bigint>")).otherwise(F.slice(F.array_sort(F.array_distinct(pairs)), 1, SKETCH))
 
 
-def root(text: Column, sections: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.octet_length(text).cast("string"), F.sha2(text, 256), F.concat_ws(",", F.transform(sections, lambda s: s["digest"]))), 256)
+def fingerprint(root_: Column, tree_: Column, sketch_: Column) -> Column:
+    def short(node: Column) -> Column:
+        return F.substring(node["digest"], 1, _DIGITS)
+
+    listed = F.transform(tree_, lambda s: F.concat(short(s), F.lit("("), F.concat_ws(",", F.transform(s["paragraphs"], short)), F.lit(")")))
+    return F.concat_ws("|", root_, F.concat_ws(";", listed), F.concat_ws(",", F.transform(sketch_, lambda v: F.lpad(F.lower(F.hex(v)), 8, "0"))))
+
+
+def branches(print_: Column) -> Column:
+    """The tree that a fingerprint holds, with digests cut short; for ``differing`` and ``edits``."""
+
+    def section(s: Column) -> Column:
+        inside = F.split(F.rtrim(F.substring_index(s, "(", -1), F.lit(")")), ",")
+        return F.struct(F.substring_index(s, "(", 1).alias("digest"), F.transform(inside, lambda d: F.struct(d.alias("digest"), F.array().cast("array<bigint>").alias("spans"))).alias("paragraphs"))
+
+    return F.transform(F.split(F.get(F.split(print_, r"\|"), F.lit(1)), ";"), section)
 
 
-def fingerprint(root_: Column, sections: Column) -> Column:
-    return F.concat_ws(":", root_, F.concat_ws(",", F.transform(sections, lambda s: s["digest"])))
+def likeness(root_one: Column, sketch_one: Column, root_two: Column, sketch_two: Column) -> Column:
+    """Likeness of two fingerprints by their roots and sketches."""
+    least = F.slice(F.array_sort(F.array_union(sketch_one, sketch_two)), 1, SKETCH)
+    n, both = F.size(least), F.size(F.array_intersect(least, F.array_intersect(sketch_one, sketch_two)))
+    return F.when(root_one == root_two, F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(2.0 * both / (n + both))
 
 
-def leaves(sections: Column) -> Column:
-    """The distinct span digests of a tree."""
-    return F.array_distinct(F.flatten(F.transform(sections, lambda s: F.flatten(F.transform(s["paragraphs"], lambda p: p["spans"])))))
+def likeness_of(one: Column, two: Column) -> Column:
+    """Likeness of two fingerprint strings."""
 
+    def parts(c: Column) -> tuple[Column, Column]:
+        found = F.split(c, r"\|")
+        values = F.filter(F.split(F.get(found, F.lit(2)), ","), lambda v: v != "")
+        return F.get(found, F.lit(0)), F.transform(values, lambda v: F.conv(v, 16, 10).cast("long"))
 
-def likeness(root_one: Column, leaves_one: Column, root_two: Column, leaves_two: Column) -> Column:
-    both = F.size(leaves_one) + F.size(leaves_two)
-    return F.when(root_one == root_two, F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(leaves_one, leaves_two)) / both)
+    return likeness(*parts(one), *parts(two))
 
 
 def _apart(one: Column, two: Column) -> Column:
@@ -94,15 +135,16 @@ def _digests(branches: Column) -> Column:
 
 
 def differing(one: Column, two: Column) -> Column:
-    """Of two trees: numbers (from 0) of the first one's sections that differ from the
+    """Of two trees (or what ``branches`` reads): numbers (from 0) of the first one's sections that differ from the
     second's by place and count. What only the second has is found the other way round."""
     return _apart(_digests(one), _digests(two))
 
 
 def edits(one: Column, two: Column) -> Column:
     """array<struct<section, paragraph, span>>: of two trees, the first one's spans that
-    differ, in numbers from 0; span, or paragraph and span, are null where the second
-    only has more below. Branches are compared to those at the same place."""
+    (words) that differ, in numbers from 0; span, or paragraph and span, are null where
+    the second only has more below, or where the trees hold no spans. Branches are
+    compared to those at the same place. Trees need spans, or come from ``branches``."""
 
     def place(section: Column, paragraph: Column, span: Column) -> Column:
         return F.struct(section.cast("int").alias("section"), paragraph.cast("int").alias("paragraph"), span.cast("int").alias("span"))
@@ -164,10 +206,9 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_next(documents, "doc_id", "text", "next")
     n = F.length("text")
     rows = rows.withColumn("edited", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.expr("left(next, cast(floor(length(text) / 3) as int))")))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), *[x for t in ("text", "edited", "next") for x in (F.col(t), tree(F.col(t)).alias(f"tree_{t}"))])
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[x for t in ("text", "edited", "next") for x in (root(F.col(t), F.col(f"tree_{t}")).alias(f"root_{t}"), leaves(F.col(f"tree_{t}")).alias(f"leaves_{t}"), F.col(f"tree_{t}"))])
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[x for t in ("text", "edited", "next") for x in (tree(F.col(t)).alias(f"tree_{t}"), sketch(F.col(t)).alias(f"sketch_{t}"))])
+    rows = rows.select("*", *[root(F.col(f"tree_{t}")).alias(f"root_{t}") for t in ("text", "edited", "next")])
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256",
-        fingerprint(F.col("root_text"), F.col("tree_text")).alias("fingerprint"), fingerprint(F.col("root_edited"), F.col("tree_edited")).alias("edited_fingerprint"),
-        *[likeness(F.col("root_text"), F.col("leaves_text"), F.col(f"root_{t}"), F.col(f"leaves_{t}")).alias(f"near_{t}") for t in ("edited", "next")],
+        "doc_id", "n_chars", "edited_sha256", *[fingerprint(F.col(f"root_{t}"), F.col(f"tree_{t}"), F.col(f"sketch_{t}")).alias(c) for t, c in (("text", "fingerprint"), ("edited", "edited_fingerprint"))],
+        *[likeness(F.col("root_text"), F.col("sketch_text"), F.col(f"root_{t}"), F.col(f"sketch_{t}")).alias(f"near_{t}") for t in ("edited", "next")],
     )
