@@ -21,7 +21,7 @@ def _key(r):
 
 
 def test_equals_brute_force(spark):
-    want = sorted(d.brute_force(DOCS, [i for i in ITEMS if i[0] and i[1]]), key=_key)
+    want = sorted(d.brute_force(DOCS, ITEMS), key=_key)
     assert sorted([(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in _found(spark).collect()], key=_key) == want
 
 
@@ -38,6 +38,18 @@ def test_removal(spark):
     assert cut[2] == "a , " and cut[7] == "y " * 400 + " " and cut[3] in (None, "")
 
 
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    for c in ("n_hit", "N_WORDS", "items", "spans", "k0", "k1", "k2", "row", "words_hit", "a.b", "value"):
+        docs = docs.withColumn(c, d.F.lit(c))
+    items = spark.createDataFrame(ITEMS, "item_id string, text string")
+    for limit in (1 << 30, 100):
+        kept = d.without_contaminated(docs, items, broadcast_bytes=limit)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {3, 4, 5, 7}
+        assert all(r["k1"] == "k1" and r["a.b"] == "a.b" and r["n_hit"] == "n_hit" for r in kept.collect())
+    assert d.without_spans(docs, items).columns == docs.columns
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id string, text string")
     assert d.scan(docs, items).count() == 0

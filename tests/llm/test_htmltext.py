@@ -13,7 +13,7 @@ def test_labelled_pages_not_trained_on():
         page, labels = h.labelled_page(seed)
         found = h.blocks(page, paths)
         assert len(found) == len(labels)
-        got = model.decode([paths.score(b[1]) + model.of(h.text_features(b, k, len(found))) for k, b in enumerate(found)])
+        got = model.decode([b[1] + model.of(h.text_features(b, k, len(found))) for k, b in enumerate(found)])
         wrong, total = wrong + sum(a != b for a, b in zip(got, labels)), total + len(labels)
     assert wrong / total < 0.02
 
@@ -72,3 +72,27 @@ def test_media_in_an_article():
 def test_formulas_are_text():
     formula = "<math><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow></math>"
     assert _one(PAGE.replace("Second one", f"Second {formula} one")) == _one(PAGE).replace("Second one", "Second a+b one")
+
+
+HAND = [  # labelled by hand, in layouts that the generator doesn't make
+    ("<body><div><h1>Tide tables</h1><p>The harbour office prints new tables every spring, and the pilots keep the old ones.</p><p>Nobody throws them away, since the margins are full of notes.</p></div><div><h3>Comments</h3><div><div>Ana</div><p>My father kept forty years of them in a drawer.</p></div><div><div>Ole</div><p>Ours burned with the boathouse, a great pity.</p></div></div></body>",
+     "Tide tables\n\nThe harbour office prints new tables every spring, and the pilots keep the old ones.\n\nNobody throws them away, since the margins are full of notes."),
+    ("<html><body><main><article><h1>Bread</h1><p>Mix flour, water and salt, and leave the dough alone for a night.</p><h2>Baking</h2><p>The oven should be as hot as it gets, with a stone in it.</p></article></main><footer><p>Terms and privacy</p></footer></body></html>",
+     "Bread\n\nMix flour, water and salt, and leave the dough alone for a night.\n\nBaking\n\nThe oven should be as hot as it gets, with a stone in it."),
+    ("<body><nav><a href=/>Home</a> <a href=/x>News</a></nav><article><h1>Lights out</h1><p>The old lighthouse went dark on Sunday after more than a hundred years of work.</p><p>A keeper will stay, to mind the garden and the goats.</p></article><section><h2>12 comments</h2><p>I will miss it when I sail home at night.</p><p>So will I, and my brother too.</p></section></body>",
+     "Lights out\n\nThe old lighthouse went dark on Sunday after more than a hundred years of work.\n\nA keeper will stay, to mind the garden and the goats."),
+]
+
+
+def test_pages_labelled_by_hand():
+    for page, text in HAND:
+        assert _one(page) == text
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ('<a "' * 250_000, "<a \"'" * 200_000 + ">", "<p title='" * 100_000 + "x", "<!" * 300_000, "<noscript>" * 100_000, "<template><p>x" * 50_000, "".join(f'<div class="c{k}">' for k in range(20_000)) + "text", "<p>x" * 200_000, "</x>" * 200_000, "<iframe src='" * 80_000):
+        began = time.process_time()
+        assert isinstance(_one(page), str)
+        assert time.process_time() - began < 4, page[:20]

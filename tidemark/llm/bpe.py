@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .common import named
 
 #: Cached slices of one Python worker, about 50 MB at most; a full cache starts anew.
 CACHE_ENTRIES = 150_000
@@ -282,7 +283,7 @@ def encode_digest(documents: DataFrame, rank_file: str, text: str = "text", keep
 
 def _encoded(documents: DataFrame, rank_file: str, text: str, keep: tuple[str, ...], full: bool) -> DataFrame:
     name = _located(documents.sparkSession, rank_file)
-    rows = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = documents.select(*[c.alias(f"k{i}") for i, c in enumerate(named(keep))], F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(SparkFiles.get(name))
@@ -305,7 +306,7 @@ def _encoded(documents: DataFrame, rank_file: str, text: str, keep: tuple[str, .
     names = [f.name for f in kept] + ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids", "piece_starts"] * full
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + ["n_tokens long, ids_sha256 string, decoded_sha256 string"] + ["token_ids array<int>, piece_starts array<int>"] * full)
     out = rows.mapInArrow(run, schema)
-    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return out.toDF(*keep, *out.columns[len(keep) :])
 
 
 def decode(encoded: DataFrame, rank_file: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:

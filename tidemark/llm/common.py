@@ -45,6 +45,11 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.count() <= rows
 
 
+def named(columns) -> list[Column]:
+    """Columns by their names as they are, dots and spaces included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def unused(name: str, columns: list[str]) -> str:
     """A column name that no column of a table has, whatever its case."""
     taken = {c.lower() for c in columns}
@@ -58,9 +63,14 @@ def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small_enough(ids) else ids, key, "left_semi")
 
 
-def text_rows(documents: DataFrame, text: str, *kept: Column) -> DataFrame:
-    """Only the columns that an operator needs; null texts become empty."""
-    return documents.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("text"))
+_last: list = [None, None]
+
+
+def once(value, build: Callable):
+    """build(value), made once in a Python worker for a broadcast's value, not in each task."""
+    if _last[0] is not value:
+        _last[:] = value, build(value)
+    return _last[1]
 
 
 def held_out(doc_id: Column) -> Column:

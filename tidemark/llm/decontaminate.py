@@ -16,7 +16,8 @@ Edge cases: null or empty texts have no words and no hits; items without an id a
 hit but not listed; items whose text is null and items
 without words have no window; a repeated item row counts once, items with equal
 words each count; repeated document rows each give a row; an empty benchmark
-hits nothing.
+hits nothing, and an empty table gives no rows; a very long text is scanned whole, in a
+slice of its own; other columns may have any names, also those that a scan adds.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import stored, table
+from .common import named, once, stored, table, unused
 
 WINDOW = 13
 #: Item text that is broadcast at once.
 BROADCAST_BYTES = 32 << 20
+#: The columns that a scan adds.
+ADDED = ("n_words", "n_hit", "items", "spans")
 
 
 class Windows:
@@ -94,13 +97,13 @@ def _collected(part: DataFrame) -> list[tuple[str, str]]:
 
 def scan(
     documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-    item: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, with_spans: bool = False,
+    item: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, with_spans: bool = False, to: tuple[str, str, str, str] = ADDED,
 ) -> DataFrame:
     """Per document row: the kept columns, n_words, n_hit, items (sorted ids of the
     items with a window in it), and with_spans also spans, the hit character
-    ranges as array<struct<start,end>> in UTF-8 bytes."""
+    ranges as array<struct<start,end>> in UTF-8 bytes. to: other names for the four."""
     spark = documents.sparkSession
-    rows = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = documents.select(*[c.alias(f"k{i}") for i, c in enumerate(named(keep))], F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = _parts(benchmark, item, item_text, broadcast_bytes)
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
     many = len(parts) > 1
@@ -113,7 +116,7 @@ def scan(
         held = spark.sparkContext.broadcast(_collected(part))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            windows = Windows(held.value, window)
+            windows = once(held.value, lambda items: Windows(items, window))
             for batch in batches:
                 for piece, data, offsets in tv.slices(batch):
                     starts, ends, owner, hit, words, items = windows.scan(data, offsets)
@@ -142,23 +145,25 @@ def scan(
         ).withColumn("n_hit", F.size("words_hit").cast("long")).select(*kept, "n_words", "n_hit", "items", "words_hit")
     if spans and not with_spans:
         out = out.drop("words_hit")
-    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)} | {"words_hit": "spans"})
+    return out.toDF(*keep, *to[: len(out.columns) - len(keep)])
 
 
-def contaminated() -> F.Column:
+def contaminated(n_words: str = "n_words", n_hit: str = "n_hit") -> F.Column:
     """The rule of the contract: at least a twentieth of the words is hit."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, all columns as they are, that aren't contaminated."""
-    marked = scan(documents, benchmark, keep=tuple(documents.columns), **options)
-    return marked.where(~contaminated()).select(*documents.columns)
+    to = tuple(unused(c, documents.columns) for c in ADDED)
+    marked = scan(documents, benchmark, keep=tuple(documents.columns), to=to, **options)
+    return marked.where(~contaminated(*to[:2])).select(*named(documents.columns))
 
 
 def without_spans(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The documents with the hit words cut from their texts instead; whole documents stay."""
-    marked = scan(documents, benchmark, keep=tuple(documents.columns), text=text, with_spans=True, **options)
+    to = tuple(unused(c, documents.columns) for c in ADDED)
+    marked = scan(documents, benchmark, keep=tuple(documents.columns), text=text, with_spans=True, to=to, **options)
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -175,7 +180,7 @@ def without_spans(documents: DataFrame, benchmark: DataFrame, *, text: str = "te
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans)])
 
-    return marked.withColumn(text, cut(text, "spans")).select(*documents.columns)
+    return marked.withColumn(text, cut(text, to[3])).select(*named(documents.columns))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +198,7 @@ def brute_force(documents: list[tuple], items: list[tuple], window: int = WINDOW
     for item, text in items:
         w = split(text)
         n = min(window, len(w))
-        windows += [(str(item), w[k : k + n]) for k in range(len(w) - n + 1)] if n else []
+        windows += [(None if item is None else str(item), w[k : k + n]) for k in range(len(w) - n + 1)] if n else []
     out = []
     for doc, text in documents:
         w = split(text)
@@ -202,8 +207,6 @@ def brute_force(documents: list[tuple], items: list[tuple], window: int = WINDOW
             for k in range(len(w) - len(x) + 1):
                 if w[k : k + len(x)] == x:
                     hit |= set(range(k, k + len(x)))
-                    found.add(item)
+                    found |= {item} - {None}
         out.append((doc, len(w), len(hit), sorted(found)))
     return out
-
-

@@ -16,8 +16,14 @@ text, but those of formulas (math) are; a self-closing or unclosed media or embe
 element is empty; character references are decoded; white space inside a block becomes one
 space; <br> counts as white space; blocks are joined by a blank line.
 
+Reader comments are told by names of their elements, or by a short heading that
+announces them: what follows it within the heading's parent has a feature of its own.
+
 Edge cases: null or empty html, and pages without main text, give an empty text;
-broken markup never raises; repeated rows each give a row.
+broken markup never raises, and a page with a quote that is never closed is read with
+tags that end before the next one starts; very long and deeply nested pages take time in
+proportion to their length; blocks whose scores tie are boilerplate; repeated rows each
+give a row; an empty table gives no rows; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -34,9 +40,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import table
+from .common import named, table
 
-_TAG = re.compile(r"""<!--|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
+_OPEN = re.compile(r"<!--|<!\[CDATA\[|<[!?]|</?[a-zA-Z]")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>""")
+#: Of a page in which a quote is never closed: no tag reaches over the next one's start.
+_SHORT_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*)((?>[^>"'<]+|"[^"<]*"|'[^'<]*'|["'])*+)>""")
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br math mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mphantom mfenced menclose merror mmultiscripts mprescripts semantics annotation annotation-xml maction".split())
@@ -49,45 +58,73 @@ ENDLESS = frozenset("script style title".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table body html div article section main aside nav header footer".split())
 _LEXICON = ("cookie", "consent", "subscribe", "newsletter", "copyright", "©", "rights", "reserved", "advert", "advertisement", "sponsored", "share", "comment", "comments", "reply", "login", "sign", "search", "menu", "related", "privacy", "terms")
-MAX_PATHS = 20_000
+#: A short heading that stands above readers' comments (in four languages).
+_COMMENTS = re.compile(r"(\d+ |(leave|post|write|add) an? |reader |all )*(comments?|replies|responses|reply|discussion|comentarios|kommentare|commentaires)( \(?\d+\)?)?:?", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+MAX_NAMES = 20_000
 
 
 class Paths:
-    """Ancestor paths of blocks, numbered; each path's features and weights are found once."""
+    """Features of elements, found once for each tag and its attributes; with weights, blocks get sums instead."""
 
     def __init__(self, weights: Model | None = None):
         self.weights = weights
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[tuple[int, str, str], int] = {}
-        self.features: list[frozenset[str]] = [frozenset()]
-        self.scores: list[float | None] = [0.0]
+        self.known: dict[tuple[str, str], tuple[str, ...]] = {}
 
-    def child(self, parent: int, tag: str, attributes: str) -> int:
-        key = (parent, tag, attributes if "=" in attributes else "")
-        found = self.number.get(key)
+    def of(self, tag: str, attributes: str) -> tuple[str, ...]:
+        key = (tag, attributes if "=" in attributes else "")
+        found = self.known.get(key)
         if found is None:
             own = {f"tag:{tag}"}
-            for name, value in _ATTRIBUTE.findall(attributes) if key[2] else ():
+            for name, value in _ATTRIBUTE.findall(attributes) if key[1] else ():
                 for word in _WORD.findall(html.unescape(value)):
                     own |= {f"name:{word.lower()}", f"begins:{word.lower()[:5]}"} if name.lower() != "role" else {f"role:{word.lower()}"}
-            found = self.number[key] = len(self.features)
-            self.features.append(self.features[parent] | own)
-            self.scores.append(None)
+            if len(self.known) >= MAX_NAMES:
+                self.known.clear()
+            found = self.known[key] = tuple(sorted(own))
         return found
 
-    def score(self, path: int) -> float:
-        if self.scores[path] is None:
-            self.scores[path] = self.weights.of(self.features[path])
-        return self.scores[path]
+
+class _Stack:
+    """Open elements, and how often each feature occurs among them."""
+
+    def __init__(self, paths: Paths):
+        self.paths, self.get = paths, paths.weights.weights.get if paths.weights else None
+        self.tags: list[str] = []
+        self.own: list[tuple[str, ...]] = []
+        self.sums: list[float] = [0.0]
+        self.counts: dict[str, int] = {}
+
+    def push(self, tag: str, attributes: str) -> None:
+        own, total = self.paths.of(tag, attributes), self.sums[-1]
+        for f in own:
+            n = self.counts.get(f, 0)
+            self.counts[f] = n + 1
+            if not n and self.get:
+                total += self.get(f, 0.0)
+        self.tags.append(tag)
+        self.own.append(own)
+        self.sums.append(total)
+
+    def cut(self, depth: int) -> None:
+        """Closes the elements from this depth on."""
+        for own in self.own[depth:]:
+            for f in own:
+                self.counts[f] -= 1
+        del self.tags[depth:], self.own[depth:], self.sums[depth + 1 :]
+
+    def context(self, *more: str):
+        """What a block here has of its ancestors: the sum of their features' weights, or the features."""
+        if self.get:
+            return self.sums[-1] + sum(self.get(f, 0.0) for f in more)
+        return frozenset([f for f, n in self.counts.items() if n] + list(more))
 
 
 def _closings(page: str, tag: str) -> dict[int, int]:
     """The end of each element of that name by its start; none for those that nothing closes."""
     ends: dict[int, int] = {}
     opened: list[int] = []
-    for m in re.compile(rf"""<(/?){tag}(?![^\s/>])((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.I).finditer(page):
+    for m in re.compile(rf"""<(/?){tag}(?![^\s/>])((?>[^>"'<]+|"[^"<]*"|'[^'<]*')*+)>""", re.I).finditer(page):
         if not m[1]:
             if not m[2].endswith("/"):
                 opened.append(m.start())
@@ -96,20 +133,30 @@ def _closings(page: str, tag: str) -> dict[int, int]:
     return ends
 
 
-def blocks(page: str, paths: Paths) -> list[tuple[str, int, str, int, int]]:
-    """The page's leaf blocks: text, path, own tag, letters of link text, controls inside."""
-    out: list[tuple[str, int, str, int, int]] = []
-    stack: list[tuple[str, int]] = []
+def blocks(page: str, paths: Paths) -> list[tuple[str, object, str, int, int]]:
+    """The page's leaf blocks: text, context of ancestors, own tag, letters of link text,
+    controls inside. Every character is looked at a bounded number of times."""
+    out: list[tuple[str, object, str, int, int]] = []
+    stack = _Stack(paths)
+    tags = stack.tags
     text: list[str] = []
     linked = controls = links = 0
+    under = -1  # depth of the element in which a heading announced comments
     closings: dict[str, dict[int, int]] = {}
+    lasts: dict[str, int] = {}
+    tag_at, end_of_tags = _TAG, page.rfind(">")
     at, n = 0, len(page)
 
     def flush() -> None:
-        nonlocal linked, controls
+        nonlocal linked, controls, under
+        if under > len(tags):
+            under = -1
         if text:
             if whole := " ".join("".join(text).split()):
-                out.append((whole, stack[-1][1] if stack else 0, stack[-1][0] if stack else "", linked, controls))
+                tag = tags[-1] if tags else ""
+                if under < 0 and tag in HEADINGS and len(whole) < 40 and _COMMENTS.fullmatch(whole):
+                    under = len(tags) - 1
+                out.append((whole, stack.context("under:comments") if under >= 0 else stack.context(), tag, linked, controls))
             text.clear()
         linked = controls = 0
 
@@ -121,32 +168,50 @@ def blocks(page: str, paths: Paths) -> list[tuple[str, int, str, int, int]]:
         if links:
             linked += len(part)
 
+    def end_of(tag: str) -> re.Match | None:
+        """The next closing tag of a raw element, looked for only if there is one."""
+        if tag not in lasts:
+            lasts[tag] = max((m.start() for m in re.compile(f"</{tag}\\b", re.I).finditer(page)), default=-1)
+        return re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at) if at <= lasts[tag] <= end_of_tags else None
+
     while at < n:
-        m = _TAG.search(page, at)
+        m = _OPEN.search(page, at) if at <= end_of_tags else None
         if m is None:
             add(page[at:])
             break
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        if m[2] is None:
-            if m[0] == "<!--":
-                to = page.find("-->", at)
-                at = n if to < 0 else to + 3
-            elif m[0] == "<![CDATA[":
-                to = page.find("]]>", at)
-                at = n if to < 0 else to + 3
+        if m[0] in ("<!--", "<![CDATA["):
+            to = page.find("-->" if m[0] == "<!--" else "]]>", at)
+            at = n if to < 0 else to + 3
+            continue
+        if m[0] in ("<!", "<?"):
+            to = page.find(">", at)
+            if to < 0:
+                add(m[0])
+            at = at if to < 0 else to + 1
             continue
+        found = tag_at.match(page, m.start())
+        if found is None:
+            tag_at = _SHORT_TAG
+            found = tag_at.match(page, m.start())
+        if found is None:
+            add("<")
+            at = m.start() + 1
+            continue
+        m, at = found, found.end()
         tag = m[2].lower()
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
             if tag not in INLINE:
                 flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if stack.counts.get(f"tag:{tag}"):
+                    k = len(tags) - 1
+                    while tags[k] != tag:
+                        k -= 1
+                    stack.cut(k)
             continue
         if tag in RAW:
             if tag in EMBEDS:
@@ -154,10 +219,10 @@ def blocks(page: str, paths: Paths) -> list[tuple[str, int, str, int, int]]:
                     closings[tag] = _closings(page, tag)
                 at = closings[tag].get(m.start(), at)
                 continue
-            end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
+            end = end_of(tag)
             if tag == "head":
-                body = re.compile(r"<body\b", re.I).search(page, at)
-                if body and (end is None or body.start() < end.start()):
+                body = re.compile(r"<body\b", re.I).search(page, at, end.start() if end else n)
+                if body:
                     at = body.start()
                     continue
             if end:
@@ -179,15 +244,16 @@ def blocks(page: str, paths: Paths) -> list[tuple[str, int, str, int, int]]:
             continue
         flush()
         links = 0
-        if tag not in ("p",) and stack and stack[-1][0] == "p" or tag == "p" and stack and stack[-1][0] == "p":
-            stack.pop()
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in _CLOSES.get(tag, ()):
-                del stack[k:]
+        if tags and tags[-1] == "p":
+            stack.cut(len(tags) - 1)
+        closes = _CLOSES.get(tag, ())
+        for k in range(len(tags) - 1, -1, -1) if any(stack.counts.get(f"tag:{c}") for c in closes) else ():
+            if tags[k] in closes:
+                stack.cut(k)
                 break
-            if stack[k][0] in _SCOPE:
+            if tags[k] in _SCOPE:
                 break
-        stack.append((tag, paths.child(stack[-1][1] if stack else 0, tag, m[3])))
+        stack.push(tag, m[3])
     flush()
     return out
 
@@ -242,10 +308,8 @@ class Model:
 
 
 def extract(page: str, model: Model, paths: Paths) -> str:
-    if len(paths.features) > MAX_PATHS:
-        paths.clear()
     found = blocks(page, paths)
-    scores = [paths.score(b[1]) + model.of(text_features(b, k, len(found))) for k, b in enumerate(found)]
+    scores = [b[1] + model.of(text_features(b, k, len(found))) for k, b in enumerate(found)]
     return "\n\n".join(b[0] for b, label in zip(found, model.decode(scores)) if label)
 
 
@@ -255,7 +319,7 @@ def train(pages: list[tuple[str, list[int]]], *, rounds: int = 150, rate: float
     for page, labels in pages:
         found = blocks(page, paths)
         assert len(found) == len(labels), "one label for each leaf block"
-        rows.append(([[number.setdefault(f, len(number)) for f in {*paths.features[b[1]], *text_features(b, k, len(found))}] for k, b in enumerate(found)], labels))
+        rows.append(([[number.setdefault(f, len(number)) for f in {*b[1], *text_features(b, k, len(found))}] for k, b in enumerate(found)], labels))
     longest = max(len(x[1]) for x in rows)
     flat = np.concatenate([np.array(f) for x in rows for f in x[0]])
     owner = np.concatenate([np.full(len(f), p * longest + k) for p, x in enumerate(rows) for k, f in enumerate(x[0])])
@@ -360,13 +424,16 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
         around("form", r.choice(["", name("search", "login", "signup", "contact")]), inside)
 
     def comments() -> None:
+        plain = r.random() < 0.4  # told by their heading only
+        said = r.choice(["Comments", "{} comments", "Comments ({})", "Discussion", "Responses", "Leave a reply", "Reader comments", "Comentarios", "Kommentare", "Commentaires"]).format(r.randint(1, 99))
+
         def inside() -> None:
-            leaf(r.choice(["h2", "h3"]), r.choice(["Comments", words(1, 3, False)]), 0)
+            leaf(r.choice(["h2", "h3", "h4"]), said if plain or r.random() < 0.5 else words(1, 3, False), 0)
             for _ in range(r.randint(1, 5)):
                 kind = r.choice(["li", "div", "article"])
-                around(kind, name("comment", "reply", "comment-body"), lambda: [leaf("p", prose(), 0), r.random() < 0.5 and leaf("div", r.choice(["Reply", words(1, 2, False)]), 0)])
+                around(kind, "" if plain else name("comment", "reply", "comment-body"), lambda: [plain and r.random() < 0.5 and leaf("div", words(1, 2, False), 0), leaf("p", prose(), 0), r.random() < 0.5 and leaf("div", r.choice(["Reply", words(1, 2, False)]), 0)])
 
-        around(r.choice(["section", "div", "ol", "ul"]), name("comments", "discussion", "responses", "replies", "disqus", "reviews", "commentlist"), inside)
+        around(r.choice(["section", "div", "ol", "ul"]), "" if plain else name("comments", "discussion", "responses", "replies", "disqus", "reviews", "commentlist"), inside)
 
     def footer() -> None:
         def inside() -> None:
@@ -441,7 +508,7 @@ def default_model(pages: int = 500) -> Model:
 def extract_text(pages: DataFrame, model: Model | None = None, *, page: str = "html", keep: tuple[str, ...] = ("page_id", "url"), to: str = "text") -> DataFrame:
     """The kept columns of every row and the main text of its page."""
     held = pages.sparkSession.sparkContext.broadcast(model or default_model())
-    rows = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(page), F.lit("")).alias("text"))
+    rows = pages.select(*[c.alias(f"k{i}") for i, c in enumerate(named(keep))], F.coalesce(F.col(page), F.lit("")).alias("text"))
     names = [f"k{i}" for i in range(len(keep))] + ["value"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,7 +518,7 @@ def extract_text(pages: DataFrame, model: Model | None = None, *, page: str = "h
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([extract(x, held.value, paths) for x in part.column("text").to_pylist()], pa.string())], names)
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["value string"])
-    return rows.mapInArrow(run, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)} | {"value": to})
+    return rows.mapInArrow(run, schema).toDF(*keep, to)
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

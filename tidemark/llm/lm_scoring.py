@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import small_enough, stored, table
+from .common import named, small_enough, stored, table
 
 #: Entries of the dense table of bigrams, with the start mark and one for all other words.
 FREQUENT = 2048
@@ -264,7 +264,7 @@ def _rest_losses(rows: DataFrame, words: Vocabulary, target: Model, background:
 
 def score(documents: DataFrame, words: Vocabulary, target: Model, background: Model, rest: Rest | None = None, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns of every row and n_words, target_loss, background_loss (means) and difference."""
-    rows = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = documents.select(*[c.alias(f"k{i}") for i, c in enumerate(named(keep))], F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select(*rows.columns[:-1], F.xxhash64("text").alias("id"), "text")
     kept = [f"k{i}" for i in range(len(keep))]
     added = ["n_words", "others", "target_loss", "background_loss"]
@@ -293,7 +293,8 @@ def score(documents: DataFrame, words: Vocabulary, target: Model, background: Mo
         sums = [x + F.coalesce(F.col(f"{k}_rest") * F.col("others") / F.col("n"), F.lit(0.0)) for x, k in zip(sums, ("target", "background"))]
     means = [x / F.greatest(F.col("n_words"), F.lit(1)) for x in sums]
     made = made.select(*kept, "n_words", means[0].alias("target_loss"), means[1].alias("background_loss"))
-    return made.withColumn("difference", F.col("target_loss") - F.col("background_loss")).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    made = made.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
+    return made.toDF(*keep, *made.columns[len(keep) :])
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

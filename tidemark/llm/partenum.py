@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import drop_folder, scratch, semi, small_enough, stored, table, unused
+from .common import drop_folder, named, scratch, semi, small_enough, stored, table, unused
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -483,7 +483,7 @@ def one_of_each(documents: DataFrame, *, text: str = "text", doc_id: str = "doc_
     if several.limit(1).count():
         number, wordless = unused("_number", documents.columns), F.col(doc_id).isNull() & ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
         rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(doc_id, own).orderBy(own))).where((F.col(number) == 1) | wordless)
-    return rows.select(*documents.columns)
+    return rows.select(*named(documents.columns))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

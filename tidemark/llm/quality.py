@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import held_out, labelled_sample, stored, table
+from .common import held_out, labelled_sample, named, stored, table
 
 BUCKETS = 1 << 18
 SAMPLE_ROWS = 4000
@@ -141,7 +141,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", samp
 
 def score(documents: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), to: str = "score") -> DataFrame:
     """The kept columns of every row and the score of its whole text."""
-    rows = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = documents.select(*[c.alias(f"k{i}") for i, c in enumerate(named(keep))], F.coalesce(F.col(text), F.lit("")).alias("text"))
     held = documents.sparkSession.sparkContext.broadcast(model)
     names = [f"k{i}" for i in range(len(keep))] + ["value"]
 
@@ -151,7 +151,7 @@ def score(documents: DataFrame, model: Model, *, text: str = "text", keep: tuple
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(held.value.scores(part.column("text").to_pylist()), pa.float64())], names)
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["value double"])
-    return rows.mapInArrow(run, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)} | {"value": to})
+    return rows.mapInArrow(run, schema).toDF(*keep, to)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import table
+from .common import named, once, table
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -113,17 +113,17 @@ def count_tokens(documents: DataFrame, pieces: list[tuple[str, float]], *, text:
     """The kept columns of every row and the token count of its whole text. The
     vocabulary (a tokenizer's, not the data's) travels by broadcast."""
     held = documents.sparkSession.sparkContext.broadcast(pieces)
-    rows = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = documents.select(*[c.alias(f"k{i}") for i, c in enumerate(named(keep))], F.coalesce(F.col(text), F.lit("")).alias("text"))
     names = [f"k{i}" for i in range(len(keep))] + ["value"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(held.value)
+        counter = once(held.value, Counter)
         for batch in batches:
             for part, _, _ in tv.slices(batch):
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([counter.count(x) for x in part.column("text").to_pylist()], pa.int64())], names)
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["value long"])
-    return rows.mapInArrow(run, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)} | {"value": to})
+    return rows.mapInArrow(run, schema).toDF(*keep, to)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
