@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as
 Parquet to the shared folder and reads it again for the next one. All stages but
 the last return the columns of documents.
+
+Edge cases: null and empty texts are scored, kept or dropped by the models' bias, link
+with nothing, are not contaminated and have no tokens; very long texts are worked on
+whole; of rows that repeat, one stays from the third stage on; ties go by doc_id, then
+by the text's hash; of an empty table no rows come; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, partenum, quality, toxicity
-from tidemark.llm.common import drop_folder, scratch, stored, table
+from tidemark.llm.common import drop_folder, named, scratch, stored, table, unused
 
 TOXIC, GOOD = 0.5, 0.3
 
@@ -19,20 +24,22 @@ TOXIC, GOOD = 0.5, 0.3
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score TOXIC or more go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, keep=tuple(docs.columns), to="_score")
-    return scored.where(F.col("_score") < TOXIC).select(*docs.columns)
+    score = unused("score", docs.columns)
+    scored = toxicity.score(docs, model, keep=tuple(docs.columns), to=score)
+    return scored.where(F.col(score) < TOXIC).select(*named(docs.columns))
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score less than GOOD go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, keep=tuple(docs.columns), to="_score")
-    return scored.where(F.col("_score") >= GOOD).select(*docs.columns)
+    score = unused("score", docs.columns)
+    scored = quality.score(docs, model, keep=tuple(docs.columns), to=score)
+    return scored.where(F.col(score) >= GOOD).select(*named(docs.columns))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that of the least id."""
-    return partenum.one_of_each(docs).select(*docs.columns)
+    return partenum.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
