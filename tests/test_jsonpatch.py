@@ -45,3 +45,11 @@ def test_bad_patches(patch):
 
 def test_true_is_not_one():
     assert jp.diff({"a": True}, {"a": 1}) == [{"op": "replace", "path": "/a", "value": 1}] and jp.diff({"a": 1}, {"a": 1.0}) == []
+
+
+def test_numbers_are_written_as_they_were_read():
+    text = '{"a":12345678901234567890.123,"b":1.10,"c":[1e5,-0.0,7],"d":{"é":"x"}}'
+    assert jp.dump(jp.parse(text)) == text
+    assert jp.dump(jp.apply(jp.parse('{"z":1.50}'), '[{"op":"add","path":"/y","value":2.500}]')) == '{"z":1.50,"y":2.500}'
+    assert jp.diff(jp.parse("{\"a\":1.10}"), jp.parse("{\"a\":1.1}")) == []
+    assert len(jp.diff(jp.parse('{"a":12345678901234567890.123}'), jp.parse('{"a":12345678901234567890.124}'))) == 1

@@ -72,3 +72,13 @@ def all_streams(df: DataFrame, anchors: DataFrame) -> DataFrame:
     """Streams that have rows or an anchor."""
     keys = ["entity_type", "entity_id", "tenant"]
     return df.select("entity_type", "entity_id", tenant().alias("tenant")).unionByName(anchors.select(*keys)).distinct()
+
+
+def oversized(df: DataFrame, rows: int) -> DataFrame:
+    """Groups of (type, entity, tenant) with more rows than that; null and '' are two tenants."""
+    return df.groupBy("entity_type", "entity_id", "tenant_id").agg(F.count("*").alias("total")).where(F.col("total") > rows)
+
+
+def batch_summary(df: DataFrame) -> DataFrame:
+    """Per stream of a batch: its last row's id and how many rows came."""
+    return df.groupBy("entity_type", "entity_id", tenant().alias("tenant")).agg(F.max_by("id", F.struct("occurred_on_utc", "id")).alias("last_id"), F.count("*").alias("added"))

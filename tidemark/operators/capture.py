@@ -101,11 +101,13 @@ def capture(before: DataFrame, after: DataFrame, config: EntityConfig) -> DataFr
     """(entity_type, entity_base_type, entity_id, action, diff, snapshot, before_json,
     after_json) of every record that came, changed or went. A record of which only
     excluded or redacted columns changed gives a row with an empty diff. Properties
-    are compared as columns; the diff is flat: one operation for each property."""
+    are compared as columns; the diff is flat: one operation for each property. A column
+    that one image lacks is null there."""
     from ..functions.jsonpatch import escape
 
-    keys, names = list(config.keys), [c for c in before.columns if c not in config.keys]
-    kinds = dict(before.dtypes)
+    keys, kinds = list(config.keys), dict(after.dtypes) | dict(before.dtypes)
+    before, after = (x.withColumns({c: F.lit(None).cast(kinds[c]) for c in y.columns if c not in x.columns}) for x, y in ((before, after), (after, before)))
+    names = [c for c in before.columns if c not in config.keys]
     one = before.select(*keys, F.struct(*names).alias("b"))
     two = after.select(*keys, F.struct(*names).alias("a"))
     rows = one.join(two, keys, "full_outer")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import is_json, quoted
-from ..schema import action_name, iso
+from ..schema import ACTIONS, AUDIT_LOG, action_name, iso
 
 # fixed values: property names of the export and the columns they show, in order
 PROPERTIES = (
@@ -39,7 +39,13 @@ def write_ndjson(df: DataFrame, path: str) -> None:
 
 
 def read_ndjson(spark, path: str) -> DataFrame:
+    """An exported log, with the log's types."""
     raw = spark.read.text(path)
     names = ", ".join(f"{name} string" for name, _ in PROPERTIES)
     parsed = raw.select(F.from_json("value", names).alias("r"))
-    return parsed.select(*[F.col(f"r.{name}").alias(column) for name, column in PROPERTIES])
+    kinds = dict(c.split() for c in AUDIT_LOG.split(", "))
+    made = {
+        "action": F.when(F.col("r.action").isin(*ACTIONS), F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("r.action")) - 1),
+        "occurred_on_utc": F.to_timestamp_ntz(F.substring("r.occurredOnUtc", 1, 26), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
+    }
+    return parsed.select(*[made.get(column, F.col(f"r.{name}")).cast(kinds[column]).alias(column) for name, column in PROPERTIES])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical as cn
 from ..plans.fold import fold_sorted
-from ..schema import STREAM, tenant
+from ..schema import STREAM, HistoryError, tenant
 
 REASONS = ("MissingHashAfterChainStart", "BrokenLink", "UnknownKey", "ContentMismatch", "Truncated")
 ANCHOR = "entity_type string, entity_id string, tenant string, latest_entry_hash string, row_count long, key_id int, pruned_row_count long, pruned_through_hash string"
@@ -147,6 +147,10 @@ def pruned_anchors(anchors: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def valid_anchors(anchors: DataFrame) -> DataFrame:
-    """Anchors that can be true: counts that aren't negative, and both or none of the pruning marks."""
+    """The anchors, if all of them can be true: counts that aren't negative, and both or none
+    of the pruning marks. Raises otherwise, since a stream without its anchor could be cut short unseen."""
     both = (F.col("pruned_row_count") > 0) == F.col("pruned_through_hash").isNotNull()
-    return anchors.where((F.col("row_count") > 0) & (F.col("pruned_row_count") >= 0) & (F.col("pruned_row_count") <= F.col("row_count")) & both)
+    good = (F.col("row_count") > 0) & (F.col("pruned_row_count") >= 0) & (F.col("pruned_row_count") <= F.col("row_count")) & both
+    if bad := anchors.where(~F.coalesce(good, F.lit(False))).limit(1).collect():
+        raise HistoryError(f"an anchor that can't be true: {bad[0].asDict()}")
+    return anchors

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonpatch as jp
+from ..functions.canonical import quoted
 from ..plans.fold import fold_sorted
 from ..schema import DELETED, EMPTY_DIFF, INSERTED, SOFT_DELETED, STREAM, UPDATED, tenant
 from .filters import instant
 
-_OPS = "array<struct<op:string,path:string,value:variant>>"
+_OPS = "array<struct<op:string,path:string,value:{}>>"
 
 
 def _until(df: DataFrame, as_of) -> DataFrame:
@@ -22,12 +24,12 @@ def _until(df: DataFrame, as_of) -> DataFrame:
 def _from_snapshot(rows: DataFrame) -> DataFrame:
     """Drops what the freshest usable snapshot makes needless, before any fold; adds
     first_action and last_action of the whole stream."""
-    stream = Window.partitionBy(*STREAM).orderBy("occurred_on_utc", "id")
+    newest = Window.partitionBy(*STREAM).orderBy(F.desc("occurred_on_utc"), F.desc("id"))
     usable = F.col("snapshot").isNotNull() & F.col("action").isin(INSERTED, UPDATED)
-    whole = stream.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    later = stream.rowsBetween(1, Window.unboundedFollowing)
+    whole = newest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    later = newest.rowsBetween(Window.unboundedPreceding, -1)  # grows by a row at a time
     rows = rows.withColumns({
-        "first_action": F.first("action").over(whole), "last_action": F.last("action").over(whole),
+        "first_action": F.last("action").over(whole), "last_action": F.first("action").over(whole),
         "_later": F.coalesce(F.max(usable).over(later), F.lit(False)),
     })
     return rows.where(~F.col("_later")).drop("_later")
@@ -78,14 +80,26 @@ def is_flat(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.bool_and(flat & F.col("snapshot").isNull()), F.lit(True)).alias("flat"))
 
 
+def _operations(diffs: pd.Series) -> pd.Series:
+    return diffs.map(lambda d: [{"op": o["op"], "path": o["path"], "value": jp.dump(o.get("value"))} for o in jp.parse(d)])
+
+
 def reconstruct_flat(df: DataFrame, as_of) -> DataFrame:
     """(entity_type, entity_id, tenant, path, value): the state as properties, for
     histories of additions, replacements and removals at the top level and without
     snapshots (see is_flat). The last operation of a path decides, so no fold runs:
     one aggregation, combined before the shuffle. Deleted entities have no rows."""
     rows = _until(df, as_of)
-    ops = rows.select(*STREAM, "occurred_on_utc", "id", F.posexplode(F.from_json("diff", _OPS)).alias("place", "o"))
-    last = ops.groupBy(*STREAM, F.col("o.path").alias("path")).agg(F.max_by(F.struct(F.col("o.op").alias("op"), F.to_json("o.value").alias("value")), F.struct("occurred_on_utc", "id", "place")).alias("o"))
+    # Spark's reader would rewrite fractions and exponents, so diffs with such numbers are read in Python; the rest natively
+    rewritten = F.coalesce(F.col("diff").rlike("[0-9][.eE]"), F.lit(False))
+    head = [*STREAM, "occurred_on_utc", "id"]
+    texts, kinds = F.from_json("diff", _OPS.format("string")), F.from_json("diff", _OPS.format("variant"))
+    ops = rows.where(~rewritten).select(*head, F.posexplode(F.arrays_zip(texts.alias("t"), kinds.alias("k"))).alias("place", "o"))
+    value = F.when(F.schema_of_variant("o.k.value") == "STRING", quoted(F.col("o.t.value"))).otherwise(F.coalesce("o.t.value", F.lit("null")))
+    ops = ops.select(*head, "place", F.struct("o.t.op", "o.t.path", value.alias("value")).alias("o"))
+    exact = F.pandas_udf(_operations, _OPS.format("string"))
+    ops = ops.unionByName(rows.where(rewritten).select(*head, F.posexplode(exact("diff")).alias("place", "o")))
+    last = ops.groupBy(*STREAM, F.col("o.path").alias("path")).agg(F.max_by(F.struct("o.op", "o.value"), F.struct("occurred_on_utc", "id", "place")).alias("o"))
     alive = rows.groupBy(*STREAM).agg(F.max_by("action", F.struct("occurred_on_utc", "id")).alias("last")).where(~F.col("last").isin(DELETED, SOFT_DELETED)).drop("last")
     kept = last.where(F.col("o.op") != "remove").select(*STREAM, "path", F.col("o.value").alias("value"))
     return kept.join(alive, list(STREAM), "left_semi")

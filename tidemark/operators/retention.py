@@ -9,7 +9,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .filters import instant
+from .integrity import prunable, pruned_anchors
 
 MAX_ROWS_PER_SWEEP = 10_000
 
@@ -101,16 +103,29 @@ class SweepOptions:
     max_rows: int = MAX_ROWS_PER_SWEEP
     dry_run: bool = False
     archivers: list[Archiver] = field(default_factory=list)
+    #: Of a chained log: its anchors, and where to write those that hold after the sweep.
+    anchors: DataFrame | None = None
+    anchors_path: str | None = None
 
 
 def sweep(df: DataFrame, policy: Policy, now: dt.datetime, out_path: str, options: SweepOptions | None = None) -> int:
     """Archives what is due, then writes the survivors to a new path, which the caller
-    publishes. Archives come first: an interrupted sweep loses nothing. Returns the number of rows due."""
+    publishes. Archives come first: an interrupted sweep loses nothing. Of chained
+    streams only what keeps their chain whole is taken, and their anchors move. What
+    is due is decided once and stored. Returns the number of rows taken."""
     options = options or SweepOptions()
+    chained = options.anchors is not None
+    if chained and not options.dry_run and not options.anchors_path:
+        raise ValueError("the anchors of a chained log change, so they need a path")
     victims = expired(df, policy, now, options.max_rows)
+    if chained:
+        victims = prunable(victims, options.anchors)
     if options.dry_run:
         return dry_run(victims)
+    victims = stored(victims)
     for archive in options.archivers:
         archive(victims)
     survivors(df, victims).write.mode("errorifexists").parquet(out_path)
+    if chained:
+        pruned_anchors(options.anchors, victims).write.mode("errorifexists").parquet(options.anchors_path)
     return victims.count()

@@ -8,7 +8,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical as cn
@@ -65,7 +65,6 @@ filtered("tenant_scope_all", f.tenant_scope(f.AllTenants), "true")
 _CITY = " OR ".join(f"""contains(diff, '"op":"{v}","path":"/city{e}')""" for v in ("add", "remove", "replace", "move", "copy", "test") for e in ('"', "/"))
 filtered("changed_path", f.changed_path("/city"), _CITY)
 filtered("changed_path_nested", f.changed_path("/valueCode"), _CITY.replace("/city", "/valueCode"))
-filtered("import_batch_prefix", f.import_batch("x"), "starts_with(correlation_id, 'import:x')")
 
 # the history query
 _RICH = HistoryQuery(user_type="user", entity_types=("shop.Order", "shop.Session"), actions=(0, 1), from_utc=dt.datetime(2024, 1, 3), to_utc=dt.datetime(2024, 1, 28), changed_path="/city", take=50, skip=10)
@@ -99,7 +98,7 @@ on_log("top_actors", lambda df: ag.top_actors(df, 5), "SELECT user_id, count(*)
 on_log("distinct_users", ag.distinct_users, "SELECT DISTINCT user_id FROM audit_log WHERE user_id IS NOT NULL")
 _SIZES = "SELECT entity_type, entity_id, coalesce(tenant_id, '') AS tenant, count(*) AS total FROM audit_log GROUP BY 1, 2, 3"
 on_log("compaction_candidates", lambda df: compaction.candidates(df, 20, None), f"SELECT * FROM ({_SIZES}) WHERE total > 20")
-on_log("oversized_groups", lambda df: df.groupBy("entity_type", "entity_id", "tenant_id").agg(F.count("*").alias("total")).where("total > 15"), "SELECT entity_type, entity_id, tenant_id, count(*) AS total FROM audit_log GROUP BY 1, 2, 3 HAVING count(*) > 15")
+on_log("oversized_groups", lambda df: ag.oversized(df, 15), "SELECT entity_type, entity_id, tenant_id, count(*) AS total FROM audit_log GROUP BY 1, 2, 3 HAVING count(*) > 15")
 on_log("queue_depth", lambda df: ag.queue_depth(df.withColumn("error", F.when(F.col("action") == 2, "x"))), "SELECT count(*) FILTER (action <> 2) AS waiting, count(*) FILTER (action = 2) AS dead FROM audit_log")
 
 # views, events, keys and rules
@@ -267,7 +266,7 @@ _HEADS = """, s AS (SELECT *, coalesce(tenant_id, '') AS tenant, row_number() OV
 on_log("prune_heads", lambda df: _pruned(df)[0].select("id"), f"{_HEADS} SELECT id FROM d WHERE j = k")
 on_log("pruned_anchors", lambda df: (lambda r, a: integrity.pruned_anchors(a, r).select(*STREAM, "row_count", "pruned_row_count"))(*_pruned(df)), f"{_HEADS} SELECT entity_type, entity_id, tenant, count(*) AS row_count, (SELECT count(*) FROM d WHERE d.j = d.k AND d.entity_type = s.entity_type AND d.entity_id = s.entity_id AND d.tenant = s.tenant) AS pruned_row_count FROM s GROUP BY 1, 2, 3")
 on_log("all_streams", lambda df: ag.all_streams(df.where("tenant_id = 't1'"), df.where("user_type = 'job'").select("entity_type", "entity_id", tenant().alias("tenant")).distinct()), f"SELECT {_STREAMS} FROM audit_log WHERE tenant_id = 't1' UNION SELECT {_STREAMS} FROM audit_log WHERE user_type = 'job'")
-on_log("batch_summary", lambda df: df.groupBy("entity_type", "entity_id", tenant().alias("tenant")).agg(F.max_by("id", F.struct("occurred_on_utc", "id")).alias("last_id"), F.count("*").alias("added")), f"SELECT {_STREAMS}, max_by(id, occurred_on_utc) AS last_id, count(*) AS added FROM audit_log GROUP BY 1, 2, 3")
+on_log("batch_summary", ag.batch_summary, f"SELECT {_STREAMS}, max_by(id, occurred_on_utc) AS last_id, count(*) AS added FROM audit_log GROUP BY 1, 2, 3")
 
 
 # import and export
@@ -281,7 +280,8 @@ def _imported(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 _TAKEN = ", s AS (SELECT *, CAST(substr(id, 25) AS BIGINT) AS n FROM audit_log), t AS (SELECT * FROM s WHERE n % 4 = 0 OR n % 3 <> 0)"
 on_log("import_dedupe", lambda df: _imported(df)[1].select("id", "correlation_id", "diff", F.col("error").isNotNull().alias("failed")), f"""{_TAKEN} SELECT id, 'import:legacy' || CASE WHEN n % 4 <> 0 THEN '#' || CAST(n AS VARCHAR) ELSE '' END AS correlation_id,
  CASE WHEN n % 10 = 0 THEN '[]' ELSE '[{{"op":"replace","path":"/a","value":2}},{{"op":"replace","path":"/b/1","value":3}},{{"op":"add","path":"/b/2","value":4}},{{"op":"add","path":"/c","value":{{"d":null}}}}]' END AS diff, n % 10 = 0 AS failed FROM t""")
-on_log("import_result", lambda df: importer.result(*_imported(df)), f"{_TAKEN} SELECT count(*) FILTER (n % 10 <> 0) AS written, (SELECT count(*) FROM s) - count(*) AS skipped, count(*) FILTER (n % 10 = 0) AS dead_lettered FROM t")
+on_log("import_batch_prefix", lambda df: f.import_batch("legacy")(_imported(df)[1].unionByName(df)).select("id", "correlation_id"), f"{_TAKEN} SELECT id, 'import:legacy' || CASE WHEN n % 4 <> 0 THEN '#' || CAST(n AS VARCHAR) ELSE '' END AS correlation_id FROM t")
+on_log("import_result", lambda df: (lambda records, rows: importer.result(records, stored(rows)))(*_imported(df)), f"{_TAKEN} SELECT count(*) FILTER (n % 10 <> 0) AS written, (SELECT count(*) FROM s) - count(*) AS skipped, count(*) FILTER (n % 10 = 0) AS dead_lettered FROM t")
 _S = "coalesce('\"' || {0} || '\"', 'null')"
 on_log("ndjson_text", lambda df: export.ndjson(df).select("id", "line"), f"""SELECT id, '{{"id":"' || id || '","entityType":"' || entity_type || '","entityBaseType":' || {_S.format("entity_base_type")} || ',"entityId":"' || entity_id || '","action":"' || {_NAMES}
  || '","occurredOnUtc":"' || strftime(occurred_on_utc, '%Y-%m-%dT%H:%M:%S.%f') || '0Z","userId":' || {_S.format("user_id")} || ',"userDisplay":null,"userType":"' || user_type || '","tenantId":' || {_S.format("tenant_id")} || ',"correlationId":"' || correlation_id
@@ -289,14 +289,14 @@ on_log("ndjson_text", lambda df: export.ndjson(df).select("id", "line"), f"""SEL
 
 
 # streaming
-def _queue(spark: SparkSession, d: str, at: str) -> None:
+def _queue(spark: SparkSession, d: str, at: str, attempts: int = 4) -> None:
     """Customer changes as queue entries; the images of every 11th can't be read."""
     rows = _captured(spark, d, CUSTOMER)
     broken = F.col("entity_id").cast("long") % 11 == 0
     rows.select(
         F.concat(F.lit("q-"), "entity_id").alias("id"), "entity_type", "entity_base_type", "entity_id", "action", F.when(broken, "{").otherwise(F.col("before_json")).alias("before_json"), "after_json",
         F.lit("2024-01-30T00:00:00").cast("timestamp_ntz").alias("occurred_on_utc"), F.lit("u1").alias("user_id"), F.lit(None).cast("string").alias("user_display"), F.lit("job").alias("user_type"),
-        F.lit("t1").alias("tenant_id"), F.lit("corr").alias("correlation_id"), F.lit(4).alias("attempts"), F.lit(None).cast("string").alias("error"), F.lit('{"region":"eu","unknown":1}').alias("custom_columns_json"),
+        F.lit("t1").alias("tenant_id"), F.lit("corr").alias("correlation_id"), F.lit(attempts).alias("attempts"), F.lit(None).cast("string").alias("error"), F.lit('{"region":"eu","unknown":1}').alias("custom_columns_json"),
     ).repartition(3).write.parquet(at)
 
 
@@ -326,14 +326,70 @@ on_log("dispatch_lag", _lag, "SELECT id, greatest(0, date_diff('microsecond', oc
 
 
 def _cadence(spark: SparkSession, d: str) -> DataFrame:
+    """The whole log in four ranges of time, each of them micro-batches of their own."""
     from ..streaming.dispatch import snapshot_cadence
 
+    at, log = folder(spark), derived.audit_log(spark, d)
+    for k in range(4):
+        days = F.dayofmonth("occurred_on_utc") - 1
+        log.where(F.least(F.floor(days / 8), F.lit(3)) == k).repartition(2, "id").write.mode("append").parquet(f"{at}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/log")
+    snapshot_cadence(stream, 4, f"{at}/out").awaitTermination()
+    return spark.read.parquet(f"{at}/out/due").select("id", "snapshot_due")
+
+
+_register("stream_snapshot_cadence", _cadence, f"WITH {derived.AUDIT_LOG_SQL} SELECT id, action = 1 AND sum(CASE WHEN action = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY entity_type, entity_id, coalesce(tenant_id, '') ORDER BY occurred_on_utc, id ROWS UNBOUNDED PRECEDING) % 4 = 0 AS snapshot_due FROM audit_log")
+
+
+def _retried(spark: SparkSession, d: str):
+    """Entries from no attempt on: the broken ones go back to the queue until they are given up."""
+    from ..streaming.dispatch import Dispatcher
+
     at = folder(spark)
-    derived.audit_log(spark, d).where("entity_type = 'shop.Order'").repartition(1).write.parquet(f"{at}/log")
-    stream = spark.readStream.schema(spark.read.parquet(f"{at}/log").schema).parquet(f"{at}/log")
-    run = snapshot_cadence(stream, 4).writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{at}/due")
-    run.awaitTermination()
-    return spark.read.parquet(f"{at}/due")
+    _queue(spark, d, f"{at}/queue", attempts=0)
+    run = Dispatcher(spark, f"{at}/queue", f"{at}/out", custom_schema="region string", max_files=2, snapshot_every=1)
+    run.flush()
+    while run.redeliver():
+        run.flush()
+    return run
+
+
+_register("stream_retry", lambda spark, d: (lambda run: run.log().select("id", F.lit(0).alias("attempts"), F.lit(False).alias("given_up")).unionByName(run.dead().select("id", "attempts", F.lit(True).alias("given_up"))))(_retried(spark, d)),
+          f"{_ENTITIES} SELECT 'q-' || CAST(k AS VARCHAR) AS id, CAST(CASE WHEN k % 11 = 0 THEN 5 ELSE 0 END AS INTEGER) AS attempts, k % 11 = 0 AS given_up FROM q")
+_register("stream_snapshots", lambda spark, d: _retried(spark, d).log().select("id", "action", F.get_json_object("snapshot", "$.c_mktsegment").alias("segment"), F.col("snapshot").isNotNull().alias("kept")),
+          f"{_ENTITIES} SELECT 'q-' || CAST(k AS VARCHAR) AS id, action, CASE WHEN action > 0 THEN '<redacted>' END AS segment, action > 0 AS kept FROM q WHERE k % 11 <> 0")
+
+# a log with snapshots: every third row of a stream that isn't its first keeps the state, as the derived patches make it
+_WITH_SNAPSHOTS = "s AS (SELECT *, coalesce(tenant_id, '') AS tenant, row_number() OVER (PARTITION BY entity_type, entity_id, coalesce(tenant_id, '') ORDER BY occurred_on_utc, id) AS k FROM audit_log)"
+
+
+def _with_snapshots(df: DataFrame) -> DataFrame:
+    """Updates at each third place of a stream keep a snapshot that no patch would make."""
+    place = F.row_number().over(Window.partitionBy("entity_type", "entity_id", tenant()).orderBy("occurred_on_utc", "id"))
+    kept = (place % 3 == 0) & (F.col("action") == 1)
+    return df.withColumn("snapshot", F.when(kept, F.concat(F.lit('{"value":-'), place.cast("string"), F.lit(',"kept":'), place.cast("string"), F.lit("}"))))
+
+
+on_log("replay_from_snapshot", lambda df: replay.reconstruct(_with_snapshots(df), _AS_OF).select(*STREAM, *[F.get_json_object("state", f"$.{p}").alias(n) for p, n in (("value", "value"), ("kept", "kept"))]),
+       f""", {_WITH_SNAPSHOTS}, v AS (SELECT *, k % 3 = 0 AND action = 1 AS snap, json_extract_string(diff, '$[0].value') AS v FROM s WHERE occurred_on_utc <= TIMESTAMP '{_AS_OF}'),
+ last_ AS (SELECT entity_type, entity_id, tenant, arg_max(action, k) AS action, arg_max(CASE WHEN snap THEN '-' || CAST(k AS VARCHAR) ELSE v END, k) AS value, CAST(max(k) FILTER (snap) AS VARCHAR) AS kept FROM v GROUP BY 1, 2, 3)
+ SELECT entity_type, entity_id, tenant, CASE WHEN action NOT IN (2, 3) THEN value END AS value, CASE WHEN action NOT IN (2, 3) THEN kept END AS kept FROM last_""")
+
+
+def _swept(df: DataFrame) -> DataFrame:
+    """A chained log after a sweep, verified with the anchors that the sweep left."""
+    log, anchors = _chained(df)
+    at = folder(df.sparkSession)
+    taken = retention.sweep(log, retention.RetainFor(dt.timedelta(days=20)), NOW, f"{at}/log", retention.SweepOptions(max_rows=None, anchors=anchors, anchors_path=f"{at}/anchors"))
+    read = df.sparkSession.read
+    return integrity.verify_chain(read.parquet(f"{at}/log"), integrity.valid_anchors(read.parquet(f"{at}/anchors")), KEYS).select("is_valid", "verified", "reason", F.lit(taken).cast("long").alias("taken"))
+
 
+on_log("sweep_chained", _swept, "SELECT true AS is_valid, count(*) FILTER (occurred_on_utc >= TIMESTAMP '2024-01-11') AS verified, 'None' AS reason, count(*) FILTER (occurred_on_utc < TIMESTAMP '2024-01-11') AS taken FROM audit_log")
 
-_register("stream_snapshot_cadence", _cadence, f"WITH {derived.AUDIT_LOG_SQL} SELECT id, action = 1 AND sum(CASE WHEN action = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id, coalesce(tenant_id, '') ORDER BY occurred_on_utc, id ROWS UNBOUNDED PRECEDING) % 4 = 0 AS snapshot_due FROM audit_log WHERE entity_type = 'shop.Order'")
+# the hashes themselves: each row's text, then its keyed hash over that and the hash before it
+_TEXT = " || ".join(f"coalesce(CAST(octet_length(encode({x})) AS VARCHAR) || ':' || {x}, '-1:')" for x in (*_FIELDS[:14], "'0'"))
+on_log("stamp_hashes", lambda df: integrity.stamp(df, integrity.no_anchors(df), 1, KEY).select("id", "previous_hash", "entry_hash"), f""", c AS (SELECT id, entity_type, entity_id, coalesce(tenant_id, '') AS tenant, {_TEXT} AS text_, row_number() OVER (PARTITION BY entity_type, entity_id, coalesce(tenant_id, '') ORDER BY occurred_on_utc, id) AS k FROM audit_log),
+ h AS (WITH RECURSIVE w AS (SELECT *, CAST(NULL AS VARCHAR) AS previous_hash, sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || encode(text_ || '-1:')))) AS entry_hash FROM c WHERE k = 1 UNION ALL
+  SELECT c.*, w.entry_hash, sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || encode(c.text_ || '64:' || w.entry_hash)))) FROM w JOIN c ON c.entity_type = w.entity_type AND c.entity_id = w.entity_id AND c.tenant = w.tenant AND c.k = w.k + 1) SELECT * FROM w)
+ SELECT id, previous_hash, entry_hash FROM h""")

@@ -8,18 +8,17 @@ so a replay overwrites instead of repeating. One query writes a log (the chain n
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import integrity
 from ..operators.importer import nested_diff
 from ..operators.view import to_event
-from ..schema import COLUMNS, UPDATED, tenant
+from ..schema import COLUMNS, DELETED, SOFT_DELETED, UPDATED, tenant
 
 QUEUE = (
     "id string, entity_type string, entity_base_type string, entity_id string, action int, before_json string, after_json string, occurred_on_utc timestamp_ntz, "
@@ -42,17 +41,25 @@ class Dispatcher:
     key: tuple[int, bytes] | None = None
     max_files: int = 500
     slo_seconds: float = 30.0
-    observers: list[Callable[[dict], None]] = field(default_factory=list)
+    #: Every n-th error-free update of a history keeps the state after it as its snapshot.
+    snapshot_every: int | None = None
+    #: Called with (batch, rows written, rows failed) once a batch is written.
+    observers: list[Callable[[int, int, int], None]] = field(default_factory=list)
 
     def built(self, entries: DataFrame) -> DataFrame:
         """Queue entries as audit rows with _failed and the entries' own columns."""
         rows = entries.where("error is null").withColumn("_d", nested_diff(F.col("before_json"), F.col("after_json")))
-        fixed = {"diff": F.col("_d.diff"), "error": F.col("_d.error")}
-        made = [(fixed[c] if c in fixed else F.col(c) if c in entries.columns else F.lit(None)).cast({"hash_key_id": "int", "chain_sequence": "long"}.get(c, "string") if c not in ("action", "occurred_on_utc") else {"action": "int", "occurred_on_utc": "timestamp_ntz"}[c]).alias(c) for c in COLUMNS]
-        custom = []
-        if self.custom_schema:  # unknown properties are ignored, missing ones are null
+        custom, told = [], []
+        if self.custom_schema:  # unknown properties are ignored, missing ones are null, and bad ones are told of
             rows = rows.withColumn("_c", F.from_json("custom_columns_json", self.custom_schema))
-            custom = [F.col("_c.*")]
+            for f in rows.schema["_c"].dataType.fields:
+                raw = F.get_json_object("custom_columns_json", f"$['{f.name}']")
+                custom.append(F.col("_c").getField(f.name).alias(f.name))
+                told.append(F.when(raw.isNotNull() & ~raw.rlike(r"^\s*[\[{]") & F.col("_c").getField(f.name).isNull(), f"AddColumn '{f.name}': dispatch deserialize failed"))
+        # a record's state stays with its end: before a deletion, after a soft one
+        kept_state = F.when(F.col("action") == DELETED, F.col("before_json")).when(F.col("action") == SOFT_DELETED, F.col("after_json"))
+        fixed = {"diff": F.col("_d.diff"), "error": F.nullif(F.concat_ws("; ", F.col("_d.error"), *told), F.lit("")), "snapshot": kept_state}
+        made = [(fixed[c] if c in fixed else F.col(c) if c in entries.columns else F.lit(None)).cast({"hash_key_id": "int", "chain_sequence": "long"}.get(c, "string") if c not in ("action", "occurred_on_utc") else {"action": "int", "occurred_on_utc": "timestamp_ntz"}[c]).alias(c) for c in COLUMNS]
         kept = [F.struct(*[c for c in entries.columns]).alias("_entry"), F.col("_d.error").isNotNull().alias("_failed")]
         return rows.select(*made, *custom, *kept)
 
@@ -63,7 +70,13 @@ class Dispatcher:
         failed = rows.where("_failed").select("_entry.*", F.col("error").alias("_reason")).withColumn("attempts", F.coalesce("attempts", F.lit(0)) + 1)
         failed.where(F.col("attempts") < MAX_ATTEMPTS).drop("_reason").write.mode("overwrite").parquet(f"{self.out}/retry/batch={number}")
         failed.where(F.col("attempts") >= MAX_ATTEMPTS).withColumn("error", F.col("_reason")).drop("_reason").write.mode("overwrite").parquet(f"{self.out}/dead/batch={number}")
-        log = rows.where("not _failed").drop("_entry", "_failed")
+        log = rows.where("not _failed")
+        if self.snapshot_every:
+            counted = numbered(log, self.counts(number - 1))
+            due = counted["update_number"] % self.snapshot_every == 0
+            log = counted.withColumn("snapshot", F.when(due, F.col("_entry.after_json")).otherwise(F.col("snapshot"))).drop("update_number")
+            advanced_counts(self.counts(number - 1), log).write.mode("overwrite").parquet(f"{self.out}/counts/batch={number}")
+        log = log.drop("_entry", "_failed")
         if self.key:
             anchors = self.anchors(number - 1)
             log = integrity.stamp(log.select(*COLUMNS), anchors, *self.key).join(log.drop(*[c for c in COLUMNS if c != "id"]), "id") if self.custom_schema else integrity.stamp(log, anchors, *self.key)
@@ -74,6 +87,15 @@ class Dispatcher:
         if self.key:
             integrity.advanced_anchors(anchors, self.spark.read.parquet(f"{self.out}/log/batch={number}")).write.mode("overwrite").parquet(f"{self.out}/anchors/batch={number}")
 
+        for tell in self.observers:
+            tell(number, self.spark.read.parquet(f"{self.out}/log/batch={number}").count(), failed.count())
+
+    def counts(self, number: int) -> DataFrame:
+        """Error-free updates of each history up to a batch."""
+        if number < 0:
+            return self.spark.createDataFrame([], COUNTS)
+        return self.spark.read.schema(COUNTS).parquet(f"{self.out}/counts/batch={number}")
+
     def anchors(self, number: int) -> DataFrame:
         if number < 0:
             return self.spark.createDataFrame([], integrity.ANCHOR)
@@ -91,17 +113,24 @@ class Dispatcher:
         self.start(once=True).awaitTermination()
 
     def redeliver(self) -> int:
-        """Feeds failed entries back to the queue, each under a file name of its batch."""
-        try:
-            retry = self.spark.read.parquet(f"{self.out}/retry")
-        except Exception:  # no batch yet
-            return 0
-        again = retry.drop("batch")
-        n = again.count()
-        if n:
-            again.write.mode("append").parquet(self.source)
-            again.limit(0).write.mode("overwrite").parquet(f"{self.out}/retry/batch=0")
-        return n
+        """Feeds failed entries back to the queue, those of each batch once: they are put
+        aside as they are, and their files move into the queue under names of their batch,
+        so that a call that is cut short can be made again. Returns the number of entries."""
+        fs = _Files(self.spark, self.out)
+        total = 0
+        for number in fs.numbers(f"{self.out}/retry", "batch="):
+            done, aside = f"{self.out}/redelivered/batch={number}", f"{self.out}/aside/batch={number}"
+            if fs.exists(done):
+                continue
+            if not fs.exists(f"{aside}/_SUCCESS"):
+                self.spark.read.schema(QUEUE).parquet(f"{self.out}/retry/batch={number}").write.mode("overwrite").parquet(aside)
+            n = self.spark.read.schema(QUEUE).parquet(f"{self.out}/retry/batch={number}").count()
+            for name in fs.names(aside):
+                if name.startswith("part-"):
+                    fs.rename(f"{aside}/{name}", f"{self.source}/retry-{number:010d}-{name.split('-')[1]}.parquet")
+            fs.touch(done)
+            total += n
+        return total
 
     def log(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.out}/log").drop("batch")
@@ -116,17 +145,63 @@ def lag(entries: DataFrame, now, slo_seconds: float) -> DataFrame:
     return entries.select("id", seconds.alias("lag_seconds"), (seconds > slo_seconds).alias("late"))
 
 
-def snapshot_cadence(stream: DataFrame, every: int) -> DataFrame:
-    """On a stream of audit rows: every n-th error-free update of each history is due
-    for a snapshot. The count of each history is kept as state."""
+COUNTS = "entity_type string, entity_id string, tenant string, n long"
+
+
+def _counts_as_update():
+    return (F.col("action") == UPDATED) & F.col("error").isNull()
+
+
+def numbered(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds update_number: an error-free update's place in its history, by time and id,
+    after those that counts has; null for other rows."""
+    stream = Window.partitionBy("entity_type", "entity_id", tenant()).orderBy("occurred_on_utc", "id")
+    earlier = counts.select(F.col("entity_type").alias("_t"), F.col("entity_id").alias("_e"), F.col("tenant").alias("_n"), F.col("n").alias("_before"))
+    place = F.when(_counts_as_update(), F.sum(F.when(_counts_as_update(), 1).otherwise(0)).over(stream))
+    found = rows.withColumn("_place", place).join(earlier, (F.col("entity_type") == F.col("_t")) & (F.col("entity_id") == F.col("_e")) & (tenant() == F.col("_n")), "left")
+    return found.withColumn("update_number", F.col("_place") + F.coalesce("_before", F.lit(0))).drop("_place", "_t", "_e", "_n", "_before")
+
+
+def advanced_counts(counts: DataFrame, rows: DataFrame) -> DataFrame:
+    new = rows.where(_counts_as_update()).groupBy("entity_type", "entity_id", tenant().alias("tenant")).agg(F.count("*").alias("n"))
+    return counts.unionByName(new).groupBy("entity_type", "entity_id", "tenant").agg(F.sum("n").alias("n"))
+
+
+def snapshot_cadence(stream: DataFrame, every: int, out: str) -> StreamingQuery:
+    """On a stream of audit rows whose micro-batches follow each other in time: writes
+    (id, snapshot_due) to due/batch=<n>; every n-th error-free update of a history is
+    due. The counts so far are a table, counts/batch=<n>; a batch's rows are numbered by
+    a window, so no history is gathered, and a replayed batch overwrites what it wrote."""
+    spark = stream.sparkSession
+
+    def batch(rows: DataFrame, number: int) -> None:
+        before = spark.read.schema(COUNTS).parquet(f"{out}/counts/batch={number - 1}") if number else spark.createDataFrame([], COUNTS)
+        due = F.coalesce(F.col("update_number") % every == 0, F.lit(False))
+        numbered(rows, before).select("id", due.alias("snapshot_due")).write.mode("overwrite").parquet(f"{out}/due/batch={number}")
+        advanced_counts(before, rows).write.mode("overwrite").parquet(f"{out}/counts/batch={number}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+
+
+class _Files:
+    """File system calls on the folders that driver and executors share."""
+
+    def __init__(self, spark: SparkSession, at: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self, at: str) -> bool:
+        return self._fs.exists(self._path(at))
+
+    def names(self, at: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(at))) if self.exists(at) else []
+
+    def numbers(self, at: str, prefix: str) -> list[int]:
+        return sorted(int(n[len(prefix) :]) for n in self.names(at) if n.startswith(prefix))
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        count = state.get[0] if state.exists else 0
-        rows = pd.concat(batches).sort_values(["occurred_on_utc", "id"])
-        counts = (rows["action"] == UPDATED) & rows["error"].isna()
-        number = count + counts.cumsum()
-        state.update((int(number.iloc[-1]),))
-        yield pd.DataFrame({"id": rows["id"], "snapshot_due": counts & (number % every == 0)})
+    def rename(self, at: str, to: str) -> None:
+        if not self.exists(to) and not self._fs.rename(self._path(at), self._path(to)):
+            raise OSError(f"{at} can't become {to}")
 
-    keyed = stream.withColumn("tenant", tenant()).groupBy("entity_type", "entity_id", "tenant")
-    return keyed.applyInPandasWithState(step, "id string, snapshot_due boolean", "n long", "append", "NoTimeout")
+    def touch(self, at: str) -> None:
+        self._fs.create(self._path(at), True).close()
