@@ -454,16 +454,16 @@ def _named(documents: DataFrame, text: str, doc_id: str, words: int, percent: in
     join = _Join(documents, info, words, percent)
     join.run()
     classes = info.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    named = stored(join.root(classes, "set_id", "root"))
+    sets_ = stored(join.root(classes, "set_id", "root"))
     join.drop(join.roots)
-    return info, named
+    return info, sets_
 
 
 def linked(documents: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document row: doc_id, n_shingles, set_id (null without words), component_id."""
-    info, named = _named(documents, text, doc_id, words, percent)
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    out = info.join(stored(named.join(smallest, "root").select("set_id", "component_id")), "set_id", "left")
+    info, sets_ = _named(documents, text, doc_id, words, percent)
+    smallest = sets_.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = info.join(stored(sets_.join(smallest, "root").select("set_id", "component_id")), "set_id", "left")
     return out.select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -471,9 +471,9 @@ def one_of_each(documents: DataFrame, *, text: str = "text", doc_id: str = "doc_
     """The documents, all columns as they are, but of each component only one row: that
     with the least doc_id (nulls last; then by the text's hash). Texts without words link
     with nothing and stay, but rows that agree in doc_id and text stay once (with a null doc_id, all of those)."""
-    info, named = _named(documents, text, doc_id, words, percent)
+    info, sets_ = _named(documents, text, doc_id, words, percent)
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_id")
-    first = info.join(named.select("set_id", "root"), "set_id").groupBy("root").agg(F.min(key).alias("k")).select("k.doc_id", "k.text_id")
+    first = info.join(sets_.select("set_id", "root"), "set_id").groupBy("root").agg(F.min(key).alias("k")).select("k.doc_id", "k.text_id")
     kept = stored(first.unionByName(info.where("set_id is null").select("doc_id", "text_id")).distinct())
     own = unused("_text_id", documents.columns)
     rows = documents.withColumn(own, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))

@@ -16,23 +16,27 @@ Rows are read through the manifest only, so what a lost executor or a failed job
 left behind is invisible.
 
 Rows are stored as one struct column, so no column name can clash with the
-store's own. Null texts count 0 bytes. An empty arrival commits no shard; an empty
-store reads as no rows of the given schema. Repeated rows are kept, each of them.
+store's own. Null texts count 0 bytes, a very long text may make a shard larger than
+its target, since a row is never cut, and a null arrival comes before all others. An
+empty arrival commits no shard; an empty store reads as no rows of the given schema.
+Repeated rows are kept, each of them; shards of one size merge in order of their runs
+and numbers.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import scratch, table, unused
 
 SMALL_BYTES, TARGET_BYTES, FANOUT = 8 << 20, 128 << 20, 4
 #: The size of tier 0.
 TIER_BYTES = 256 << 10
+#: Bits of a shard's number: 40 below the arrival's (of at most 2^22), 16 below the task's (of at most 2^24; a task has at most 2^16 shards).
+_ARRIVAL_AT, _TASK_AT = 40, 16
 _MANIFEST = "run string, shard long, arrival long, rows long, bytes long"
 
 
@@ -88,28 +92,35 @@ class ShardStore:
 
     # data
 
-    def _data(self) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.at}/data").schema(self._schema()).parquet(f"{self.at}/data")
+    def _folder(self, run: str) -> str:
+        return f"{self.at}/data/run={run}"
+
+    def _write(self, rows: DataFrame, run: str) -> None:
+        """A run's shards, in a folder of its own, so that writers at the same time share no temporary files."""
+        rows.write.mode("errorifexists").option("compression", "zstd").partitionBy("shard").parquet(self._folder(run))
+
+    def _data(self, runs: list[str]) -> DataFrame | None:
+        """Rows of these runs; other folders aren't listed. None if none of them has a shard."""
+        there = [self._folder(r) for r in runs if any(s.isDirectory() for s in self._system.listStatus(self._path(self._folder(r))))]
+        return self.spark.read.option("basePath", f"{self.at}/data").schema(self._schema()).parquet(*there) if there else None
 
     def _schema(self) -> str:
         kinds = self.spark.read.parquet(f"{self.at}/schema").schema["row"].dataType.simpleString()
         return f"bytes long, row {kinds}, run string, shard long"
 
-    def _live(self, shards: DataFrame) -> DataFrame:
+    def _live(self, shards: DataFrame) -> DataFrame | None:
         """Rows of the given shards. Runs are few (one for each commit that still has
-        shards) and prune folders; shards are joined, by broadcast only if small."""
-        runs = [r[0] for r in shards.select("run").distinct().collect()]
-        return self._data().where(F.col("run").isin(runs)).join(shards, ["run", "shard"])
-
-    def read(self, version: int | None = None, *, with_shard: bool = False) -> DataFrame:
-        """The rows of a version; with_shard adds a column shard, ``<commit>/<number>``."""
-        shards = self.manifest(version).select("run", "shard")
-        try:
-            rows = self._live(shards)
-        except AnalysisException:  # no shard was ever written
-            return self.spark.read.parquet(f"{self.at}/schema").select("row.*", *[F.lit("").alias("shard")] * with_shard)
-        name = F.concat_ws("/", F.substring_index("run", "-", 1), F.lpad(F.col("shard").cast("string"), 8, "0"))
-        return rows.select("row.*", *[name.alias("shard")] * with_shard)
+        shards), and only their folders are read; shards are joined, by broadcast only if small."""
+        rows = self._data([r[0] for r in shards.select("run").distinct().collect()])
+        return None if rows is None else rows.join(shards, ["run", "shard"])
+
+    def read(self, version: int | None = None, *, with_shard: str | None = None) -> DataFrame:
+        """The rows of a version; with_shard names a column to add, ``<commit>/<number>`` of the row's shard."""
+        rows = self._live(self.manifest(version).select("run", "shard"))
+        if rows is None:
+            return self.spark.read.parquet(f"{self.at}/schema").select("row.*", *([F.lit("").alias(with_shard)] if with_shard else []))
+        name = F.concat_ws("/", F.substring_index("run", "-", 1), F.col("shard").cast("string"))
+        return rows.select("row.*", *([name.alias(with_shard)] if with_shard else []))
 
     def append(self, rows: DataFrame, *, text: str = "text", arrival: Column | None = None) -> int:
         """Commits the rows as small shards and returns the version. With ``arrival`` (a
@@ -124,15 +135,14 @@ class ShardStore:
             packed.select("row").limit(0).write.mode("overwrite").parquet(f"{self.at}/schema")
         per_task = packed.groupBy("task").agg(F.sum("bytes").alias("b")).agg(F.max("b")).first()[0]
         split = max(1, -(-(per_task or 0) // self.small_bytes))
-        shard = ((F.coalesce("arrival", F.lit(-1)) + 1) * 1_000_000 + F.col("task")) * split + F.pmod("place", F.lit(split))
-        data = packed.select("bytes", "row", F.lit(run).alias("run"), shard.alias("shard"))
-        data.write.mode("append").option("compression", "zstd").partitionBy("run", "shard").parquet(f"{self.at}/data")
-        try:
-            new = self._data().where(F.col("run") == run)
-        except AnalysisException:
+        # within a run, a shard's number is its arrival, then its task, then its part of the task's rows
+        parts = F.shiftleft(F.coalesce("arrival", F.lit(-1)) + 1, _ARRIVAL_AT) + F.shiftleft(F.col("task"), _TASK_AT) + F.pmod("place", F.lit(split))
+        self._write(packed.select("bytes", "row", parts.alias("shard")), run)
+        new = self._data([run])
+        if new is None:
             return self._commit(self.manifest(version - 1), version)
         counted = new.groupBy("run", "shard").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))
-        counted = counted.withColumn("arrival", F.lit(version * 1_000_000) + F.floor(F.col("shard") / F.lit(1_000_000 * split)))
+        counted = counted.withColumn("arrival", F.shiftleft(F.lit(version).cast("long"), 63 - _ARRIVAL_AT) + F.shiftright("shard", _ARRIVAL_AT))
         return self._commit(self.manifest(version - 1).unionByName(counted), version)
 
     def plan(self, version: int | None = None) -> DataFrame:
@@ -159,9 +169,9 @@ class ShardStore:
             return None
         version, old = before + 1, self.manifest(before)
         run = f"{version:010d}-{uuid.uuid4().hex[:12]}"
-        moved = self._live(plan.drop("arrival")).select("bytes", "row", F.lit(run).alias("run"), F.col("target").alias("shard"))
-        moved.repartition("shard").write.mode("append").option("compression", "zstd").partitionBy("run", "shard").parquet(f"{self.at}/data")
-        counted = self._data().where(F.col("run") == run).groupBy("run", "shard").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))
+        moved = self._live(plan.drop("arrival")).select("bytes", "row", F.col("target").alias("shard"))
+        self._write(moved.repartition("shard"), run)
+        counted = self._data([run]).groupBy("run", "shard").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))
         first = plan.groupBy(F.col("target").alias("shard")).agg(F.min("arrival").alias("arrival"))
         return self._commit(old.join(plan.select("run", "shard"), ["run", "shard"], "left_anti").unionByName(counted.join(first, "shard")), version)
 
@@ -184,5 +194,6 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.append(documents, arrival=lot)
     while store.compact() is not None:
         pass
-    rows = store.read(with_shard=True)
-    return rows.select("doc_id", "shard", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    shard = unused("shard", documents.columns)
+    rows = store.read(with_shard=shard)
+    return rows.select("doc_id", F.col(shard).alias("shard"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
