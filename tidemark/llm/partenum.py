@@ -86,9 +86,9 @@ def sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.n
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parity bits of hashed shingles, two to four bits for each. Sets that differ in d
+    """Parity bits of hashed shingles, eight to sixteen bits for each. Sets that differ in d
     shingles have sketches that differ in d bits at most, also after folding the longer one."""
-    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    bits = max(64, 1 << (8 * len(shingles) - 1).bit_length())
     at = (tv.mix(shingles + np.uint64(1)) & np.uint64(bits - 1)).astype(np.int64)
     odd = np.bincount(at, minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view(np.int64)
