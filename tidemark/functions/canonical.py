@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed order of a row's fields in its canonical text.
@@ -35,6 +36,12 @@ def canonical_value(value: Column, kind: str) -> Column:
     return value.cast("string")
 
 
+def custom_texts(df: DataFrame, names: Iterable[str]) -> dict[str, Column]:
+    """The texts of a table's custom columns, for ``canonical`` and what calls it."""
+    kinds = dict(df.dtypes)
+    return {name: canonical_value(F.col(name), kinds[name]) for name in names}
+
+
 def canonical(previous_hash: Column, custom: dict[str, Column] | None = None) -> Column:
     """The text that a row's hash covers: its fields, its custom columns by name, the hash before it."""
     parts = [field(epoch_millis(F.col(c)) if c == "occurred_on_utc" else F.col(c)) for c in FIELDS]

@@ -134,9 +134,14 @@ def capture(before: DataFrame, after: DataFrame, config: EntityConfig) -> DataFr
     return out.withColumn("snapshot", F.when(F.col("action") == DELETED, F.col("before_json")).when(F.col("action") == SOFT_DELETED, F.col("after_json")))
 
 
-def with_custom_columns(df: DataFrame, providers: dict[str, Column]) -> DataFrame:
-    """Adds columns that the caller defines; a provider is any column expression."""
-    return df.withColumns(providers)
+def with_custom_columns(df: DataFrame, providers: dict[str, Column | tuple[Column, Column]]) -> DataFrame:
+    """Adds columns that the caller defines. A provider is any column expression, or one
+    with a text of why it fails, null where it doesn't. Where it fails, the column is
+    null and the row's error tells of it, after what the error held before."""
+    pairs = {name: p if isinstance(p, tuple) else (p, F.lit(None).cast("string")) for name, p in providers.items()}
+    told = [F.concat(F.lit(f"AddColumn '{name}': "), failure) for name, (_, failure) in pairs.items()]
+    values = {name: F.when(failure.isNull(), value) for name, (value, failure) in pairs.items()}
+    return df.withColumns(values | {"error": F.nullif(F.concat_ws("; ", F.nullif("error", F.lit("")), *told), F.lit(""))})
 
 
 def snapshot_every(df: DataFrame, n: int) -> DataFrame:

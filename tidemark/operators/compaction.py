@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonpatch as jp
 from ..plans.fold import fold_sorted
 from ..schema import DELETED, EMPTY_DIFF, INSERTED, SOFT_DELETED, STREAM, UPDATED, HistoryError, tenant
+from ..sources.shared import stored
 from .aggregate import stream_sizes
 
 
@@ -57,6 +58,27 @@ def compact(df: DataFrame, retain_tail: int = 50, only: DataFrame | None = None)
     }).select(*columns)
 
 
+def compact_entity(df: DataFrame, entity_type: str, entity_id: str, tenant_id: str | None = None, retain_tail: int = 50) -> DataFrame:
+    """The audit log after compaction of one entity: of the rows of one tenant, of those
+    without a tenant (''), or (None) of all its rows as a single history."""
+    asked = (F.col("entity_type") == entity_type) & (F.col("entity_id") == entity_id)
+    if tenant_id is not None:
+        asked &= tenant() == tenant_id
+    asked = F.coalesce(asked, F.lit(False))
+    one_history = df.where(asked).withColumns({"_tenant": F.col("tenant_id"), "tenant_id": F.lit("")})
+    folded = compact(one_history, retain_tail).withColumn("tenant_id", F.col("_tenant")).drop("_tenant")
+    return df.where(~asked).unionByName(folded)
+
+
+def sweep(df: DataFrame, out_path: str, min_rows: int = 200, retain_tail: int = 50, limit: int | None = 100) -> int:
+    """Compacts the candidates together, in one job, and writes the log to a new path,
+    which the caller publishes. Returns the number of rows folded away; a sweep is
+    bounded by its number of streams."""
+    chosen = stored(candidates(df, min_rows, limit).select(*STREAM, "total"))
+    compact(df, retain_tail, chosen).write.mode("errorifexists").parquet(out_path)
+    return chosen.agg(F.coalesce(F.sum(F.greatest(F.col("total") - retain_tail - 1, F.lit(0))), F.lit(0))).first()[0]
+
+
 def _step(state: dict, row: dict) -> Iterator[dict]:
     try:
         if row["snapshot"] is not None and row["action"] in (INSERTED, UPDATED):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import is_json
 from ..schema import EMPTY_DIFF, action_name
+from .aggregate import queue_depth
 
 _OPS = "array<struct<op:string,path:string,value:string>>"
 
@@ -48,10 +49,10 @@ def render_many(df: DataFrame, **options) -> DataFrame:
 
 
 def log_page(df: DataFrame, page: int = 1, size: int = 50) -> DataFrame:
-    """A page of the newest rows, rendered; sizes from 1 to 500."""
-    if page < 1 or not 1 <= size <= 500:
-        raise ValueError("pages begin at 1 and hold 1 to 500 rows")
-    return render(df.orderBy(F.desc("occurred_on_utc"), F.desc("id")).offset((page - 1) * size).limit(size))
+    """A page of the newest rows, rendered. Pages begin at 1 and hold up to 500 rows; a
+    lower page is the first, a larger size is 500, and one below 1 is 50."""
+    take, page = (min(size, 500) if size > 0 else 50), max(page, 1)
+    return render(df.orderBy(F.desc("occurred_on_utc"), F.desc("id")).offset((page - 1) * take).limit(take))
 
 
 def entity_history(df: DataFrame, entity_type: str, entity_id: str) -> DataFrame:
@@ -61,3 +62,9 @@ def entity_history(df: DataFrame, entity_type: str, entity_id: str) -> DataFrame
 def meta(df: DataFrame) -> DataFrame:
     """Types with their number of rows."""
     return df.groupBy("entity_type").agg(F.count("*").alias("rows"))
+
+
+def overview(types: list[str], queue: DataFrame, custom: tuple[str, ...] = ()) -> DataFrame:
+    """One row: the audited types, how many queue entries wait, and the custom columns."""
+    texts = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    return queue_depth(queue).select(texts(types).alias("audited_types"), F.col("waiting").alias("queue_depth"), texts(custom).alias("custom_columns"))

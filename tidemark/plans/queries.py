@@ -393,3 +393,39 @@ on_log("stamp_hashes", lambda df: integrity.stamp(df, integrity.no_anchors(df),
  h AS (WITH RECURSIVE w AS (SELECT *, CAST(NULL AS VARCHAR) AS previous_hash, sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || encode(text_ || '-1:')))) AS entry_hash FROM c WHERE k = 1 UNION ALL
   SELECT c.*, w.entry_hash, sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || encode(c.text_ || '64:' || w.entry_hash)))) FROM w JOIN c ON c.entity_type = w.entity_type AND c.entity_id = w.entity_id AND c.tenant = w.tenant AND c.k = w.k + 1) SELECT * FROM w)
  SELECT id, previous_hash, entry_hash FROM h""")
+
+# custom columns: their texts in the hash, and providers that fail
+_TYPED = lambda df: df.withColumns({"flag": F.col("action") == 1, "raw": F.col("id").cast("binary"), "seen": F.col("occurred_on_utc")})
+_TYPED_FIELDS = (*_FIELDS[:14], "'3'", "'flag'", "CASE WHEN action = 1 THEN 'true' ELSE 'false' END", "'raw'", "to_base64(encode(id))", "'seen'", "strftime(occurred_on_utc, '%Y-%m-%dT%H:%M:%S.%f') || '0Z'", "CAST(NULL AS VARCHAR)")
+_TYPED_TEXT = " || ".join(f"coalesce(CAST(octet_length(encode({x})) AS VARCHAR) || ':' || {x}, '-1:')" for x in _TYPED_FIELDS)
+on_log("canonical_custom_columns", lambda df: (lambda rows: rows.select("id", cn.canonical(F.lit(None), cn.custom_texts(rows, ("flag", "raw", "seen"))).alias("canonical")))(_TYPED(df)), f"SELECT id, {_TYPED_TEXT} AS canonical FROM audit_log")
+on_log(
+    "custom_columns",
+    lambda df: cp.with_custom_columns(df, {"actor": (F.upper("user_id"), F.when(F.col("user_id").isNull(), "no user")), "owner": (F.col("tenant_id"), F.when(tenant() == "", "no tenant")), "kind": F.col("user_type")}).select("id", "actor", "owner", "kind", "error"),
+    """SELECT id, upper(user_id) AS actor, nullif(tenant_id, '') AS owner, user_type AS kind,
+ nullif(concat_ws('; ', nullif(error, ''), CASE WHEN user_id IS NULL THEN 'AddColumn ''actor'': no user' END, CASE WHEN coalesce(tenant_id, '') = '' THEN 'AddColumn ''owner'': no tenant' END), '') AS error FROM audit_log""",
+)
+
+# compaction of one entity: of a tenant, of no tenant, of all tenants; and of the largest streams
+_ASKED = {"one": ("t1", "tenant_id = 't1'"), "none": ("", "coalesce(tenant_id, '') = ''"), "all": (None, "true")}
+for _name, (_tenant, _where) in _ASKED.items():
+    on_log(f"compact_entity_{_name}", lambda df, t=_tenant: compaction.compact_entity(df, "shop.Session", "9", t, 3).select("id", "tenant_id", "action", "diff", F.get_json_object("snapshot", "$.value").alias("snapshot_value")),
+           f""", f AS (SELECT id, row_number() OVER (ORDER BY occurred_on_utc, id) AS k, count(*) OVER () - 3 AS n FROM audit_log WHERE entity_type = 'shop.Session' AND entity_id = '9' AND {_where}),
+ r AS (SELECT a.*, CASE WHEN n < 2 OR k > n OR k IS NULL THEN 'keep' WHEN k = n THEN 'boundary' ELSE 'remove' END AS fold FROM audit_log a LEFT JOIN f USING (id))
+ SELECT id, tenant_id, CAST(CASE WHEN fold = 'boundary' AND action NOT IN (2, 3) THEN 0 ELSE action END AS INTEGER) AS action, CASE WHEN fold = 'boundary' THEN '[]' ELSE diff END AS diff, CASE WHEN fold = 'boundary' THEN json_extract_string(diff, '$[0].value') END AS snapshot_value FROM r WHERE fold <> 'remove'""")
+
+
+def _compaction_swept(df: DataFrame) -> DataFrame:
+    at = folder(df.sparkSession)
+    taken = compaction.sweep(df, at, 20, 10, 25)
+    return df.sparkSession.read.parquet(at).select("id", F.lit(taken).cast("long").alias("folded"))
+
+
+on_log("compaction_sweep", _compaction_swept, f""", big AS (SELECT * FROM ({_SIZES}) WHERE total > 20 ORDER BY total DESC, entity_type, entity_id, tenant LIMIT 25), f AS ({_FOLD}),
+ gone AS (SELECT a.id FROM audit_log a JOIN f USING (id) JOIN big b ON a.entity_type = b.entity_type AND a.entity_id = b.entity_id AND coalesce(a.tenant_id, '') = b.tenant WHERE fold = 'remove')
+ SELECT id, (SELECT count(*) FROM gone) AS folded FROM audit_log WHERE id NOT IN (SELECT id FROM gone)""")
+on_log("viewer_overview", lambda df: view.overview([CUSTOMER.entity_type], df.withColumn("error", F.when(F.col("action") == 2, "x")), ("region",)).select(F.array_join("audited_types", ",").alias("audited_types"), "queue_depth", F.array_join("custom_columns", ",").alias("custom_columns")), "SELECT 'shop.Customer' AS audited_types, count(*) FILTER (action <> 2) AS queue_depth, 'region' AS custom_columns FROM audit_log")
+on_log("viewer_clamped_page", lambda df: view.log_page(df, 0, 9_999).select("id", "occurred_on_utc"), "SELECT id, occurred_on_utc FROM audit_log ORDER BY occurred_on_utc DESC, id DESC LIMIT 500")
+on_log("entity_history", lambda df: view.entity_history(df, "shop.Order", "7").select("id", "action", "occurred_on_utc"), f"SELECT id, {_NAMES} AS action, occurred_on_utc FROM audit_log WHERE entity_type = 'shop.Order' AND entity_id = '7'")
+on_log("verify_chain_break", lambda df: integrity.verify_chain(*_tampered(df), KEYS).select(*STREAM, "break_id"), f"""{_NUMBERED}, first_ AS (SELECT * FROM res WHERE reason IS NOT NULL ORDER BY entity_type, entity_id, tenant LIMIT 1)
+ SELECT f.entity_type, f.entity_id, f.tenant, coalesce(min_by(b.id, b.walk) FILTER (b.reason IS NOT NULL), max_by(b.id, b.walk)) AS break_id FROM first_ f JOIN bad b ON f.entity_type = b.entity_type AND f.entity_id = b.entity_id AND f.tenant = b.tenant GROUP BY 1, 2, 3""")
