@@ -15,28 +15,29 @@ def test_equals_brute_force(spark, target, vocabulary):
     rows = _rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", m.F.lit("clash"))
     ids = spark.createDataFrame([(t,) for t in target], "doc_id long")
-    got = sorted((r.doc_id, r.n_words, round(r.difference, 4)) for r in m.score(docs, *m.fit(docs, ids, vocabulary=vocabulary)).collect())
+    got = sorted((r.doc_id, r.n_words, round(r.difference, 4)) for r in m.score(docs, m.fit(docs, ids, vocabulary=vocabulary)).collect())
     assert got == [(d, n, pytest.approx(x, abs=2e-4)) for d, n, x in sorted(m.brute_force(rows, target, vocabulary))]
 
 
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert m.score(docs, *m.fit(docs, docs.select("doc_id"))).count() == 0
+    assert m.score(docs, m.fit(docs, docs.select("doc_id"))).count() == 0
 
 
 def test_like_the_target_scores_lower(spark):
     rows = [(k, "alpha beta gamma " * 10) for k in range(10)] + [(k, "one two three " * 10) for k in range(10, 20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     ids = spark.createDataFrame([(0,), (1,)], "doc_id long")
-    got = {r.doc_id: r.difference for r in m.score(docs, *m.fit(docs, ids)).collect()}
+    got = {r.doc_id: r.difference for r in m.score(docs, m.fit(docs, ids)).collect()}
     assert max(got[k] for k in range(10)) < min(got[k] for k in range(10, 20))
 
 
-@pytest.mark.parametrize("frequent,known", [(2, 1), (4, 8), (3, 65_536), (2048, 65_536)])
-def test_all_words_count(spark, monkeypatch, frequent, known):
-    """Words beyond the frequent ones keep their own counts, in counted documents and in others."""
-    monkeypatch.setattr(m, "FREQUENT", frequent)
-    monkeypatch.setattr(m, "KNOWN", known)
+@pytest.mark.parametrize("held,size", [(1, 1), (7, 60), (50, 1 << 20), (5_000_000, 300)])
+def test_all_words_count(spark, monkeypatch, held, size):
+    """All words keep their own counts, in counted documents and in others, however batches and parts are cut."""
+    monkeypatch.setattr(m, "HELD_WORDS", held)
+    monkeypatch.setattr(m, "PART_BYTES", size)
+    monkeypatch.setattr(m.tv, "SLICE_BYTES", 100)
     rows = _rows() + [(50, "rare pair the rare pair"), (51, "rare cat once"), (None, "rare pair"), (52, "cat rare pair")]
     target = {0, 5, 10, 50}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -44,10 +45,10 @@ def test_all_words_count(spark, monkeypatch, frequent, known):
     fitted = m.fit(docs, ids)
     want = sorted((str(d), n, x) for d, n, x in m.brute_force(rows, target))
     for scored in (docs, docs.where("doc_id is null or doc_id >= 0").repartition(2)):  # the second isn't the counted table
-        got = sorted((str(r.doc_id), r.n_words, r.difference) for r in m.score(scored, *fitted).collect())
+        got = sorted((str(r.doc_id), r.n_words, r.difference) for r in m.score(scored, fitted).collect())
         assert got == [(d, n, pytest.approx(x, abs=2e-4)) for d, n, x in want]
     unseen = spark.createDataFrame([(1, "never seen"), (2, "rare never")], "doc_id long, text string")
-    assert m.score(unseen, *fitted).count() == 2
+    assert m.score(unseen, fitted).count() == 2
 
 
 def test_rarer_words_tell_documents_apart(spark):
@@ -55,5 +56,5 @@ def test_rarer_words_tell_documents_apart(spark):
     common = " ".join(f"c{k} c{k} c{k} c{k}" for k in range(2100))
     rows = [(0, common), (1, "alpha beta"), (2, "alpha beta"), (3, "gamma delta"), (4, "gamma delta")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.difference for r in m.score(docs, *m.fit(docs, spark.createDataFrame([(1,)], "doc_id long"))).collect()}
+    got = {r.doc_id: r.difference for r in m.score(docs, m.fit(docs, spark.createDataFrame([(1,)], "doc_id long"))).collect()}
     assert got[1] == got[2] < got[3] == got[4]

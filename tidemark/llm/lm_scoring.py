@@ -10,298 +10,266 @@ documents, the background model all documents. A word's loss is -log p; a
 document's score is the mean over its words of target loss less background loss,
 so the lower, the more like the target.
 
-Counts cover every whole document, and words are counted as hashes of 63 bits. The
-``FREQUENT`` (2,048) most frequent words have a dense table of bigram counts (at
-most 4.2 million, 34 MB: the bound of what is gathered and of what tasks get), by
-which tasks score bigrams of two such words. All other bigrams stay in Spark: each
-text's distinct ones, with their counts, are dealt by their rarer word, joined to
-that word's counts there, and counted by a window. Such a word has at most about
-1 / FREQUENT of all words, so no key is larger. The other word's counts are broadcast
-if it has at least 1 / KNOWN (65,536) of all words, so at most KNOWN words are;
-bigrams of two rarer words are dealt a second time, for the second one's counts.
-Equal texts have equal losses, so losses are summed by a text's hash.
+Counts cover every whole document, all words and all bigrams, by hashes of 63 bits,
+and stay in Spark. Tasks cut their rows into batches of about ``HELD_WORDS`` words.
+A batch's request lists its distinct keys (bigrams, words, and words before a word)
+in order, with their counts; it is cut into parts by ranges of keys, and the parts are
+dealt. One part of all batches gives the sums of its keys, and answers each request by
+them. A batch, its words kept as numbers in its own list of words, meets its answers
+again and adds up its losses. So what travels is a batch's distinct keys, packed, not
+its words. A key comes once from each batch at most, however frequent it is, and
+there is a part for each ``PART_BYTES`` of text, so parts don't grow with the corpus.
 
 Edge cases: null, empty and wordless texts have no words, losses and difference 0;
-repeated rows count and are scored each; without target documents the target model
-is the smoothed uniform one.
+very long texts are counted whole, in a batch of their own; repeated rows count and are
+scored each; without target documents the target model is the smoothed uniform one;
+words that weren't counted have counts of 0; an empty table gives no rows; kept columns
+may have any names.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import named, small_enough, stored, table
+from .common import named, scratch, small_enough, table
 
-#: Entries of the dense table of bigrams, with the start mark and one for all other words.
-FREQUENT = 2048
-#: Words with at least this part of all words (so there are no more than that) have numbers and broadcast counts.
-KNOWN = 65_536
 WEIGHT = 0.75
+#: Stand for the start of a text and for words outside a closed vocabulary; words' hashes have the highest bit set.
 START, UNKNOWN = 0, 1
-#: Word counts that a task holds before it passes them on.
-HELD_WORDS = 1_000_000
+#: Words of a batch, beyond which a task closes it.
+HELD_WORDS = 5_000_000
+#: Text bytes of the corpus for each part that keys are dealt in.
+PART_BYTES = 8 << 20
+#: Rows of the table of batches: a document, a batch's words, a part of its request.
+DOCUMENT, WORDS, REQUEST = 0, 1, 2
+_COLUMNS = "batch long, part int, n_words int, keys binary, n binary, n_target binary, kind int"
 
 
-def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, the lowest first, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending keys, packed as differences."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray, closed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's hash and row; words outside a closed vocabulary are UNKNOWN."""
     data = tv.LOWER[data]
     starts, ends, rows = tv.spans(tv.ALNUM[data], offsets)
-    return tv.word_hashes(data, starts, ends).view(np.int64) | np.iinfo(np.int64).min, rows
-
-
-_WORD = ["word", "n", "n_target", "before", "before_target"]
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each word: how often it occurs, and how often before a word; in all and in target documents."""
-    held, counts, size = [], [], 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        words, at = np.unique(np.concatenate(held), return_inverse=True)
-        return words, np.stack([np.bincount(at, x, minlength=len(words)).astype(np.int64) for x in np.concatenate(counts, axis=1)])
-
-    def made(words: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(words), *map(pa.array, n)], _WORD)
-
-    for batch in batches:
-        for part, data, offsets in tv.slices(batch):
-            hashes, rows = _hashes(data, offsets)
-            words, at = np.unique(hashes, return_inverse=True)
-            wanted = part.column("target").to_numpy(zero_copy_only=False).astype(bool)[rows]
-            inner = np.append(rows[1:] == rows[:-1], False)[: len(rows)]
-            held.append(words)
-            counts.append(np.stack([np.bincount(at[x], minlength=len(words)) for x in (np.ones(len(rows), bool), wanted, inner, inner & wanted)]))
-            size += len(words)
-            if size > HELD_WORDS:
-                words, n = merged()
-                held, counts, size = [words], [n], len(words)
-                if size > HELD_WORDS // 2:
-                    yield made(words, n)
-                    held, counts, size = [], [], 0
-    if size:
-        yield made(*merged())
-
-
-class Vocabulary:
-    """Numbers of known words, the most frequent first; 0 is the start mark and 1
-    stands for all other words. Those below size have entries in the dense table."""
-
-    def __init__(self, words: np.ndarray, frequent: int):
-        order = np.argsort(words)
-        self.words, self.numbers = words[order], order + 2
-        self.size = min(len(words), frequent - 2) + 2
-
-    def pairs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Each word's number, its hash, its row, and whether it is its row's first."""
-        hashes, rows = _hashes(data, offsets)
-        if not len(hashes):
-            return hashes, hashes, rows, np.zeros(0, bool)
-        at = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
-        number = np.where(self.words[at] == hashes, self.numbers[at], UNKNOWN) if len(self.words) else np.full(len(hashes), UNKNOWN)
-        first = np.ones(len(rows), bool)
-        first[1:] = rows[1:] != rows[:-1]
-        return number, hashes, rows, first
-
-    def bigrams(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's dense number with its predecessor's (before * size + word), and its row."""
-        number, _, rows, first = self.pairs(data, offsets)
-        number = np.where(number < self.size, number, UNKNOWN)
-        return _before(number, first) * self.size + number, rows
-
-
-def _before(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    before = np.empty_like(values)
-    before[:1], before[1:] = START, values[:-1]
-    before[first] = START
-    return before
-
-
-class Model:
-    """Loss of each bigram of frequent words, computed once for all of them; entries: V."""
-
-    def __init__(self, counts: np.ndarray, size: int, entries: int, weight: float = WEIGHT):
-        pairs = counts.reshape(size, size).astype(np.float64)
-        self.entries, self.weight, self.single, self.before = entries, weight, pairs.sum(0), pairs.sum(1)
-        self.total = self.single.sum()
-        unigram = (self.single + 1) / (self.total + entries)
-        before = self.before[:, None]
-        share = np.divide(pairs, before, out=np.zeros_like(pairs), where=before > 0)
-        self.losses = (-np.log(np.where(before > 0, weight * share + (1 - weight) * unigram, unigram))).astype(np.float32).ravel()
-
-    def loss(self, pair: Column, before: Column, single: Column) -> Column:
-        """Loss of a bigram as a column of its counts."""
-        unigram = (single + 1) / F.lit(float(self.total + self.entries))
-        return -F.log(F.when(before > 0, self.weight * pair / before + (1 - self.weight) * unigram).otherwise(unigram))
-
-
-@dataclass
-class Rest:
-    """What bigrams with a word that isn't frequent are scored by: the counted
-    documents (text, target), the table that they came from and its text column,
-    the counts of each word, and those of known words in the order of their numbers."""
-
-    corpus: DataFrame
-    source: DataFrame
-    text: str
-    words: DataFrame
-    known: pa.Table
-
-
-def fit(documents: DataFrame, target_ids: DataFrame, *, text: str = "text", doc_id: str = "doc_id", vocabulary: int | None = None) -> tuple[Vocabulary, Model, Model, Rest | None]:
-    """The frequent words, the target model, the background model and the rest.
-    target_ids: one column, of distinct ids. vocabulary: entries of a closed
-    vocabulary, at most FREQUENT; all words if None."""
-    if vocabulary is not None and vocabulary > FREQUENT:
-        raise ValueError(f"a closed vocabulary has at most {FREQUENT} entries")
-    spark = documents.sparkSession
-    texts = documents.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ids = target_ids.toDF("id").where("id is not null").distinct().withColumn("target", F.lit(True))
-    ids = F.broadcast(ids) if small_enough(ids) else ids
-    marked = texts.join(ids, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counted = stored(marked.mapInArrow(_word_counts, ", ".join(f"{c} long" for c in _WORD)).groupBy("word").agg(*[F.sum(c).alias(c) for c in _WORD[1:]]))
-    if vocabulary is None:
-        found = counted.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-        top, entries = counted.where(F.col("n") * KNOWN >= found["n"]).toArrow().sort_by([("n", "descending"), ("word", "ascending")]), found["words"] + 2
-    else:
-        top, entries = counted.orderBy(F.desc("n"), "word").limit(vocabulary - 2).toArrow(), None
-    words = Vocabulary(top.column("word").to_numpy(), FREQUENT)
-    entries = entries or words.size
-    held, size = spark.sparkContext.broadcast(words), words.size
-
-    def bigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sums = held.value, np.zeros((2, size * size), np.int64)
-        for batch in batches:
-            for part, data, offsets in tv.slices(batch):
-                keys, rows = own.bigrams(data, offsets)
-                wanted = part.column("target").to_numpy(zero_copy_only=False).astype(bool)
-                sums[0] += np.bincount(keys, minlength=size * size)
-                sums[1] += np.bincount(keys[wanted[rows]], minlength=size * size)
-        some = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[0][some]), pa.array(sums[1][some])], ["bigram", "background", "target"])
-
-    sums = marked.mapInArrow(bigram_counts, "bigram int, background long, target long").groupBy("bigram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    got = sums.toArrow()
-    models = []
-    for name in ("target", "background"):
-        counts = np.zeros(size * size, np.int64)
-        counts[got.column("bigram").to_numpy()] = got.column(name).to_numpy()
-        models.append(Model(counts, size, entries))
-    return words, models[0], models[1], Rest(marked, documents, text, counted, top) if vocabulary is None else None
-
-
-def _occurrences(rows: DataFrame, words: Vocabulary, both: bool) -> DataFrame:
-    """(id, u, w, n, n_target): distinct bigrams of each text with their counts; those
-    without a known word (both), or with one but not of two frequent ones. Known words go by number, others by hash."""
-    held = rows.sparkSession.sparkContext.broadcast(words)
+    words = tv.word_hashes(data, starts, ends) | np.uint64(1 << 63)
+    return words if closed is None else np.where(np.isin(words, closed), words, np.uint64(UNKNOWN)), rows
+
+
+def _keys(words: np.ndarray, numbers: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of a batch, ascending, and where among them are each word's
+    bigram, the word itself and the word before it. words: its distinct words, the
+    start mark first; numbers: each word's place there; lengths: words of each text.
+    Keys of words are odd, others even."""
+    before = np.empty_like(numbers)
+    before[:1], before[1:] = 0, numbers[:-1]
+    firsts = np.cumsum(lengths) - lengths
+    before[firsts[lengths > 0]] = 0
+    one = np.uint64(1)
+    with np.errstate(over="ignore"):
+        spread = tv.mix(words + one)
+        pairs = tv.mix(spread[before] * np.uint64(3) + words[numbers]) & ~one
+        alone, prior = tv.mix(spread ^ np.uint64(0x5A5A5A5A)) | one, tv.mix(spread ^ np.uint64(0xA5A5A5A5)) & ~one
+    keys, at = np.unique(np.concatenate([pairs, alone, prior]), return_inverse=True)
+    n, k = len(numbers), len(words)
+    return keys, at[:n], at[n : n + k][numbers], at[n + k :][before]
+
+
+def _batches(rows: DataFrame, parts: int, closed: np.ndarray | None) -> DataFrame:
+    """Stores the table of batches of (k0, k1, ..., target, text): its documents with
+    their kept columns, its words, and its request in at most ``parts`` parts."""
+    kept = rows.select(*[c for c in rows.columns if c not in ("target", "text")])
+    held = rows.sparkSession.sparkContext.broadcast(closed)
+    names = [*kept.columns, *[c.split()[0] for c in _COLUMNS.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, number, docs, words, lengths, targets, size = held.value, TaskContext.get().partitionId() << 32, [], [], [], [], 0
+        types = {}
+
+        def made(rows: int, /, **columns) -> pa.RecordBatch:
+            filled = {"batch": pa.array(np.full(rows, number)), **columns}
+            kinds = {"part": pa.int32(), "n_words": pa.int32(), "keys": pa.binary(), "n": pa.binary(), "n_target": pa.binary(), "kind": pa.int32()} | types
+            return pa.RecordBatch.from_arrays([filled[c] if c in filled else pa.nulls(rows, kinds[c]) for c in names], names)
+
+        def closing() -> Iterator[pa.RecordBatch]:
+            place = 0
+            for d, n in zip(docs, lengths):
+                own_columns = dict(zip(d.schema.names, d.columns))
+                yield made(len(n), **own_columns, part=pa.array(np.arange(place, place + len(n), dtype=np.int32)), n_words=pa.array(n.astype(np.int32)), kind=pa.array(np.full(len(n), DOCUMENT, np.int32)))
+                place += len(n)
+            n, wanted = np.concatenate(lengths), np.concatenate(targets)
+            found, at, times = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")  # frequent words get small numbers, which compress
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(1, len(order) + 1)
+            found, at = np.concatenate([[np.uint64(START)], found[order]]), rank[at]
+            yield made(1, keys=pa.array([_pack(found)]), n=pa.array([_pack(at)]), kind=pa.array([WORDS], pa.int32()))
+            keys, pair, alone, prior = _keys(found, at, n)
+            wanted = np.repeat(wanted, n)
+            sums = [sum(np.bincount(x[some], minlength=len(keys)) for x in (pair, alone, prior)) for some in (slice(None), wanted)]
+            part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            some, starts = np.unique(part, return_index=True)
+            for p, i, j in zip(some, starts, np.append(starts[1:], len(keys))):
+                yield made(1, part=pa.array([p], pa.int32()), keys=pa.array([_steps(keys[i:j])]), n=pa.array([_pack(sums[0][i:j])]), n_target=pa.array([_pack(sums[1][i:j])]), kind=pa.array([REQUEST], pa.int32()))
+
         for batch in batches:
-            for part, data, offsets in tv.slices(batch):
-                number, hashes, owner, first = held.value.pairs(data, offsets)
-                w = np.where(number == UNKNOWN, hashes, number)
-                u = _before(w, first)
-                rare = [(x < 0) | (x >= held.value.size) for x in (u, w)]
-                some = np.flatnonzero((u < 0) & (w < 0) if both else (rare[0] | rare[1]) & ((u >= 0) | (w >= 0)))
-                u, w, owner = u[some], w[some], owner[some]
-                with np.errstate(over="ignore"):
-                    key = tv.mix(tv.mix(u.view(np.uint64) + np.uint64(1)) * np.uint64(3) + w.view(np.uint64)) + owner.astype(np.uint64)
-                _, at, n = np.unique(tv.mix(key), return_index=True, return_counts=True)
-                order = np.argsort(at)  # a text's bigrams stay together, which compresses
-                at, n = at[order], n[order]
-                owner = owner[at]
-                wanted = part.column("target").to_numpy(zero_copy_only=False).astype(bool)[owner]
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner)), *map(pa.array, (u[at], w[at], n.astype(np.int32), (n * wanted).astype(np.int32)))], ["id", "u", "w", "n", "n_target"])
-
-    return rows.select("id", "target", "text").mapInArrow(run, "id long, u long, w long, n int, n_target int")
-
-
-def _rest_losses(rows: DataFrame, words: Vocabulary, target: Model, background: Model, rest: Rest, same: bool) -> DataFrame:
-    """(id, n, target_rest, background_rest): sums over the bigrams of each text that
-    aren't of two frequent words. same: the rows are the counted documents."""
-    spark = rows.sparkSession
-    start = pa.table({c: [x] for c, x in zip(_WORD, (START, 0, 0, int(background.before[START]), int(target.before[START])))})
-    known = rest.known.set_column(0, "word", pa.array(np.arange(2, rest.known.num_rows + 2)))
-    numbers = spark.createDataFrame(pa.concat_tables([start, known.cast(start.schema)]))
-
-    def of(df: DataFrame, counts: DataFrame, at: str, wanted: str) -> DataFrame:
-        """Adds a word's counts: how often it occurs (w) or comes before a word (u)."""
-        both = {"w": ("n", "n_target"), "u": ("before", "before_target")}[wanted]
-        return df.join(counts.select(F.col("word").alias(at), *[F.coalesce(c, F.lit(0)).alias(f"{wanted}_{k}") for c, k in zip(both, ("all", "target"))]), at, "left")
-
-    def occurrences(both: bool) -> DataFrame:
-        own = _occurrences(rows, words, both)
-        if same:
-            return own.withColumn("n_all", F.col("n"))
-        counted = _occurrences(rest.corpus.withColumn("id", F.lit(None).cast("long")), words, both)
-        return own.withColumn("n_all", F.lit(0)).unionByName(counted.withColumn("n_all", F.col("n")).withColumn("n", F.lit(0)))
-
-    def paired(df: DataFrame, *by: str) -> DataFrame:
-        pair = Window.partitionBy(*by)
-        return df.withColumns({"pair_all": F.sum("n_all").over(pair), "pair_target": F.sum("n_target").over(pair)})
-
-    counts = ["u_all", "u_target", "w_all", "w_target", "pair_all", "pair_target"]
-    # two words that aren't known: dealt by the first, then by the second
-    two = paired(of(of(occurrences(True), rest.words, "u", "u").repartition("w"), rest.words, "w", "w"), "w", "u")
-    # others: dealt by the rarer word, which is the unknown one or has the greater number
-    last = F.when(F.col("w") < 0, True).when(F.col("u") < 0, False).otherwise(F.col("w") > F.col("u"))
-    one = occurrences(False).withColumn("last", last).select("*", F.when(F.col("last"), F.col("w")).otherwise(F.col("u")).alias("key"), F.when(F.col("last"), F.col("u")).otherwise(F.col("w")).alias("other")).drop("u", "w")
-    one = one.join(rest.words.unionByName(numbers).withColumnsRenamed({c: f"key_{c}" for c in _WORD}).withColumnRenamed("key_word", "key"), "key", "left")
-    one = paired(one, "key", "other", "last").join(F.broadcast(numbers.withColumnsRenamed({c: f"other_{c}" for c in _WORD}).withColumnRenamed("other_word", "other")), "other")
-    of_u, of_w = (lambda c: F.when(F.col("last"), F.col(f"other_{c}")).otherwise(F.col(f"key_{c}"))), (lambda c: F.when(F.col("last"), F.col(f"key_{c}")).otherwise(F.col(f"other_{c}")))
-    one = one.withColumns({"u_all": of_u("before"), "u_target": of_u("before_target"), "w_all": of_w("n"), "w_target": of_w("n_target")})
-    every = one.select("id", "n", *counts).unionByName(two.select("id", "n", *counts)).where("n > 0")
-    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in counts}
-    losses = [(F.col("n") * m.loss(zero[f"pair_{k}"], zero[f"u_{k}"], zero[f"w_{k}"])) for m, k in ((target, "target"), (background, "all"))]
-    return every.groupBy("id").agg(F.sum("n").alias("n"), F.sum(losses[0]).alias("target_rest"), F.sum(losses[1]).alias("background_rest"))
-
-
-def score(documents: DataFrame, words: Vocabulary, target: Model, background: Model, rest: Rest | None = None, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+            for piece, data, offsets in tv.slices(batch):
+                hashes, owner = _hashes(data, offsets, own)
+                columns = piece.drop_columns(["target", "text"])
+                types.update({f.name: f.type for f in columns.schema})
+                docs.append(columns)
+                words.append(hashes)
+                lengths.append(np.bincount(owner, minlength=piece.num_rows))
+                targets.append(piece.column("target").to_numpy(zero_copy_only=False).astype(bool))
+                size += len(hashes)
+                if size >= HELD_WORDS:
+                    yield from closing()
+                    docs, words, lengths, targets, size, number = [], [], [], [], 0, number + 1
+        if docs:
+            yield from closing()
+
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields], _COLUMNS])
+    made, at = rows.mapInArrow(run, schema), scratch(rows.sparkSession)
+    made.write.partitionBy("kind").parquet(at)
+    return rows.sparkSession.read.schema(made.schema).parquet(at)
+
+
+class Counts(NamedTuple):
+    """The counted documents and their columns, their table of batches, the number of
+    parts, and the hashes and entries of a closed vocabulary."""
+
+    documents: DataFrame
+    columns: tuple
+    batches: DataFrame
+    parts: int
+    closed: np.ndarray | None
+    entries: int | None
+
+
+def _top_words(texts: DataFrame, n: int) -> np.ndarray:
+    """Hashes of the n most frequent words, ascending."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in tv.slices(batch):
+                words, times = np.unique(_hashes(data, offsets, None)[0].view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(times)], ["word", "n"])
+
+    top = texts.select("text").mapInArrow(counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(n)
+    return np.sort(top.toArrow().column("word").to_numpy().view(np.uint64))
+
+
+def _rows(documents: DataFrame, text: str, keep: tuple[str, ...]) -> list:
+    return [*[c.alias(f"k{i}") for i, c in enumerate(named(keep))], F.coalesce(*named([text]), F.lit("")).alias("text")]
+
+
+def fit(documents: DataFrame, target_ids: DataFrame, *, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), vocabulary: int | None = None) -> Counts:
+    """Counts all documents, and the target documents among them. target_ids: one
+    column of ids. vocabulary: entries of a closed vocabulary, the most frequent words;
+    all words if None. Scoring the same documents with the same keep counts them once."""
+    ids = target_ids.toDF("id").where("id is not null").distinct().withColumn("target", F.lit(True))
+    ids = F.broadcast(ids) if small_enough(ids) else ids
+    texts = documents.select(*_rows(documents, text, keep), *[c.alias("id") for c in named([doc_id])]).join(ids, "id", "left").drop("id")
+    texts = texts.select(*[c for c in texts.columns if c[0] == "k"], F.coalesce("target", F.lit(False)).alias("target"), "text")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    closed = None if vocabulary is None else _top_words(texts, vocabulary - 2)
+    parts = 1 + size // PART_BYTES
+    return Counts(documents, (text, tuple(keep)), _batches(texts, parts, closed), parts, closed, None if closed is None else len(closed) + 2)
+
+
+def _answers(requests: DataFrame) -> DataFrame:
+    """Stores, for each request (asks), the sums of its keys' counts in all batches and in
+    target documents; and for each part, in a row without a batch, how many words it has counted."""
+
+    def run(group: pa.Table) -> pa.Table:
+        keys = [np.cumsum(_unpack(x.as_py())) for x in group.column("keys")]
+        lengths = [len(x) for x in keys]
+        ends = np.cumsum(lengths)
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        sums = [np.bincount(at, np.concatenate([_unpack(x.as_py()) if x.is_valid else np.zeros(k, np.uint64) for x, k in zip(group.column(c), lengths)]), minlength=len(found)).astype(np.int64) for c in ("n", "n_target")]
+        words = (found & np.uint64(1)).astype(bool)
+        totals = [int((sums[0][words] > 0).sum()), *[int(x[words].sum()) for x in sums]]
+        asking = np.flatnonzero(group.column("asks").to_numpy())
+        packed = [[_pack(x[at[(ends[i - 1] if i else 0) : ends[i]]]) for i in asking] + [None] for x in sums]
+        n, part = len(asking) + 1, group.column("part")[0].as_py()
+        batch = pa.array([*group.column("batch").to_numpy()[asking], None], pa.int64())
+        only = [pa.array([0] * (n - 1) + [x], pa.int64()) for x in totals]
+        return pa.Table.from_arrays([batch, pa.array([part] * n, pa.int32()), *[pa.array(x, pa.binary()) for x in packed], *only], ["batch", "part", "n", "n_target", "words", "total", "total_target"])
+
+    schema = "batch long, part int, n binary, n_target binary, words long, total long, total_target long"
+    made, at = requests.groupBy("part").applyInArrow(run, schema), scratch(requests.sparkSession)
+    made.write.parquet(at)
+    return requests.sparkSession.read.schema(made.schema).parquet(at)
+
+
+def score(documents: DataFrame, counts: Counts, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), weight: float = WEIGHT) -> DataFrame:
     """The kept columns of every row and n_words, target_loss, background_loss (means) and difference."""
-    rows = documents.select(*[c.alias(f"k{i}") for i, c in enumerate(named(keep))], F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select(*rows.columns[:-1], F.xxhash64("text").alias("id"), "text")
+    kinds = F.col("kind")
+    asked = ["batch", "part", "keys", "n", "n_target"]
+    requests = counts.batches.where(kinds == REQUEST).select(*asked)
+    if (text, tuple(keep)) == counts.columns and documents.sameSemantics(counts.documents):
+        batches, requests = counts.batches, requests.withColumn("asks", F.lit(True))
+    else:
+        rows = documents.select(*_rows(documents, text, keep)).withColumn("target", F.lit(False))
+        batches = _batches(rows, counts.parts, counts.closed)
+        nothing = F.lit(None).cast("binary")  # such documents ask, and don't count
+        requests = requests.withColumn("asks", F.lit(False)).unionByName(batches.where(kinds == REQUEST).select(*asked).withColumns({"n": nothing, "n_target": nothing, "asks": F.lit(True)}))
+    answers = _answers(requests)
+    found = answers.where("batch is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "total", "total_target")]).first()
+    entries, totals = counts.entries or found["words"] + 2, (found["total_target"], found["total"])
     kept = [f"k{i}" for i in range(len(keep))]
-    added = ["n_words", "others", "target_loss", "background_loss"]
-    held = documents.sparkSession.sparkContext.broadcast((words, target.losses, background.losses, rest is not None))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, *losses, opened = held.value
-        for batch in batches:
-            for part, data, offsets in tv.slices(batch):
-                keys, owner = own.bigrams(data, offsets)
-                n = np.bincount(owner, minlength=part.num_rows)
-                here = (keys % own.size != UNKNOWN) & (keys // own.size != UNKNOWN) if opened else np.ones(len(keys), bool)
-                others = np.bincount(owner[~here], minlength=part.num_rows)
-                sums = [np.bincount(owner[here], x[keys[here]], minlength=part.num_rows).astype(np.float64) for x in losses]
-                at = pa.array(part.column("id").to_numpy(), mask=others == 0)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], at, pa.array(n, pa.int64()), pa.array(others, pa.int64()), *map(pa.array, sums)], [*kept, "id", *added])
-
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["n_words long, others long, target_loss double, background_loss double"])
-    made = rows.mapInArrow(run, schema)
-    sums = [F.col("target_loss"), F.col("background_loss")]
-    if rest is not None:
-        same = documents.sameSemantics(rest.source) and text == rest.text
-        corpus = rest.corpus.select(F.xxhash64("text").alias("id"), "target", "text") if same else rows.select("id", F.lit(False).alias("target"), "text")
-        made = made.join(_rest_losses(corpus, words, target, background, rest, same), "id", "left")
-        # equal texts share their sums: a row's part is that of its words
-        sums = [x + F.coalesce(F.col(f"{k}_rest") * F.col("others") / F.col("n"), F.lit(0.0)) for x, k in zip(sums, ("target", "background"))]
-    means = [x / F.greatest(F.col("n_words"), F.lit(1)) for x in sums]
-    made = made.select(*kept, "n_words", means[0].alias("target_loss"), means[1].alias("background_loss"))
-    made = made.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
-    return made.toDF(*keep, *made.columns[len(keep) :])
+    def losses(answered: pa.Table, batch: pa.Table) -> pa.Table:
+        documents = batch.filter(pc.equal(batch.column("kind"), DOCUMENT)).sort_by("part")
+        listed = batch.filter(pc.equal(batch.column("kind"), WORDS))
+        n = documents.column("n_words").to_numpy().astype(np.int64)
+        words, numbers = (_unpack(listed.column(c)[0].as_py()) for c in ("keys", "n"))
+        keys, pair, alone, prior = _keys(words, numbers.astype(np.int64), n)
+        answered, owner = answered.sort_by("part"), np.repeat(np.arange(len(n)), n)
+        means = []
+        for column, total in zip(("n_target", "n"), totals):
+            sums = np.concatenate([_unpack(x.as_py()) for x in answered.column(column)]).astype(np.float64)
+            unigram, before = (sums[alone] + 1) / (total + entries), sums[prior]
+            p = np.where(before > 0, weight * sums[pair] / np.maximum(before, 1) + (1 - weight) * unigram, unigram)
+            means.append(np.bincount(owner, -np.log(p), minlength=len(n)) / np.maximum(n, 1))
+        return pa.Table.from_arrays([*[documents.column(c) for c in kept], pa.array(n), *map(pa.array, means), pa.array(means[0] - means[1])], [*kept, *added])
+
+    added = ["n_words", "target_loss", "background_loss", "difference"]
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in batches.select(*kept).schema.fields] + ["n_words long", *[f"{c} double" for c in added[1:]]])
+    there = batches.where(kinds != REQUEST).select(*kept, "batch", "part", "n_words", "keys", "n", "kind")
+    made = answers.where("batch is not null").select("batch", "part", "n", "n_target").groupBy("batch").cogroup(there.groupBy("batch")).applyInArrow(losses, schema)
+    return made.toDF(*keep, *added)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents that labels mark as of good quality."""
     documents = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return score(documents, *fit(documents, good))
+    return score(documents, fit(documents, good))
 
 
 def brute_force(rows: list[tuple], target_ids: set, vocabulary: int | None = None, weight: float = WEIGHT) -> list[tuple]:
