@@ -48,7 +48,7 @@ WEIGHT = 0.75
 #: Stand for the start of a text and for words outside a closed vocabulary; words' hashes have the highest bit set.
 START, UNKNOWN = 0, 1
 #: Words of a batch, beyond which a task closes it.
-HELD_WORDS = 5_000_000
+HELD_WORDS = 2_500_000
 #: Text bytes of the corpus for each part that keys are dealt in.
 PART_BYTES = 8 << 20
 #: Rows of the table of batches: a document, a batch's words, a part of its request.
@@ -88,13 +88,14 @@ def _keys(words: np.ndarray, numbers: np.ndarray, lengths: np.ndarray) -> tuple[
     before[:1], before[1:] = 0, numbers[:-1]
     firsts = np.cumsum(lengths) - lengths
     before[firsts[lengths > 0]] = 0
-    one = np.uint64(1)
+    one, n, k = np.uint64(1), len(numbers), len(words)
+    every = np.empty(n + 2 * k, np.uint64)
     with np.errstate(over="ignore"):
         spread = tv.mix(words + one)
-        pairs = tv.mix(spread[before] * np.uint64(3) + words[numbers]) & ~one
-        alone, prior = tv.mix(spread ^ np.uint64(0x5A5A5A5A)) | one, tv.mix(spread ^ np.uint64(0xA5A5A5A5)) & ~one
-    keys, at = np.unique(np.concatenate([pairs, alone, prior]), return_inverse=True)
-    n, k = len(numbers), len(words)
+        every[:n] = tv.mix(spread[before] * np.uint64(3) + words[numbers]) & ~one
+    every[n : n + k], every[n + k :] = tv.mix(spread ^ np.uint64(0x5A5A5A5A)) | one, tv.mix(spread ^ np.uint64(0xA5A5A5A5)) & ~one
+    keys, at = np.unique(every, return_inverse=True)
+    at = at.astype(np.int32)
     return keys, at[:n], at[n : n + k][numbers], at[n + k :][before]
 
 
@@ -121,9 +122,12 @@ def _batches(rows: DataFrame, parts: int, closed: np.ndarray | None) -> DataFram
                 yield made(len(n), **own_columns, part=pa.array(np.arange(place, place + len(n), dtype=np.int32)), n_words=pa.array(n.astype(np.int32)), kind=pa.array(np.full(len(n), DOCUMENT, np.int32)))
                 place += len(n)
             n, wanted = np.concatenate(lengths), np.concatenate(targets)
-            found, at, times = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+            every = np.concatenate(words)
+            words.clear()
+            found, at, times = np.unique(every, return_inverse=True, return_counts=True)
+            del every
             order = np.argsort(-times, kind="stable")  # frequent words get small numbers, which compress
-            rank = np.empty(len(order), np.int64)
+            rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(1, len(order) + 1)
             found, at = np.concatenate([[np.uint64(START)], found[order]]), rank[at]
             yield made(1, keys=pa.array([_pack(found)]), n=pa.array([_pack(at)]), kind=pa.array([WORDS], pa.int32()))
@@ -248,13 +252,14 @@ def score(documents: DataFrame, counts: Counts, *, text: str = "text", keep: tup
         listed = batch.filter(pc.equal(batch.column("kind"), WORDS))
         n = documents.column("n_words").to_numpy().astype(np.int64)
         words, numbers = (_unpack(listed.column(c)[0].as_py()) for c in ("keys", "n"))
-        keys, pair, alone, prior = _keys(words, numbers.astype(np.int64), n)
+        keys, pair, alone, prior = _keys(words, numbers.astype(np.int32), n)
         answered, owner = answered.sort_by("part"), np.repeat(np.arange(len(n)), n)
         means = []
         for column, total in zip(("n_target", "n"), totals):
             sums = np.concatenate([_unpack(x.as_py()) for x in answered.column(column)]).astype(np.float64)
             unigram, before = (sums[alone] + 1) / (total + entries), sums[prior]
             p = np.where(before > 0, weight * sums[pair] / np.maximum(before, 1) + (1 - weight) * unigram, unigram)
+            del sums, unigram, before
             means.append(np.bincount(owner, -np.log(p), minlength=len(n)) / np.maximum(n, 1))
         return pa.Table.from_arrays([*[documents.column(c) for c in kept], pa.array(n), *map(pa.array, means), pa.array(means[0] - means[1])], [*kept, *added])
 
