@@ -134,7 +134,13 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", samp
     """Learns from rows that aren't held out; at most sample_rows ids."""
     sample = labelled_sample(documents, labels, label, sample_rows)
     made = stored(sample.mapInArrow(_counted, "doc_id string, label int, buckets binary, counts binary"))
-    rows = [(r["doc_id"], r["label"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in made.toLocalIterator()]
+    found, buckets, counts = [], bytearray(), bytearray()  # two long runs, which leave no holes in the driver's memory
+    for r in made.toLocalIterator():
+        found.append((r["doc_id"], r["label"], len(buckets) // 4, (len(buckets) + len(r["buckets"])) // 4))
+        buckets += r["buckets"]
+        counts += r["counts"]
+    which, times = np.frombuffer(buckets, np.int32), np.frombuffer(counts, np.int32)
+    rows = [(d, label, which[a:b], times[a:b]) for d, label, a, b in found]
     rows.sort(key=lambda r: (r[0], r[2].tobytes()))
     return train([r[1:] for r in rows], **options)
 
