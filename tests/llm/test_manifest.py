@@ -52,7 +52,7 @@ def _made(spark, docs, height):
     return out.withColumn("again", m.folded(F.col("node"), F.col("steps"))).withColumn("proof", F.sha2(F.array_join(m.siblings(F.col("steps")), ""), 256)).collect()
 
 
-@pytest.mark.parametrize("height", [1, 3, 10])
+@pytest.mark.parametrize("height", [2, 10])
 def test_equals_brute_force_at_every_height(spark, height):
     sizes = {"en": 23, None: 8, "": 1, "é": 5, "z": 2}
     docs = [(7 * k if k else None, f"s{k}", lang, None if k % 4 == 1 else k, "x" * k if k % 5 else None) for lang, n in sizes.items() for k in range(n)]

@@ -62,7 +62,7 @@ def _levels(total: Column) -> Column:
 def numbered(rows: DataFrame, order: str) -> DataFrame:
     """(tree, pos, total, node, kept) of rows (tree, order, node, kept): each tree's rows
     numbered from 0 by order (nulls first), then node."""
-    spark = rows.sparkSession
+    rows = stored(rows)  # else the ranges' sample would read and hash every text a second time
     dealt = rows.repartitionByRange("tree", order, "node").sortWithinPartitions("tree", order, "node")
     runs = stored(dealt.select("tree", "node", "kept", F.spark_partition_id().alias("run"), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("place")))
     counts = stored(runs.groupBy("tree", "run").agg(F.count("*").alias("n"), F.min("place").alias("first")))
