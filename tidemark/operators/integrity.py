@@ -6,13 +6,17 @@ import hashlib
 import hmac
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions import canonical as cn
-from ..plans.fold import fold_sorted
+from ..plans import segments
 from ..schema import STREAM, HistoryError, tenant
+from ..sources.shared import stored
 
+# fixed values: why a chain is broken
 REASONS = ("MissingHashAfterChainStart", "BrokenLink", "UnknownKey", "ContentMismatch", "Truncated")
 ANCHOR = "entity_type string, entity_id string, tenant string, latest_entry_hash string, row_count long, key_id int, pruned_row_count long, pruned_through_hash string"
 
@@ -28,27 +32,41 @@ def entry_hash(keys: dict[int, bytes], previous: Column | None = None, custom: d
 
 def stamp(batch: DataFrame, anchors: DataFrame, key_id: int, key: bytes, custom: dict[str, Column] | None = None) -> DataFrame:
     """The batch with previous_hash, entry_hash, hash_key_id and chain_sequence, in
-    order of (time, id) of each stream, continuing from its anchor. The hashes depend on
-    each other, so a fold makes them; the covered text is made beforehand, natively."""
-    heads = anchors.select(*STREAM, F.col("latest_entry_hash").alias("head"), F.col("row_count").alias("base"))
+    order of (time, id) of each stream, continuing from its anchor. Each hash needs the
+    one before it, so a walk in order makes them; it holds one hash, and the batch's
+    columns pass it as they are. The covered text is made beforehand, natively."""
+    heads = anchors.select(*STREAM, F.col("latest_entry_hash").alias("_head"), F.col("row_count").alias("_base"))
     placeholder = "\x00"
     text = cn.canonical(F.lit(placeholder), custom)
-    rows = batch.withColumn("tenant", tenant()).select(*STREAM, "id", "occurred_on_utc", F.substring(text, F.lit(1), F.length(text) - len("1:" + placeholder)).alias("text"))
-    rows = rows.join(heads, list(STREAM), "left")
+    rows = batch.withColumns({"tenant": tenant(), "_text": F.substring(text, F.lit(1), F.length(text) - len("1:" + placeholder))})
+    rows = rows.join(heads, list(STREAM), "left").select(*STREAM, "_text", "_head", "_base", F.struct(*batch.columns).alias("_row"))
+    dealt = rows.repartition(*STREAM).sortWithinPartitions(*STREAM, "_row.occurred_on_utc", "_row.id")
+    schema = StructType([f if f.name not in _STAMPED else StructField(f.name, _STAMPED[f.name]) for f in batch.schema.fields])
+    return dealt.mapInArrow(_stamper(key_id, key, batch.columns), schema)
 
-    def step(state: dict, row: dict) -> Iterator[dict]:
-        if not state:
-            state.update(head=row["head"], n=row["base"] or 0)
-        before = state["head"]
-        covered = row["text"] + (cn.NULL_MARK if before is None else f"{len(before)}:{before}")
-        state["head"] = hmac.new(key, covered.encode(), hashlib.sha256).hexdigest()
-        state["n"] += 1
-        yield {"id": row["id"], "new_previous": before, "new_hash": state["head"], "new_sequence": state["n"]}
 
-    stamped = fold_sorted(rows, list(STREAM), ["occurred_on_utc", "id"], dict, step, lambda state: iter(()), "id string, new_previous string, new_hash string, new_sequence long")
-    out = batch.drop("previous_hash", "entry_hash", "hash_key_id", "chain_sequence").join(stamped, "id")
-    out = out.withColumns({"previous_hash": F.col("new_previous"), "entry_hash": F.col("new_hash"), "hash_key_id": F.lit(key_id), "chain_sequence": F.col("new_sequence")})
-    return out.select(*batch.columns)
+_STAMPED = {"previous_hash": StringType(), "entry_hash": StringType(), "hash_key_id": IntegerType(), "chain_sequence": LongType()}
+
+
+def _stamper(key_id: int, key: bytes, columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, head, n = None, None, 0
+        for batch in batches:
+            *stream, texts, heads, bases = (batch.column(k).to_pylist() for k in range(6))
+            before, made, places = [], [], []
+            for own, text, start, base in zip(zip(*stream), texts, heads, bases):
+                if own != now:
+                    now, head, n = own, start, base or 0
+                before.append(head)
+                covered = text + (cn.NULL_MARK if head is None else f"{len(head)}:{head}")
+                head, n = hmac.new(key, covered.encode(), hashlib.sha256).hexdigest(), n + 1
+                made.append(head)
+                places.append(n)
+            new = {"previous_hash": pa.array(before, pa.string()), "entry_hash": pa.array(made, pa.string()), "hash_key_id": pa.array([key_id] * len(made), pa.int32()), "chain_sequence": pa.array(places, pa.int64())}
+            rows = dict(zip(columns, batch.column(6).flatten()))
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else rows[c] for c in columns], columns)
+
+    return run
 
 
 def advanced_anchors(anchors: DataFrame, stamped: DataFrame) -> DataFrame:
@@ -67,30 +85,42 @@ def no_anchors(df: DataFrame) -> DataFrame:
 
 def walk_order(df: DataFrame) -> DataFrame:
     """Adds tenant and walk, each row's place in its stream's chain: rows with a
-    sequence by it, and those without among them where their time falls."""
-    stream = Window.partitionBy(*STREAM)
-    rows = df.withColumn("tenant", tenant())
-    reached = F.max(F.when(F.col("chain_sequence").isNotNull(), F.col("occurred_on_utc"))).over(stream.orderBy(F.col("chain_sequence").asc_nulls_last(), "id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_at", F.when(F.col("chain_sequence").isNull(), F.col("occurred_on_utc")).otherwise(reached))
-    order = ["_at", F.col("chain_sequence").isNull(), "chain_sequence", "occurred_on_utc", "id"]
-    return rows.withColumn("walk", F.row_number().over(stream.orderBy(*order))).drop("_at")
+    sequence by it (then time and id), and those without among them where their time
+    falls. A stream may lie in many tasks."""
+    rows, order = _in_order(df.withColumn("tenant", tenant()))
+    return segments.running(rows, list(STREAM), order, sums={"walk": F.lit(1)}).withColumn("walk", F.col("walk").cast("int")).select(*df.columns, *(["tenant"] if "tenant" not in df.columns else []), "walk")
+
+
+def _in_order(rows: DataFrame) -> tuple[DataFrame, list]:
+    """Rows (with tenant) and the columns that order them within their streams: where every
+    row has its sequence, that decides; else a row without one needs to know what time the
+    sequenced rows before and behind it have reached."""
+    last = ["chain_sequence", "occurred_on_utc", "id"]
+    loose = F.col("chain_sequence").isNull()
+    if not rows.where(loose).limit(1).count():
+        return rows, last
+    timed = segments.running(rows, list(STREAM), [F.col("chain_sequence").asc_nulls_last(), "occurred_on_utc", "id"], maxes={"_reached": F.when(~loose, F.col("occurred_on_utc"))})
+    rows = timed.withColumns({"_at": F.when(loose, F.col("occurred_on_utc")).otherwise(F.col("_reached")), "_loose": loose}).drop("_reached")
+    return rows, ["_at", "_loose", *last]
 
 
 def checked(df: DataFrame, anchors: DataFrame, keys: dict[int, bytes], custom: dict[str, Column] | None = None) -> DataFrame:
-    """Every row from its stream's first hashed one on, with break_reason (null if none).
-    A row's check needs the hash before it only, which is stored, so rows are checked at once."""
-    rows = walk_order(df)
-    stream = Window.partitionBy(*STREAM).orderBy("walk")
-    so_far = stream.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"_started": F.coalesce(F.max(F.col("entry_hash").isNotNull()).over(so_far), F.lit(False)), "_before": F.lag("entry_hash").over(stream), "_earlier": F.coalesce(F.lag(F.col("entry_hash").isNotNull()).over(stream), F.lit(False))})
-    rows = rows.where("_started").join(anchors.select(*STREAM, "pruned_through_hash"), list(STREAM), "left")
-    expected = F.when(F.col("_earlier"), F.col("_before")).otherwise(F.col("pruned_through_hash"))
+    """(entity_type, entity_id, tenant, id, entry_hash, walk, break_reason) of every row from
+    its stream's first hashed one on; break_reason is null if none. A row's own hash is
+    checked where the row lies; only hashes and times travel to where a chain is walked,
+    and a chain may be walked by many tasks."""
     known = F.coalesce("hash_key_id", F.lit(0)).isin(*keys) if keys else F.lit(False)
-    reason = (
-        F.when(F.col("entry_hash").isNull(), REASONS[0]).when(~F.col("previous_hash").eqNullSafe(expected), REASONS[1])
-        .when(~known, REASONS[2]).when(~F.col("entry_hash").eqNullSafe(entry_hash(keys, custom=custom)), REASONS[3])
-    )
-    return rows.withColumn("break_reason", reason).drop("_started", "_before", "_earlier", "pruned_through_hash")
+    own = F.when(~known, REASONS[2]).when(~F.col("entry_hash").eqNullSafe(entry_hash(keys, custom=custom)), REASONS[3])
+    # stored, since sampling the ranges would hash every row a second time
+    narrow = stored(df.select("entity_type", "entity_id", tenant().alias("tenant"), "id", "occurred_on_utc", "chain_sequence", "entry_hash", "previous_hash", own.alias("_own")))
+    rows, order = _in_order(narrow)
+    there = F.col("entry_hash").isNotNull()
+    rows = segments.running(rows, list(STREAM), order, sums={"walk": F.lit(1)}, maxes={"_started": there}, lags={"_before": F.col("entry_hash")})
+    pruned = anchors.where("pruned_through_hash is not null").select(*STREAM, "pruned_through_hash")
+    rows = rows.where("_started").join(pruned, list(STREAM), "left")
+    expected = F.coalesce("_before", "pruned_through_hash")
+    reason = F.when(~there, REASONS[0]).when(~F.col("previous_hash").eqNullSafe(expected), REASONS[1]).otherwise(F.col("_own"))
+    return rows.select(*STREAM, "id", "entry_hash", "walk", reason.alias("break_reason"))
 
 
 def verify_streams(df: DataFrame, anchors: DataFrame, keys: dict[int, bytes], custom: dict[str, Column] | None = None) -> DataFrame:
@@ -118,7 +148,7 @@ def verify_chain(df: DataFrame, anchors: DataFrame, keys: dict[int, bytes], *, e
             df, anchors = df.where(F.col(name) == value), anchors.where(F.col(name) == value)
     if tenant_id is not None:
         df, anchors = df.where(tenant() == tenant_id), anchors.where(F.col("tenant") == tenant_id)
-    found = verify_streams(df, anchors, keys, custom)
+    found = stored(verify_streams(df, anchors, keys, custom))
     key = F.struct(*STREAM)
     first = found.where("reason is not null").agg(F.min_by(F.struct(key.alias("stream"), "reason", "break_id"), key).alias("broken"))
     # the streams up to the first broken one, counted without ordering them all
@@ -129,19 +159,24 @@ def verify_chain(df: DataFrame, anchors: DataFrame, keys: dict[int, bytes], *, e
 def prunable(victims: DataFrame, anchors: DataFrame) -> DataFrame:
     """Of the victims, those whose removal keeps each chain whole: the rows that follow
     on the stream's pruned head without a gap, and rows of streams without an anchor or a hash."""
-    rows = walk_order(victims).join(anchors.select(*STREAM, F.lit(True).alias("_anchored"), "pruned_through_hash"), list(STREAM), "left")
-    hashed = F.col("entry_hash").isNotNull() & F.coalesce("_anchored", F.lit(False))
-    stream = Window.partitionBy(*STREAM, hashed).orderBy("walk")
-    before = F.when(F.row_number().over(stream) == 1, F.col("pruned_through_hash")).otherwise(F.lag("entry_hash").over(stream))
-    rows = rows.withColumn("_joined", F.col("previous_hash").eqNullSafe(before))
-    whole = F.min("_joined").over(stream.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_whole", whole).where(~hashed | F.col("_whole")).select(*victims.columns)
+    marks = anchors.select(*STREAM, F.lit(True).alias("_anchored"), "pruned_through_hash")
+    rows = victims.withColumn("tenant", tenant()).join(marks, list(STREAM), "left")
+    rows = rows.withColumn("_hashed", F.col("entry_hash").isNotNull() & F.coalesce("_anchored", F.lit(False)))
+    rows, order = _in_order(stored(rows))
+    rows = segments.running(rows, [*STREAM, "_hashed"], order, lags={"_before": F.col("entry_hash"), "_behind": F.lit(True)})
+    before = F.when(F.col("_behind").isNull(), F.col("pruned_through_hash")).otherwise(F.col("_before"))
+    loose = ~F.col("previous_hash").eqNullSafe(before)
+    # a stream's rows up to its first that doesn't follow on the one before it
+    rows = stored(rows.withColumn("_cut", loose))
+    cuts = rows.where("_hashed and _cut").groupBy(*STREAM).agg(F.min(F.struct(*order)).alias("_from"))
+    found = rows.join(cuts, list(STREAM), "left").where(~F.col("_hashed") | F.col("_from").isNull() | (F.struct(*order) < F.col("_from")))
+    return found.select(*victims.columns)
 
 
 def pruned_anchors(anchors: DataFrame, removed: DataFrame) -> DataFrame:
-    """Anchors after the removal of prunable rows."""
-    rows = walk_order(removed).where("entry_hash is not null")
-    gone = rows.groupBy(*STREAM).agg(F.count("*").alias("n"), F.max_by("entry_hash", "walk").alias("through"))
+    """Anchors after the removal of prunable rows: of each chain the last one tells."""
+    rows, order = _in_order(removed.withColumn("tenant", tenant()).where("entry_hash is not null"))
+    gone = rows.groupBy(*STREAM).agg(F.count("*").alias("n"), F.max_by("entry_hash", F.struct(*order)).alias("through"))
     joined = anchors.join(gone, list(STREAM), "left")
     return joined.withColumns({"pruned_row_count": F.col("pruned_row_count") + F.coalesce("n", F.lit(0)), "pruned_through_hash": F.coalesce("through", "pruned_through_hash")}).drop("n", "through")
 
