@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
+from tidemark.functions import canonical as cn
 from tidemark.operators import integrity
+from tidemark.streaming.cadence import Every
 from tidemark.streaming.dispatch import QUEUE, Dispatcher
 
 KEY = bytes(range(16))
@@ -25,7 +27,7 @@ def test_dispatch_chain_retry_and_dead_letters(spark, tmp_path):
     run.flush()
     log = run.log()
     assert sorted((r.id, r.chain_sequence) for r in log.collect()) == [("1", 1), ("2", 2), ("5", 3)]
-    checked = integrity.verify_chain(log, run.anchors(1), {1: KEY}).first()
+    checked = integrity.verify_chain(log, run.anchors(1), {1: KEY}, custom=cn.custom_texts(log, ["region"])).first()
     assert checked.is_valid and checked.verified == 3
     run.flush()  # nothing new: nothing happens
     assert run.log().count() == 3
@@ -51,7 +53,7 @@ def test_each_failure_is_redelivered_once(spark, tmp_path):
 
 def test_snapshots_and_bad_custom_columns(spark, tmp_path):
     source = f"file://{tmp_path}/queue"
-    run = Dispatcher(spark, source, f"file://{tmp_path}/out", custom_schema="size int, region string", snapshot_every=2)
+    run = Dispatcher(spark, source, f"file://{tmp_path}/out", custom_schema="size int, region string", policy=Every(2))
     _queue(spark, source, [(str(k), "a", f'{{"x":{k}}}', f'{{"x":{k + 1}}}', 0) for k in range(3)])
     run.flush()
     rows = spark.read.schema(QUEUE).parquet(source)

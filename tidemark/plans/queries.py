@@ -291,13 +291,16 @@ on_log("ndjson_text", lambda df: export.ndjson(df).select("id", "line"), f"""SEL
 # streaming
 def _queue(spark: SparkSession, d: str, at: str, attempts: int = 4) -> None:
     """Customer changes as queue entries; the images of every 11th can't be read."""
+    from ..streaming.dispatch import enqueue
+
     rows = _captured(spark, d, CUSTOMER)
     broken = F.col("entity_id").cast("long") % 11 == 0
-    rows.select(
+    entries = rows.select(
         F.concat(F.lit("q-"), "entity_id").alias("id"), "entity_type", "entity_base_type", "entity_id", "action", F.when(broken, "{").otherwise(F.col("before_json")).alias("before_json"), "after_json",
         F.lit("2024-01-30T00:00:00").cast("timestamp_ntz").alias("occurred_on_utc"), F.lit("u1").alias("user_id"), F.lit(None).cast("string").alias("user_display"), F.lit("job").alias("user_type"),
         F.lit("t1").alias("tenant_id"), F.lit("corr").alias("correlation_id"), F.lit(attempts).alias("attempts"), F.lit(None).cast("string").alias("error"), F.lit('{"region":"eu","unknown":1}').alias("custom_columns_json"),
-    ).repartition(3).write.parquet(at)
+    ).repartition(3)
+    enqueue(entries, at, "capture")
 
 
 def _dispatched(spark: SparkSession, d: str):
@@ -327,27 +330,28 @@ on_log("dispatch_lag", _lag, "SELECT id, greatest(0, date_diff('microsecond', oc
 
 def _cadence(spark: SparkSession, d: str) -> DataFrame:
     """The whole log in four ranges of time, each of them micro-batches of their own."""
-    from ..streaming.dispatch import snapshot_cadence
+    from ..streaming.cadence import Every, snapshot_cadence
 
     at, log = folder(spark), derived.audit_log(spark, d)
     for k in range(4):
         days = F.dayofmonth("occurred_on_utc") - 1
         log.where(F.least(F.floor(days / 8), F.lit(3)) == k).repartition(2, "id").write.mode("append").parquet(f"{at}/log")
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/log")
-    snapshot_cadence(stream, 4, f"{at}/out").awaitTermination()
+    snapshot_cadence(stream, Every(4), f"{at}/out").awaitTermination()
     return spark.read.parquet(f"{at}/out/due").select("id", "snapshot_due")
 
 
 _register("stream_snapshot_cadence", _cadence, f"WITH {derived.AUDIT_LOG_SQL} SELECT id, action = 1 AND sum(CASE WHEN action = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY entity_type, entity_id, coalesce(tenant_id, '') ORDER BY occurred_on_utc, id ROWS UNBOUNDED PRECEDING) % 4 = 0 AS snapshot_due FROM audit_log")
 
 
-def _retried(spark: SparkSession, d: str):
+def _retried(spark: SparkSession, d: str, snapshots: bool = False):
     """Entries from no attempt on: the broken ones go back to the queue until they are given up."""
+    from ..streaming.cadence import Every
     from ..streaming.dispatch import Dispatcher
 
     at = folder(spark)
     _queue(spark, d, f"{at}/queue", attempts=0)
-    run = Dispatcher(spark, f"{at}/queue", f"{at}/out", custom_schema="region string", max_files=2, snapshot_every=1)
+    run = Dispatcher(spark, f"{at}/queue", f"{at}/out", custom_schema="region string", max_files=2, policy=Every(1) if snapshots else None)
     run.flush()
     while run.redeliver():
         run.flush()
@@ -356,9 +360,110 @@ def _retried(spark: SparkSession, d: str):
 
 _register("stream_retry", lambda spark, d: (lambda run: run.log().select("id", F.lit(0).alias("attempts"), F.lit(False).alias("given_up")).unionByName(run.dead().select("id", "attempts", F.lit(True).alias("given_up"))))(_retried(spark, d)),
           f"{_ENTITIES} SELECT 'q-' || CAST(k AS VARCHAR) AS id, CAST(CASE WHEN k % 11 = 0 THEN 5 ELSE 0 END AS INTEGER) AS attempts, k % 11 = 0 AS given_up FROM q")
-_register("stream_snapshots", lambda spark, d: _retried(spark, d).log().select("id", "action", F.get_json_object("snapshot", "$.c_mktsegment").alias("segment"), F.col("snapshot").isNotNull().alias("kept")),
+_register("stream_snapshots", lambda spark, d: _retried(spark, d, snapshots=True).log().select("id", "action", F.get_json_object("snapshot", "$.c_mktsegment").alias("segment"), F.col("snapshot").isNotNull().alias("kept")),
           f"{_ENTITIES} SELECT 'q-' || CAST(k AS VARCHAR) AS id, action, CASE WHEN action > 0 THEN '<redacted>' END AS segment, action > 0 AS kept FROM q WHERE k % 11 <> 0")
 
+
+def _log_queue(spark: SparkSession, d: str, at: str, batches: int = 6) -> None:
+    """The log's rows as queue entries, two files for each range of time."""
+    from ..streaming.dispatch import enqueue
+
+    log = derived.audit_log(spark, d)
+    n, days = F.substring("id", 25, 12).cast("long"), F.dayofmonth("occurred_on_utc") - 1
+    image = lambda k: F.concat(F.lit('{"n":'), k.cast("string"), F.lit("}"))
+    rows = log.withColumns({"before_json": image(n - 1), "after_json": image(n), "attempts": F.lit(0), "custom_columns_json": F.concat(F.lit('{"region":"r'), (n % 5).cast("string"), F.lit('"}'))})
+    for k in range(batches):
+        enqueue(rows.where(F.least(F.floor(days / 5), F.lit(batches - 1)) == k).repartition(2, "id"), at, f"range{k}")
+
+
+def _log_dispatched(spark: SparkSession, d: str, **options):
+    from ..streaming.dispatch import Dispatcher
+
+    at = folder(spark)
+    _log_queue(spark, d, f"{at}/queue")
+    run = Dispatcher(spark, f"{at}/queue", f"{at}/out", max_files=2, custom_schema="region string", **options)
+    run.flush()
+    return run
+
+
+def _cadenced(spark: SparkSession, d: str, policy: str) -> DataFrame:
+    from ..streaming import cadence
+
+    run = _log_dispatched(spark, d, policy={"n": cadence.Every(3), "duration": cadence.EveryDuration(dt.timedelta(days=1))}[policy])
+    return run.log().select("id", "action", "snapshot")
+
+
+_IMAGES = "'{{\"n\":' || CAST(CAST(substr(a.id, 25) AS BIGINT) - {} AS VARCHAR) || '}}'"
+_KEPT = f"SELECT a.id, a.action, CASE WHEN a.action = 2 THEN {_IMAGES.format(1)} WHEN a.action = 3 OR due.snapshot_due THEN {_IMAGES.format(0)} END AS snapshot FROM audit_log a JOIN due USING (id)"
+for _name, _by in (("n", "snapshot_every_n"), ("duration", "snapshot_every_duration")):
+    _due = SQL[_by].split(f"WITH {derived.AUDIT_LOG_SQL}", 1)[1].replace("% 5 = 0", "% 3 = 0")
+    _with, _select = ("", _due) if not _due.lstrip().startswith(",") else (_due[: _due.rindex("SELECT a.id")], _due[_due.rindex("SELECT a.id") :])
+    _register(f"stream_cadence_{_name}", lambda spark, d, p=_name: _cadenced(spark, d, p), f"WITH {derived.AUDIT_LOG_SQL} {_with}, due AS ({_select}) {_KEPT}")
+
+
+def _stream_chain(spark: SparkSession, d: str) -> DataFrame:
+    """A chain that grew over several batches, its custom column covered: as it is, and with that column changed in one row."""
+    run = _log_dispatched(spark, d, key=(1, KEY))
+    log, anchors = run.log(), stored(run.anchors(5))
+    checked = lambda df: integrity.verify_chain(df, anchors, {1: KEY}, custom=cn.custom_texts(df, ["region"])).select("is_valid", "reason")
+    changed = log.withColumn("region", F.when(F.col("id").endswith("000000000007"), "elsewhere").otherwise(F.col("region")))
+    return checked(log).withColumn("log", F.lit("whole")).unionByName(checked(changed).withColumn("log", F.lit("changed"))).withColumn("anchored", F.lit(anchors.agg(F.sum("row_count")).first()[0]).cast("long"))
+
+
+_register("stream_chain", _stream_chain, f"WITH {derived.AUDIT_LOG_SQL}, n AS (SELECT count(*) AS n FROM audit_log) SELECT true AS is_valid, 'None' AS reason, 'whole' AS log, n AS anchored FROM n UNION ALL SELECT false, 'ContentMismatch', 'changed', n FROM n")
+
+
+def _taken(event: dict) -> None:
+    """A handler that can't take the events of every 13th customer."""
+    if int(event["entity_key"]) % 13 == 0:
+        raise ValueError("no such customer here")
+
+
+def _outbox(spark: SparkSession, d: str) -> DataFrame:
+    from ..streaming.dispatch import Dispatcher
+
+    at = folder(spark)
+    _queue(spark, d, f"{at}/queue")
+    run = Dispatcher(spark, f"{at}/queue", f"{at}/out", max_files=2, handler=_taken)
+    run.flush()
+    while run.outbox.deliver()[1]:
+        pass
+    return run.outbox.status().select("audit_log_id", "delivered", "attempts", F.col("error").isNotNull().alias("told"))
+
+
+_register("outbox_delivered", _outbox, f"{_ENTITIES} SELECT 'q-' || CAST(k AS VARCHAR) AS audit_log_id, k % 13 <> 0 AS delivered, CAST(CASE WHEN k % 13 = 0 THEN 3 ELSE 1 END AS INTEGER) AS attempts, k % 13 = 0 AS told FROM q WHERE k % 11 <> 0")
+
+# records that can't be worked on: they end as errors, and their neighbours don't suffer
+_DEEP = '{"a":' * 600 + "1" + "}" * 600
+
+
+def _poisoned(spark: SparkSession, d: str) -> DataFrame:
+    """Entries with images that are too deep, are no objects or hold half a surrogate pair, each at its last attempt."""
+    from ..streaming.dispatch import Dispatcher, enqueue
+
+    at, k = folder(spark), F.col("c_custkey")
+    after = F.when(k % 5 == 0, _DEEP).when(k % 5 == 1, "[1]").when(k % 5 == 2, '{"s":"\\ud800"}').when(k % 5 == 3, "{").otherwise('{"s":1}')
+    entries = derived.table(spark, d, "customer").select(k.cast("string").alias("id"), F.lit("T").alias("entity_type"), k.cast("string").alias("entity_id"), F.lit(0).alias("action"), F.lit(None).cast("string").alias("before_json"), after.alias("after_json"), F.lit("2024-01-01T00:00:00").cast("timestamp_ntz").alias("occurred_on_utc"), F.lit(4).alias("attempts"))
+    enqueue(entries, f"{at}/queue", "capture")
+    run = Dispatcher(spark, f"{at}/queue", f"{at}/out")
+    run.flush()
+    return run.log().select("id", "diff", F.lit(False).alias("dead")).unionByName(run.dead().select("id", F.lit(None).cast("string").alias("diff"), F.lit(True).alias("dead")))
+
+
+_register("stream_poison", _poisoned, """SELECT CAST(c_custkey AS VARCHAR) AS id, CASE c_custkey % 5 WHEN 2 THEN '[{"op":"add","path":"/s","value":"\\ud800"}]' WHEN 4 THEN '[{"op":"add","path":"/s","value":1}]' END AS diff, c_custkey % 5 NOT IN (2, 4) AS dead FROM customer""")
+
+
+def _bad_patches(df: DataFrame) -> DataFrame:
+    n = F.substring("id", 25, 12).cast("long")
+    bad = F.when(n % 37 == 0, '[{"op":"add","path":5,"value":1}]').when(n % 41 == 0, f'[{{"op":"add","path":"/d","value":{_DEEP}}}]').when(n % 43 == 0, '[{"op":"move","path":"/x"}]').when(n % 47 == 0, '[{"op":7,"path":"/x"}]')
+    out = replay.reconstruct(df.withColumn("diff", F.coalesce(bad, F.when(n % 53 == 0, '[{"op":"add","path":"/s","value":"\\udfff"}]'), F.col("diff"))), _AS_OF)
+    return out.select(*STREAM, F.col("error").isNotNull().alias("failed"), F.col("state").isNotNull().alias("alive"))
+
+
+on_log("replay_bad_patches", _bad_patches, f""", {_UNTIL}, s AS (SELECT entity_type, entity_id, tenant, arg_max(action, (occurred_on_utc, id)) NOT IN (2, 3) AS there,
+ bool_or(n % 37 = 0 OR n % 41 = 0 OR n % 43 = 0 OR n % 47 = 0) AS bad FROM (SELECT *, CAST(substr(id, 25) AS BIGINT) AS n FROM u) GROUP BY 1, 2, 3)
+ SELECT entity_type, entity_id, tenant, there AND bad AS failed, there AND NOT bad AS alive FROM s""")
+
 # a log with snapshots: every third row of a stream that isn't its first keeps the state, as the derived patches make it
 _WITH_SNAPSHOTS = "s AS (SELECT *, coalesce(tenant_id, '') AS tenant, row_number() OVER (PARTITION BY entity_type, entity_id, coalesce(tenant_id, '') ORDER BY occurred_on_utc, id) AS k FROM audit_log)"
 

@@ -8,23 +8,30 @@ so a replay overwrites instead of repeating. One query writes a log (the chain n
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import canonical as cn
 from ..operators import integrity
 from ..operators.importer import nested_diff
 from ..operators.view import to_event
-from ..schema import COLUMNS, DELETED, SOFT_DELETED, UPDATED, tenant
+from ..schema import COLUMNS, DELETED, SOFT_DELETED, STREAM, tenant
+from ..sources.shared import Files
+from .anchors import AnchorLog
+from .cadence import Policy, started, with_snapshot_due
+from .outbox import Outbox
 
 QUEUE = (
     "id string, entity_type string, entity_base_type string, entity_id string, action int, before_json string, after_json string, occurred_on_utc timestamp_ntz, "
     "user_id string, user_display string, user_type string, tenant_id string, correlation_id string, attempts int, error string, custom_columns_json string"
 )
 MAX_ATTEMPTS = 5
+log_of_faults = logging.getLogger(__name__)
 
 
 @dataclass
@@ -41,11 +48,17 @@ class Dispatcher:
     key: tuple[int, bytes] | None = None
     max_files: int = 500
     slo_seconds: float = 30.0
-    #: Every n-th error-free update of a history keeps the state after it as its snapshot.
-    snapshot_every: int | None = None
+    #: Which error-free updates of a history keep the state after them as their snapshot.
+    policy: Policy | None = None
+    #: Called on the executors for each event, which is kept until it was taken.
+    handler: Callable[[dict], None] | None = None
     #: Called with (batch, rows written, rows failed) once a batch is written.
     observers: list[Callable[[int, int, int], None]] = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        self.anchor_log = AnchorLog(self.spark, f"{self.out}/anchors")
+        self.outbox = Outbox(self.spark, f"{self.out}/outbox", self.handler) if self.handler else None
+
     def built(self, entries: DataFrame) -> DataFrame:
         """Queue entries as audit rows with _failed and the entries' own columns."""
         rows = entries.where("error is null").withColumn("_d", nested_diff(F.col("before_json"), F.col("after_json")))
@@ -63,74 +76,62 @@ class Dispatcher:
         kept = [F.struct(*[c for c in entries.columns]).alias("_entry"), F.col("_d.error").isNotNull().alias("_failed")]
         return rows.select(*made, *custom, *kept)
 
-    def batch(self, entries: DataFrame, number: int) -> None:
+    def batch(self, built: DataFrame, number: int) -> None:
+        """A micro-batch of built rows, with snapshot_due where there is a policy."""
         at = f"{self.out}/built/batch={number}"
-        self.built(entries).write.mode("overwrite").parquet(at)
-        rows = self.spark.read.parquet(at)
+        built.write.mode("overwrite").parquet(at)
+        rows = self.spark.read.schema(built.schema).parquet(at)
         failed = rows.where("_failed").select("_entry.*", F.col("error").alias("_reason")).withColumn("attempts", F.coalesce("attempts", F.lit(0)) + 1)
         failed.where(F.col("attempts") < MAX_ATTEMPTS).drop("_reason").write.mode("overwrite").parquet(f"{self.out}/retry/batch={number}")
         failed.where(F.col("attempts") >= MAX_ATTEMPTS).withColumn("error", F.col("_reason")).drop("_reason").write.mode("overwrite").parquet(f"{self.out}/dead/batch={number}")
         log = rows.where("not _failed")
-        if self.snapshot_every:
-            counted = numbered(log, self.counts(number - 1))
-            due = counted["update_number"] % self.snapshot_every == 0
-            log = counted.withColumn("snapshot", F.when(due, F.col("_entry.after_json")).otherwise(F.col("snapshot"))).drop("update_number")
-            advanced_counts(self.counts(number - 1), log).write.mode("overwrite").parquet(f"{self.out}/counts/batch={number}")
+        if self.policy:
+            log = log.withColumn("snapshot", F.when(F.col("snapshot_due"), F.col("_entry.after_json")).otherwise(F.col("snapshot"))).drop("snapshot_due")
         log = log.drop("_entry", "_failed")
         if self.key:
-            anchors = self.anchors(number - 1)
-            log = integrity.stamp(log.select(*COLUMNS), anchors, *self.key).join(log.drop(*[c for c in COLUMNS if c != "id"]), "id") if self.custom_schema else integrity.stamp(log, anchors, *self.key)
-        # at least once, and before the rows are committed; subscribers drop ids they know
-        if self.publish:
-            self.publish(to_event(log), number)
+            streams = log.select(*STREAM[:2], tenant().alias("tenant")).distinct()
+            self.anchor_log.fold(number - 1)
+            anchors = self.anchor_log.read(number - 1, streams)
+            log = integrity.stamp(log, anchors, *self.key, custom=cn.custom_texts(log, [c for c in log.columns if c not in COLUMNS]))
         log.write.mode("overwrite").parquet(f"{self.out}/log/batch={number}")
+        written = self.spark.read.schema(log.schema).parquet(f"{self.out}/log/batch={number}")
         if self.key:
-            integrity.advanced_anchors(anchors, self.spark.read.parquet(f"{self.out}/log/batch={number}")).write.mode("overwrite").parquet(f"{self.out}/anchors/batch={number}")
-
+            self.anchor_log.append(integrity.advanced_anchors(anchors, written), number)
+        # events go out before the batch is committed: at least once, and subscribers drop ids they know
+        if self.outbox:
+            self.outbox.put(to_event(written), number)
+            self.outbox.deliver()
+        if self.publish:
+            self.publish(to_event(written), number)
         for tell in self.observers:
-            tell(number, self.spark.read.parquet(f"{self.out}/log/batch={number}").count(), failed.count())
-
-    def counts(self, number: int) -> DataFrame:
-        """Error-free updates of each history up to a batch."""
-        if number < 0:
-            return self.spark.createDataFrame([], COUNTS)
-        return self.spark.read.schema(COUNTS).parquet(f"{self.out}/counts/batch={number}")
+            try:
+                tell(number, written.count(), failed.count())
+            except Exception:  # noqa: BLE001  an observer's fault must not fail what is written
+                log_of_faults.exception("an observer failed in batch %s", number)
 
     def anchors(self, number: int) -> DataFrame:
-        if number < 0:
-            return self.spark.createDataFrame([], integrity.ANCHOR)
-        return self.spark.read.schema(integrity.ANCHOR).parquet(f"{self.out}/anchors/batch={number}")
+        """The anchors after a batch."""
+        return self.anchor_log.read(number)
 
     def start(self, *, once: bool = False, every: str = "2 seconds") -> StreamingQuery:
         """Runs until stopped, or (once) until what is there now is done."""
         stream = self.spark.readStream.schema(QUEUE).option("maxFilesPerTrigger", self.max_files).parquet(self.source)
         lag = F.greatest(F.lit(0.0), F.unix_micros(F.current_timestamp()) / 1e6 - F.unix_micros(F.col("occurred_on_utc").cast("timestamp")) / 1e6)
         stream = stream.observe("dispatch", F.count(F.lit(1)).alias("entries"), F.max(lag).alias("max_lag_seconds"), F.count_if(lag > self.slo_seconds).alias("late"))
-        writer = stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", f"{self.out}/checkpoint")
-        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+        built = self.built(stream)
+        built = with_snapshot_due(built, self.policy) if self.policy else built
+        writer = built.writeStream.foreachBatch(self.batch).option("checkpointLocation", f"{self.out}/checkpoint")
+        writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
+        return started(writer, self.spark) if self.policy else writer.start()
 
     def flush(self) -> None:
         self.start(once=True).awaitTermination()
 
     def redeliver(self) -> int:
-        """Feeds failed entries back to the queue, those of each batch once: they are put
-        aside as they are, and their files move into the queue under names of their batch,
-        so that a call that is cut short can be made again. Returns the number of entries."""
-        fs = _Files(self.spark, self.out)
-        total = 0
-        for number in fs.numbers(f"{self.out}/retry", "batch="):
-            done, aside = f"{self.out}/redelivered/batch={number}", f"{self.out}/aside/batch={number}"
-            if fs.exists(done):
-                continue
-            if not fs.exists(f"{aside}/_SUCCESS"):
-                self.spark.read.schema(QUEUE).parquet(f"{self.out}/retry/batch={number}").write.mode("overwrite").parquet(aside)
-            n = self.spark.read.schema(QUEUE).parquet(f"{self.out}/retry/batch={number}").count()
-            for name in fs.names(aside):
-                if name.startswith("part-"):
-                    fs.rename(f"{aside}/{name}", f"{self.source}/retry-{number:010d}-{name.split('-')[1]}.parquet")
-            fs.touch(done)
-            total += n
-        return total
+        """Feeds failed entries back to the queue, those of each batch once, however often
+        it is called. Returns the number of entries."""
+        fs = Files(self.spark, self.out)
+        return sum(enqueue(self.spark.read.schema(QUEUE).parquet(f"{self.out}/retry/batch={n}"), self.source, f"retry-{n:010d}") for n in fs.numbers(f"{self.out}/retry", "batch="))
 
     def log(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.out}/log").drop("batch")
@@ -139,69 +140,28 @@ class Dispatcher:
         return self.spark.read.parquet(f"{self.out}/dead").drop("batch")
 
 
+def enqueue(entries: DataFrame, source: str, name: str) -> int:
+    """Puts entries into a queue's folder under a name, once: they are written aside, and
+    each whole file then moves in, so that a stream never sees half of one. A call that
+    was cut short is made again with the same name; after one that wasn't, nothing
+    happens. Returns the number of entries that came in by this call."""
+    spark = entries.sparkSession
+    fs, aside = Files(spark, source), f"{source.rstrip('/')}-aside/{name}"
+    if fs.exists(f"{aside}/_moved"):
+        return 0
+    if not fs.written(aside):
+        columns = [F.col(c.split()[0]).cast(c.split()[1]) if c.split()[0] in entries.columns else F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in QUEUE.split(", ")]
+        entries.select(*columns).write.mode("overwrite").parquet(aside)
+        fs.touch(f"{aside}/_entries={spark.read.parquet(aside).count()}")
+    fs.make(source)
+    for part in fs.names(aside):
+        if part.startswith("part-"):
+            fs.rename(f"{aside}/{part}", f"{source}/{name}-{part.split('-')[1]}.parquet")
+    fs.touch(f"{aside}/_moved")
+    return sum(fs.numbers(aside, "_entries="))
+
+
 def lag(entries: DataFrame, now, slo_seconds: float) -> DataFrame:
     """Per entry: lag in seconds (never negative) and whether it breaks the objective."""
     seconds = F.greatest(F.lit(0), F.timestamp_diff("SECOND", F.col("occurred_on_utc"), F.lit(now).cast("timestamp_ntz")))
     return entries.select("id", seconds.alias("lag_seconds"), (seconds > slo_seconds).alias("late"))
-
-
-COUNTS = "entity_type string, entity_id string, tenant string, n long"
-
-
-def _counts_as_update():
-    return (F.col("action") == UPDATED) & F.col("error").isNull()
-
-
-def numbered(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Adds update_number: an error-free update's place in its history, by time and id,
-    after those that counts has; null for other rows."""
-    stream = Window.partitionBy("entity_type", "entity_id", tenant()).orderBy("occurred_on_utc", "id")
-    earlier = counts.select(F.col("entity_type").alias("_t"), F.col("entity_id").alias("_e"), F.col("tenant").alias("_n"), F.col("n").alias("_before"))
-    place = F.when(_counts_as_update(), F.sum(F.when(_counts_as_update(), 1).otherwise(0)).over(stream))
-    found = rows.withColumn("_place", place).join(earlier, (F.col("entity_type") == F.col("_t")) & (F.col("entity_id") == F.col("_e")) & (tenant() == F.col("_n")), "left")
-    return found.withColumn("update_number", F.col("_place") + F.coalesce("_before", F.lit(0))).drop("_place", "_t", "_e", "_n", "_before")
-
-
-def advanced_counts(counts: DataFrame, rows: DataFrame) -> DataFrame:
-    new = rows.where(_counts_as_update()).groupBy("entity_type", "entity_id", tenant().alias("tenant")).agg(F.count("*").alias("n"))
-    return counts.unionByName(new).groupBy("entity_type", "entity_id", "tenant").agg(F.sum("n").alias("n"))
-
-
-def snapshot_cadence(stream: DataFrame, every: int, out: str) -> StreamingQuery:
-    """On a stream of audit rows whose micro-batches follow each other in time: writes
-    (id, snapshot_due) to due/batch=<n>; every n-th error-free update of a history is
-    due. The counts so far are a table, counts/batch=<n>; a batch's rows are numbered by
-    a window, so no history is gathered, and a replayed batch overwrites what it wrote."""
-    spark = stream.sparkSession
-
-    def batch(rows: DataFrame, number: int) -> None:
-        before = spark.read.schema(COUNTS).parquet(f"{out}/counts/batch={number - 1}") if number else spark.createDataFrame([], COUNTS)
-        due = F.coalesce(F.col("update_number") % every == 0, F.lit(False))
-        numbered(rows, before).select("id", due.alias("snapshot_due")).write.mode("overwrite").parquet(f"{out}/due/batch={number}")
-        advanced_counts(before, rows).write.mode("overwrite").parquet(f"{out}/counts/batch={number}")
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-
-
-class _Files:
-    """File system calls on the folders that driver and executors share."""
-
-    def __init__(self, spark: SparkSession, at: str):
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(at).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def exists(self, at: str) -> bool:
-        return self._fs.exists(self._path(at))
-
-    def names(self, at: str) -> list[str]:
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(at))) if self.exists(at) else []
-
-    def numbers(self, at: str, prefix: str) -> list[int]:
-        return sorted(int(n[len(prefix) :]) for n in self.names(at) if n.startswith(prefix))
-
-    def rename(self, at: str, to: str) -> None:
-        if not self.exists(to) and not self._fs.rename(self._path(at), self._path(to)):
-            raise OSError(f"{at} can't become {to}")
-
-    def touch(self, at: str) -> None:
-        self._fs.create(self._path(at), True).close()
