@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +12,17 @@ from ..functions import jsonpatch as jp
 from ..schema import COLUMNS, EMPTY_DIFF
 
 
+_FRACTION = re.compile("[0-9][.eE]")
+
+
 def _patch(before: str | None, after: str | None) -> tuple[str, str | None]:
     try:
         one, two = jp.parse(before or "{}"), jp.parse(after or "{}")
         if not isinstance(one, dict) or not isinstance(two, dict):
             raise ValueError("an image is no object")
-        return jp.dump(jp.diff(one, two)), None
+        return jp.dump(jp.diff(one, two), exact=bool(_FRACTION.search(after or ""))), None
+    except RecursionError:
+        return EMPTY_DIFF, "PatchError: too many levels"
     except ValueError as e:
         return EMPTY_DIFF, f"{type(e).__name__}: {e}"
 

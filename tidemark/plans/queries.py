@@ -277,6 +277,23 @@ def _imported(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records, importer.imported(records, existing, "legacy")
 
 
+# nested documents, different for each order: properties that go, come, change and change their kind, arrays that grow and shrink
+_DOCUMENT = {
+    "before": """concat('{"status":"', o_orderstatus, '","gone":', k, ',"items":[', array_join(slice(array(0, 10, 20, 30, 40), 1, cast(k % 5 as int)), ','), '],"meta":{"a~/b":', k % 3, ',"in":{"c":"x","d":[true,{"e":', k, '}]}},"swap":1,"frac":1.50}')""",
+    "after": """concat('{"meta":{"a~/b":', (k + k % 2) % 3, ',"in":{"c":"', if(k % 4 = 0, 'y', 'x'), '","d":[true,{"e":', k - k % 6, '}]}},"status":"', o_orderstatus, '","items":[', array_join(slice(array(0, 11, 20, 31, 40), 1, cast(k % 3 as int)), ','), '],"swap":', if(k % 7 = 0, '{"k":[]}', '1'), ',"frac":', if(k % 8 = 0, '2.50', '1.5'), ',"new":null}')""",
+}
+_register(
+    "diff_nested",
+    lambda spark, d: derived.table(spark, d, "orders").withColumn("k", F.col("o_orderkey")).select("k", importer.nested_diff(*[F.expr(_DOCUMENT[c]) for c in ("before", "after")]).alias("d")).select(F.col("k").cast("long").alias("k"), "d.diff", "d.error"),
+    """WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders), p AS (SELECT k, k % 5 AS nb, k % 3 AS na FROM o),
+ r AS (SELECT *, '{"op":"replace","path":"' AS rep FROM p)
+ SELECT k, '[' || concat_ws(',', '{"op":"remove","path":"/gone"}', CASE WHEN (k + k % 2) % 3 <> k % 3 THEN rep || '/meta/a~0~1b","value":' || ((k + k % 2) % 3) || '}' END, CASE WHEN k % 4 = 0 THEN rep || '/meta/in/c","value":"y"}' END,
+  CASE WHEN k % 6 <> 0 THEN rep || '/meta/in/d/1/e","value":' || (k - k % 6) || '}' END, CASE WHEN nb > 1 AND na > 1 THEN rep || '/items/1","value":11}' END,
+  CASE WHEN na > nb THEN array_to_string(list_transform(range(nb, na), lambda i: '{"op":"add","path":"/items/' || i || '","value":' || [0, 11, 20, 31, 40][i + 1] || '}'), ',') END,
+  CASE WHEN nb > na THEN array_to_string(list_transform(list_reverse(range(na, nb)), lambda i: '{"op":"remove","path":"/items/' || i || '"}'), ',') END,
+  CASE WHEN k % 7 = 0 THEN rep || '/swap","value":{"k":[]}}' END, CASE WHEN k % 8 = 0 THEN rep || '/frac","value":2.50}' END, '{"op":"add","path":"/new","value":null}') || ']' AS diff, CAST(NULL AS VARCHAR) AS error FROM r""",
+)
+
 _TAKEN = ", s AS (SELECT *, CAST(substr(id, 25) AS BIGINT) AS n FROM audit_log), t AS (SELECT * FROM s WHERE n % 4 = 0 OR n % 3 <> 0)"
 on_log("import_dedupe", lambda df: _imported(df)[1].select("id", "correlation_id", "diff", F.col("error").isNotNull().alias("failed")), f"""{_TAKEN} SELECT id, 'import:legacy' || CASE WHEN n % 4 <> 0 THEN '#' || CAST(n AS VARCHAR) ELSE '' END AS correlation_id,
  CASE WHEN n % 10 = 0 THEN '[]' ELSE '[{{"op":"replace","path":"/a","value":2}},{{"op":"replace","path":"/b/1","value":3}},{{"op":"add","path":"/b/2","value":4}},{{"op":"add","path":"/c","value":{{"d":null}}}}]' END AS diff, n % 10 = 0 AS failed FROM t""")
