@@ -5,10 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans import segments
+from ..schema import HistoryError
 from ..sources.shared import stored
 from .filters import instant
 from .integrity import prunable, pruned_anchors
@@ -63,7 +66,10 @@ def _limits(policy: Policy | None, now: dt.datetime) -> tuple[Column, Column]:
 def expired(df: DataFrame, policy: Policy, now: dt.datetime, max_rows: int | None = MAX_ROWS_PER_SWEEP) -> DataFrame:
     """The rows that a sweep takes: strictly older than their age, or beyond the newest
     of their (type, entity, tenant), in which null and '' are two groups. Of more than
-    max_rows the oldest go first (None: no limit)."""
+    max_rows (None: no limit) the oldest go first; under a plain RetainCount, those of
+    the first groups (see expired_by_count)."""
+    if isinstance(policy, RetainCount) and max_rows:
+        return expired_by_count(df, policy.count, max_rows)
     before, keep = _limits(policy, now)
     rows = df.withColumns({"_before": before, "_keep": keep})
     newest = Window.partitionBy("entity_type", "entity_id", "tenant_id").orderBy(F.desc("occurred_on_utc"), F.desc(F.col("chain_sequence").isNull()), F.desc("chain_sequence"), F.desc("id"))
@@ -76,6 +82,24 @@ def expired(df: DataFrame, policy: Policy, now: dt.datetime, max_rows: int | Non
     return out.orderBy("occurred_on_utc", F.col("chain_sequence").isNull(), "chain_sequence", "id").limit(max_rows) if max_rows else out
 
 
+_GROUP = ("entity_type", "entity_id", "tenant_id")
+
+
+def expired_by_count(df: DataFrame, keep: int, max_rows: int) -> DataFrame:
+    """What RetainCount takes with a budget: groups in order of type, entity and tenant (null
+    first) are worked off until max_rows are taken; of the group in which that happens, the
+    newest that are too many go first. Counts of groups are added up in ranges, and only
+    rows of groups that the budget reaches are put in order, those of a large group by many tasks."""
+    groups = df.groupBy(*_GROUP).agg((F.count("*") - keep).alias("_over")).where("_over > 0")
+    added = segments.running(groups.withColumn("_all", F.lit(0)), ["_all"], list(_GROUP), sums={"_upto": F.col("_over")})
+    reached = added.withColumn("_taken", F.col("_upto") - F.col("_over")).where(F.col("_taken") < max_rows)
+    reached = stored(reached.select(*[F.col(c).alias(f"_{c}") for c in _GROUP], "_taken"))
+    rows = df.join(reached, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _GROUP])).select(*df.columns, "_taken")
+    newest = [F.desc("occurred_on_utc"), F.desc(F.col("chain_sequence").isNull()), F.desc("chain_sequence"), F.desc("id")]
+    placed = segments.running(rows, list(_GROUP), newest, sums={"_place": F.lit(1)})
+    return placed.where((F.col("_place") > keep) & (F.col("_taken") + F.col("_place") - keep <= max_rows)).select(*df.columns)
+
+
 def _counts(policy: Policy | None) -> bool:
     if isinstance(policy, (PerTenant, PerEntityType)):
         return any(map(_counts, [*policy.policies.values(), policy.fallback]))
@@ -123,6 +147,8 @@ def sweep(df: DataFrame, policy: Policy, now: dt.datetime, out_path: str, option
     if options.dry_run:
         return dry_run(victims)
     victims = stored(victims)
+    if not chained and victims.where("entry_hash is not null").limit(1).count():
+        raise HistoryError("rows of a chain go only with its anchors, else the chain reads as broken")
     for archive in options.archivers:
         archive(victims)
     survivors(df, victims).write.mode("errorifexists").parquet(out_path)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import canonical as cn
 from ..operators import aggregate as ag
 from ..operators import capture as cp
-from ..operators import compaction, export, importer, integrity, replay, retention, view
+from ..operators import compaction, export, importer, integrity, replay, retention, sweeps, view
 from ..operators import filters as f
 from ..operators.query import HistoryQuery
 from ..schema import STREAM, tenant
@@ -147,7 +147,19 @@ _register(
  FROM before_ b FULL JOIN after_ a ON a.c_custkey = b.c_custkey
  WHERE a.c_custkey IS NULL OR b.c_custkey IS NULL OR a.c_acctbal IS DISTINCT FROM b.c_acctbal OR a.c_mktsegment IS DISTINCT FROM b.c_mktsegment""",
 )
-_register("capture_ruled", lambda spark, d: _captured(spark, d, CUSTOMER).select("entity_id", "action", "diff", "after_json"), None)
+_HASHED, _BALANCE = """coalesce('"' || sha256({0}.c_name) || '"', 'null')""", "coalesce(CAST({0}.c_acctbal AS VARCHAR), 'null')"
+_register(
+    "capture_ruled",
+    lambda spark, d: _captured(spark, d, CUSTOMER).select("entity_id", "action", "diff", "after_json"),
+    f"""WITH {derived.CUSTOMER_IMAGES_SQL}
+ SELECT CAST(coalesce(b.c_custkey, a.c_custkey) AS VARCHAR) AS entity_id, CAST(CASE WHEN b.c_custkey IS NULL THEN 0 WHEN a.c_custkey IS NULL THEN 2 ELSE 1 END AS INTEGER) AS action,
+  CASE WHEN b.c_custkey IS NULL THEN '[{{"op":"add","path":"/c_name","value":' || {_HASHED.format("a")} || '}},{{"op":"add","path":"/c_acctbal","value":' || {_BALANCE.format("a")} || '}},{{"op":"add","path":"/c_mktsegment","value":"<redacted>"}}]'
+   WHEN a.c_custkey IS NULL THEN '[{{"op":"remove","path":"/c_name"}},{{"op":"remove","path":"/c_acctbal"}},{{"op":"remove","path":"/c_mktsegment"}}]'
+   WHEN a.c_acctbal IS DISTINCT FROM b.c_acctbal THEN '[{{"op":"replace","path":"/c_acctbal","value":' || {_BALANCE.format("a")} || '}}]' ELSE '[]' END AS diff,
+  CASE WHEN a.c_custkey IS NOT NULL THEN '{{"c_name":' || {_HASHED.format("a")} || ',"c_acctbal":' || {_BALANCE.format("a")} || ',"c_mktsegment":"<redacted>"}}' END AS after_json
+ FROM before_ b FULL JOIN after_ a ON a.c_custkey = b.c_custkey
+ WHERE a.c_custkey IS NULL OR b.c_custkey IS NULL OR a.c_acctbal IS DISTINCT FROM b.c_acctbal OR a.c_mktsegment IS DISTINCT FROM b.c_mktsegment""",
+)
 _SOFT = cp.EntityConfig("shop.Customer", ("c_custkey",), soft_delete="gone")
 _register(
     "soft_delete_actions",
@@ -200,6 +212,8 @@ on_log("retention_per_tenant", lambda df: retention.expired(df, _NESTED, NOW, No
  WHEN tenant_id = 't2' AND entity_type = 'shop.Order' THEN occurred_on_utc < TIMESTAMP '2024-01-28' WHEN tenant_id = 't2' THEN k > 6 ELSE occurred_on_utc < TIMESTAMP '2024-01-06' END""")
 _BY_TYPE = retention.PerEntityType({"shop.Order": retention.RetainCount(3), "shop.Incident": retention.RetainFor(dt.timedelta(days=10))})
 on_log("retention_per_type", lambda df: retention.expired(df, _BY_TYPE, NOW, None).select("id"), f"SELECT id FROM (SELECT *, {_PLACE} AS k FROM audit_log) WHERE (entity_type = 'shop.Order' AND k > 3) OR (entity_type = 'shop.Incident' AND occurred_on_utc < TIMESTAMP '2024-01-21')")
+on_log("retain_count_budget", lambda df: retention.expired(df, retention.RetainCount(8), NOW, 500).select("id"), f"""SELECT id FROM (SELECT id, k, total, sum(CASE WHEN k > 8 THEN 1 ELSE 0 END) OVER (ORDER BY entity_type, entity_id, tenant_id NULLS FIRST, k ROWS UNBOUNDED PRECEDING) AS taken
+ FROM (SELECT *, {_PLACE} AS k, 1 AS total FROM audit_log)) WHERE k > 8 AND taken <= 500""")
 on_log("retention_survivors", lambda df: retention.survivors(df, retention.expired(df, retention.RetainCount(8), NOW, None)).select("id"), f"SELECT id FROM audit_log QUALIFY {_PLACE} <= 8")
 
 # integrity
@@ -509,6 +523,33 @@ def _swept(df: DataFrame) -> DataFrame:
 
 on_log("sweep_chained", _swept, "SELECT true AS is_valid, count(*) FILTER (occurred_on_utc >= TIMESTAMP '2024-01-11') AS verified, 'None' AS reason, count(*) FILTER (occurred_on_utc < TIMESTAMP '2024-01-11') AS taken FROM audit_log")
 
+
+def _ticks():
+    """A clock that runs on by a second each time it is read."""
+    now = iter(range(10**9))
+    return lambda: float(next(now))
+
+
+def _swept_in_slices(df: DataFrame) -> DataFrame:
+    """Retention, stopped after every second slice and resumed until it is done."""
+    sweep = sweeps.RetentionSweep(df.sparkSession, folder(df.sparkSession), retention.RetainFor(dt.timedelta(days=20)), slices=5, max_rows=None, clock=_ticks())
+    calls = [sweep.run(df, NOW, dt.timedelta(seconds=3))]
+    while not calls[-1].finished:
+        calls.append(sweep.run(df, NOW, dt.timedelta(seconds=3)))
+    return sweep.log(df).select("id", F.lit(sum(c.taken for c in calls)).cast("long").alias("taken"), F.lit(len(calls)).alias("calls"))
+
+
+on_log("sweep_sliced", _swept_in_slices, "SELECT id, (SELECT count(*) FROM audit_log WHERE occurred_on_utc < TIMESTAMP '2024-01-11') AS taken, CAST(3 AS INTEGER) AS calls FROM audit_log WHERE occurred_on_utc >= TIMESTAMP '2024-01-11'")
+
+
+def _compacted_in_slices(df: DataFrame) -> DataFrame:
+    sweep = sweeps.CompactionSweep(df.sparkSession, folder(df.sparkSession), 20, 10, 25, slices=4, clock=_ticks())
+    calls = [sweep.run(df, dt.timedelta(seconds=2))]
+    while not calls[-1].finished:
+        calls.append(sweep.run(df, dt.timedelta(seconds=2)))
+    return sweep.log(df).select("id", F.lit(sum(c.taken for c in calls)).cast("long").alias("folded"))
+
+
 # the hashes themselves: each row's text, then its keyed hash over that and the hash before it
 _TEXT = " || ".join(f"coalesce(CAST(octet_length(encode({x})) AS VARCHAR) || ':' || {x}, '-1:')" for x in (*_FIELDS[:14], "'0'"))
 on_log("stamp_hashes", lambda df: integrity.stamp(df, integrity.no_anchors(df), 1, KEY).select("id", "previous_hash", "entry_hash"), f""", c AS (SELECT id, entity_type, entity_id, coalesce(tenant_id, '') AS tenant, {_TEXT} AS text_, row_number() OVER (PARTITION BY entity_type, entity_id, coalesce(tenant_id, '') ORDER BY occurred_on_utc, id) AS k FROM audit_log),
@@ -546,6 +587,7 @@ def _compaction_swept(df: DataFrame) -> DataFrame:
 on_log("compaction_sweep", _compaction_swept, f""", big AS (SELECT * FROM ({_SIZES}) WHERE total > 20 ORDER BY total DESC, entity_type, entity_id, tenant LIMIT 25), f AS ({_FOLD}),
  gone AS (SELECT a.id FROM audit_log a JOIN f USING (id) JOIN big b ON a.entity_type = b.entity_type AND a.entity_id = b.entity_id AND coalesce(a.tenant_id, '') = b.tenant WHERE fold = 'remove')
  SELECT id, (SELECT count(*) FROM gone) AS folded FROM audit_log WHERE id NOT IN (SELECT id FROM gone)""")
+on_log("compaction_sliced", _compacted_in_slices, SQL["compaction_sweep"].split(f"WITH {derived.AUDIT_LOG_SQL}", 1)[1])
 on_log("viewer_overview", lambda df: view.overview([CUSTOMER.entity_type], df.withColumn("error", F.when(F.col("action") == 2, "x")), ("region",)).select(F.array_join("audited_types", ",").alias("audited_types"), "queue_depth", F.array_join("custom_columns", ",").alias("custom_columns")), "SELECT 'shop.Customer' AS audited_types, count(*) FILTER (action <> 2) AS queue_depth, 'region' AS custom_columns FROM audit_log")
 on_log("viewer_clamped_page", lambda df: view.log_page(df, 0, 9_999).select("id", "occurred_on_utc"), "SELECT id, occurred_on_utc FROM audit_log ORDER BY occurred_on_utc DESC, id DESC LIMIT 500")
 on_log("entity_history", lambda df: view.entity_history(df, "shop.Order", "7").select("id", "action", "occurred_on_utc"), f"SELECT id, {_NAMES} AS action, occurred_on_utc FROM audit_log WHERE entity_type = 'shop.Order' AND entity_id = '7'")
