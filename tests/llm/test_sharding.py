@@ -75,3 +75,22 @@ def test_query_with_clashing_columns_and_long_texts(spark, tmp_path):
     got = s.op4_sharding(spark, str(tmp_path)).collect()
     assert sorted((str(r.doc_id), r.n_bytes) for r in got) == [("1", 5), ("1", 5), ("2", 0), ("3", 2_000_000), ("None", 0)]
     assert all("/" in r.shard for r in got)
+
+
+def test_vacuum_leaves_a_writer_at_work_alone(spark, monkeypatch):
+    store = s.ShardStore(spark, scratch(spark), small_bytes=4000)
+    store.append(_rows(spark, 50))
+    write, gone = store._write, []
+
+    def written(rows, run):
+        write(rows, run)
+        gone.append(store.vacuum())  # between a writer's data and its commit
+
+    monkeypatch.setattr(store, "_write", written)
+    store.append(_rows(spark, 10, 900))
+    assert gone == [0] and store.read().count() == 60
+
+
+def test_query_of_an_empty_table(spark, tmp_path):
+    _rows(spark, 0).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    assert s.op4_sharding(spark, f"file://{tmp_path}").collect() == []

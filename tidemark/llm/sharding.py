@@ -176,10 +176,11 @@ class ShardStore:
         return self._commit(old.join(plan.select("run", "shard"), ["run", "shard"], "left_anti").unionByName(counted.join(first, "shard")), version)
 
     def vacuum(self, keep: int = 1) -> int:
-        """Deletes runs that none of the last ``keep`` versions needs; returns how many."""
+        """Deletes runs that none of the last ``keep`` versions needs; returns how many. Runs
+        of versions that aren't committed yet stay: their writers may be at work."""
         last = self.version()
         live = {r[0] for v in range(max(1, last - keep + 1), last + 1) for r in self.manifest(v).select("run").distinct().collect()}
-        gone = [s.getPath() for s in self._system.listStatus(self._path(f"{self.at}/data")) if s.getPath().getName().startswith("run=") and s.getPath().getName()[4:] not in live]
+        gone = [s.getPath() for s in self._system.listStatus(self._path(f"{self.at}/data")) if s.getPath().getName().startswith("run=") and int(s.getPath().getName()[4:].split("-")[0]) <= last and s.getPath().getName()[4:] not in live]
         for path in gone:
             self._system.delete(path, True)
         return len(gone)
