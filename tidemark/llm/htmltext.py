@@ -31,6 +31,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import named, table
 
-_OPEN = re.compile(r"<!--|<!\[CDATA\[|<[!?]|</?[a-zA-Z]")
+_OPEN = re.compile(r"<!--|<[!?]|</?[a-zA-Z]")
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>""")
 #: Of a page in which a quote is never closed: no tag reaches over the next one's start.
 _SHORT_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*)((?>[^>"'<]+|"[^"<]*"|'[^'<]*'|["'])*+)>""")
@@ -58,8 +59,11 @@ ENDLESS = frozenset("script style title".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table body html div article section main aside nav header footer".split())
 _LEXICON = ("cookie", "consent", "subscribe", "newsletter", "copyright", "©", "rights", "reserved", "advert", "advertisement", "sponsored", "share", "comment", "comments", "reply", "login", "sign", "search", "menu", "related", "privacy", "terms")
-#: A short heading that stands above readers' comments (in four languages).
+#: A short heading that can stand above readers' comments (in four languages), and such as can also head a part of an article.
 _COMMENTS = re.compile(r"(\d+ |(leave|post|write|add) an? |reader |all )*(comments?|replies|responses|reply|discussion|comentarios|kommentare|commentaires)( \(?\d+\)?)?:?", re.I)
+_PARTS = re.compile("(replies|responses|reply|discussion):?", re.I)
+#: Elements around what isn't an article, whatever stands in them.
+_APART = ("tag:nav", "tag:header", "tag:footer", "tag:aside", "tag:form")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAX_NAMES = 20_000
 
@@ -94,24 +98,43 @@ class _Stack:
         self.own: list[tuple[str, ...]] = []
         self.sums: list[float] = [0.0]
         self.counts: dict[str, int] = {}
+        #: For each element, how many blocks stood before it.
+        self.since: list[int] = []
+        #: Depths of open elements that a start tag can close, by tag, and of those that keep it from doing so.
+        self.depths: dict[str, list[int]] = {t: [] for closes in _CLOSES.values() for t in closes}
+        self.scopes: list[int] = []
 
-    def push(self, tag: str, attributes: str) -> None:
+    def push(self, tag: str, attributes: str, before: int = 0) -> None:
         own, total = self.paths.of(tag, attributes), self.sums[-1]
         for f in own:
             n = self.counts.get(f, 0)
             self.counts[f] = n + 1
             if not n and self.get:
                 total += self.get(f, 0.0)
+        if tag in self.depths:
+            self.depths[tag].append(len(self.tags))
+        elif tag in _SCOPE:
+            self.scopes.append(len(self.tags))
+        self.since.append(before)
         self.tags.append(tag)
         self.own.append(own)
         self.sums.append(total)
 
     def cut(self, depth: int) -> None:
         """Closes the elements from this depth on."""
-        for own in self.own[depth:]:
+        for tag, own in zip(reversed(self.tags[depth:]), reversed(self.own[depth:])):
             for f in own:
                 self.counts[f] -= 1
-        del self.tags[depth:], self.own[depth:], self.sums[depth + 1 :]
+            if tag in self.depths:
+                self.depths[tag].pop()
+            elif tag in _SCOPE:
+                self.scopes.pop()
+        del self.tags[depth:], self.own[depth:], self.sums[depth + 1 :], self.since[depth:]
+
+    def closed_by(self, tag: str) -> int:
+        """The depth of the nearest element that this start tag closes, -1 if there is none."""
+        found = max((self.depths[t][-1] for t in _CLOSES.get(tag, ()) if self.depths[t]), default=-1)
+        return found if not self.scopes or found > self.scopes[-1] else -1
 
     def context(self, *more: str):
         """What a block here has of its ancestors: the sum of their features' weights, or the features."""
@@ -133,30 +156,52 @@ def _closings(page: str, tag: str) -> dict[int, int]:
     return ends
 
 
-def blocks(page: str, paths: Paths) -> list[tuple[str, object, str, int, int]]:
+Block = tuple[str, object, str, int, int, bool]
+
+
+def blocks(page: str, paths: Paths) -> list[Block]:
     """The page's leaf blocks: text, context of ancestors, own tag, letters of link text,
-    controls inside. Every character is looked at a bounded number of times."""
-    out: list[tuple[str, object, str, int, int]] = []
+    controls inside, and whether it stands in navigation, a form, comments or the like.
+    Every character is looked at a bounded number of times."""
+    out: list[Block] = []
     stack = _Stack(paths)
     tags = stack.tags
     text: list[str] = []
     linked = controls = links = 0
     under = -1  # depth of the element in which a heading announced comments
+    title: tuple[int, int] | None = None  # depth of the element that holds the first heading, and the blocks before it
+    bodies: list[int] | None = None
     closings: dict[str, dict[int, int]] = {}
     lasts: dict[str, int] = {}
     tag_at, end_of_tags = _TAG, page.rfind(">")
     at, n = 0, len(page)
 
+    def announces(whole: str) -> bool:
+        """Whether a heading stands above readers' comments: never the page's first one. It
+        opens its element, or tells their number; a word that can also head a part of an
+        article counts only outside of the element that holds the title."""
+        if title is None or len(whole) >= 40 or not _COMMENTS.fullmatch(whole):
+            return False
+        if any(c.isdigit() for c in whole):
+            return True
+        opens = len(tags) > 1 and stack.since[len(tags) - 2] == len(out)
+        depth, before = title
+        inside = depth >= 0 and len(tags) > depth and stack.since[depth] == before and tags[depth] not in ("html", "body")
+        return opens and not (inside and _PARTS.fullmatch(whole))
+
     def flush() -> None:
-        nonlocal linked, controls, under
+        nonlocal linked, controls, under, title
         if under > len(tags):
             under = -1
         if text:
             if whole := " ".join("".join(text).split()):
                 tag = tags[-1] if tags else ""
-                if under < 0 and tag in HEADINGS and len(whole) < 40 and _COMMENTS.fullmatch(whole):
-                    under = len(tags) - 1
-                out.append((whole, stack.context("under:comments") if under >= 0 else stack.context(), tag, linked, controls))
+                if tag in HEADINGS:
+                    if under < 0 and announces(whole):
+                        under = len(tags) - 1
+                    title = title or (len(tags) - 2, stack.since[len(tags) - 2] if len(tags) > 1 else 0)
+                apart = under >= 0 or any(stack.counts.get(t) for t in _APART)
+                out.append((whole, stack.context("under:comments") if under >= 0 else stack.context(), tag, linked, controls, apart))
             text.clear()
         linked = controls = 0
 
@@ -182,8 +227,8 @@ def blocks(page: str, paths: Paths) -> list[tuple[str, object, str, int, int]]:
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        if m[0] in ("<!--", "<![CDATA["):
-            to = page.find("-->" if m[0] == "<!--" else "]]>", at)
+        if m[0] == "<!--":
+            to = page.find("-->", at)
             at = n if to < 0 else to + 3
             continue
         if m[0] in ("<!", "<?"):
@@ -221,9 +266,11 @@ def blocks(page: str, paths: Paths) -> list[tuple[str, object, str, int, int]]:
                 continue
             end = end_of(tag)
             if tag == "head":
-                body = re.compile(r"<body\b", re.I).search(page, at, end.start() if end else n)
-                if body:
-                    at = body.start()
+                if bodies is None:
+                    bodies = [b.start() for b in re.finditer(r"<body\b", page, re.I)]
+                k = bisect_left(bodies, at)
+                if k < len(bodies) and bodies[k] < (end.start() if end else n):
+                    at = bodies[k]
                     continue
             if end:
                 at = end.end()
@@ -246,14 +293,9 @@ def blocks(page: str, paths: Paths) -> list[tuple[str, object, str, int, int]]:
         links = 0
         if tags and tags[-1] == "p":
             stack.cut(len(tags) - 1)
-        closes = _CLOSES.get(tag, ())
-        for k in range(len(tags) - 1, -1, -1) if any(stack.counts.get(f"tag:{c}") for c in closes) else ():
-            if tags[k] in closes:
-                stack.cut(k)
-                break
-            if tags[k] in _SCOPE:
-                break
-        stack.push(tag, m[3])
+        if (k := stack.closed_by(tag)) >= 0:
+            stack.cut(k)
+        stack.push(tag, m[3], len(out))
     flush()
     return out
 
@@ -262,8 +304,8 @@ def _size(n: int) -> int:
     return sum(n > k for k in (2, 5, 10, 20, 50))
 
 
-def text_features(block: tuple[str, int, str, int, int], k: int, total: int) -> list[str]:
-    text, _, tag, linked, controls = block
+def text_features(block: Block, k: int, total: int) -> list[str]:
+    text, _, tag, linked, controls, _ = block
     words = text.split(" ")
     share = linked / max(1, len(text))
     found = [f"own:{tag}", f"size:{_size(len(words))}", f"linked:{(share > 0) + (share > 0.3) + (share > 0.7)}", f"end:{text[-1] in '.!?…\"”)'}", f"place:{4 * k // max(total, 1)}", f"sizelink:{_size(len(words))}:{share > 0.5}"]
@@ -310,7 +352,21 @@ class Model:
 def extract(page: str, model: Model, paths: Paths) -> str:
     found = blocks(page, paths)
     scores = [b[1] + model.of(text_features(b, k, len(found))) for k, b in enumerate(found)]
-    return "\n\n".join(b[0] for b, label in zip(found, model.decode(scores)) if label)
+    labels = model.decode(scores)
+    if not any(labels):
+        labels = _plain_labels(found)
+    return "\n\n".join(b[0] for b, label in zip(found, labels) if label)
+
+
+def _plain_labels(found: list[Block]) -> list[bool]:
+    """Of a page in which the field finds no article, as in layouts without any structure:
+    its prose, which is blocks with few links that end like sentences, and its headings
+    from the first one before prose on. Nothing from navigation, forms or comments."""
+    prose = [not apart and not controls and len(text.split(" ")) > 3 and text[-1] in ".!?…\"”)" and linked <= 0.3 * len(text) for text, _, _, linked, controls, apart in found]
+    if not any(prose):
+        return prose
+    last = len(prose) - prose[::-1].index(True)
+    return [p or (k < last and b[2] in HEADINGS and not b[5]) for k, (p, b) in enumerate(zip(prose, found))]
 
 
 def train(pages: list[tuple[str, list[int]]], *, rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Model:
@@ -498,7 +554,7 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
 _trained: dict[int, Model] = {}
 
 
-def default_model(pages: int = 500) -> Model:
+def default_model(pages: int = 800) -> Model:
     """Trained on so many generated pages, once in a process."""
     if pages not in _trained:
         _trained[pages] = train([labelled_page(k) for k in range(pages)])
