@@ -59,8 +59,10 @@ class HistoryQuery:
 
     def order(self) -> list[Column]:
         """The field, then time, then id, all in one direction; rows without the field last in both."""
-        names = dict.fromkeys((SORT_FIELDS[self.sort_by], "occurred_on_utc", "id"))
-        return [F.col(n).desc_nulls_last() if self.newest_first else F.col(n).asc_nulls_last() for n in names]
+        return [F.col(n).desc_nulls_last() if self.newest_first else F.col(n).asc_nulls_last() for n in self._names()]
+
+    def _names(self) -> list[str]:
+        return list(dict.fromkeys((SORT_FIELDS[self.sort_by], "occurred_on_utc", "id")))
 
     def page(self, df: DataFrame) -> DataFrame:
         return self.filtered(df).orderBy(*self.order()).offset(self.skip).limit(self.take)
@@ -71,6 +73,37 @@ class HistoryQuery:
         items = F.greatest(F.lit(0), F.least(F.lit(self.take), F.col("total") - self.skip)).cast("long")
         return total.select("total", items.alias("items"), (items + self.skip < F.col("total")).alias("has_more"))
 
+    def cursor(self, row) -> tuple:
+        """Where a row stands in this query's order."""
+        return tuple(row[n] for n in self._names())
+
+    def after(self, df: DataFrame, cursor: tuple | None) -> DataFrame:
+        """The rows behind a cursor, whatever their number before it: nothing is skipped row by row."""
+        rows = self.filtered(df)
+        if cursor is None:
+            return rows
+        behind = F.lit(False)
+        for name, value in reversed(list(zip(self._names(), cursor, strict=True))):
+            c = F.col(name)
+            if value is None:  # rows without the field come last, so only their own rest is behind
+                behind = c.isNull() & behind
+            else:
+                at = f.instant(value) if isinstance(value, dt.datetime) else F.lit(value)
+                behind = c.isNull() | (c < at if self.newest_first else c > at) | ((c == at) & behind)
+        return rows.where(F.coalesce(behind, F.lit(False)))
+
+    def page_after(self, df: DataFrame, cursor: tuple | None = None) -> DataFrame:
+        """The first ``take`` rows behind a cursor (None: from the start), in order."""
+        return self.after(df, cursor).orderBy(*self.order()).limit(self.take)
+
+    def walk(self, df: DataFrame, cursor: tuple | None = None):
+        """Yields (rows, cursor) page by page; a cursor that was kept resumes the walk."""
+        while rows := self.page_after(df, cursor).collect():
+            cursor = self.cursor(rows[-1])
+            yield rows, cursor
+            if len(rows) < self.take:
+                return
+
     def pages(self, df: DataFrame, size: int = 500):
         """Iterates over rows in order, fetching a partition at a time."""
         return replace(self, take=size).filtered(df).orderBy(*self.order()).toLocalIterator(prefetchPartitions=True)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import canonical as cn
 from ..operators import aggregate as ag
 from ..operators import capture as cp
-from ..operators import compaction, export, importer, integrity, replay, retention, sweeps, view
+from ..operators import compaction, export, importer, integrity, metrics, replay, retention, sweeps, view
 from ..operators import filters as f
 from ..operators.query import HistoryQuery
 from ..schema import STREAM, tenant
@@ -82,6 +82,23 @@ for _name, _field, _newest, _order in (
 ):
     on_log(_name, lambda df, q=HistoryQuery(sort_by=_field, newest_first=_newest, skip=20, take=120): q.page(df).select(*_IDS.split(", "), "user_id"), f"SELECT {_IDS}, user_id FROM audit_log ORDER BY {_order} LIMIT 120 OFFSET 20")
 
+
+def _walked(df: DataFrame) -> DataFrame:
+    """A whole order in six pages, each from the cursor of the one before it."""
+    log = stored(df)
+    query, cursor, out = HistoryQuery(sort_by="user_id", take=-(-log.count() // 6)), None, None
+    for k in range(6):
+        page = stored(query.page_after(log, cursor).select("id", "user_id", "occurred_on_utc", F.lit(k).alias("page")))
+        out = page if out is None else out.unionByName(page)
+        found = page.orderBy(F.col("user_id").asc_nulls_first(), "occurred_on_utc", "id").limit(1).collect()
+        if not found:
+            break
+        cursor = query.cursor(found[0])
+    return out.select("id", "page")
+
+
+on_log("keyset_pages", _walked, "SELECT id, CAST((row_number() OVER (ORDER BY user_id DESC NULLS LAST, occurred_on_utc DESC, id DESC) - 1) // CAST(ceil(count(*) OVER () / 6) AS BIGINT) AS INTEGER) AS page FROM audit_log")
+
 # counts and rollups
 for _c in ("entity_type", "user_id", "tenant_id"):
     on_log(f"agg_{_c}", lambda df, c=_c: ag.by_column(df, c), f'SELECT {_c} AS key, count(*) AS "count" FROM audit_log GROUP BY 1')
@@ -512,6 +529,16 @@ on_log("replay_from_snapshot", lambda df: replay.reconstruct(_with_snapshots(df)
  SELECT entity_type, entity_id, tenant, CASE WHEN action NOT IN (2, 3) THEN value END AS value, CASE WHEN action NOT IN (2, 3) THEN kept END AS kept FROM last_""")
 
 
+def _histogram_sql(rows: str, bounds: tuple) -> str:
+    at = " + ".join(f"CASE WHEN v > {b} THEN 1 ELSE 0 END" for b in bounds)
+    return f"SELECT CAST({at} AS INTEGER) AS bucket, [{', '.join(f'{float(b)}::DOUBLE' for b in bounds)}][1 + ({at})] AS upper, count(*) AS count, CAST(sum(v) AS BIGINT) AS total FROM ({rows}) GROUP BY 1, 2"
+
+
+on_log("entry_size_buckets", lambda df: metrics.entry_sizes(_with_snapshots(df)), f""", {_WITH_SNAPSHOTS} {_histogram_sql("SELECT octet_length(encode(diff)) + CASE WHEN k % 3 = 0 AND action = 1 THEN octet_length(encode(concat('{\"value\":-', k, ',\"kept\":', k, '}'))) ELSE 0 END AS v FROM s", metrics.SIZE_BYTES)}""")
+on_log("replayed_past_snapshot", lambda df: metrics.replayed_past_snapshot(_with_snapshots(df), _AS_OF), f""", {_WITH_SNAPSHOTS}, l AS (SELECT *, max(CASE WHEN k % 3 = 0 AND action = 1 THEN k END) OVER (PARTITION BY entity_type, entity_id, tenant) AS last_ FROM s WHERE occurred_on_utc <= TIMESTAMP '{_AS_OF}') {_histogram_sql("SELECT count(*) FILTER (last_ IS NULL OR k > last_) AS v FROM l GROUP BY entity_type, entity_id, tenant", metrics.ROWS)}""")
+on_log("batch_size_buckets", metrics.batch_sizes, _histogram_sql("SELECT count(*) AS v FROM audit_log GROUP BY correlation_id", metrics.ROWS))
+
+
 def _swept(df: DataFrame) -> DataFrame:
     """A chained log after a sweep, verified with the anchors that the sweep left."""
     log, anchors = _chained(df)

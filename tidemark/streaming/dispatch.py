@@ -12,12 +12,12 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import canonical as cn
-from ..operators import integrity
+from ..operators import integrity, metrics
 from ..operators.importer import nested_diff
 from ..operators.view import to_event
 from ..schema import COLUMNS, DELETED, SOFT_DELETED, STREAM, tenant
@@ -117,13 +117,19 @@ class Dispatcher:
         """Runs until stopped, or (once) until what is there now is done."""
         stream = self.spark.readStream.schema(QUEUE).option("maxFilesPerTrigger", self.max_files).parquet(self.source)
         lag = F.greatest(F.lit(0.0), F.unix_micros(F.current_timestamp()) / 1e6 - F.unix_micros(F.col("occurred_on_utc").cast("timestamp")) / 1e6)
-        stream = stream.observe("dispatch", F.count(F.lit(1)).alias("entries"), F.max(lag).alias("max_lag_seconds"), F.count_if(lag > self.slo_seconds).alias("late"))
+        stream = stream.observe("dispatch", F.count(F.lit(1)).alias("entries"), F.max(lag).alias("max_lag_seconds"), F.count_if(lag > self.slo_seconds).alias("late"), *self.histograms(lag))
         built = self.built(stream)
         built = with_snapshot_due(built, self.policy) if self.policy else built
         writer = built.writeStream.foreachBatch(self.batch).option("checkpointLocation", f"{self.out}/checkpoint")
         writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
         return started(writer, self.spark) if self.policy else writer.start()
 
+    @staticmethod
+    def histograms(lag: Column) -> list[Column]:
+        """Bucketed counts of lag, image bytes and attempts, for metrics.DispatchMetrics."""
+        size = F.coalesce(F.octet_length("before_json"), F.lit(0)) + F.coalesce(F.octet_length("after_json"), F.lit(0))
+        return [*metrics.observed("lag_bucket", lag, metrics.LAG_SECONDS), *metrics.observed("size_bucket", size, metrics.SIZE_BYTES), *metrics.observed("attempts_bucket", F.coalesce("attempts", F.lit(0)), metrics.ATTEMPTS)]
+
     def flush(self) -> None:
         self.start(once=True).awaitTermination()
 
