@@ -107,9 +107,14 @@ def check_pointer(path: str) -> str:
     return path
 
 
+def escaped_pointer(path: str) -> str:
+    """A pointer as it stands in a diff's text."""
+    return check_pointer(path).replace("\\", "\\\\").replace('"', '\\"')
+
+
 def changed_path(path: str) -> Filter:
     """Rows whose diff has an operation at the path or below it. Looks for an
     operation's text, so a value that looks like a path doesn't count."""
-    escaped = check_pointer(path).replace("\\", "\\\\").replace('"', '\\"')
+    escaped = escaped_pointer(path)
     tokens = [f'"op":"{verb}","path":"{escaped}{end}' for verb in VERBS for end in ('"', "/")]
     return lambda df: df.where(reduce(or_, (F.col("diff").contains(t) for t in tokens)))

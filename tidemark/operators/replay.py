@@ -67,10 +67,10 @@ def _end(state: dict) -> Iterator[dict]:
 
 
 def reconstruct_many(df: DataFrame, ids: DataFrame, entity_type: str, as_of) -> DataFrame:
-    """Every asked entity_id of a type, with its state or null. ids: a column entity_id."""
+    """Every asked entity_id of a type, with its tenants' states or null. ids: a column entity_id."""
     wanted = ids.select("entity_id").distinct()
     rows = df.where(F.col("entity_type") == entity_type).join(wanted, "entity_id", "left_semi")
-    return wanted.join(reconstruct(rows, as_of), "entity_id", "left").select("entity_id", "state", "error")
+    return wanted.join(reconstruct(rows, as_of), "entity_id", "left").select("entity_id", "tenant", "state", "error")
 
 
 def is_flat(df: DataFrame) -> DataFrame:

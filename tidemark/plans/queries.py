@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import canonical as cn
 from ..operators import aggregate as ag
 from ..operators import capture as cp
-from ..operators import compaction, export, importer, integrity, metrics, replay, retention, sweeps, view
+from ..operators import compaction, export, importer, integrity, metrics, pathindex, replay, retention, sweeps, view
 from ..operators import filters as f
 from ..operators.query import HistoryQuery
 from ..schema import STREAM, tenant
@@ -66,6 +66,19 @@ _CITY = " OR ".join(f"""contains(diff, '"op":"{v}","path":"/city{e}')""" for v i
 filtered("changed_path", f.changed_path("/city"), _CITY)
 filtered("changed_path_nested", f.changed_path("/valueCode"), _CITY.replace("/city", "/valueCode"))
 
+
+
+def _indexed(df: DataFrame) -> DataFrame:
+    """The same by an index, of a log written in two parts of which one never changes the path."""
+    log = pathindex.IndexedLog(df.sparkSession, folder(df.sparkSession))
+    often = F.substring("id", 25, 12).cast("long") % 5 == 0
+    log.append(df.where(often))
+    log.append(df.where(~often))
+    return log.changed_path("/city").select(*_IDS.split(", "))
+
+
+on_log("changed_path_indexed", _indexed, f"SELECT {_IDS} FROM audit_log WHERE {_CITY}")
+
 # the history query
 _RICH = HistoryQuery(user_type="user", entity_types=("shop.Order", "shop.Session"), actions=(0, 1), from_utc=dt.datetime(2024, 1, 3), to_utc=dt.datetime(2024, 1, 28), changed_path="/city", take=50, skip=10)
 _RICH_WHERE = f"user_type = 'user' AND entity_type IN ('shop.Order', 'shop.Session') AND action IN (0, 1) AND occurred_on_utc >= TIMESTAMP '2024-01-03' AND occurred_on_utc <= TIMESTAMP '2024-01-28' AND ({_CITY})"
@@ -199,6 +212,9 @@ _STATE = f"""SELECT e.entity_type, e.entity_id, e.tenant, {_FIELD.format("value"
  FROM (SELECT DISTINCT entity_type, entity_id, tenant FROM u) e LEFT JOIN (SELECT l.* FROM last_op l SEMI JOIN alive a USING (entity_type, entity_id, tenant)) s USING (entity_type, entity_id, tenant) GROUP BY 1, 2, 3"""
 # the flat paths end at the same values as the fold
 on_log("replay_fold", lambda df: replay.reconstruct(df, _AS_OF).select(*STREAM, *[F.get_json_object("state", f"$.{p}").alias(n) for p, n in (("value", "value"), ("city", "city"), ("valueCode", "value_code"))]), f", {_UNTIL}{_LAST} {_STATE}".replace("AS city,", "AS city,").replace("max(value) FILTER (path = '/city')", "max(trim(value, '\"')) FILTER (path = '/city')"))
+on_log("replay_many_states", lambda df: replay.reconstruct_many(df, df.select("entity_id").distinct(), "shop.Order", _AS_OF).select("entity_id", "tenant", *[F.get_json_object("state", f"$.{p}").alias(n) for p, n in (("value", "value"), ("city", "city"), ("valueCode", "value_code"))], F.col("state").isNotNull().alias("alive")),
+       f""", u AS (SELECT *, coalesce(tenant_id, '') AS tenant FROM audit_log WHERE entity_type = 'shop.Order' AND occurred_on_utc <= TIMESTAMP '{_AS_OF}'){_LAST},
+ st AS ({_STATE}), ids AS (SELECT DISTINCT entity_id FROM audit_log) SELECT i.entity_id, st.tenant, value, trim(city, '"') AS city, value_code, a.entity_id IS NOT NULL AS alive FROM ids i LEFT JOIN st ON st.entity_id = i.entity_id LEFT JOIN alive a ON a.entity_id = st.entity_id AND a.tenant = st.tenant""")
 on_log("replay_many", lambda df: replay.reconstruct_many(df.where("tenant_id = 't1'"), df.sparkSession.range(0, 60).select(F.col("id").cast("string").alias("entity_id")), "shop.Order", _AS_OF).select("entity_id", F.col("state").isNotNull().alias("alive")),
        f""", u AS (SELECT * FROM audit_log WHERE tenant_id = 't1' AND entity_type = 'shop.Order' AND occurred_on_utc <= TIMESTAMP '{_AS_OF}'),
  last_ AS (SELECT entity_id, action FROM u QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY occurred_on_utc DESC, id DESC) = 1)
@@ -220,6 +236,12 @@ on_log("compaction_summary", lambda df: compaction.summary(df, 10).select(*STREA
 on_log("compacted_log", lambda df: compaction.compact(df, 10).select("id", "action", "diff", F.get_json_object("snapshot", "$.value").alias("snapshot_value")), f""", fold AS ({_FOLD}),
  ops AS (SELECT a.*, fold.fold, coalesce(tenant_id, '') AS tenant, json_extract_string(diff, '$[0].value') AS v FROM audit_log a JOIN fold USING (id))
  SELECT id, CAST(CASE WHEN fold = 'boundary' AND action NOT IN (2, 3) THEN 0 ELSE action END AS INTEGER) AS action, CASE WHEN fold = 'boundary' THEN '[]' ELSE diff END AS diff, CASE WHEN fold = 'boundary' THEN v END AS snapshot_value FROM ops WHERE fold <> 'remove'""")
+on_log("compacted_states", lambda df: compaction.compact(df, 10).where("diff = '[]'").select("id", "snapshot"), f""", s AS (SELECT *, coalesce(tenant_id, '') AS tenant FROM audit_log), fold AS ({_FOLD}),
+ ops AS (SELECT entity_type, entity_id, tenant, occurred_on_utc, s.id, fold.fold, unnest(json_extract(diff, '$[*]')) AS o, generate_subscripts(json_extract(diff, '$[*]'), 1) AS place FROM s JOIN fold ON fold.id = s.id WHERE fold.fold <> 'keep'),
+ p AS (SELECT *, json_extract_string(o, '$.path') AS path, CAST(json_extract(o, '$.value') AS VARCHAR) AS value FROM ops),
+ last_ AS (SELECT entity_type, entity_id, tenant, path, arg_max(value, (occurred_on_utc, id, place)) AS value, min((occurred_on_utc, id, place)) AS first_ FROM p GROUP BY 1, 2, 3, 4),
+ docs AS (SELECT entity_type, entity_id, tenant, '{{' || string_agg('"' || substr(path, 2) || '":' || value, ',' ORDER BY first_) || '}}' AS snapshot FROM last_ GROUP BY 1, 2, 3)
+ SELECT s.id, docs.snapshot FROM s JOIN fold ON fold.id = s.id JOIN docs ON docs.entity_type = s.entity_type AND docs.entity_id = s.entity_id AND docs.tenant = s.tenant WHERE fold.fold = 'boundary'""")
 on_log("retain_for", lambda df: retention.expired(df, retention.RetainFor(dt.timedelta(days=20)), NOW, None).select("id"), "SELECT id FROM audit_log WHERE occurred_on_utc < TIMESTAMP '2024-01-11'")
 on_log("retain_for_budget", lambda df: retention.expired(df, retention.RetainFor(dt.timedelta(days=20)), NOW, 300).select("id"), "SELECT id FROM audit_log WHERE occurred_on_utc < TIMESTAMP '2024-01-11' ORDER BY occurred_on_utc, id LIMIT 300")
 _PLACE = "row_number() OVER (PARTITION BY entity_type, entity_id, tenant_id ORDER BY occurred_on_utc DESC, id DESC)"
