@@ -80,5 +80,5 @@ def oversized(df: DataFrame, rows: int) -> DataFrame:
 
 
 def batch_summary(df: DataFrame) -> DataFrame:
-    """Per stream of a batch: its last row's id and how many rows came."""
-    return df.groupBy("entity_type", "entity_id", tenant().alias("tenant")).agg(F.max_by("id", F.struct("occurred_on_utc", "id")).alias("last_id"), F.count("*").alias("added"))
+    """Per stream of a batch: its last row's id and hash (null if it isn't chained), and how many rows came."""
+    return df.groupBy("entity_type", "entity_id", tenant().alias("tenant")).agg(F.max_by("id", F.struct("occurred_on_utc", "id")).alias("last_id"), F.max_by("entry_hash", F.coalesce("chain_sequence", F.lit(0))).alias("last_hash"), F.count("*").alias("added"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -144,6 +145,37 @@ def with_custom_columns(df: DataFrame, providers: dict[str, Column | tuple[Colum
     return df.withColumns(values | {"error": F.nullif(F.concat_ws("; ", F.nullif("error", F.lit("")), *told), F.lit(""))})
 
 
+@dataclass(frozen=True)
+class Every:
+    """Each updates-th error-free update keeps a snapshot."""
+
+    updates: int
+
+    def __post_init__(self) -> None:
+        if self.updates < 1:
+            raise ValueError("a snapshot comes every update at most")
+
+    def due(self, since: int, last: int | None, now: int) -> bool:
+        return since >= self.updates
+
+
+@dataclass(frozen=True)
+class EveryDuration:
+    """The first error-free update keeps a snapshot, and each that comes so long after the last one kept."""
+
+    elapsed: dt.timedelta
+
+    def __post_init__(self) -> None:
+        if self.elapsed <= dt.timedelta(0):
+            raise ValueError("the duration must be positive")
+
+    def due(self, since: int, last: int | None, now: int) -> bool:
+        return last is None or now - last >= self.elapsed // dt.timedelta(microseconds=1)
+
+
+Policy = Every | EveryDuration
+
+
 def snapshot_every(df: DataFrame, n: int) -> DataFrame:
     """Marks (snapshot_due) every n-th update without an error of each stream."""
     if n < 1:
@@ -173,3 +205,13 @@ def snapshot_every_duration(df: DataFrame, seconds: int) -> DataFrame:
         yield {c: row[c] for c in ("entity_type", "entity_id", "tenant", "id", "occurred_on_utc")} | {"snapshot_due": due}
 
     return fold_sorted(rows, ["entity_type", "entity_id", "tenant"], ["occurred_on_utc", "id"], lambda: {"last": None}, step, lambda state: iter(()), "entity_type string, entity_id string, tenant string, id string, occurred_on_utc timestamp_ntz, snapshot_due boolean")
+
+
+def policy_snapshots(df: DataFrame, policy: Policy, after: str = "after_json") -> DataFrame:
+    """Audit rows of a batch whose due updates keep the state after them, a column ``after``, as their snapshot."""
+    if isinstance(policy, Every):
+        marked = snapshot_every(df, policy.updates)
+    else:
+        due = snapshot_every_duration(df, policy.elapsed.total_seconds()).where("snapshot_due").select("id", "snapshot_due")
+        marked = df.join(due, "id", "left")
+    return marked.withColumn("snapshot", F.when(F.coalesce("snapshot_due", F.lit(False)), F.col(after)).otherwise(F.col("snapshot"))).select(*df.columns)

@@ -319,7 +319,7 @@ _HEADS = """, s AS (SELECT *, coalesce(tenant_id, '') AS tenant, row_number() OV
 on_log("prune_heads", lambda df: _pruned(df)[0].select("id"), f"{_HEADS} SELECT id FROM d WHERE j = k")
 on_log("pruned_anchors", lambda df: (lambda r, a: integrity.pruned_anchors(a, r).select(*STREAM, "row_count", "pruned_row_count"))(*_pruned(df)), f"{_HEADS} SELECT entity_type, entity_id, tenant, count(*) AS row_count, (SELECT count(*) FROM d WHERE d.j = d.k AND d.entity_type = s.entity_type AND d.entity_id = s.entity_id AND d.tenant = s.tenant) AS pruned_row_count FROM s GROUP BY 1, 2, 3")
 on_log("all_streams", lambda df: ag.all_streams(df.where("tenant_id = 't1'"), df.where("user_type = 'job'").select("entity_type", "entity_id", tenant().alias("tenant")).distinct()), f"SELECT {_STREAMS} FROM audit_log WHERE tenant_id = 't1' UNION SELECT {_STREAMS} FROM audit_log WHERE user_type = 'job'")
-on_log("batch_summary", ag.batch_summary, f"SELECT {_STREAMS}, max_by(id, occurred_on_utc) AS last_id, count(*) AS added FROM audit_log GROUP BY 1, 2, 3")
+on_log("batch_summary", lambda df: ag.batch_summary(df).drop("last_hash"), f"SELECT {_STREAMS}, max_by(id, occurred_on_utc) AS last_id, count(*) AS added FROM audit_log GROUP BY 1, 2, 3")
 
 
 # import and export
@@ -471,6 +471,15 @@ for _name, _by in (("n", "snapshot_every_n"), ("duration", "snapshot_every_durat
     _register(f"stream_cadence_{_name}", lambda spark, d, p=_name: _cadenced(spark, d, p), f"WITH {derived.AUDIT_LOG_SQL} {_with}, due AS ({_select}) {_KEPT}")
 
 
+def _policy_snapshots(df: DataFrame, policy: cp.Policy) -> DataFrame:
+    image = F.concat(F.lit('{"n":'), F.substring("id", 25, 12).cast("long").cast("string"), F.lit("}"))
+    return cp.policy_snapshots(df.withColumn("after_json", image), policy).select("id", "snapshot")
+
+
+for _name, _policy in (("n", cp.Every(3)), ("duration", cp.EveryDuration(dt.timedelta(days=1)))):
+    on_log(f"policy_snapshots_{_name}", lambda df, p=_policy: _policy_snapshots(df, p), SQL[f"stream_cadence_{_name}"].split(f"WITH {derived.AUDIT_LOG_SQL}", 1)[1].split(" SELECT a.id, a.action")[0] + f" SELECT a.id, CASE WHEN due.snapshot_due THEN {_IMAGES.format(0)} END AS snapshot FROM audit_log a JOIN due USING (id)")
+
+
 def _stream_chain(spark: SparkSession, d: str) -> DataFrame:
     """A chain that grew over several batches, its custom column covered: as it is, and with that column changed in one row."""
     run = _log_dispatched(spark, d, key=(1, KEY))
@@ -642,3 +651,5 @@ on_log("viewer_clamped_page", lambda df: view.log_page(df, 0, 9_999).select("id"
 on_log("entity_history", lambda df: view.entity_history(df, "shop.Order", "7").select("id", "action", "occurred_on_utc"), f"SELECT id, {_NAMES} AS action, occurred_on_utc FROM audit_log WHERE entity_type = 'shop.Order' AND entity_id = '7'")
 on_log("verify_chain_break", lambda df: integrity.verify_chain(*_tampered(df), KEYS).select(*STREAM, "break_id"), f"""{_NUMBERED}, first_ AS (SELECT * FROM res WHERE reason IS NOT NULL ORDER BY entity_type, entity_id, tenant LIMIT 1)
  SELECT f.entity_type, f.entity_id, f.tenant, coalesce(min_by(b.id, b.walk) FILTER (b.reason IS NOT NULL), max_by(b.id, b.walk)) AS break_id FROM first_ f JOIN bad b ON f.entity_type = b.entity_type AND f.entity_id = b.entity_id AND f.tenant = b.tenant GROUP BY 1, 2, 3""")
+on_log("batch_last_hash", lambda df: ag.batch_summary(integrity.stamp(df, integrity.no_anchors(df), 1, KEY)).select(*STREAM, "last_hash", "added"),
+       SQL["stamp_hashes"].split(f"WITH {derived.AUDIT_LOG_SQL}", 1)[1].rsplit(" SELECT id, previous_hash, entry_hash FROM h", 1)[0] + " SELECT entity_type, entity_id, tenant, max_by(entry_hash, k) AS last_hash, count(*) AS added FROM h GROUP BY 1, 2, 3")

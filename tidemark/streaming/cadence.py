@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from ..operators.capture import Every, EveryDuration, Policy  # noqa: F401
 from ..schema import STREAM, UPDATED, tenant
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -24,37 +24,6 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 _EPOCH = dt.datetime(1970, 1, 1)
 
 
-@dataclass(frozen=True)
-class Every:
-    """Each updates-th error-free update keeps a snapshot."""
-
-    updates: int
-
-    def __post_init__(self) -> None:
-        if self.updates < 1:
-            raise ValueError("a snapshot comes every update at most")
-
-    def due(self, since: int, last: int | None, now: int) -> bool:
-        return since >= self.updates
-
-
-@dataclass(frozen=True)
-class EveryDuration:
-    """The first error-free update keeps a snapshot, and each that comes so long after the last one kept."""
-
-    elapsed: dt.timedelta
-
-    def __post_init__(self) -> None:
-        if self.elapsed <= dt.timedelta(0):
-            raise ValueError("the duration must be positive")
-
-    def due(self, since: int, last: int | None, now: int) -> bool:
-        return last is None or now - last >= self.elapsed // dt.timedelta(microseconds=1)
-
-
-Policy = Every | EveryDuration
-
-
 class _Cursor(StatefulProcessor):
     def __init__(self, policy: Policy, columns: list[str]):
         self.policy, self.columns = policy, columns
