@@ -100,3 +100,17 @@ def test_labels_without_documents_take_no_places(spark, module):
     assert labelled_sample(docs, labels, label, 100).count() == 100
     assert labelled_sample(docs, labels, label, 4000).count() == there
     assert labelled_sample(docs.union(docs), labels, label, 100).select("doc_id").distinct().count() == 100
+
+
+def test_a_sample_is_bounded_in_rows(spark):
+    """Rows that share a labelled id don't reach the driver all."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.common import labelled_sample
+
+    docs = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 40).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    got = labelled_sample(docs, labels, "quality", 10).collect()
+    assert len(got) == 10 == len({r.doc_id for r in got})
+    again = labelled_sample(docs.repartition(5), labels, "quality", 10).collect()
+    assert {(r.doc_id, r.text) for r in got} == {(r.doc_id, r.text) for r in again}

@@ -85,8 +85,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """(doc_id, label, text) of at most ``rows`` labelled documents that aren't held
-    out: those whose ids come first by a hash. Labels that are neither 0 nor 1, and
-    ids with both labels, are left out. Only ids that documents hold are chosen (texts
+    out: those whose ids come first by a hash, and of rows that share an id, the one whose
+    text comes first by a hash. Labels that are neither 0 nor 1, and ids with both labels, are left out. Only ids that documents hold are chosen (texts
     aren't read for that), and they are few enough to be broadcast."""
     usable = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -97,4 +97,5 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
         there = there.join(F.broadcast(usable.select("doc_id")), "doc_id", "left_semi").distinct()
     known = usable.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", F.col("label").cast("int").alias("label"))
     texts = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
+    found = texts.join(F.broadcast(known), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))

@@ -131,7 +131,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", sample_rows: int = SAMPLE_ROWS, **options) -> Model:
-    """Learns from rows that aren't held out; at most sample_rows ids."""
+    """Learns from rows that aren't held out; at most sample_rows of them, one of each id."""
     sample = labelled_sample(documents, labels, label, sample_rows)
     made = stored(sample.mapInArrow(_counted, "doc_id string, label int, buckets binary, counts binary"))
     found, buckets, counts = [], bytearray(), bytearray()  # two long runs, which leave no holes in the driver's memory

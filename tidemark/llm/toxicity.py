@@ -210,7 +210,7 @@ def _sentences(chosen):
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, **options) -> Model:
-    """Learns from rows that aren't held out; at most sample_rows ids. What reaches the
+    """Learns from rows that aren't held out; at most sample_rows of them, one of each id. What reaches the
     driver is the number of documents of each bucket, and the features that count."""
     sample = stored(labelled_sample(documents, labels, label, sample_rows))
     sums = sample.mapInArrow(_counts, "bucket long, ones long, zeros long").groupBy("bucket").agg(F.sum("ones"), F.sum("zeros")).toArrow()
