@@ -119,3 +119,26 @@ def test_groups_cut_by_batches(monkeypatch):
 
 def test_empty_table(spark):
     assert p.linked(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_components_of_a_path_a_star_and_repeated_links(spark):
+    from tidemark.llm.components import components
+
+    r = random.Random(5)
+    path = [(k, k + 1) for k in range(0, 40)]
+    r.shuffle(path)
+    star = [(100, k) for k in range(101, 160)] + [(k, 199) for k in range(160, 180)]
+    links = path + star + star[:9] + [(b, a) for a, b in path[:5]] + [(300, 300), (400, 401), (400, 401)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = {x.node: x.root for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in parent if root(x) != x}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []

@@ -2,7 +2,8 @@
 
 A node's smallest neighbour comes from a partially aggregated groupBy and is
 joined back, so no node's neighbours are ever gathered in one place. Each round is
-written to the shared folder, which cuts its lineage.
+written to the shared folder, which cuts its lineage. The rounds end when the edges
+are stars: each node has one edge to a smaller one, and no node has one both ways.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from .common import drop_folder, scratch, stored
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -26,22 +27,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s"), F.sum(F.xxhash64("b", "a") % 998_244_353).alias("t")).first()
-    return row["n"], row["s"], row["t"]
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node either is a root or has one edge only, to a root."""
+    below = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = below.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where((F.col("down") > 1) | (F.col("down") == 1) & (F.col("up") == 1)).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: (a, b) of one comparable type, no nulls. Returns (node, root): every
     node of an edge but the roots themselves, root being its component's least node."""
     spark = edges.sparkSession
-    at = scratch(spark)
-    now, before, old = stored(edges.select("a", "b").where("a != b"), at), None, at
-    while True:
+    old = scratch(spark)
+    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b"), old)
+    while not _stars(now):
         at = scratch(spark)
         now = stored(_small_star(_large_star(now)), at)
         drop_folder(spark, old)
-        old, state = at, _state(now)
-        if state == before or state[0] == 0:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
+        old = at
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

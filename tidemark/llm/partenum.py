@@ -335,6 +335,8 @@ class _Join:
         self.documents, self.info, self.words, self.percent = documents, info, words, percent
         self.spark = documents.sparkSession
         self.roots: DataFrame | None = None
+        #: Links that the next ones take along into the components.
+        self.waiting: DataFrame | None = None
         self.folders: list[tuple[DataFrame, str]] = []
 
     def stored(self, df: DataFrame) -> DataFrame:
@@ -370,20 +372,30 @@ class _Join:
         self.drop(made)
         return once
 
-    def compare(self, pairs: DataFrame) -> None:
-        """Joins the components of the similar ones of these pairs (a, b)."""
-        if not pairs.limit(1).count():
+    def compare(self, pairs: DataFrame, *, later: bool = False) -> None:
+        """Joins the components of the similar ones of these pairs (a, b); later: with the next ones' only."""
+        if pairs.isEmpty():
             return
         sets_ = self.made(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         left = self.stored(self.across(_plausible(pairs, sets_, self.percent)))
         used = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
         found = self.stored(_verified(left, sets_.join(used, "id", "left_semi"), self.percent))
-        if found.limit(1).count():
+        self.drop(left, sets_)
+        if later:
+            self.waiting = found
+        else:
             self.join(found)
-        self.drop(left, sets_, found)
 
-    def join(self, links: DataFrame) -> None:
-        """Joins components by links between them: only their roots take part."""
+    def join(self, links: DataFrame | None = None) -> None:
+        """Joins components by stored links between them, and by those that wait: only their roots take part."""
+        given = [x for x in (links, self.waiting) if x is not None]
+        self.waiting = None
+        some = [x for x in given if not x.isEmpty()]
+        if some:
+            self._join(some[0] if len(some) == 1 else some[0].unionByName(some[1]))
+        self.drop(*given)
+
+    def _join(self, links: DataFrame) -> None:
         between = self.root(self.root(links, "a", "_a"), "b", "_b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
         moved, old = self.stored(components(between)), self.roots
         new = moved.select(F.col("node").alias("id"), "root")
@@ -419,7 +431,7 @@ class _Join:
         many = self.stored(mixed.select("id", "many").distinct())
         more = pairs.where("n < need").join(many.select(F.col("id").alias("a"), F.col("many").alias("many_a")), "a").join(many.select(F.col("id").alias("b"), F.col("many").alias("many_b")), "b")
         more = self.stored(more.where(F.col("n") + F.least("many_a", "many_b") >= F.col("need")).select("a", "b"))
-        self.compare(more)
+        self.compare(more, later=True)
         rest = self.stored(mixed.where("many >= few").select("id", "sig"))
         self.drop(pairs, hot, mixed, many, more)
         return rest
@@ -436,8 +448,9 @@ class _Join:
             again = self.sign(texts, self.spark.sparkContext.broadcast(withdrawn))
             self.drop(rest)
             rest = again
+        self.join()
         ids = self.stored(rest.select("id").distinct())
-        if ids.limit(1).count():
+        if not ids.isEmpty():
             sets_ = self.made(ids)
             pairs = self.stored(_across(sets_.join(ids, "id", "left_semi"), self.root(ids, "id", "root"), self.percent))
             self.drop(sets_)
