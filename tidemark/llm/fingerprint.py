@@ -15,7 +15,8 @@ are: 1 for equal roots, and else 2J / (1 + J), J being the share of the SKETCH l
 hashes of both sketches that both have. (With SKETCH pairs or fewer that is exact.)
 All lengths of text go by these same rules.
 
-Neighbours in the order of ids come from one shuffle of the texts: ids are cut
+A text's own fingerprint is made once, before neighbours meet, and its root and sketch
+travel with it. Neighbours in the order of ids come from one shuffle of the texts: ids are cut
 into ranges at approximate quantiles, a window finds the next row within a range,
 and each range also gets, as a last row, a copy of the next range's first.
 
@@ -28,6 +29,8 @@ doc_id and text are read, whatever other columns there are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,10 +79,13 @@ def root(tree_: Column) -> Column:
 
 def sketch(text: Column) -> Column:
     """The least 32-bit hashes of the text's pairs of neighbouring words, sorted."""
-    found = words(text)
-    padded = F.concat(F.array(F.lit("")), found, F.array(F.lit("")))
-    pairs = F.zip_with(F.slice(padded, F.lit(1), F.size(padded) - 1), F.slice(padded, F.lit(2), F.size(padded) - 1), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(1 << 32)))
-    return F.when(F.size(found) == 0, F.array().cast("array<bigint>")).otherwise(F.slice(F.array_sort(F.array_distinct(pairs)), 1, SKETCH))
+
+    def least(found: Column) -> Column:
+        before, after = F.concat(F.array(F.lit("")), found), F.concat(found, F.array(F.lit("")))
+        pairs = F.zip_with(before, after, lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(1 << 32)))
+        return F.when(F.size(found) == 0, F.array().cast("array<bigint>")).otherwise(F.slice(F.sort_array(F.array_distinct(pairs)), 1, SKETCH))
+
+    return F.get(F.transform(F.array(words(text)), least), F.lit(0))  # splits the text once
 
 
 def fingerprint(root_: Column, tree_: Column, sketch_: Column) -> Column:
@@ -102,7 +108,7 @@ def branches(print_: Column) -> Column:
 
 def likeness(root_one: Column, sketch_one: Column, root_two: Column, sketch_two: Column) -> Column:
     """Likeness of two fingerprints by their roots and sketches."""
-    least = F.slice(F.array_sort(F.array_union(sketch_one, sketch_two)), 1, SKETCH)
+    least = F.slice(F.sort_array(F.array_union(sketch_one, sketch_two)), 1, SKETCH)
     n, both = F.size(least), F.size(F.array_intersect(least, F.array_intersect(sketch_one, sketch_two)))
     return F.when(root_one == root_two, F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(2.0 * both / (n + both))
 
@@ -166,9 +172,11 @@ def edits(one: Column, two: Column) -> Column:
     return F.flatten(F.transform(differing(one, two), inside))
 
 
-def with_next(rows: DataFrame, key: str, carried: str, to: str) -> DataFrame:
+def with_next(rows: DataFrame, key: str, carried: str, to: str, made: Callable[[DataFrame], DataFrame] = lambda df: df, also: dict[str, str] = {}) -> DataFrame:  # noqa: B006
     """Adds ``to``: the carried string of the row that follows by descending key (ties
-    by the carried value, null keys last); after the last row comes the first."""
+    by the carried value, null keys last); after the last row comes the first. made: adds
+    columns that depend on the carried string only, before rows meet; also: more columns
+    to take from the row that follows, and their names."""
     numbers = rows.agg(F.count("*").alias("n"), F.count(key).alias("known")).first()
     parts = max(1, min(MAX_BOUNDS * MAX_BOUNDS, numbers["n"] // RANGE_ROWS))
     coarse_n = min(parts, MAX_BOUNDS)
@@ -196,19 +204,23 @@ def with_next(rows: DataFrame, key: str, carried: str, to: str) -> DataFrame:
     )
     numbered = greatest.select("_range", F.coalesce(F.lag("_range").over(Window.orderBy("_range")), F.max("_range").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_before"))
     ends = firsts.join(F.broadcast(numbered), "_range").select(F.col("_before").alias("_range"), F.col(carried), F.lit(True).alias("_end"))
-    everything = ranged.withColumn("_end", F.lit(False)).unionByName(ends, allowMissingColumns=True)
+    everything = made(ranged.withColumn("_end", F.lit(False))).unionByName(made(ends), allowMissingColumns=True)
     window = Window.partitionBy("_range").orderBy(F.col("_end"), *order)
-    return everything.withColumn(to, F.lead(carried).over(window)).where(~F.col("_end")).drop("_end", "_range")
+    return everything.withColumns({name: F.lead(c).over(window) for c, name in {carried: to, **also}.items()}).where(~F.col("_end")).drop("_end", "_range")
+
+
+def _printed(rows: DataFrame, text: str) -> DataFrame:
+    """Adds root_, sketch_ and print_ of a column of texts."""
+    rows = rows.withColumns({"_tree": tree(F.col(text)), f"sketch_{text}": sketch(F.col(text))}).withColumn(f"root_{text}", root(F.col("_tree")))
+    return rows.withColumn(f"print_{text}", fingerprint(F.col(f"root_{text}"), F.col("_tree"), F.col(f"sketch_{text}"))).drop("_tree")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(documents, "doc_id", "text", "next")
-    n = F.length("text")
+    rows = with_next(documents, "doc_id", "text", "next", lambda df: _printed(df, "text"), {"root_text": "root_next", "sketch_text": "sketch_next"})
     rows = rows.withColumn("edited", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.expr("left(next, cast(floor(length(text) / 3) as int))")))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[x for t in ("text", "edited", "next") for x in (tree(F.col(t)).alias(f"tree_{t}"), sketch(F.col(t)).alias(f"sketch_{t}"))])
-    rows = rows.select("*", *[root(F.col(f"tree_{t}")).alias(f"root_{t}") for t in ("text", "edited", "next")])
+    rows = _printed(rows, "edited")
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", *[fingerprint(F.col(f"root_{t}"), F.col(f"tree_{t}"), F.col(f"sketch_{t}")).alias(c) for t, c in (("text", "fingerprint"), ("edited", "edited_fingerprint"))],
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("print_text").alias("fingerprint"), F.col("print_edited").alias("edited_fingerprint"),
         *[likeness(F.col("root_text"), F.col("sketch_text"), F.col(f"root_{t}"), F.col(f"sketch_{t}")).alias(f"near_{t}") for t in ("edited", "next")],
     )
