@@ -41,24 +41,42 @@ ADDED = ("n_words", "n_hit", "items", "spans")
 
 
 class Windows:
-    """The windows of benchmark items: by length, sorted hashes and what they stand for."""
+    """The windows of benchmark items: by length, sorted hashes, and for each the place of
+    its words in ``text``, all items' words with one space between, and its item's number."""
 
     def __init__(self, items: list[tuple[str, str]], size: int):
         self.size = size
-        self.at: dict[int, tuple[np.ndarray, dict[int, list[tuple[bytes, tuple[str, ...]]]]]] = {}
-        found: dict[int, dict[int, dict[bytes, set[str]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
+        self.items: list[str] = []
+        texts: list[bytes] = []
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]] = defaultdict(list)
+        place = 0
         for item, text in items:
             data = tv.LOWER[np.frombuffer(text.encode(), np.uint8)]
             starts, ends, _ = tv.spans(tv.ALNUM[data], np.array([0, len(data)]))
             if not len(starts):
                 continue
             n = min(size, len(starts))
-            raw = data.tobytes()
-            words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-            for k, h in enumerate(tv.ngram_hashes(tv.word_hashes(data, starts, ends), n).tolist()):
-                found[n][h][b" ".join(words[k : k + n])].add(item)
-        for n, by_hash in found.items():
-            self.at[n] = np.array(sorted(by_hash), np.uint64), {h: [(w, tuple(i)) for w, i in x.items()] for h, x in by_hash.items()}
+            raw, lengths = data.tobytes(), ends - starts
+            texts.append(b" ".join([raw[i:j] for i, j in zip(starts.tolist(), ends.tolist())]) + b" ")
+            at = place + np.cumsum(lengths + 1) - (lengths + 1)
+            hashes = tv.ngram_hashes(tv.word_hashes(data, starts, ends), n)
+            until, first = (at + lengths)[n - 1 :], np.arange(len(hashes))
+            if len(np.unique(hashes)) < len(hashes):  # a window that an item repeats counts once
+                words = [texts[-1][i - place : j - place] for i, j in zip(at[: len(hashes)].tolist(), until.tolist())]
+                first = np.array(list({w: k for k, w in enumerate(words)}.values()))
+            found[n].append((hashes[first], at[first].astype(np.uint32), until[first].astype(np.uint32), len(self.items)))
+            self.items.append(item)
+            place += len(texts[-1])
+        self.text = b"".join(texts)
+        #: By length: hashes, starts, ends, items.
+        self.at: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in list(found):
+            lists = found.pop(n)
+            hashes = np.concatenate([x[0] for x in lists])
+            order = np.argsort(hashes, kind="stable").astype(np.uint32)
+            columns = [np.concatenate([x[k] for x in lists])[order] for k in (1, 2)]
+            owner = np.repeat(np.array([x[3] for x in lists], np.uint32), [len(x[0]) for x in lists])[order]
+            self.at[n] = hashes[order], *columns, owner
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
         """For texts laid end to end: each word's start, end, row, and whether it is hit; words by row; items by row."""
@@ -68,19 +86,22 @@ class Windows:
         items: list[set[str]] = [set() for _ in range(n_rows)]
         edges = np.zeros(len(starts) + 1, np.int32)
         hashes = tv.word_hashes(data, starts, ends)
-        for n, (known, meaning) in self.at.items():
+        for n, (known, first, last, owner) in self.at.items():
             grams = tv.ngram_hashes(hashes, n)
             if not len(grams):
                 continue
             whole = rows[: len(grams)] == rows[n - 1 :]
             place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+            seen: dict[bytes, list[str]] = {}
             for k in np.flatnonzero(whole & (known[place] == grams)).tolist():
                 words = b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(k, k + n))
-                for text, which in meaning[int(grams[k])]:
-                    if text == words:
-                        edges[k] += 1
-                        edges[k + n] -= 1
-                        items[rows[k]].update(which)
+                if words not in seen:
+                    until = int(np.searchsorted(known, grams[k], "right"))
+                    seen[words] = [self.items[owner[x]] for x in range(place[k], until) if self.text[first[x] : last[x]] == words]
+                if seen[words]:
+                    edges[k] += 1
+                    edges[k + n] -= 1
+                    items[rows[k]].update(seen[words])
         return starts, ends, rows, np.cumsum(edges[:-1]) > 0, np.bincount(rows, minlength=n_rows), items
 
 
