@@ -59,6 +59,24 @@ def test_equals_brute_force(spark, monkeypatch, seed, group):
     assert _found(spark, rows) == p.brute_force(rows)
 
 
+def test_crowded_shingles_of_the_last_stage(spark, monkeypatch):
+    """Near copies that the stages before leave in components of their own meet by a few pairs, not by all of them."""
+    monkeypatch.setattr(p, "WITHDRAWN", 0)
+    monkeypatch.setattr(p._Join, "sign", lambda self, texts, withdrawn=None: self.stored(self.info.selectExpr("set_id AS id", "1L AS sig")))
+    met, across = [], p._across
+    monkeypatch.setattr(p, "_across", lambda *given: met.append(across(*given)) or met[-1].persist())
+    r = random.Random(11)
+    passage = [f"w{k}" for k in range(124)]
+    rows = []
+    for k in range(240):
+        copy = list(passage)
+        for at in r.sample(range(5, 119), 1 if k % 3 == 0 else 2):
+            copy[at] = f"x{r.randrange(10**9)}"
+        rows.append((k, " ".join(copy)))
+    assert _found(spark, rows) == p.brute_force(rows)
+    assert len(met) == 1 and met[0].count() < len(rows)
+
+
 def test_repeated_rows_null_ids_and_one_of_each(spark):
     long = " ".join(f"v{i}" for i in range(40))
     rows = [(None, long), (7, long), (7, long), (9, long + " tail"), (11, "alone in here it is"), (None, "nothing like it at all"), (12, None), (13, None)]

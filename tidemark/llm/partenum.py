@@ -26,8 +26,10 @@ else sign again, with parts whose signatures those groups withdraw. (The argumen
 above holds for any parts that both sets leave out alike.) What remains after ROUNDS
 of it goes to a last, exact stage: sets are joined on their rarest shingles (counted
 over these sets), as many as a similar pair can't all miss, if their places leave room
-for enough common ones. So no link between different components is lost, and no group
-is expanded into all its pairs.
+for enough common ones. Where shingles are crowded, each set is compared with a few of
+its shingles' sets first, and only pairs of components that are still apart are joined
+after that. So no link between different components is lost, and no group is expanded
+into all its pairs.
 
 Sizes, hashes and ids alone travel in the first stage; sketches and shingles are made
 again for the sets that have a candidate.
@@ -62,6 +64,8 @@ GROUP = 8
 ROUNDS = 2
 #: Withdrawn signatures (8 bytes each) that are broadcast; with more, the last stage takes over at once.
 WITHDRAWN = 4_000_000
+#: In the last stage, with how many sets of a crowded shingle each of its sets is compared first.
+CHOSEN = 2
 #: Up to so many differing shingles, signatures take two parts each.
 PAIRED = 8
 #: One part more for so many differing shingles: as many more must agree, too.
@@ -308,23 +312,55 @@ def _texts(documents: DataFrame, info: DataFrame, ids: DataFrame) -> DataFrame:
     return documents.join(first, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
 
 
-def _across(sets_: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components among these sets, joined on their
-    rarest shingles. Complete: of the common shingles of a similar pair, the first in
-    the order of rarity has room behind it, in both sets, for all the others they need."""
+def _postings(sets_: DataFrame, percent: int) -> DataFrame:
+    """(shingle, id, n, rank) of these sets' rarest shingles. Complete: of the common shingles of a
+    similar pair, the first in the order of rarity has room behind it, in both sets, for all the others they need."""
     rows = sets_.select("id", F.col("size").alias("n"), F.explode("shingles").alias("shingle"))
     counts = rows.groupBy("shingle").agg(F.count("*").alias("df"))
     ranked = rows.join(counts, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle")))
     taken = ranked.where("df > 1").where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    taken = taken.join(roots, "id", "left").select("shingle", "id", "n", "rank", F.coalesce("root", "id").alias("root"))
-    # shingles of one component only have nothing to join
-    mixed = taken.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
-    taken = taken.join(mixed, "shingle", "left_semi").join(sets_.select("id", "sketch"), "id")
-    left, right = (taken.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "rank", "root", "sketch")]) for k in ("a", "b"))
+    return taken.select("shingle", "id", "n", "rank")
+
+
+def _mixed(postings: DataFrame) -> DataFrame:
+    """Postings (shingle, id, n, rank, root) without shingles of one component only, which have nothing to join."""
+    mixed = postings.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
+    return postings.join(mixed, "shingle", "left_semi")
+
+
+def _crowded(postings: DataFrame) -> bool:
+    """Whether pairs of different components that share a shingle are more than GROUP times the postings."""
+    of_root = postings.groupBy("shingle", "root").agg(F.count("*").cast("double").alias("k"))
+    of_shingle = of_root.groupBy("shingle").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
+    total = of_shingle.agg(F.sum("k").alias("n"), F.sum((F.col("k") * F.col("k") - F.col("own")) / 2).alias("pairs")).first()
+    return total["n"] is not None and total["pairs"] > GROUP * total["n"]
+
+
+def _room(percent: int) -> F.Column:
+    """Whether two postings' places leave room for as many common shingles as their sets need."""
     needed = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
-    room = 1 + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b"))
+    return 1 + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) >= needed
+
+
+def _sides(left: DataFrame, right: DataFrame) -> list[DataFrame]:
+    return [df.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c != "shingle"]) for df, k in ((left, "a"), (right, "b"))]
+
+
+def _with_chosen(postings: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of different components: each posting with CHOSEN others of its shingle, those of the most room (then by a hash)."""
+    first = [F.min(F.struct("rank", F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "root")).alias(f"c{k}") for k in range(CHOSEN)]
+    chosen = postings.groupBy("shingle").agg(*first).select("shingle", F.explode(F.array(*[f"c{k}" for k in range(CHOSEN)])).alias("c"))
+    left, right = _sides(postings, chosen.select("shingle", "c.id", "c.n", "c.rank", "c.root"))
+    met = left.join(right, "shingle").where((F.col("root_a") != F.col("root_b")) & _room(percent))
+    return _plausible(met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), sets_, percent)
+
+
+def _across(postings: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs of different components among these sets, joined on their rarest shingles."""
+    taken = postings.join(sets_.select("id", "sketch"), "id")
+    left, right = _sides(taken, taken)
     near = _near(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), percent)
-    met = left.join(right, "shingle").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & (room >= needed) & near)
+    met = left.join(right, "shingle").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & _room(percent) & near)
     return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
@@ -436,6 +472,26 @@ class _Join:
         self.drop(pairs, hot, mixed, many, more)
         return rest
 
+    def linking(self, pairs: DataFrame, sets_: DataFrame) -> None:
+        """Joins the components of the similar ones of these pairs (a, b) of sets."""
+        pairs = self.stored(pairs)
+        self.join(self.stored(_verified(pairs, sets_, self.percent)))
+        self.drop(pairs)
+
+    def last(self, ids: DataFrame) -> None:
+        """Joins the components of all similar ones of these sets. Where shingles are crowded, sets are first compared
+        with a few others of their shingles, so that large components don't meet with each of their pairs."""
+        made = self.made(ids)
+        sets_ = made.join(ids, "id", "left_semi")
+        postings = self.stored(_postings(sets_, self.percent))
+        mixed = self.stored(_mixed(self.root(postings, "id", "root")))
+        if _crowded(mixed):
+            self.linking(_with_chosen(mixed, sets_, self.percent), sets_)
+            self.drop(mixed)
+            mixed = self.stored(_mixed(self.root(postings, "id", "root")))
+        self.linking(_across(mixed, sets_, self.percent), sets_)
+        self.drop(mixed, made, postings)
+
     def run(self) -> None:
         rest, withdrawn = self.sign(self.documents.select("text")), np.zeros(0, np.uint64)
         for _ in range(1, ROUNDS):
@@ -451,11 +507,7 @@ class _Join:
         self.join()
         ids = self.stored(rest.select("id").distinct())
         if not ids.isEmpty():
-            sets_ = self.made(ids)
-            pairs = self.stored(_across(sets_.join(ids, "id", "left_semi"), self.root(ids, "id", "root"), self.percent))
-            self.drop(sets_)
-            self.compare(pairs)
-            self.drop(pairs)
+            self.last(ids)
         self.drop(rest, ids)
 
 
