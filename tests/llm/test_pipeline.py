@@ -108,3 +108,26 @@ def _toxic(m, text):
             evidence.append(sum(float(m.weights[b]) for b in found))
     worst, density = max(evidence, default=0.0), sum(evidence) / (1 + n / x.LENGTH)
     return 1 / (1 + np.exp(-(m.bias + m.of_worst * worst + m.of_density * density)))
+
+
+def test_stages_hand_texts_to_python_in_small_batches(spark):
+    import pyarrow as pa
+
+    import corpus_pipeline as c
+
+    key, bound = c.BATCH_BYTES
+    before = spark.conf.get(key, None)
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 200) AS text")
+
+    def measured(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+
+    try:
+        for given, most in ((None, 3 << 20), ("1m", 3 << 19)):
+            spark.conf.set(key, given) if given else spark.conf.unset(key)
+            for _, stage in c.STAGES[:1]:
+                stage(spark, docs.limit(0), SF)
+            sizes = [r.n for r in docs.mapInArrow(measured, "n long").collect()]
+            assert sum(sizes) > 8 << 20 and max(sizes) < most
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
