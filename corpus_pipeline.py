@@ -13,34 +13,18 @@ by the text's hash; of an empty table no rows come; other columns may have any n
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, partenum, quality, toxicity
-from tidemark.llm.common import drop_folder, named, scratch, stored, table, unused
+from tidemark.llm.common import drop_folder, in_small_batches, named, scratch, stored, table, unused
 
 TOXIC, GOOD = 0.5, 0.3
-#: Spark's own bound of a batch that goes to a Python worker is 10,000 rows, some 20 MB of texts, and JVM and worker
-#: both hold several. Operators work on slices of half a megabyte anyway. A session that sets its own bound keeps it.
-BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def in_small_batches(stage: Stage) -> Stage:
-    """The stage, with texts going to Python in batches of BATCH_BYTES; they go when the result is written, so the setting stays."""
-
-    @wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if spark.conf.get(BATCH_BYTES[0], None) is None:
-            spark.conf.set(*BATCH_BYTES)
-        return stage(spark, docs, sf_dir)
-
-    return run
-
-
 @in_small_batches
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score TOXIC or more go."""

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -58,3 +59,29 @@ def test_rarer_words_tell_documents_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.difference for r in m.score(docs, m.fit(docs, spark.createDataFrame([(1,)], "doc_id long"))).collect()}
     assert got[1] == got[2] < got[3] == got[4]
+
+
+def test_small_values_and_batches(spark, monkeypatch):
+    """A batch's words are stored in pieces, and texts reach Python in small batches: large values crowd an executor's heap."""
+    monkeypatch.setattr(m, "PIECE_WORDS", 50)
+    rows, target = _rows(), {0, 5, 10}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fitted = m.fit(docs, spark.createDataFrame([(t,) for t in target], "doc_id long"))
+    words = [r for r in fitted.batches.where(m.F.col("kind") == m.WORDS).collect()]
+    assert len(words) > len({r.batch for r in words}) and all(len(m._unpack(r.n)) <= 50 for r in words)
+    got = sorted((r.doc_id, r.n_words, r.difference) for r in m.score(docs, fitted).collect())
+    assert got == [(d, n, pytest.approx(x, abs=2e-4)) for d, n, x in sorted(m.brute_force(rows, target))]
+    files = [f for f in fitted.batches.inputFiles() if f.startswith(fitted.requests)]
+    assert files and all(os.path.exists(f.removeprefix("file://")) for f in files)
+    released = m.score(docs, fitted, release=True)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert sorted((r.doc_id, r.n_words, r.difference) for r in released.collect()) == got
+    name, size = m.in_small_batches.__globals__["BATCH_BYTES"]
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        assert m.in_small_batches(lambda s: s.conf.get(name))(spark) == size
+        spark.conf.set(name, "3m")
+        assert m.in_small_batches(lambda s: s.conf.get(name))(spark) == "3m"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

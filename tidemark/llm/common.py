@@ -7,18 +7,34 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The largest number of rows of ids (16 bytes each) that is broadcast by hint: 64 MB.
 BROADCAST_ROWS = 4_000_000
+#: Spark's own bound of a batch that goes to a Python worker is 10,000 rows, some 20 MB of texts, and JVM and worker
+#: both hold several. Operators work on slices of half a megabyte anyway. A session that sets its own bound keeps it.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_small_batches(query: Callable) -> Callable:
+    """The query or stage, with texts going to Python in batches of BATCH_BYTES; they go when the result is written, so the setting stays."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *rest) -> DataFrame:
+        if spark.conf.get(BATCH_BYTES[0], None) is None:
+            spark.conf.set(*BATCH_BYTES)
+        return query(spark, *rest)
+
+    return run
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir, or,
     where that is unset (tests), below a local temporary folder."""

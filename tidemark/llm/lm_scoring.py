@@ -42,16 +42,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import named, scratch, small_enough, table
+from .common import drop_folder, in_small_batches, named, scratch, small_enough, table
 
 WEIGHT = 0.75
 #: Stand for the start of a text and for words outside a closed vocabulary; words' hashes have the highest bit set.
 START, UNKNOWN = 0, 1
 #: Words of a batch, beyond which a task closes it.
-HELD_WORDS = 2_500_000
+HELD_WORDS = 3_500_000
 #: Text bytes of the corpus for each part that keys are dealt in.
 PART_BYTES = 8 << 20
-#: Rows of the table of batches: a document, a batch's words, a part of its request.
+#: Words of a piece of a batch's stored words. Larger values, half a megabyte or more, crowd the JVM's heap.
+PIECE_WORDS = 1 << 17
+#: Rows of the table of batches: a document, a piece of a batch's words, a part of its request.
 DOCUMENT, WORDS, REQUEST = 0, 1, 2
 _COLUMNS = "batch long, part int, n_words int, keys binary, n binary, n_target binary, kind int"
 
@@ -79,6 +81,20 @@ def _hashes(data: np.ndarray, offsets: np.ndarray, closed: np.ndarray | None) ->
     return words if closed is None else np.where(np.isin(words, closed), words, np.uint64(UNKNOWN)), rows
 
 
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and each value's place among them. Goes through
+    them by their highest bits, since np.unique would hold several copies of all."""
+    at, found, below = np.empty(len(values), np.int32), [values[:0]], 0
+    highest = (values >> np.uint64(60)).astype(np.uint8)
+    for k in range(16):
+        here = np.flatnonzero(highest == k)
+        some, places = np.unique(values[here], return_inverse=True)
+        at[here] = places + below
+        found.append(some)
+        below += len(some)
+    return np.concatenate(found), at
+
+
 def _keys(words: np.ndarray, numbers: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct keys of a batch, ascending, and where among them are each word's
     bigram, the word itself and the word before it. words: its distinct words, the
@@ -94,14 +110,13 @@ def _keys(words: np.ndarray, numbers: np.ndarray, lengths: np.ndarray) -> tuple[
         spread = tv.mix(words + one)
         every[:n] = tv.mix(spread[before] * np.uint64(3) + words[numbers]) & ~one
     every[n : n + k], every[n + k :] = tv.mix(spread ^ np.uint64(0x5A5A5A5A)) | one, tv.mix(spread ^ np.uint64(0xA5A5A5A5)) & ~one
-    keys, at = np.unique(every, return_inverse=True)
-    at = at.astype(np.int32)
+    keys, at = _ranked(every)
     return keys, at[:n], at[n : n + k][numbers], at[n + k :][before]
 
 
-def _batches(rows: DataFrame, parts: int, closed: np.ndarray | None) -> DataFrame:
+def _batches(rows: DataFrame, parts: int, closed: np.ndarray | None) -> tuple[DataFrame, str]:
     """Stores the table of batches of (k0, k1, ..., target, text): its documents with
-    their kept columns, its words, and its request in at most ``parts`` parts."""
+    their kept columns, its words, and its request in at most ``parts`` parts. Returns it and its requests' folder."""
     kept = rows.select(*[c for c in rows.columns if c not in ("target", "text")])
     held = rows.sparkSession.sparkContext.broadcast(closed)
     names = [*kept.columns, *[c.split()[0] for c in _COLUMNS.split(", ")]]
@@ -124,16 +139,22 @@ def _batches(rows: DataFrame, parts: int, closed: np.ndarray | None) -> DataFram
             n, wanted = np.concatenate(lengths), np.concatenate(targets)
             every = np.concatenate(words)
             words.clear()
-            found, at, times = np.unique(every, return_inverse=True, return_counts=True)
+            found, at = _ranked(every)
             del every
-            order = np.argsort(-times, kind="stable")  # frequent words get small numbers, which compress
+            order = np.argsort(-np.bincount(at, minlength=len(found)), kind="stable")  # frequent words get small numbers, which compress
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(1, len(order) + 1)
             found, at = np.concatenate([[np.uint64(START)], found[order]]), rank[at]
-            yield made(1, keys=pa.array([_pack(found)]), n=pa.array([_pack(at)]), kind=pa.array([WORDS], pa.int32()))
+            pieces = 1 + len(at) // PIECE_WORDS
+            for p, (x, y) in enumerate(zip(np.array_split(found, pieces), np.array_split(at, pieces))):
+                yield made(1, part=pa.array([p], pa.int32()), keys=pa.array([_pack(x)]), n=pa.array([_pack(y)]), kind=pa.array([WORDS], pa.int32()))
             keys, pair, alone, prior = _keys(found, at, n)
             wanted = np.repeat(wanted, n)
-            sums = [sum(np.bincount(x[some], minlength=len(keys)) for x in (pair, alone, prior)) for some in (slice(None), wanted)]
+            sums = [np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)]
+            for x in (pair, alone, prior):
+                sums[0] += np.bincount(x, minlength=len(keys))
+                sums[1] += np.bincount(x[wanted], minlength=len(keys))
+            del found, at, rank, order, pair, alone, prior, x, y
             part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             some, starts = np.unique(part, return_index=True)
             for p, i, j in zip(some, starts, np.append(starts[1:], len(keys))):
@@ -158,16 +179,17 @@ def _batches(rows: DataFrame, parts: int, closed: np.ndarray | None) -> DataFram
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields], _COLUMNS])
     made, at = rows.mapInArrow(run, schema), scratch(rows.sparkSession)
     made.write.partitionBy("kind").parquet(at)
-    return rows.sparkSession.read.schema(made.schema).parquet(at)
+    return rows.sparkSession.read.schema(made.schema).parquet(at), f"{at}/kind={REQUEST}"
 
 
 class Counts(NamedTuple):
-    """The counted documents and their columns, their table of batches, the number of
-    parts, and the hashes and entries of a closed vocabulary."""
+    """The counted documents and their columns, their table of batches and its requests' folder,
+    the number of parts, and the hashes and entries of a closed vocabulary."""
 
     documents: DataFrame
     columns: tuple
     batches: DataFrame
+    requests: str
     parts: int
     closed: np.ndarray | None
     entries: int | None
@@ -201,7 +223,7 @@ def fit(documents: DataFrame, target_ids: DataFrame, *, text: str = "text", doc_
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     closed = None if vocabulary is None else _top_words(texts, vocabulary - 2)
     parts = 1 + size // PART_BYTES
-    return Counts(documents, (text, tuple(keep)), _batches(texts, parts, closed), parts, closed, None if closed is None else len(closed) + 2)
+    return Counts(documents, (text, tuple(keep)), *_batches(texts, parts, closed), parts, closed, None if closed is None else len(closed) + 2)
 
 
 def _answers(requests: DataFrame) -> DataFrame:
@@ -230,37 +252,44 @@ def _answers(requests: DataFrame) -> DataFrame:
     return requests.sparkSession.read.schema(made.schema).parquet(at)
 
 
-def score(documents: DataFrame, counts: Counts, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), weight: float = WEIGHT) -> DataFrame:
-    """The kept columns of every row and n_words, target_loss, background_loss (means) and difference."""
+def score(documents: DataFrame, counts: Counts, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), weight: float = WEIGHT, release: bool = False) -> DataFrame:
+    """The kept columns of every row and n_words, target_loss, background_loss (means) and difference.
+    release: requests are deleted once they are answered, before the answers travel; counts can't be used again."""
     kinds = F.col("kind")
     asked = ["batch", "part", "keys", "n", "n_target"]
     requests = counts.batches.where(kinds == REQUEST).select(*asked)
+    own = counts.requests
     if (text, tuple(keep)) == counts.columns and documents.sameSemantics(counts.documents):
         batches, requests = counts.batches, requests.withColumn("asks", F.lit(True))
     else:
         rows = documents.select(*_rows(documents, text, keep)).withColumn("target", F.lit(False))
-        batches = _batches(rows, counts.parts, counts.closed)
+        batches, own = _batches(rows, counts.parts, counts.closed)
         nothing = F.lit(None).cast("binary")  # such documents ask, and don't count
         requests = requests.withColumn("asks", F.lit(False)).unionByName(batches.where(kinds == REQUEST).select(*asked).withColumns({"n": nothing, "n_target": nothing, "asks": F.lit(True)}))
     answers = _answers(requests)
+    for at in {own, counts.requests} if release else ():
+        drop_folder(documents.sparkSession, at)
     found = answers.where("batch is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "total", "total_target")]).first()
     entries, totals = counts.entries or found["words"] + 2, (found["total_target"], found["total"])
     kept = [f"k{i}" for i in range(len(keep))]
 
     def losses(answered: pa.Table, batch: pa.Table) -> pa.Table:
         documents = batch.filter(pc.equal(batch.column("kind"), DOCUMENT)).sort_by("part")
-        listed = batch.filter(pc.equal(batch.column("kind"), WORDS))
+        listed = batch.filter(pc.equal(batch.column("kind"), WORDS)).sort_by("part")
         n = documents.column("n_words").to_numpy().astype(np.int64)
-        words, numbers = (_unpack(listed.column(c)[0].as_py()) for c in ("keys", "n"))
-        keys, pair, alone, prior = _keys(words, numbers.astype(np.int32), n)
+        words, numbers = (np.concatenate([_unpack(x.as_py()).astype(kind) for x in listed.column(c)]) for c, kind in (("keys", np.uint64), ("n", np.int32)))
+        keys, pair, alone, prior = _keys(words, numbers, n)
+        del words, numbers
         answered, owner = answered.sort_by("part"), np.repeat(np.arange(len(n)), n)
         means = []
         for column, total in zip(("n_target", "n"), totals):
-            sums = np.concatenate([_unpack(x.as_py()) for x in answered.column(column)]).astype(np.float64)
-            unigram, before = (sums[alone] + 1) / (total + entries), sums[prior]
-            p = np.where(before > 0, weight * sums[pair] / np.maximum(before, 1) + (1 - weight) * unigram, unigram)
-            del sums, unigram, before
-            means.append(np.bincount(owner, -np.log(p), minlength=len(n)) / np.maximum(n, 1))
+            sums, lost = np.concatenate([_unpack(x.as_py()) for x in answered.column(column)]).astype(np.float64), np.empty(len(pair))
+            for i in range(0, len(pair), PIECE_WORDS):
+                some = slice(i, i + PIECE_WORDS)
+                unigram, before = (sums[alone[some]] + 1) / (total + entries), sums[prior[some]]
+                lost[some] = -np.log(np.where(before > 0, weight * sums[pair[some]] / np.maximum(before, 1) + (1 - weight) * unigram, unigram))
+            means.append(np.bincount(owner, lost, minlength=len(n)) / np.maximum(n, 1))
+            del sums, lost
         return pa.Table.from_arrays([*[documents.column(c) for c in kept], pa.array(n), *map(pa.array, means), pa.array(means[0] - means[1])], [*kept, *added])
 
     added = ["n_words", "target_loss", "background_loss", "difference"]
@@ -270,11 +299,12 @@ def score(documents: DataFrame, counts: Counts, *, text: str = "text", keep: tup
     return made.toDF(*keep, *added)
 
 
+@in_small_batches
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents that labels mark as of good quality."""
     documents = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return score(documents, fit(documents, good))
+    return score(documents, fit(documents, good), release=True)
 
 
 def brute_force(rows: list[tuple], target_ids: set, vocabulary: int | None = None, weight: float = WEIGHT) -> list[tuple]:
