@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -160,3 +161,20 @@ def test_components_of_a_path_a_star_and_repeated_links(spark):
     got = {x.node: x.root for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent if root(x) != x}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_small_links_have_no_exchange(spark):
+    """A round of components of few links is one task; of many it's dealt, with the same result."""
+    from tidemark.llm import components as c
+
+    links = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 50), (100, 50), (100, 60)], "a long, b long")
+    plan = c._small_star(c._large_star(links.coalesce(1), True), True)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("(?<!Broadcast)Exchange", plan)
+    found = {}
+    for limit in (0, 100):
+        at, c.SMALL_EDGES = c.SMALL_EDGES, limit
+        try:
+            found[limit] = sorted(map(tuple, c.components(links).collect()))
+        finally:
+            c.SMALL_EDGES = at
+    assert found[0] == found[100] == [(k, 0) for k in range(1, 31)] + [(60, 50), (100, 50)]

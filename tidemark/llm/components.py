@@ -11,26 +11,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_folder, scratch, stored
+from .common import drop_folder, scratch, small_enough, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+#: Edges (16 bytes each) up to which a round is worked in one partition, as small tables are broadcast: a round
+#: then has no exchange, where one of a larger table has several, each with all of its partitions.
+SMALL_EDGES = 100_000
+
+
+def _large_star(edges: DataFrame, small: bool = False) -> DataFrame:
+    both = edges.select(F.expr("stack(2, a, b, b, a) AS (u, v)"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b")
+    return both.where("v > u").join(F.broadcast(least) if small else least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, small: bool = False) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
+    moved = down.join(F.broadcast(least) if small else least, "u").select(F.expr("stack(2, v, m, u, m) AS (a, b)")).where("a != b")
+    return (moved.coalesce(1) if small else moved).distinct()
 
 
 def _stars(edges: DataFrame) -> bool:
     """Whether each node either is a root or has one edge only, to a root."""
-    below = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
-    ends = below.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    ends = edges.select(F.expr("stack(2, a, 1, 0, b, 0, 1) AS (node, down, up)"))
     return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where((F.col("down") > 1) | (F.col("down") == 1) & (F.col("up") == 1)).isEmpty()
 
 
@@ -39,10 +43,15 @@ def components(edges: DataFrame) -> DataFrame:
     node of an edge but the roots themselves, root being its component's least node."""
     spark = edges.sparkSession
     old = scratch(spark)
+
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b"), old)
-    while not _stars(now):
+    while True:
+        small = small_enough(now, SMALL_EDGES)
+        now = now.coalesce(1) if small else now
+        if _stars(now):
+            break
         at = scratch(spark)
-        now = stored(_small_star(_large_star(now)), at)
+        now = stored(_small_star(_large_star(now, small), small), at)
         drop_folder(spark, old)
         old = at
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

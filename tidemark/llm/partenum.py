@@ -305,13 +305,6 @@ def _verified(pairs: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
     return _beside(pairs, sets_, "shingles").where(100 * common >= percent * (F.col("size_a") + F.col("size_b") - common)).select("a", "b")
 
 
-def _texts(documents: DataFrame, info: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of one document of each of these sets."""
-    first = info.join(ids.withColumnRenamed("id", "set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("rep")).select("rep").distinct()
-    first = F.broadcast(first) if small_enough(first) else first
-    return documents.join(first, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-
-
 def _postings(sets_: DataFrame, percent: int) -> DataFrame:
     """(shingle, id, n, rank) of these sets' rarest shingles. Complete: of the common shingles of a
     similar pair, the first in the order of rarity has room behind it, in both sets, for all the others they need."""
@@ -398,9 +391,18 @@ class _Join:
         """Pairs of different components."""
         return pairs if self.roots is None else self.root(self.root(pairs, "a", "_a"), "b", "_b").where("_a != _b").drop("_a", "_b")
 
+    def texts(self, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Texts of one document of each of these sets, and the stored ids of those documents, which they need."""
+        first = self.info.join(ids.withColumnRenamed("id", "set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
+        first = self.stored(first.select("rep"))  # counted and then read: not made twice
+        small = F.broadcast(first) if small_enough(first) else first
+        return self.documents.join(small, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text"), first
+
     def made(self, ids: DataFrame) -> DataFrame:
         """(id, size, sketch, shingles) of these sets, and perhaps of others; stored."""
-        made = self.stored(_texts(self.documents, self.info, ids).mapInArrow(_sets(self.words), "id long, size int, sketch array<long>, shingles array<long>"))
+        texts, first = self.texts(ids)
+        made = self.stored(texts.mapInArrow(_sets(self.words), "id long, size int, sketch array<long>, shingles array<long>"))
+        self.drop(first)
         counts = made.select("id").agg(F.count("*").alias("n"), F.count_distinct("id").alias("d")).first()
         if counts["n"] == counts["d"]:
             return made
@@ -500,9 +502,9 @@ class _Join:
             if not n or n + len(withdrawn) > WITHDRAWN:
                 break
             withdrawn = np.union1d(withdrawn, np.array([r[0] for r in sigs.toLocalIterator()], np.int64).view(np.uint64) & np.uint64((1 << 64 - _MARK) - 1))
-            texts = _texts(self.documents, self.info, rest.select("id").distinct())
+            texts, first = self.texts(rest.select("id"))
             again = self.sign(texts, self.spark.sparkContext.broadcast(withdrawn))
-            self.drop(rest)
+            self.drop(rest, first)
             rest = again
         self.join()
         ids = self.stored(rest.select("id").distinct())
