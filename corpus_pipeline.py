@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, partenum, quality, toxicity
-from tidemark.llm.common import drop_folder, in_small_batches, named, scratch, stored, table, unused
+from tidemark.llm.common import BATCH_BYTES, drop_folder, in_small_batches, named, scratch, stored, table, unused  # noqa: F401 (BATCH_BYTES is read from here, too)
 
 TOXIC, GOOD = 0.5, 0.3
 
