@@ -160,6 +160,49 @@ def test_enqueue_is_whole_and_once(spark, tmp_path):
     assert enqueue(narrow, source, "capture-2") == 1 and spark.read.schema(QUEUE).parquet(source).count() == 3
 
 
+def test_failures_of_many_tasks_and_batches_come_back_in_few_files(spark, tmp_path, monkeypatch):
+    """Entries that fail in every task of several batches are given up after as many rounds as they have attempts."""
+    source, told = f"file://{tmp_path}/q", []
+    run = Dispatcher(spark, source, f"file://{tmp_path}/out", max_files=1, policy=Every(1), observers=[lambda *x: told.append(x)])
+    for k in range(3):
+        rows = [(f"{k}-{e}", f"e{e}", 1, k, {"before_json": "{"} if e % 2 else {}) for e in range(24)]
+        enqueue(entries(spark, *rows).coalesce(1), source, f"n{k}")
+    run.flush()
+    assert [n for _, _, n in told] == [12, 12, 12]
+    while run.redeliver():
+        run.flush()
+    assert told == [(0, 12, 12), (1, 12, 12), (2, 12, 12), (3, 0, 36), (4, 0, 36), (5, 0, 36), (6, 0, 36)]
+    assert sorted((r.id, r.attempts) for r in run.dead().collect()) == sorted((f"{k}-{e}", 5) for k in range(3) for e in range(1, 24, 2))
+    assert sorted(r.id for r in run.log().where("snapshot is not null").collect()) == sorted(f"{k}-{e}" for k in range(3) for e in range(0, 24, 2))
+    # of entries that are larger than a file, earlier batches come first and by themselves
+    monkeypatch.setattr("tidemark.streaming.dispatch.RETRY_FILE_BYTES", 1)
+    queued = f"file://{tmp_path}/other"
+    other = Dispatcher(spark, queued, run.out)
+    assert other.redeliver() == 36 * 4
+    assert {n[:27] for n in Files(spark, queued).names(queued) if n.endswith(".parquet")} == {f"retry-{k:010d}-{k:010d}" for k in range(7)}
+
+
+def test_redelivery_that_was_cut_short_ends_once(spark, tmp_path):
+    source = f"file://{tmp_path}/q"
+    run = Dispatcher(spark, source, f"file://{tmp_path}/out", max_files=1)
+    for k in range(2):
+        enqueue(entries(spark, (f"{k}", "a", 1, k, {"before_json": "{"})).coalesce(1), source, f"n{k}")
+    run.flush()
+    fs, aside = Files(spark, source), f"{source}-aside/retry-0000000000-0000000001"
+    assert run.redeliver() == 2
+    fs.delete(f"{aside}/_moved")  # as if cut short before its end, and more failed meanwhile
+    enqueue(entries(spark, ("2", "a", 1, 2, {"before_json": "{"})).coalesce(1), source, "n2")
+    run.flush()
+    assert sorted((r.id, r.attempts) for n in (2, 3) for r in spark.read.parquet(f"{run.out}/retry/batch={n}").collect()) == [("0", 2), ("1", 2), ("2", 1)]
+    assert run.redeliver() == 2 + 3 and run.redeliver() == 0
+    back = spark.read.schema(QUEUE).parquet(source).where("attempts > 0")
+    assert sorted((r.id, r.attempts) for r in back.collect()) == [("0", 1), ("0", 2), ("1", 1), ("1", 2), ("2", 1)]
+    # a queue of before, which had a name for each batch
+    old = Dispatcher(spark, f"file://{tmp_path}/old", run.out)
+    enqueue(spark.read.schema(QUEUE).parquet(f"{run.out}/retry/batch=0"), old.source, "retry-0000000000")
+    assert old.redeliver() == 4 and old.redeliver() == 0
+
+
 DEEP = '{"a":' * 5000 + "1" + "}" * 5000
 
 

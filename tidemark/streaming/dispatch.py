@@ -9,6 +9,7 @@ so a replay overwrites instead of repeating. One query writes a log (the chain n
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -31,6 +32,8 @@ QUEUE = (
     "user_id string, user_display string, user_type string, tenant_id string, correlation_id string, attempts int, error string, custom_columns_json string"
 )
 MAX_ATTEMPTS = 5
+#: A file of entries that come back holds about so much.
+RETRY_FILE_BYTES = 32 << 20
 log_of_faults = logging.getLogger(__name__)
 
 
@@ -135,9 +138,32 @@ class Dispatcher:
 
     def redeliver(self) -> int:
         """Feeds failed entries back to the queue, those of each batch once, however often
-        it is called. Returns the number of entries."""
-        fs = Files(self.spark, self.out)
-        return sum(enqueue(self.spark.read.schema(QUEUE).parquet(f"{self.out}/retry/batch={n}"), self.source, f"retry-{n:010d}") for n in fs.numbers(f"{self.out}/retry", "batch="))
+        it is called, earlier batches first. Small batches come in together, so the queue
+        gets files by the size of what failed, not by how many tasks and batches it failed
+        in. Returns the number of entries."""
+        fs, came = Files(self.spark, self.out), 0
+        for name, batches in self._deliveries():
+            at = [f"{self.out}/retry/batch={n}" for n in batches]
+            files = max(1, -(-sum(map(fs.size, at)) // RETRY_FILE_BYTES))
+            came += enqueue(self.spark.read.schema(QUEUE).parquet(*at).coalesce(files), self.source, name)
+        return came
+
+    def _deliveries(self) -> list[tuple[str, list[int]]]:
+        """Names and batches of what isn't yet in the queue: what a call that was cut short
+        has begun, then the batches since, as many in a row as fit into a file."""
+        fs, queue, aside = Files(self.spark, self.out), Files(self.spark, self.source), f"{self.source.rstrip('/')}-aside"
+        failed = [n for n in fs.numbers(f"{self.out}/retry", "batch=") if fs.written(f"{self.out}/retry/batch={n}")]
+        begun = [(m[0], int(m[1]), int(m[2] or m[1])) for n in queue.names(aside) if (m := re.fullmatch(r"retry-(\d{10})(?:-(\d{10}))?", n))]
+        out = [(name, [n for n in failed if lo <= n <= hi]) for name, lo, hi in begun if not queue.exists(f"{aside}/{name}/_moved")]
+        groups, room = [], 0
+        for n in failed:
+            if n > max((hi for _, _, hi in begun), default=-1):
+                if (size := fs.size(f"{self.out}/retry/batch={n}")) > room:
+                    groups.append([])
+                    room = RETRY_FILE_BYTES
+                groups[-1].append(n)
+                room -= size
+        return out + [(f"retry-{g[0]:010d}-{g[-1]:010d}", g) for g in groups]
 
     def log(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.out}/log").drop("batch")
