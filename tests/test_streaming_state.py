@@ -4,6 +4,7 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.functions import canonical as cn
@@ -11,7 +12,7 @@ from tidemark.functions import jsonpatch as jp
 from tidemark.operators import importer, integrity
 from tidemark.sources.shared import Files
 from tidemark.streaming.anchors import AnchorLog
-from tidemark.streaming.cadence import Every, EveryDuration
+from tidemark.streaming.cadence import Every, EveryDuration, _Cursor
 from tidemark.streaming.dispatch import QUEUE, Dispatcher, enqueue
 from tidemark.streaming.outbox import Outbox
 
@@ -203,6 +204,50 @@ def test_redelivery_that_was_cut_short_ends_once(spark, tmp_path):
     assert old.redeliver() == 4 and old.redeliver() == 0
 
 
+class Calls:
+    """A history's state that tells what was asked of it."""
+
+    def __init__(self, value=None):
+        self.value, self.told = value, []
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def get(self):
+        self.told.append("get")
+        return self.value
+
+    def exists(self):
+        self.told.append("exists")
+        return self.value is not None
+
+    def update(self, value):
+        self.told.append("update")
+        self.value = value
+
+
+def test_state_is_asked_for_only_where_updates_count():
+    made = Row("id", "action", "occurred_on_utc", "error")
+    for rows, before, told, after, due in (
+        ([made("1", 0, T0, None), made("2", 1, T0, "bad"), made("3", 2, T0, None)], (1, None), [], (1, None), set()),
+        ([made("2", 1, T0, None), made("1", 1, T0, None), made("3", 1, T0, None)], None, ["get", "update"], (1, 1704067200000000), {"2"}),
+        ([made("1", 1, T0, None)], (1, None), ["get", "update"], (0, 1704067200000000), {"1"}),
+    ):
+        cursor, state = _Cursor(Every(2), ["id", "action", "occurred_on_utc", "error"]), Calls(before)
+        cursor.init(state)
+        assert {r.id for r in cursor.handleInputRows(None, iter(rows), None) if r.snapshot_due} == due
+        assert (state.told, state.value) == (told, after)
+
+
+def test_state_is_stored_by_its_changes_and_the_session_stays_as_it_was(spark, tmp_path):
+    was, source = dict(spark.conf.getAll), f"file://{tmp_path}/q"
+    run = Dispatcher(spark, source, f"file://{tmp_path}/out", policy=Every(1))
+    enqueue(entries(spark, ("1", "a", 1, 0), ("2", "b", 1, 0)), source, "n0")
+    run.flush()
+    assert any(f.endswith(".changelog") for _, _, names in os.walk(f"{tmp_path}/out/checkpoint/state") for f in names)
+    assert dict(spark.conf.getAll) == was and run.log().where("snapshot is not null").count() == 2
+
+
 DEEP = '{"a":' * 5000 + "1" + "}" * 5000
 
 

@@ -19,8 +19,10 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from ..operators.capture import Every, EveryDuration, Policy  # noqa: F401
 from ..schema import STREAM, UPDATED, tenant
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 _EPOCH = dt.datetime(1970, 1, 1)
 
 
@@ -32,17 +34,20 @@ class _Cursor(StatefulProcessor):
         self.cursor = handle.getValueState("cursor", "since long, last long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802
-        since, last = tuple(self.cursor.get()) if self.cursor.exists() else (0, None)
-        made = Row(*self.columns, "snapshot_due")
+        # each call on the state is a round trip: none for a history without updates that count
+        cursor, made = None, Row(*self.columns, "snapshot_due")
         for row in sorted(rows, key=lambda r: (r.occurred_on_utc, r.id)):
             due = False
             if row.action == UPDATED and row.error is None:
+                since, last = cursor or self.cursor.get() or (0, None)
                 now = (row.occurred_on_utc - _EPOCH) // dt.timedelta(microseconds=1)
                 since += 1
                 if due := self.policy.due(since, last, now):
                     since, last = 0, now
+                cursor = (since, last)
             yield made(*(row[c] for c in self.columns), due)
-        self.cursor.update((since, last))
+        if cursor:
+            self.cursor.update(cursor)
 
     def close(self) -> None:
         pass
@@ -58,13 +63,16 @@ def with_snapshot_due(stream: DataFrame, policy: Policy) -> DataFrame:
 
 
 def started(writer, spark) -> StreamingQuery:
-    """Starts a query that keeps keyed state; the session's own setting stays as it was."""
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    """Starts a query that keeps keyed state, of which a batch stores its changes only; the
+    session's own settings stay as they were."""
+    before = {k: spark.conf.get(k, None) for k in _STATE}
     try:
+        for k, v in _STATE.items():
+            spark.conf.set(k, v)
         return writer.start()
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def snapshot_cadence(stream: DataFrame, policy: Policy, out: str) -> StreamingQuery:
