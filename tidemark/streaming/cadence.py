@@ -22,6 +22,7 @@ from ..schema import STREAM, UPDATED, tenant
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 _EPOCH = dt.datetime(1970, 1, 1)
 
@@ -63,8 +64,8 @@ def with_snapshot_due(stream: DataFrame, policy: Policy) -> DataFrame:
 
 
 def started(writer, spark) -> StreamingQuery:
-    """Starts a query that keeps keyed state, of which a batch stores its changes only; the
-    session's own settings stay as they were."""
+    """Starts a query that keeps keyed state, of which a batch stores its changes only, and
+    without disk taken ahead for each partition; the session's own settings stay as they were."""
     before = {k: spark.conf.get(k, None) for k in _STATE}
     try:
         for k, v in _STATE.items():
